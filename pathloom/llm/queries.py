@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import url_filter
+from pathloom.llm import packing, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -15,6 +15,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file lies; the same on the driver and all executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer_path(), packing.Limits(tokens=4096))
+
+
 _OP1_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -31,5 +43,5 @@ SELECT page_id, host, path,
 FROM parts
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_best_fit_packing": op3_best_fit_packing}
 ORACLE_SQL = {"op1_url_filter": _OP1_SQL}
