@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import packing, url_filter
+from pathloom.llm import decontam, packing, token_output, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -27,6 +27,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), packing.Limits(tokens=4096))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    manifest = token_output.write_token_files(docs, tokenizer_path(), token_output.scratch_folder(docs))
+    return token_output.read_token_files(manifest)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 _OP1_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -43,5 +54,10 @@ SELECT page_id, host, path,
 FROM parts
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_best_fit_packing": op3_best_fit_packing}
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_token_output": op7_token_output,
+    "op10_decontamination": op10_decontamination,
+}
 ORACLE_SQL = {"op1_url_filter": _OP1_SQL}
