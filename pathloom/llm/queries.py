@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontam, packing, token_output, url_filter
+from pathloom.llm import decontam, neardup, packing, token_output, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -15,6 +15,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return neardup.near_duplicates(docs, width=4)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where a public tokenizer's file lies; the same on the driver and all executors."""
     import public_tokenizers
@@ -56,6 +61,7 @@ FROM parts
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_minhash_neardup": op2_minhash_neardup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_token_output": op7_token_output,
     "op10_decontamination": op10_decontamination,
