@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontam, neardup, packing, token_output, url_filter
+from pathloom.llm import decontam, neardup, packing, quality, token_output, url_filter
+from pathloom.llm.common import materialise
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -43,6 +44,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    measured = materialise(quality.measures(docs), "measures")
+    rules = quality.learn(*quality.sample(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.judge(measured, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule_no")
+
+
 _OP1_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -64,6 +72,7 @@ QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_token_output": op7_token_output,
+    "op8_quality_rules": op8_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op1_url_filter": _OP1_SQL}
