@@ -13,8 +13,8 @@ resemble no labelled bad document stay.
 The list is emitted as one ordered Spark conditional expression over the measure
 columns (``as_expression``) and as text (``as_text``).
 
-Training reads at most ``SAMPLE`` labelled documents, those with the least hash
-of their id: a bounded sample, whatever the size of the table.
+Training reads about ``SAMPLE`` labelled documents at most, chosen by the hash of
+their id: a bounded sample, whatever the size of the table.
 
 Defined results: a null text has no words and fails the base rule; labels that
 are null or whose document is missing are not used; with no labels, or only
@@ -197,10 +197,15 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
 
 
 def sample(measured: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """At most ``limit`` labelled rows, by the hash of their id, and whether they are bad."""
+    """About ``limit`` labelled rows at most, by the hash of their id, and whether they are bad.
+
+    The share of rows to read follows from their number, so each task sends its share and no more.
+    """
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     joined = measured.join(own, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", *RATIOS, "quality")
-    held = joined.orderBy("h", "doc_id", *RATIOS).limit(limit).toPandas()
+    share = min(1.0, limit / max(1, joined.count()))
+    held = joined.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()
+    held = held.sort_values(["h", "doc_id", *RATIOS], kind="stable")
     return {c: held[c].to_numpy(float) for c in RATIOS}, held["quality"].to_numpy(int) == 0
 
 

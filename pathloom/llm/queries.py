@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontam, neardup, packing, quality, token_output, url_filter
+from pathloom.llm import decontam, neardup, packing, pii, quality, token_output, url_filter
 from pathloom.llm.common import materialise
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -51,6 +51,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule_no")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pii.report(pii.find(docs))
+
+
 _OP1_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_token_output": op7_token_output,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op1_url_filter": _OP1_SQL}
