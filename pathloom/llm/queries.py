@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontam, neardup, packing, pii, quality, token_output, url_filter
+from pathloom.llm import decontam, lm, neardup, packing, pii, quality, token_output, url_filter
 from pathloom.llm.common import materialise
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -33,6 +33,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), packing.Limits(tokens=4096))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     manifest = token_output.write_token_files(docs, tokenizer_path(), token_output.scratch_folder(docs))
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_token_output": op7_token_output,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
