@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontam, lm, neardup, packing, pii, quality, token_output, url_filter
+from pathloom.llm import decontam, lm, neardup, packing, pii, quality, token_output, url_filter, warc
 from pathloom.llm.common import materialise
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -33,6 +33,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), packing.Limits(tokens=4096))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives, index = warc.folders(pages)
+    captures = warc.write_archives(pages, archives)
+    return warc.read_all(captures, warc.build_index(captures, index), archives, index)
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -76,14 +83,25 @@ SELECT page_id, host, path,
 FROM parts
 """
 
+_OP4_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc": op4_warc,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_token_output": op7_token_output,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL = {"op1_url_filter": _OP1_SQL}
+ORACLE_SQL = {"op1_url_filter": _OP1_SQL, "op4_warc": _OP4_SQL}
