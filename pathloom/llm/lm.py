@@ -11,14 +11,16 @@ uniform part keeps every probability above zero.
 
 Counts are exchanged in compact form, so no row per token ever exists:
 
-1. A map task cuts its documents into *chunks* of about ``CHUNK`` tokens and
-   emits, for each of the ``buckets`` ranges of hash values, one blob with the
-   chunk's distinct n-gram hashes in the range and their counts in both parts,
-   already summed over the chunk, plus one blob with the chunk's token stream.
+1. A map task gathers the documents of each role (counting, tuning, held out) in
+   *chunks* of about ``CHUNK`` tokens and emits, for each of the ``buckets``
+   ranges of hash values, one blob with the chunk's distinct n-grams in the range
+   and their counts, already summed over the chunk.
 2. A range is added up in one task over all chunks' blobs and answered with one
    blob of totals per chunk. Ranges are as many as keep a task's share constant;
    a hot n-gram is one entry per chunk, wherever it occurs how often.
-3. A chunk's answers and token stream meet, and its documents are scored.
+3. The documents are read again into the same chunks, by name; a chunk's answers
+   and its token stream meet, and its documents are scored. A chunk whose content
+   differs from the first reading has another name, and is refused.
 
 EM needs, for each held-out token, only the ratios of its three estimates; the
 answering pass adds tokens up on a fine logarithmic grid of ratios by bucket, a
@@ -26,8 +28,8 @@ table of bounded size that holds every held-out token, and EM runs on that.
 
 Defined results: null and empty texts are the end token alone; ids that are null
 or repeated are scored row by row; an empty table gives no rows, and with no
-training documents every estimate is uniform. Words and the end token are told
-apart by 64-bit hashes.
+training documents every estimate is uniform. Words are told apart by 64-bit,
+bigrams by 48-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,12 +41,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_128
 
 from pathloom.llm.common import materialise, mix, rows, word_hashes, words
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 FOLDS = 5
 HELD_OUT = 1
 #: Of the training folds, the one that is predicted when weights are learned.
@@ -66,13 +68,37 @@ def fold(doc_id: int | None) -> int:
 
 
 def _bigrams(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix(mix(before ^ _SALT) + tokens)
+    return mix(mix(before ^ _SALT) + tokens) >> np.uint64(16)
 
 
 def _pack(a: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
 
 
+def _join(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
+
+def _split(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data[:8], "<i8")[0])
+    cuts = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data[8 : 8 * (n + 1)], "<i8"))])
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted 48-bit keys as their steps: four bytes each, and the few greater ones apart."""
+    step = np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys
+    high = np.flatnonzero(step >> np.uint64(32))
+    return _join([step.astype("<u4").tobytes(), high.astype("<u4").tobytes(), (step[high] >> np.uint64(32)).astype("<u4").tobytes()])
+
+
+def _unsteps(data: bytes) -> np.ndarray:
+    low, high, more = (np.frombuffer(x, "<u4") for x in _split(data))
+    step = low.astype(np.uint64)
+    step[high] |= more.astype(np.uint64) << np.uint64(32)
+    return np.cumsum(step, dtype=np.uint64)
+
+
 @dataclass
 class Chunk:
     """The token stream of some documents: tokens as places in ``vocabulary`` (sorted hashes)."""
@@ -84,126 +110,150 @@ class Chunk:
 
     @classmethod
     def of(cls, ids: list[int], streams: list[np.ndarray]) -> "Chunk":
-        tokens = np.concatenate(streams)
-        vocabulary, places = np.unique(tokens, return_inverse=True)
+        vocabulary, places = np.unique(np.concatenate(streams), return_inverse=True)
         return cls(np.array(ids, np.int64), np.array([len(s) for s in streams], np.int64), vocabulary, places.astype(np.uint32))
 
-    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fold of each token's document, and the tokens and contexts as hashes."""
-        tokens = self.vocabulary[self.places]
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = START
-        folds = np.array([fold(None if i == NULL_ID else i) for i in self.ids.tolist()], np.int8)
-        return np.repeat(folds, self.lengths), tokens, before
-
-    def ngrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The chunk's distinct n-grams, sorted, and for each token the places of its bigram and of its context."""
-        _, tokens, before = self.parts()
-        pairs, which = np.unique(_bigrams(tokens, before), return_inverse=True)
-        contexts = np.append(self.vocabulary, START)
-        contexts.sort()
-        keys = np.union1d(pairs, contexts)
-        return keys, np.searchsorted(keys, pairs)[which], np.searchsorted(keys, before)
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct bigrams, sorted; of each token, the place of its bigram; and of its context in the vocabulary
+        followed by the start."""
+        context = np.empty(len(self.places), np.uint32)
+        context[1:] = self.places[:-1]
+        context[self.starts()] = len(self.vocabulary)
+        hashes = np.append(self.vocabulary, START)
+        pairs, which = np.unique(_bigrams(self.vocabulary[self.places], hashes[context]), return_inverse=True)
+        return pairs, which, context
 
     def dump(self) -> bytes:
         planes = np.ascontiguousarray(self.places.view(np.uint8).reshape(-1, 4).T)
-        parts = [_pack(self.ids), _pack(self.lengths.astype(np.uint32)), self.vocabulary.tobytes(), _pack(planes)]
-        head = np.array([len(p) for p in parts], "<i8").tobytes()
-        return head + b"".join(parts)
+        return _join([_pack(self.ids), _pack(self.lengths.astype(np.uint32)), self.vocabulary.tobytes(), *map(_pack, planes)])
 
     @classmethod
     def load(cls, data: bytes) -> "Chunk":
-        sizes = np.frombuffer(data[:32], "<i8")
-        cuts = 32 + np.concatenate([[0], np.cumsum(sizes)])
-        parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        planes = np.frombuffer(zlib.decompress(parts[3]), np.uint8).reshape(4, -1)
-        places = np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
-        return cls(np.frombuffer(zlib.decompress(parts[0]), np.int64), np.frombuffer(zlib.decompress(parts[1]), np.uint32).astype(np.int64), np.frombuffer(parts[2], np.uint64), places)
-
-
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each range of hash values ends in the sorted ``keys``."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
-    return np.searchsorted(keys, edges)
-
-
-def _emit(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, keys, counts): counts are those of the counting and of the tuning part, and 1 if a unigram.
-    Bucket -1 holds the token streams."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def flush(name: str, ids: list[int], streams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk.of(ids, streams)
-        folds, _, _ = chunk.parts()
-        keys, pair_at, context_at = chunk.ngrams()
-        token_at = np.searchsorted(keys, chunk.vocabulary)[chunk.places]
-        starts = np.cumsum(chunk.lengths) - chunk.lengths
-        counts = np.zeros((3, len(keys)), np.uint32)
-        for row, part in ((0, (folds != HELD_OUT) & (folds != TUNING)), (1, folds == TUNING)):
-            counts[row] += np.bincount(pair_at[part], minlength=len(keys)).astype(np.uint32)
-            counts[row] += np.bincount(token_at[part], minlength=len(keys)).astype(np.uint32)
-            counts[row, context_at[starts]] += np.uint32(part[starts].sum()) if len(starts) else 0
-        counts[2, np.searchsorted(keys, chunk.vocabulary)] = 1
-        edges = [0, *_cuts(keys, buckets).tolist(), len(keys)]
-        stream = chunk.dump()
-        name = f"{name}-{zlib.crc32(stream)}"  # a task that runs again gives the same names, or its answers are refused
-        out = [(-1, name, b"", stream)]
-        out += [(b, name, keys[x:y].tobytes(), _pack(counts[:, x:y].astype("<u4"))) for b, (x, y) in enumerate(zip(edges, edges[1:]))]
-        for record in out:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(record, schema)], schema=schema)
+        ids, lengths, vocabulary, *planes = _split(data)
+        places = np.stack([np.frombuffer(zlib.decompress(p), np.uint8) for p in planes], 1)
+        return cls(np.frombuffer(zlib.decompress(ids), np.int64), np.frombuffer(zlib.decompress(lengths), np.uint32).astype(np.int64), np.frombuffer(vocabulary, np.uint64), places.view(np.uint32).reshape(-1))
+
+
+def _cuts(keys: np.ndarray, buckets: int, bits: int) -> list[int]:
+    """Where each range of hash values begins and the last one ends in the sorted ``keys``."""
+    edges = [(k << bits) // buckets for k in range(1, buckets)]
+    return [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
+
+
+def role_of(doc_id: int | None) -> str:
+    own = fold(doc_id)
+    return "held" if own == HELD_OUT else "tuning" if own == TUNING else "counting"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, Chunk]]:
+    """(name, role, chunk) of a task's documents; the name is a fingerprint of the content."""
+    held: dict[str, tuple[list[int], list[np.ndarray]]] = {}
+    size = {"held": 0, "tuning": 0, "counting": 0}
+
+    def close(role: str) -> tuple[str, str, Chunk]:
+        chunk = Chunk.of(*held.pop(role))
+        size[role] = 0
+        mark = xxh3_128(chunk.ids.tobytes())
+        for part in (chunk.lengths, chunk.vocabulary, chunk.places):
+            mark.update(part.tobytes())
+        return mark.hexdigest(), role, chunk
+
+    for doc_id, text in rows(batches, "doc_id", "text"):
+        role = role_of(doc_id)
+        ids, streams = held.setdefault(role, ([], []))
+        ids.append(NULL_ID if doc_id is None else doc_id)
+        streams.append(np.append(word_hashes(words(text)), END))
+        size[role] += len(streams[-1])
+        if size[role] >= CHUNK:
+            yield close(role)
+    for role in sorted(held):
+        yield close(role)
+
+
+def _one_row(values: tuple, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+
+def _requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, role, blob): bigrams and words of a chunk in a range of hash values, and their counts."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("role", pa.string()), ("blob", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        streams: list[np.ndarray] = []
-        size = made = 0
-        task = TaskContext.get().partitionId()
-        for doc_id, text in rows(batches, "doc_id", "text"):
-            stream = np.append(word_hashes(words(text)), END)
-            ids.append(NULL_ID if doc_id is None else doc_id)
-            streams.append(stream)
-            size += len(stream)
-            if size >= CHUNK:
-                yield from flush(f"{task}-{made}", ids, streams)
-                ids, streams, size, made = [], [], 0, made + 1
-        if ids:
-            yield from flush(f"{task}-{made}", ids, streams)
-
-    return docs.mapInArrow(make, "bucket int, chunk string, keys binary, counts binary")
+        for name, role, chunk in _chunks(batches):
+            pairs, which, _ = chunk.bigrams()
+            pair_n, word_n = np.bincount(which, minlength=len(pairs)), np.bincount(chunk.places, minlength=len(chunk.vocabulary))
+            by_pair, by_word = _cuts(pairs, buckets, 48), _cuts(chunk.vocabulary, buckets, 64)
+            for b in range(buckets):
+                p, w = slice(*by_pair[b : b + 2]), slice(*by_word[b : b + 2])
+                starts = len(chunk.ids) if b == 0 else 0
+                parts = [_steps(pairs[p]), _pack(pair_n[p].astype("<u4")), chunk.vocabulary[w].tobytes(), _pack(word_n[w].astype("<u4")), str(starts).encode()]
+                yield _one_row((b, name, role, _join(parts)), schema)
 
+    return docs.mapInArrow(make, "bucket int, chunk string, role string, blob binary")
 
-def _add_up(part: pd.DataFrame) -> pd.DataFrame:
-    """Totals of one range of hash values, one answer per chunk, and the range's part of N and V."""
-    if part["bucket"].iloc[0] < 0:
-        return part.assign(n=0, v=0, n_counting=0)[["bucket", "chunk", "counts", "n", "v", "n_counting"]]
-    keys = [np.frombuffer(k, np.uint64) for k in part["keys"]]
-    counts = [np.frombuffer(zlib.decompress(c), "<u4").reshape(3, -1) for c in part["counts"]]
+
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray], roles: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Totals over the counting part and over all training documents, and each blob's places in them."""
     every, which = np.unique(np.concatenate(keys), return_inverse=True)
-    stacked = np.concatenate(counts, axis=1)
-    totals = np.stack([np.bincount(which, stacked[r], len(every)) for r in (0, 1)]).astype(np.uint32)
-    unigram = np.zeros(len(every), bool)
-    unigram[which[stacked[2] > 0]] = True
-    both = totals.sum(axis=0)
-    answers, at = [], 0
-    for k in keys:
+    totals = np.zeros((2, len(every)), np.uint32)
+    places, at = [], 0
+    for k, c, role in zip(keys, counts, roles):
         own = which[at : at + len(k)]
         at += len(k)
-        answers.append(_pack(np.stack([totals[0, own], both[own]]).astype("<u4")))
-    n, v = int(both[unigram].sum()), int((both[unigram] > 0).sum())
-    out = part[["bucket", "chunk"]].assign(counts=answers, n=0, v=0, n_counting=0)
-    out.iloc[0, out.columns.get_indexer(["n", "v", "n_counting"])] = n, v, int(totals[0][unigram].sum())
+        places.append(own)
+        if role != "held":
+            totals[1, own] += c
+            if role == "counting":
+                totals[0, own] += c
+    return totals, places
+
+
+def _add_up(part: pd.DataFrame) -> pd.DataFrame:
+    """Totals of one range of hash values, one answer per chunk, and the range's part of N, V and the starts."""
+    blobs = [_split(b) for b in part["blob"]]
+    roles = part["role"].tolist()
+    counts = lambda k: [np.frombuffer(zlib.decompress(b[k]), "<u4") for b in blobs]
+    pairs, pair_at = _sums([_unsteps(b[0]) for b in blobs], counts(1), roles)
+    singles, word_at = _sums([np.frombuffer(b[2], np.uint64) for b in blobs], counts(3), roles)
+    answers = [_join([_pack(pairs[:, p]), _pack(singles[:, w])]) for p, w in zip(pair_at, word_at)]
+    out = part[["bucket", "chunk", "role"]].assign(blob=answers, n=0, v=0, n_counting=0, starts=0, starts_counting=0)
+    starts = [int(b[4]) for b in blobs]
+    own = int(singles[1].sum(dtype=np.int64)), int((singles[1] > 0).sum()), int(singles[0].sum(dtype=np.int64)), sum(s for s, r in zip(starts, roles) if r != "held"), sum(s for s, r in zip(starts, roles) if r == "counting")
+    out.iloc[0, out.columns.get_indexer(["n", "v", "n_counting", "starts", "starts_counting"])] = own
     return out
 
 
-def _answered(part: pd.DataFrame) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk, the (counting, all) totals of its n-grams, and the places of bigram, context and token."""
-    part = part.sort_values("bucket")
-    chunk = Chunk.load(part["counts"].iloc[0])
-    totals = np.concatenate([np.frombuffer(zlib.decompress(c), "<u4").reshape(2, -1) for c in part["counts"].iloc[1:]], axis=1)
-    keys, pair_at, context_at = chunk.ngrams()
-    if totals.shape[1] != len(keys):
+def _streams(docs: DataFrame, role: str | None = None) -> DataFrame:
+    """(bucket -1, chunk, blob) of the token streams, of one role or of all."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("blob", pa.binary())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, own, chunk in _chunks(batches):
+            if role in (None, own):
+                yield _one_row((-1, name, chunk.dump()), schema)
+
+    return docs.mapInArrow(make, "bucket int, chunk string, blob binary")
+
+
+def _answered(part: pd.DataFrame, row: int, starts: int) -> tuple[int, Chunk, np.ndarray, np.ndarray, np.ndarray]:
+    """How often a chunk occurs (once, but for copies of whole chunks), the chunk, and for each token the counts of
+    its bigram, its context and itself, from the totals' ``row``."""
+    times = part["bucket"].value_counts()
+    part = part.drop_duplicates("bucket").sort_values("bucket")
+    blobs = part["blob"].tolist()
+    if part["bucket"].iloc[0] != -1 or times.nunique() != 1:
+        raise RuntimeError("a chunk was not read the same way twice")
+    chunk = Chunk.load(blobs[0])
+    answers = [_split(b) for b in blobs[1:]]
+    total = lambda k: np.concatenate([np.frombuffer(zlib.decompress(a[k]), "<u4").reshape(2, -1)[row] for a in answers])
+    pairs, which, context = chunk.bigrams()
+    pair_n, word_n = total(0), total(1)
+    if len(pair_n) != len(pairs) or len(word_n) != len(chunk.vocabulary):
         raise RuntimeError("the answers to a chunk are not complete")
-    return chunk, totals, pair_at, context_at, np.searchsorted(keys, chunk.vocabulary)[chunk.places]
+    return int(times.iloc[0]), chunk, pair_n[which].astype(float), np.append(word_n, np.uint32(starts))[context].astype(float), word_n[chunk.places].astype(float)
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -211,21 +261,15 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.minimum(1 + np.log2(np.maximum(c, 1)).astype(np.int64), CONTEXTS - 1), 0)
 
 
-def _tuning_table(n: int, v: int):
+def _tuning_table(n: int, v: int, starts: int):
     """Per chunk: how many tuning tokens fall on each (context bucket, cell of the ratio grid)."""
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        chunk, totals, pair_at, context_at, token_at = _answered(part)
-        folds, _, _ = chunk.parts()
-        use = folds == TUNING
-        c = totals[0].astype(float)
-        c12, c1, c2 = c[pair_at[use]], c[context_at[use]], c[token_at[use]]
-        uniform = 1.0 / (v + 1)
-        pair = np.where(c1 > 0, c12 / np.maximum(c1, 1), 0) / uniform
-        single = c2 / max(n, 1) / uniform
-        cell = context_bucket(c1) * GRID * GRID + _cell(pair) * GRID + _cell(single)
-        cells, k = np.unique(cell, return_counts=True)
-        return pd.DataFrame({"cell": cells.astype(np.int64), "k": k.astype(np.int64)})
+        times, _, c12, c1, c2 = _answered(part, 0, starts)
+        pair = np.where(c1 > 0, c12 / np.maximum(c1, 1), 0) * (v + 1)
+        single = c2 / max(n, 1) * (v + 1)
+        cells, k = np.unique(context_bucket(c1) * GRID * GRID + _cell(pair) * GRID + _cell(single), return_counts=True)
+        return pd.DataFrame({"cell": cells.astype(np.int64), "k": k.astype(np.int64) * times})
 
     return count
 
@@ -269,18 +313,17 @@ def learn_weights(table: pd.DataFrame) -> np.ndarray:
     return weights
 
 
-def _scores(n: int, v: int, weights: np.ndarray):
+def _scores(n: int, v: int, starts: int, weights: np.ndarray):
     def score(part: pd.DataFrame) -> pd.DataFrame:
-        chunk, totals, pair_at, context_at, token_at = _answered(part)
-        c = totals[1].astype(float)
-        c12, c1, c2 = c[pair_at], c[context_at], c[token_at]
-        w = weights[context_bucket(c1)]
-        p = w[:, 0] * np.where(c1 > 0, c12 / np.maximum(c1, 1), 0) + w[:, 1] * c2 / max(n, 1) + w[:, 2] / (v + 1)
+        times, chunk, c12, c1, c2 = _answered(part, 1, starts)
+        bucket = context_bucket(c1)
+        p = weights[:, 0][bucket] * np.where(c1 > 0, c12 / np.maximum(c1, 1), 0)
+        p += weights[:, 1][bucket] * (c2 / max(n, 1))
+        p += weights[:, 2][bucket] / (v + 1)
         base = np.log10((c2 + 0.5) / (n + 0.5 * (v + 1)))
-        starts = np.cumsum(chunk.lengths) - chunk.lengths
-        add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every document has its end token
+        add = lambda x: np.add.reduceat(x, chunk.starts())  # noqa: E731  every document has its end token
         null = chunk.ids == NULL_ID
-        return pd.DataFrame(
+        out = pd.DataFrame(
             {
                 "doc_id": pd.Series(chunk.ids).astype("Int64").mask(null),
                 "held_out": [fold(None if x else i) == HELD_OUT for i, x in zip(chunk.ids.tolist(), null)],
@@ -291,6 +334,7 @@ def _scores(n: int, v: int, weights: np.ndarray):
                 "score": add(np.log10(p)),
             }
         )
+        return pd.concat([out] * times) if times > 1 else out
 
     return score
 
@@ -300,12 +344,14 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", bucket
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if buckets is None:  # a range's share of the counts is about that of one input partition
         buckets = max(8, chosen.rdd.getNumPartitions())
-    added = _emit(chosen, buckets).withColumn("__range", F.when(F.col("bucket") >= 0, F.col("bucket").cast("string")).otherwise(F.col("chunk")))
-    answers = added.groupBy("__range").applyInPandas(_add_up, "bucket int, chunk string, counts binary, n long, v long, n_counting long")
+    answers = _requests(chosen, buckets).groupBy("bucket").applyInPandas(
+        _add_up, "bucket int, chunk string, role string, blob binary, n long, v long, n_counting long, starts long, starts_counting long"
+    )
     answers = materialise(answers, "answers", scratch)
-    n, v, n_counting = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v"), F.sum("n_counting")).first())
-    by_chunk = answers.select("bucket", "chunk", "counts").groupBy("chunk")
-    table = by_chunk.applyInPandas(_tuning_table(n_counting, v), "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).orderBy("cell").toPandas()
-    weights = learn_weights(table)
+    n, v, n_counting, starts, starts_counting = (x or 0 for x in answers.agg(*map(F.sum, ("n", "v", "n_counting", "starts", "starts_counting"))).first())
+    blobs = answers.select("bucket", "chunk", "blob")
+    tuning = blobs.where(answers["role"] == "tuning").union(_streams(chosen, "tuning")).groupBy("chunk")
+    table = tuning.applyInPandas(_tuning_table(n_counting, v, starts_counting), "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k"))
+    weights = learn_weights(table.orderBy("cell").toPandas())
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_chunk.applyInPandas(_scores(n, v, weights), ddl)
+    return blobs.union(_streams(chosen)).groupBy("chunk").applyInPandas(_scores(n, v, starts, weights), ddl)

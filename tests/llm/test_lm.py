@@ -86,6 +86,13 @@ def test_no_training_documents_and_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_copies_of_whole_chunks(spark):
+    rows = [(i, f"w{i % 3} w1 w2") for i in range(30)]
+    part = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got, once = lm.score(part.union(part)).collect(), lm.score(part).collect()
+    assert len(got) == 60 and got[0].train_tokens == 2 * once[0].train_tokens
+
+
 def test_very_long_text(spark):
     got = lm.score(spark.createDataFrame([(0, "a b c " * 100_000), (2, "a b")], "doc_id long, text string")).collect()
     assert sorted(r.n_tokens for r in got) == [3, 300_001]
