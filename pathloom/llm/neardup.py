@@ -13,17 +13,21 @@ lists' members they have, and a document enters the lists of its rarest
 must be among these for both. A document with fewer than ``need`` shared values
 enters none, so boilerplate alone rarely makes a candidate.
 
-*Overlaps.* Lists of at most ``SHORT_LIST`` members give their pairs. Longer
-lists, which near copies of one text make, compare all members with a pivot
-instead: members that the pivot's links join need not be compared with each
-other. Lists whose members are not all in one component after ``PIVOT_ROUNDS``
-are compared in blocks, and only pairs that pass the estimate leave a task; that
-is the exact way for what pivots leave.
-
-*Estimate.* The least values of the union of two sketches are a sample of the
-union; a pair whose share in the sample is so low that similarity 0.8 has a
-chance below 1e-9 is dropped. *Verification* is exact, on the full sets, which
-are made again from the text of candidates only.
+*Families.* Each list hangs its members on its least one; the connected families
+of that graph hold every pair that shares a list, at one row per list entry. The
+text of family members is read again for their full sets, and one task takes a
+family: the sketches' overlaps, counted from their inverted lists, and the
+*estimate* from the least values of the union of two sketches rule pairs out for
+which similarity 0.8 has a chance below 1e-9; then pairs of different components
+are *verified* on the full sets, most alike first.
+
+*Large families* (over ``FAMILY`` members or ``FAMILY_SHINGLES`` shingles), which a
+hot text and its near copies make, never meet in one task. Members of short lists
+are compared with each other, members of longer lists with the list's least
+member, and the links' components are found. What then stands outside the
+family's largest component is compared with all members, in blocks of bounded
+size, and a task passes on only links that join components: no more than it has
+members, however many pairs are alike.
 
 Defined results: null, empty and word-less texts have no shingles and are linked
 with nothing; fewer words than a shingle make one shingle of the whole sequence;
@@ -37,20 +41,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from pathloom.llm.common import batched, discard, materialise, rows, window_hashes, word_hashes, words
+from pathloom.llm.common import batched, materialise, rows, window_hashes, word_hashes, words
 from pathloom.llm.components import components
 
 SKETCH = 96
 #: The least x with P(Binomial(SKETCH, 0.8) <= x) >= 1e-9: what a sample of the union must hold in common.
 SAMPLE_NEED = 51
 SHORT_LIST = 64
-PIVOT_ROUNDS = 2
-BLOCK = 512
+FAMILY = 1000
+FAMILY_SHINGLES = 6_000_000
+OUTSIDE_BLOCK, BLOCK = 256, 512
+#: Ids that may be sent to all tasks, as 16 bytes or so each; more of them are joined by a shuffle.
+SENT_IDS = 500_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -86,128 +93,169 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * 5 >= 4 * len(union) if whole else shared >= SAMPLE_NEED * len(union) // SKETCH
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose union sketch leaves the similarity possible."""
-    left = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    joined = pairs.join(left, "a").join(right, "b").where("na * 5 >= nb * 4 and nb * 5 >= na * 4")
+def _needs(size: np.ndarray) -> np.ndarray:
+    surely = SKETCH - size // 4
+    return np.where(size <= SKETCH, np.minimum(-(-size * 8 // 10), surely), np.maximum(SAMPLE_NEED, surely))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb = batch.column(2), batch.column(3)
-            keep = [_alike(sa[i].values.to_numpy(), sb[i].values.to_numpy()) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, id_column: str, text: str) -> DataFrame:
-    """The pairs whose full sets have similarity 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    some = chosen.join(wanted, chosen["doc_id"] == wanted["wanted"], "left_semi")
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values the sets have in common, from the inverted lists of the values."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    value = np.concatenate([*left, *right])
+    member = np.concatenate([np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right]) + len(left)])
+    order = np.argsort(value, kind="stable")
+    value, member = value[order], member[order]
+    edges = np.flatnonzero(np.diff(value)) + 1
+    starts, ends = np.append(0, edges), np.append(edges, len(value))
+    for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+        cut = a + np.searchsorted(member[a:b], len(left))
+        if a < cut < b:
+            out[np.ix_(member[a:cut], member[cut:b] - len(left))] += 1
+    return out
+
+
+def _links(sets: list[np.ndarray], others: list[np.ndarray], names: list, other_names: list) -> list[tuple[int, int]]:
+    """Verified pairs (place in ``sets``, place in ``others``) that join components; names are components so far."""
+    size, other_size = np.array([len(s) for s in sets]), np.array([len(s) for s in others])
+    overlap = _overlaps([s[:SKETCH] for s in sets], [s[:SKETCH] for s in others])
+    possible = overlap >= np.maximum(_needs(size)[:, None], _needs(other_size)[None, :])
+    possible &= (size[:, None] * 5 >= other_size[None, :] * 4) & (other_size[None, :] * 5 >= size[:, None] * 4)
+    x, y = np.nonzero(possible)
+    order = np.argsort(-overlap[x, y], kind="stable")
+    parent: dict = {}
+
+    def root(c):
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        a, b = root(names[i]), root(other_names[j])
+        if a != b and _alike(sets[i][:SKETCH], others[j][:SKETCH]) and _similar(sets[i], others[j]):
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _set_of(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), np.int64)
+
+
+def _family_links(table: pa.Table) -> pa.Table:
+    """Links that join what is alike in one small family."""
+    ids = table.column("doc_id").to_pylist()
+    sets = [_set_of(s) for s in table.column("shingles")]
+    found = _links(sets, sets, ids, ids)
+    return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between members outside a family's largest component and a block of its members."""
+    outside = table.filter(pa.compute.field("outside"))
+    inside = table.filter(~pa.compute.field("outside"))
+    ids, others = outside.column("doc_id").to_pylist(), inside.column("doc_id").to_pylist()
+    found = []
+    if ids and others:
+        found = _links([_set_of(s) for s in outside.column("shingles")], [_set_of(s) for s in inside.column("shingles")], outside.column("component").to_pylist(), inside.column("component").to_pylist())
+    return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([others[j] for _, j in found], pa.int64())})
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A table of ids for a join: sent to all tasks if it is small, else left to a shuffle."""
+    return F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids
+
+
+def _sets(docs: DataFrame, members: DataFrame, width: int, id_column: str, text: str) -> DataFrame:
+    """(family, doc_id, shingles) of the members (family, node, class), made again from their texts."""
+    schema = pa.schema([("family", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for doc_id, passage in rows(batches, "doc_id", "text"):
-            yield doc_id, shingle_set(passage, width).tobytes()
+        for family, doc_id, own, passage in rows(batches, "family", "doc_id", "class", "text"):
+            data = shingle_set(passage, width).tobytes()
+            if xxh3_128_digest(data) == own:  # another text under the same id is another class
+                yield family, doc_id, data
+
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    some = chosen.join(_sent(members), chosen["doc_id"] == members["node"]).select("family", "doc_id", "class", "text")
+    return some.mapInArrow(lambda it: batched(make(it), schema, 512), "family long, doc_id long, shingles binary").dropDuplicates(["family", "doc_id", "shingles"])
+
 
-    sets = some.mapInArrow(lambda it: batched(make(it), schema, 1024), "doc_id long, shingles binary")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+def _pairs_by(test, pairs: DataFrame, sets: DataFrame, column) -> DataFrame:
+    """The pairs (a, b) whose values of ``column`` pass ``test``."""
+    left = sets.select(F.col("doc_id").alias("a"), column.alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), column.alias("sb"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= 80 * (len(x) + len(y) - common))
+            keep = [test(_set_of(x), _set_of(y)) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
-
-
-def _within_blocks(lists: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs of long lists (v, doc_id, component): members of different components, all against all in
-    blocks of about ``BLOCK``; a task holds two blocks, and only pairs that pass the estimate leave it."""
-    counts = lists.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = lists.join(counts, "v").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    spread = dealt.select("v", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    full = spread.join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.reset_index(drop=True)
-        ids, comp, size, own = (part[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "own"))
-        sets = [np.asarray(s, np.int64) for s in part["sketch"]]
-        value = np.concatenate(sets)
-        member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(value, kind="stable")
-        value, member = value[order], member[order]
-        cuts = np.flatnonzero(np.diff(value)) + 1
-        overlap = np.zeros((len(sets), len(sets)), np.int32)
-        for group in np.split(member, cuts):
-            if len(group) > 1:
-                overlap[np.ix_(group, group)] += 1
-        possible = (comp[:, None] != comp[None, :]) & (ids[:, None] > ids[None, :]) & (overlap > 0)
-        possible &= (size[:, None] * 5 >= size[None, :] * 4) & (size[None, :] * 5 >= size[:, None] * 4)
-        if key[1] != key[2]:
-            possible &= own[:, None] != own[None, :]
-        least = np.where(size <= SKETCH, np.minimum(-(-size * 8 // 10), SKETCH - size // 4), np.maximum(SAMPLE_NEED, SKETCH - size // 4))
-        possible &= overlap >= np.maximum(least[:, None], least[None, :])
-        found = [(ids[x], ids[y]) for x, y in zip(*np.nonzero(possible)) if _alike(sets[x], sets[y])]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return full.groupBy("v", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct()
+
+
+def _large_families(lists: DataFrame, members: DataFrame, sets: DataFrame, held: list[str]) -> DataFrame:
+    """Links that join what is alike in families (family, node) that no one task may hold."""
+    own = lists.join(members.select("node").distinct(), lists["doc_id"] == F.col("node"), "left_semi")
+    short = own.where(F.col("df") <= SHORT_LIST)
+    pairs = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") > F.col("y.doc_id")))
+    pairs = pairs.where("x.n * 5 >= y.n * 4 and y.n * 5 >= x.n * 4").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    long = own.where(F.col("df") > SHORT_LIST)
+    pivots = long.groupBy("v").agg(F.min("doc_id").alias("b"))
+    pairs = pairs.union(long.join(pivots, "v").where("doc_id > b").select(F.col("doc_id").alias("a"), "b")).distinct()
+    likely = materialise(_pairs_by(_alike, pairs, sets, F.substring("shingles", 1, 8 * SKETCH)), "candidates", held)
+    links = materialise(_pairs_by(_similar, likely, sets, F.col("shingles")), "verified", held)
+    labels = components(links, held)
+
+    placed = members.select("family", "node").distinct().join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
+    placed = materialise(placed.select("family", "node", F.coalesce("component", "node").alias("component")), "placed", held)
+    most = placed.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("home"), F.sum("count").alias("n"), F.max("count").alias("at_home"))
+    most = most.withColumns({"outer": F.ceil((F.col("n") - F.col("at_home")) / OUTSIDE_BLOCK).cast("int"), "inner": F.ceil(F.col("n") / BLOCK).cast("int")}).where("outer > 0")
+    dealt = placed.join(most, "family").join(sets.select(F.col("doc_id").alias("sd"), "shingles"), F.col("node") == F.col("sd"))
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = [F.col("node").alias("doc_id"), "component", "shingles"]
+    outside = dealt.where("component <> home").select("family", number("outer").alias("i"), each("inner").alias("j"), *rest, F.lit(True).alias("outside"))
+    inside = dealt.select("family", each("outer").alias("i"), number("inner").alias("j"), *rest, F.lit(False).alias("outside"))
+    found = outside.union(inside).groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long")
+    return links.union(materialise(found, "links-of-blocks", held))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id", text: str = "text", scratch: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    spark, held = docs.sparkSession, []
+    held: list[str] = []
     features = materialise(sketches(docs, width, id_column, text), "sketches", held)
     # One representative of each class; a class of copies is a pre-aggregated minimum.
     classes = features.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes, "classes", held)
-    reps = features.alias("f").join(classes.alias("c"), (F.col("f.class") == F.col("c.class")) & (F.col("f.doc_id") == F.col("c.rep")))
-    reps = materialise(reps.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id", "sketch"]), "reps", held)
+    reps = features.join(_sent(classes.withColumnRenamed("class", "c")), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
 
     values = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(common, "v").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
+    shared = values.join(common, "v").groupBy("doc_id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "v"))).alias("s"))
     shared = shared.withColumn("need", need(F.col("n"))).where("size(s) >= need")
     lists = shared.select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("e"))
     lists = materialise(lists.select("doc_id", "n", "e.v", "e.df"), "lists", held)
 
-    short = lists.where(F.col("df") <= SHORT_LIST)
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") > F.col("y.doc_id")))
-    pairs = pairs.where("x.n * 5 >= y.n * 4 and y.n * 5 >= x.n * 4").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-
-    long = lists.where(F.col("df") > SHORT_LIST)
-    pivots = long.groupBy("v").agg(F.min("doc_id").alias("pivot"))
-    pairs = pairs.union(long.join(pivots, "v").where("doc_id > pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))).distinct()
-
-    links: DataFrame | None = None
-    for step in range(PIVOT_ROUNDS + 1):
-        likely = materialise(_estimated(pairs, reps), "candidates", held)
-        found = _verified(likely, docs, width, id_column, text)
-        links = materialise(found if links is None else links.union(found), "verified", held)
-        labels = components(links, held)
-        if step == PIVOT_ROUNDS:
-            break
-        # Long lists that still have members of several components.
-        placed = long.join(labels, long["doc_id"] == labels["node"], "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        split = placed.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(step))).alias("pivot"))
-        split = split.where("low <> high")
-        if split.isEmpty():
-            break
-        open_lists = placed.join(split.select("v", "pivot"), "v")
-        if step + 1 < PIVOT_ROUNDS:
-            home = placed.select(F.col("v").alias("pv"), F.col("doc_id").alias("pd"), F.col("component").alias("pc"))
-            against = open_lists.join(home, (F.col("v") == F.col("pv")) & (F.col("pivot") == F.col("pd"))).where("component <> pc")
-            pairs = against.select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
-        else:
-            pairs = _within_blocks(open_lists.select("v", "doc_id", "component"), reps)
+    heads = lists.groupBy("v").agg(F.min("doc_id").alias("b"), F.count("*").alias("members")).where("members > 1").select("v", "b")
+    families = components(lists.join(heads, "v").select(F.col("doc_id").alias("a"), "b"), held)
+    named = families.select(F.col("component").alias("family"), "node").join(classes, F.col("node") == F.col("rep")).select("family", "node", "class")
+    sizes = lists.select(F.col("doc_id").alias("d"), "n").distinct()
+    sizes = named.join(sizes, F.col("node") == F.col("d")).groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    sizes = sizes.select(F.col("family").alias("f"), ((F.col("members") > FAMILY) | (F.col("shingles") > FAMILY_SHINGLES)).alias("large"))
+    members = materialise(named.join(sizes, F.col("family") == F.col("f")).select("family", "node", "class", "large"), "members", held)
+
+    small, large = members.where("not large"), members.where("large")
+    links = materialise(_sets(docs, small, width, id_column, text).groupBy("family").applyInArrow(_family_links, "a long, b long"), "links-of-families", held)
+    if not large.isEmpty():
+        sets = materialise(_sets(docs, large, width, id_column, text), "sets", held)
+        links = links.union(_large_families(lists, large, sets, held))
+    labels = components(links, held)
 
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("class").alias("__class"), F.coalesce("component", "rep").alias("component"))
     out = features.select("doc_id", "n_shingles", "class").join(named, F.col("class") == F.col("__class"), "left")

@@ -55,11 +55,12 @@ def corpus(seed, near=60):
     return [(i * 7, " ".join(w)) for i, w in enumerate(docs)]
 
 
-@pytest.mark.parametrize("short_list, rounds", [(64, 2), (8, 2), (4, 0)])
-def test_against_all_pairs(spark, monkeypatch, short_list, rounds):
+@pytest.mark.parametrize("short_list, family", [(64, 1000), (64, 20), (4, 1)])
+def test_against_all_pairs(spark, monkeypatch, short_list, family):
     monkeypatch.setattr(neardup, "SHORT_LIST", short_list)
-    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", max(rounds, 1))
+    monkeypatch.setattr(neardup, "FAMILY", family)
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "OUTSIDE_BLOCK", 8)
     docs = corpus(short_list)
     got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4).collect()
     want = brute(docs, 4)
