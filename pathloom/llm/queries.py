@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontam, lm, neardup, packing, pii, quality, token_output, url_filter, warc
+from pathloom.llm import decontam, html_text, lm, neardup, packing, pii, quality, token_output, url_filter, warc
 from pathloom.llm.common import materialise
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -40,6 +40,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_all(captures, warc.build_index(captures, index), archives, index)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_token_output": op7_token_output,
     "op8_quality_rules": op8_quality_rules,
