@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_64_intdigest
 
 _LOCAL_SCRATCH: list[str] = []
@@ -57,14 +57,11 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def own_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """``df`` without columns whose names (in any case) an operator's results use."""
-    taken = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in taken])
-
-
-def as_text(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df`` and begins none."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
 
 
 def words(text: str | None) -> list[bytes]:

@@ -166,7 +166,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([others[j] for _, j in found], pa.int64())})
 
 
-def _sent(ids: DataFrame) -> DataFrame:
+def sent(ids: DataFrame) -> DataFrame:
     """A table of ids for a join: sent to all tasks if it is small, else left to a shuffle."""
     return F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids
 
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int, id_column: str, text:
                 yield family, doc_id, data
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    some = chosen.join(_sent(members), chosen["doc_id"] == members["node"]).select("family", "doc_id", "class", "text")
+    some = chosen.join(sent(members), chosen["doc_id"] == members["node"]).select("family", "doc_id", "class", "text")
     return some.mapInArrow(lambda it: batched(make(it), schema, 512), "family long, doc_id long, shingles binary").dropDuplicates(["family", "doc_id", "shingles"])
 
 
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id",
     # One representative of each class; a class of copies is a pre-aggregated minimum.
     classes = features.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes, "classes", held)
-    reps = features.join(_sent(classes.withColumnRenamed("class", "c")), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    reps = features.join(sent(classes.withColumnRenamed("class", "c")), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
 
     values = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")

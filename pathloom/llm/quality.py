@@ -85,31 +85,46 @@ def measure(text: str | None) -> tuple:
     return n, chars, symbols, duplicates, repeated, lines, upper, marks
 
 
+_NAMES = (*COUNTS, "n_lines", "n_upper", "n_marks")
+
+
+def _with_ratios(counted: DataFrame, prefix: str = "") -> DataFrame:
+    own = lambda n: F.col(prefix + n)
+    words, chars = F.greatest(own("n_words"), F.lit(1)), F.greatest(own("word_chars"), F.lit(1))
+    ratios = {
+        "symbol_rate": own("n_symbols") / words,
+        "dup_line_rate": own("n_dup_lines") / F.greatest(own("n_lines"), F.lit(1)),
+        "repeat_rate": own("n_repeat_words") / words,
+        "upper_rate": own("n_upper") / chars,
+        "mark_rate": own("n_marks") / words,
+    }
+    return counted.withColumns({prefix + n: c for n, c in ratios.items()})
+
+
 def measures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, counts, ratios) of every document."""
-    names = [*COUNTS, "n_lines", "n_upper", "n_marks"]
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names)])
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return with_measures(chosen).drop("text")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for doc_id, passage in rows(batches, "doc_id", "text"):
-            yield doc_id, *measure(passage)
 
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = chosen.mapInArrow(lambda it: batched(make(it), schema), "doc_id long, " + ", ".join(f"{n} long" for n in names))
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return out.withColumns(
-        {
-            "symbol_rate": F.col("n_symbols") / words,
-            "dup_line_rate": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-            "repeat_rate": F.col("n_repeat_words") / words,
-            "upper_rate": F.col("n_upper") / chars,
-            "mark_rate": F.col("n_marks") / words,
-        }
-    )
+def with_measures(docs: DataFrame, prefix: str = "", text: str = "text") -> DataFrame:
+    """``docs`` with counts and ratios, their names after ``prefix``."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            columns = zip(*found) if found else ((),) * len(_NAMES)
+            for name, values in zip(_NAMES, columns):
+                batch = batch.append_column(prefix + name, pa.array(values, pa.int64()))
+            yield batch
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    return _with_ratios(docs.mapInArrow(make, ", ".join([*fields, *(f"{prefix}{n} long" for n in _NAMES)])), prefix)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+def base_failed(prefix: str = "") -> Column:
+    n, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n < 20) | (repeated * 100 > n * 30)
 
 
 @dataclass(frozen=True)
@@ -121,8 +136,9 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.name] >= self.value if self.above else x[self.name] < self.value
 
-    def column(self) -> Column:
-        return F.col(self.name) >= F.lit(self.value) if self.above else F.col(self.name) < F.lit(self.value)
+    def column(self, prefix: str = "") -> Column:
+        own = F.col(prefix + self.name)
+        return own >= F.lit(self.value) if self.above else own < F.lit(self.value)
 
     def __str__(self) -> str:
         return f"{self.name} {'>=' if self.above else '<'} {self.value:g}"
@@ -135,10 +151,10 @@ class Rule:
     def covers(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return np.logical_and.reduce([c.holds(x) for c in self.conditions])
 
-    def column(self) -> Column:
-        out = self.conditions[0].column()
+    def column(self, prefix: str = "") -> Column:
+        out = self.conditions[0].column(prefix)
         for c in self.conditions[1:]:
-            out = out & c.column()
+            out = out & c.column(prefix)
         return out
 
     def __str__(self) -> str:
@@ -196,24 +212,28 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
     return out
 
 
-def sample(measured: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """About ``limit`` labelled rows at most, by the hash of their id, and whether they are bad.
+def sampled(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
+    """(doc_id, quality) of about ``limit`` labelled documents at most, by the hash of their id.
 
-    The share of rows to read follows from their number, so each task sends its share and no more.
+    The share to read follows from their number, so each task sends its share and no more.
     """
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    joined = measured.join(own, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", *RATIOS, "quality")
-    share = min(1.0, limit / max(1, joined.count()))
-    held = joined.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()
-    held = held.sort_values(["h", "doc_id", *RATIOS], kind="stable")
+    share = min(1.0, limit / max(1, own.count()))
+    return own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def sample(measured: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The measures of the documents of ``labels`` (as ``sampled``), in the order of their hash, and whether they are bad."""
+    joined = measured.join(labels.select("doc_id", "quality"), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", *RATIOS, "quality")
+    held = joined.toPandas().sort_values(["h", "doc_id", *RATIOS], kind="stable")
     return {c: held[c].to_numpy(float) for c in RATIOS}, held["quality"].to_numpy(int) == 0
 
 
-def as_expression(rules: list[Rule]) -> Column:
+def as_expression(rules: list[Rule], prefix: str = "") -> Column:
     """The list as one ordered conditional: the first rule that holds rejects; otherwise the document is kept."""
-    out = F.when(base_failed(), F.lit(False))
+    out = F.when(base_failed(prefix), F.lit(False))
     for rule in rules:
-        out = out.when(rule.column(), F.lit(False))
+        out = out.when(rule.column(prefix), F.lit(False))
     return out.otherwise(F.lit(True))
 
 

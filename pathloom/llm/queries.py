@@ -62,7 +62,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     measured = materialise(quality.measures(docs), "measures")
-    rules = quality.learn(*quality.sample(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    labels = quality.sampled(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rules = quality.learn(*quality.sample(measured, labels))
     return quality.judge(measured, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule_no")
 
 

@@ -40,7 +40,7 @@ def test_base_rule_and_empty_labels(spark):
     docs = [(1, "few words"), (2, " ".join(f"w{i}" for i in range(20))), (3, "a b c d e f g h i j " * 5), (4, None)]
     measured = quality.measures(spark.createDataFrame(docs, "doc_id long, text string"))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rules = quality.learn(*quality.sample(measured, labels))
+    rules = quality.learn(*quality.sample(measured, quality.sampled(labels)))
     assert rules == []
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(measured, rules).collect()}
     assert got == {1: (True, False), 2: (False, True), 3: (True, False), 4: (True, False)}
