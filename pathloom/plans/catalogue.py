@@ -1,6 +1,306 @@
-"""The registered queries of the graph engine and their SQL."""
+"""The registered queries of the graph engine and their SQL: whole tables in, scalars out."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from pathloom.operators import adapters, forest, graphs, kernels, labels, mapping, messages, paths, reactions, subgraphs, textindex, walks
+from pathloom.plans import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.path_table(*adapters.order_graph(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+_P = "WITH RECURSIVE " + sql.paths(sql.ORDER)
+
+# --- paths
+
+
+@query(_P + " SELECT path, len, g, freq FROM p")
+def path_frequencies(spark, sf_dir):
+    return _order_paths(spark, sf_dir).select("path", "len", "g", "freq")
+
+
+@query(_P + " SELECT path, len, count(*) AS n_graphs, CAST(sum(freq) AS BIGINT) AS total FROM p GROUP BY path, len HAVING count(*) > 50")
+def shared_paths(spark, sf_dir):
+    return paths.shared_paths(_order_paths(spark, sf_dir), 50)
+
+
+@query(_P + " SELECT path, len, CAST(sum(freq) AS BIGINT) AS freq FROM p WHERE contains(path, '{') OR contains(path, '[') GROUP BY path, len")
+def core_paths(spark, sf_dir):
+    return paths.core_paths(_order_paths(spark, sf_dir))
+
+
+@query(_P + " SELECT len, CAST(sum(freq) AS BIGINT) AS n_paths, count(DISTINCT path) AS n_distinct FROM p GROUP BY len")
+def path_length_histogram(spark, sf_dir):
+    return paths.length_histogram(_order_paths(spark, sf_dir))
+
+
+PATTERNS = ["(A", "(N(N", "(A[R", "(N(N(N", "(R{A(N", "(Z"]
+_IN = ", ".join(f"'{p}'" for p in PATTERNS)
+
+
+@query(_P + f", asked AS (SELECT unnest([{_IN}]) AS path) SELECT asked.path, CAST(coalesce(sum(freq), 0) AS BIGINT) AS n FROM asked LEFT JOIN p ON p.path = asked.path GROUP BY asked.path")
+def subpath_count(spark, sf_dir):
+    return paths.subpath_count(_order_paths(spark, sf_dir), PATTERNS)
+
+
+@query(_P + f" SELECT path, g, CAST(sum(freq) AS BIGINT) AS n FROM p WHERE path IN ({_IN}) GROUP BY path, g")
+def subpath_freq(spark, sf_dir):
+    return paths.subpath_freq(_order_paths(spark, sf_dir), PATTERNS)
+
+
+@query(_P + " SELECT path, len, CAST(sum(freq) AS BIGINT) AS freq FROM p WHERE starts_with(path, '(N(N') GROUP BY path, len")
+def descend_prefix(spark, sf_dir):
+    return paths.descend(_order_paths(spark, sf_dir), "(N(N").groupBy("path", "len").agg(F.sum("freq").alias("freq"))
+
+
+@query(_P + " SELECT DISTINCT path[5:6] AS step FROM p WHERE starts_with(path, '(N(N') AND path <> '(N(N'")
+def child_symbols(spark, sf_dir):
+    return paths.child_symbols(_order_paths(spark, sf_dir), "(N(N")
+
+
+@query(_P + """, f AS (SELECT path, len, row_number() OVER (ORDER BY len, path) AS path_id FROM (SELECT DISTINCT path, len FROM p)),
+q AS (SELECT g, row_number() OVER (ORDER BY g) AS graph_id FROM (SELECT DISTINCT g FROM p))
+SELECT path_id, graph_id, freq FROM p JOIN f USING (path) JOIN q USING (g)""")
+def feature_triples(spark, sf_dir):
+    return paths.feature_triples(_order_paths(spark, sf_dir))
+
+
+@query(_P + " SELECT g, " + ", ".join(f"CAST(sum(CASE WHEN path = '{p}' THEN freq ELSE 0 END) AS BIGINT) AS f{k}" for k, p in enumerate(PATTERNS, 1)) + " FROM p GROUP BY g")
+def feature_pivot(spark, sf_dir):
+    return paths.feature_pivot(_order_paths(spark, sf_dir), PATTERNS)
+
+
+@query("WITH RECURSIVE " + sql.paths(sql.RING, 5) + " SELECT path, len, count(*) AS n_graphs, CAST(sum(freq) AS BIGINT) AS total FROM p GROUP BY path, len")
+def ring_paths(spark, sf_dir):
+    return paths.shared_paths(paths.path_table(*adapters.order_ring(spark, sf_dir), max_depth=5), 0)
+
+
+@query("WITH " + sql.USER + """, g AS (
+  SELECT g, '(' || sym AS p1, lead('(' || sym, 1) OVER w AS p2, lead('(' || sym, 2) OVER w AS p3, lead('(' || sym, 3) OVER w AS p4 FROM n WINDOW w AS (PARTITION BY g ORDER BY id))
+SELECT path, g, count(*) AS freq FROM (
+  SELECT g, p1 AS path FROM g UNION ALL SELECT g, p1 || p2 FROM g UNION ALL SELECT g, p1 || p2 || p3 FROM g UNION ALL SELECT g, p1 || p2 || p3 || p4 FROM g)
+WHERE path IS NOT NULL GROUP BY path, g""")
+def event_ngram_spectrum(spark, sf_dir):
+    return paths.ngrams(adapters.user_chain(spark, sf_dir)[0], 4)
+
+
+# --- kernels over path features (graphs are nations)
+
+
+def _nation_paths(spark: SparkSession, sf_dir: str, depth: int = 50) -> DataFrame:
+    return paths.path_table(*adapters.nation_graph(spark, sf_dir), max_depth=depth)
+
+
+def _kernel_sql() -> str:
+    sums = []
+    for cap in kernels.CAPS:
+        for dp in ("ind", "float"):
+            for kind in ("allpaths", "corepaths"):
+                use = f"len <= {cap}" + (" AND core" if kind == "corepaths" else "")
+                sums.append(f"SELECT {cap} AS l, '{dp}' AS dp, '{kind}' AS paths, i, j, 0.001 + sum(CASE WHEN d = 'ff' AND {use} THEN pow(0.9, len) * {dp}_ ELSE 0 END) AS ff, 0.001 + sum(CASE WHEN d = 'fb' AND {use} THEN pow(0.9, len) * {dp}_ ELSE 0 END) AS fb FROM c GROUP BY i, j")
+    return "WITH RECURSIVE " + sql.paths(sql.NATION) + """,
+c AS (
+  SELECT a.g AS i, b.g AS j, a.len, contains(a.path, '{') OR contains(a.path, '[') AS core, 'ff' AS d, CAST(sum(a.freq * b.freq) AS DOUBLE) AS float_, count(*) AS ind_ FROM p a JOIN p b ON a.path = b.path GROUP BY ALL
+  UNION ALL
+  SELECT a.g, b.g, a.len, contains(a.path, '{') OR contains(a.path, '['), 'fb', CAST(sum(a.freq * b.freq) AS DOUBLE), count(*) FROM p a JOIN p b ON a.path = translate(b.path, '{[', '[{') GROUP BY ALL
+  UNION ALL SELECT a.g, b.g, 0, false, 'none', 0, 0 FROM (SELECT DISTINCT g FROM n) a, (SELECT DISTINCT g FROM n) b),
+k AS (""" + " UNION ALL ".join(sums) + """),
+r AS (
+  SELECT k.*, k.fb / sqrt(di.ff * dj.ff) AS x, t.fb / sqrt(di.ff * dj.ff) AS y, di.ff AS di, dj.ff AS dj
+  FROM k JOIN k t ON (t.l, t.dp, t.paths, t.i, t.j) = (k.l, k.dp, k.paths, k.j, k.i)
+  JOIN k di ON (di.l, di.dp, di.paths, di.i, di.j) = (k.l, k.dp, k.paths, k.i, k.i) JOIN k dj ON (dj.l, dj.dp, dj.paths, dj.i, dj.j) = (k.l, k.dp, k.paths, k.j, k.j)),
+s AS (SELECT l, dp, paths, i, j, ff / sqrt(di * dj) AS f, x AS fb, 2 * ff * ff + 2 * x * y AS tensor, greatest(ff, x) AS max_ FROM r),
+u AS (
+  SELECT s.l, s.dp, s.paths, s.i, s.j, s.f, s.fb, s.tensor / sqrt(a.tensor * b.tensor) AS tensor, s.max_ / sqrt(a.max_ * b.max_) AS max_
+  FROM s JOIN s a ON (a.l, a.dp, a.paths, a.i, a.j) = (s.l, s.dp, s.paths, s.i, s.i) JOIN s b ON (b.l, b.dp, b.paths, b.i, b.j) = (s.l, s.dp, s.paths, s.j, s.j)
+  WHERE s.j <= s.i),
+v AS (SELECT l, dp, paths, i, j, 'f' AS type, f AS k FROM u UNION ALL SELECT l, dp, paths, i, j, 'fb', fb FROM u UNION ALL SELECT l, dp, paths, i, j, 'tensor', tensor FROM u UNION ALL SELECT l, dp, paths, i, j, 'max', max_ FROM u)
+SELECT l, dp, paths, type, 1 AS power, i, j, round(k, 6) AS k FROM v UNION ALL SELECT l, dp, paths, type, 2, i, j, round(k * k, 6) FROM v"""
+
+
+@query(_kernel_sql())
+def path_kernels_64(spark, sf_dir):
+    return _rounded(kernels.path_kernels(_nation_paths(spark, sf_dir)), "k")
+
+
+_NP = "WITH RECURSIVE " + sql.paths(sql.NATION, 4)
+
+
+def _plain(how: str) -> Query:
+    def run(spark, sf_dir):
+        features = _nation_paths(spark, sf_dir, 4).select("g", F.col("path").alias("feature"), F.col("freq").alias("n"), F.col("len").alias("size"))
+        return _rounded(kernels.feature_kernel(features, how), "k")
+
+    return run
+
+
+for _how, _value in {"dot": "sum(a.freq * b.freq)", "ind": "count(*)", "min": "sum(least(a.freq, b.freq))"}.items():
+    query(_NP + f" SELECT a.g AS i, b.g AS j, round(CAST({_value} AS DOUBLE), 6) AS k FROM p a JOIN p b ON a.path = b.path AND b.g <= a.g GROUP BY a.g, b.g", name=f"feature_kernel_{_how}")(_plain(_how))
+query(_NP + """, s AS (SELECT g, len, sum(freq) AS t FROM p GROUP BY g, len)
+SELECT a.g AS i, b.g AS j, round(sum(least(a.freq, b.freq) / (sqrt(x.t) * sqrt(y.t))), 6) AS k
+FROM p a JOIN p b ON a.path = b.path AND b.g <= a.g JOIN s x ON x.g = a.g AND x.len = a.len JOIN s y ON y.g = b.g AND y.len = b.len GROUP BY a.g, b.g""", name="feature_kernel_minnorm")(_plain("minnorm"))
+
+
+@query(_NP + """, k AS (SELECT a.g AS i, b.g AS j, CAST(sum(a.freq * b.freq) AS DOUBLE) AS k FROM p a JOIN p b ON a.path = b.path AND b.g <= a.g GROUP BY a.g, b.g)
+SELECT k.i, k.j, round(k.k / sqrt(a.k * b.k), 6) AS k FROM k JOIN k a ON a.i = k.i AND a.j = k.i JOIN k b ON b.i = k.j AND b.j = k.j""")
+def kernel_normalized(spark, sf_dir):
+    features = _nation_paths(spark, sf_dir, 4).select("g", F.col("path").alias("feature"), F.col("freq").alias("n"))
+    return _rounded(kernels.normalized(kernels.feature_kernel(features)), "k")
+
+
+# --- graph statistics
+
+
+@query("WITH " + sql.ORDER + " SELECT g, sym AS key, count(*) AS n FROM n GROUP BY g, sym")
+def formula(spark, sf_dir):
+    return graphs.formula(adapters.order_graph(spark, sf_dir)[0])
+
+
+@query("WITH " + sql.ORDER + """ SELECT e.g, least(a.sym, b.sym) || chg || greatest(a.sym, b.sym) AS key, count(*) AS n
+FROM e JOIN n a ON a.g = e.g AND a.id = e.src JOIN n b ON b.g = e.g AND b.id = e.dst GROUP BY ALL""")
+def bond_spectrum(spark, sf_dir):
+    return graphs.bond_spectrum(*adapters.order_graph(spark, sf_dir))
+
+
+_NODE_SPECTRUM = """, near AS (SELECT a.g, a.src AS id, string_agg(b.sym, '' ORDER BY b.sym) AS near FROM adj a JOIN n b ON b.g = a.g AND b.id = a.dst GROUP BY a.g, a.src),
+sp AS (SELECT n.g, n.sym || ':' || coalesce(near, '') AS key, count(*) AS n FROM n LEFT JOIN near ON near.g = n.g AND near.id = n.id GROUP BY ALL)"""
+
+
+@query("WITH " + sql.ORDER + _NODE_SPECTRUM + " SELECT g, key, n FROM sp")
+def node_spectrum(spark, sf_dir):
+    return graphs.node_spectrum(*adapters.order_graph(spark, sf_dir))
+
+
+@query("WITH " + sql.ORDER + _NODE_SPECTRUM + """, ids AS (SELECT g AS g1, lead(g) OVER (ORDER BY g) AS g2 FROM (SELECT DISTINCT g FROM n)),
+pr AS (SELECT * FROM ids WHERE g2 IS NOT NULL),
+u AS (SELECT g1, g2, key, sum(a) AS a, sum(b) AS b FROM (
+  SELECT g1, g2, key, n AS a, 0 AS b FROM pr JOIN sp ON g = g1 UNION ALL SELECT g1, g2, key, 0, n FROM pr JOIN sp ON g = g2) GROUP BY ALL)
+SELECT g1, g2, round((sum(a + b) - sum(abs(a - b))) / sum(a + b), 6) AS sim FROM u GROUP BY g1, g2""")
+def spectrum_similarity(spark, sf_dir):
+    nodes, edges = adapters.order_graph(spark, sf_dir)
+    ids = nodes.select(F.col("g").alias("g1")).distinct()
+    # The next order: the chain of ids is one global order, of one number per graph.
+    pairs = ids.withColumn("g2", F.lead("g1").over(Window.orderBy("g1"))).where("g2 is not null")
+    return _rounded(graphs.spectrum_similarity(graphs.node_spectrum(nodes, edges), pairs), "sim")
+
+
+@query("WITH " + sql.ORDER + sql.CORE + " SELECT g, id, CAST(dist AS INTEGER) AS dist FROM cd")
+def core_distance(spark, sf_dir):
+    return graphs.core_distance(*adapters.order_graph(spark, sf_dir))
+
+
+@query("WITH " + sql.RING + ", size AS (SELECT g, count(*) AS k FROM n GROUP BY g) SELECT x.g, x.id AS a, y.id AS b, CAST(least(abs(x.id - y.id), k - abs(x.id - y.id)) AS INTEGER) AS dist FROM n x JOIN n y ON y.g = x.g JOIN size ON size.g = x.g")
+def all_pairs_distance(spark, sf_dir):
+    return graphs.all_pairs(*adapters.order_ring(spark, sf_dir))
+
+
+@query("WITH " + sql.RING + ", size AS (SELECT g, count(*) AS k FROM n GROUP BY g) SELECT g, 0 AS id, CAST(floor(k / 2) AS INTEGER) AS dist FROM size")
+def farthest_node(spark, sf_dir):
+    return graphs.farthest(*adapters.order_ring(spark, sf_dir))
+
+
+@query("WITH " + sql.ORDER + sql.CORE + """, kept AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS new FROM cd WHERE dist IS NOT NULL)
+SELECT k.g, k.new AS id, n.sym FROM kept k JOIN n ON n.g = k.g AND n.id = k.id""")
+def reachable_nodes(spark, sf_dir):
+    return graphs.reachable(*adapters.order_graph(spark, sf_dir))[0]
+
+
+@query("WITH " + sql.ORDER + _NODE_SPECTRUM + """, bs AS (SELECT e.g, least(a.sym, b.sym) || chg || greatest(a.sym, b.sym) AS key, count(*) AS n FROM e JOIN n a ON a.g = e.g AND a.id = e.src JOIN n b ON b.g = e.g AND b.id = e.dst GROUP BY ALL),
+h AS (SELECT g, string_agg(key || '=' || n, ',' ORDER BY key || '=' || n) AS c FROM sp GROUP BY g),
+hb AS (SELECT g, string_agg(key || '=' || n, ',' ORDER BY key || '=' || n) AS b FROM bs GROUP BY g)
+SELECT count(DISTINCT (c, coalesce(b, ''))) AS classes, count(*) AS n_graphs FROM h LEFT JOIN hb USING (g)""")
+def canonical_hash_classes(spark, sf_dir):
+    return graphs.canonical_hash(*adapters.order_graph(spark, sf_dir)).agg(F.countDistinct("hash").alias("classes"), F.count("*").alias("n_graphs"))
+
+
+# --- product graphs and walks (graphs are nations)
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + """, a AS (SELECT i, j, count(*) AS nodes FROM pn GROUP BY i, j), b AS (SELECT i, j, count(*) AS edges FROM pe GROUP BY i, j)
+SELECT a.i, a.j, nodes, CAST(coalesce(edges, 0) AS BIGINT) AS edges FROM a LEFT JOIN b ON a.i = b.i AND a.j = b.j""")
+def product_graph_size(spark, sf_dir):
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    n = walks.product_nodes(nodes).groupBy("i", "j").agg(F.count("*").alias("nodes"))
+    e = walks.product_edges(nodes, edges).groupBy("i", "j").agg(F.count("*").alias("edges"))
+    return n.join(e, ["i", "j"], "left").na.fill(0, ["edges"])
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + sql.CORE + """
+SELECT i, j, count(*) AS nodes FROM pn JOIN cd x ON x.g = i AND x.id = a1 JOIN cd y ON y.g = j AND y.id = a2 WHERE coalesce(x.dist = 0, false) = coalesce(y.dist = 0, false) GROUP BY i, j""")
+def reduced_product_graph_size(spark, sf_dir):
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    return walks.reduced(walks.product_nodes(nodes), graphs.core_distance(nodes, edges)).groupBy("i", "j").agg(F.count("*").alias("nodes"))
+
+
+_ONES = ", pw AS (SELECT i, j, a1, a2, 1.0::DOUBLE AS w FROM pn)"
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + _ONES + sql.walk_levels("SELECT i, j, a1, a2, 1 AS f FROM pn", "1", 5) + " SELECT i, j, len, CAST(sum(f) AS BIGINT) AS n FROM fs GROUP BY i, j, len")
+def walk_counts(spark, sf_dir):
+    return walks.walk_counts(*adapters.nation_graph(spark, sf_dir), 5)
+
+
+def _weights(dist: str) -> str:
+    return f", wt AS (SELECT g, id, {dist} AS w FROM cd), pw AS (SELECT pn.*, x.w * y.w AS w FROM pn JOIN wt x ON x.g = i AND x.id = a1 JOIN wt y ON y.g = j AND y.id = a2)"
+
+
+_WALK = sql.walk_levels("SELECT i, j, a1, a2, 0.8 * w AS f FROM pw", "0.8 * any_value(pw.w)", 5)
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + sql.CORE + _weights("coalesce(pow(2.0, -dist), 0)") + _WALK + " SELECT i, j, round(sum(f), 4) AS k FROM fs GROUP BY i, j")
+def walk_kernel_exp(spark, sf_dir):
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    w = graphs.core_distance(nodes, edges).select("g", "id", walks.exponential(F.col("dist"), 2.0).alias("w"))
+    return _rounded(walks.walk_kernel(nodes, edges, w, 0.8, 5), "k", digits=4)
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + sql.CORE + _weights("coalesce(1 / (1 + exp(1.0 * (dist - 0.5))), 0)") + _WALK + " SELECT i, j, round(sum(f), 4) AS k FROM fs GROUP BY i, j")
+def walk_kernel_logistic(spark, sf_dir):
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    w = graphs.core_distance(nodes, edges).select("g", "id", walks.logistic(F.col("dist"), 1.0).alias("w"))
+    return _rounded(walks.walk_kernel(nodes, edges, w, 0.8, 5), "k", digits=4)
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + """,
+m1 AS (SELECT i, j, a1, a2, b1, b2, 0.5 AS m FROM pe),
+m2 AS (SELECT x.i, x.j, x.a1, x.a2, x.b1, x.b2, 0.5 * sum(m) AS m FROM pe x JOIN m1 p ON p.i = x.i AND p.j = x.j AND p.b1 = x.a1 AND p.b2 = x.a2 WHERE p.a1 <> x.b1 AND p.a2 <> x.b2 GROUP BY ALL),
+m3 AS (SELECT x.i, x.j, x.a1, x.a2, x.b1, x.b2, 0.5 * sum(m) AS m FROM pe x JOIN m2 p ON p.i = x.i AND p.j = x.j AND p.b1 = x.a1 AND p.b2 = x.a2 WHERE p.a1 <> x.b1 AND p.a2 <> x.b2 GROUP BY ALL)
+SELECT i, j, round(sum(f), 4) AS k FROM (SELECT i, j, 0.5 AS f FROM pn UNION ALL SELECT i, j, 0.5 * m FROM m1 UNION ALL SELECT i, j, 0.5 * m FROM m2 UNION ALL SELECT i, j, 0.5 * m FROM m3) GROUP BY i, j""")
+def nontottering_kernel(spark, sf_dir):
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    return _rounded(walks.nontottering_kernel(nodes, edges, walks.constant_weights(nodes), 0.5, 4), "k", digits=4)
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + """,
+sz AS (SELECT g, count(*) AS c FROM n GROUP BY g), dg AS (SELECT n.g, n.id, count(a.dst) AS d FROM n LEFT JOIN adj a ON a.g = n.g AND a.src = n.id GROUP BY n.g, n.id),
+pw AS (SELECT pn.*, CASE WHEN x.d > 0 THEN 0.2 ELSE 1.0 END * CASE WHEN y.d > 0 THEN 0.2 ELSE 1.0 END AS e, 0.64 / (x.d * y.d) AS w, 1.0 / (p.c * q.c) AS s
+       FROM pn JOIN dg x ON x.g = i AND x.id = a1 JOIN dg y ON y.g = j AND y.id = a2 JOIN sz p ON p.g = i JOIN sz q ON q.g = j)""" + sql.walk_levels("SELECT i, j, a1, a2, e::DOUBLE AS f FROM pw", "any_value(pw.w)", 5) + """
+SELECT fs.i, fs.j, round(sum(f * s), 8) AS k FROM fs JOIN pw ON pw.i = fs.i AND pw.j = fs.j AND pw.a1 = fs.a1 AND pw.a2 = fs.a2 GROUP BY fs.i, fs.j""")
+def marginal_kernel(spark, sf_dir):
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    return _rounded(walks.marginal_kernel(nodes, edges, walks.constant_weights(nodes), 0.8, 5), "k", digits=8)
