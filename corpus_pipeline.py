@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathloom.llm import decontam, neardup, packing, pii, quality
-from pathloom.llm.common import discard, free_name, materialise
+from pathloom.llm.common import discard, free_name, materialise, sent
 from pathloom.llm.queries import tokenizer_path
 
 #: Scratch tables of the stage that ran last: its result is written when the next one begins.
@@ -36,7 +36,7 @@ def _without(keyed: DataFrame, row: str, removed: DataFrame) -> DataFrame:
     """The rows whose key is not in ``removed`` (one column of keys)."""
     gone = free_name(keyed, "__gone")
     removed = materialise(removed.toDF(gone).distinct(), "removed", _SCRATCH)
-    return keyed.join(neardup.sent(removed), F.col(row) == F.col(gone), "left_anti")
+    return keyed.join(sent(removed), F.col(row) == F.col(gone), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows that occur several times with equal id and text are few; only they are shuffled.
     again = free_name(keyed, "__again")
     twice = materialise(found.where("times > 1").select(F.col("row").alias(again)), "twice", _SCRATCH)
-    once = left.join(neardup.sent(twice), F.col(row) == F.col(again), "left_anti")
-    several = left.join(neardup.sent(twice), F.col(row) == F.col(again), "left_semi").dropDuplicates([row])
+    once = left.join(sent(twice), F.col(row) == F.col(again), "left_anti")
+    several = left.join(sent(twice), F.col(row) == F.col(again), "left_semi").dropDuplicates([row])
     return once.union(several).select(*docs.columns)
 
 

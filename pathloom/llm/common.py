@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
 _LOCAL_SCRATCH: list[str] = []
@@ -57,6 +57,15 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a few dozen bytes that may be sent to all tasks; more of them are joined by a shuffle.
+SENT_ROWS = 500_000
+
+
+def sent(small: DataFrame) -> DataFrame:
+    """A side of a join that is sent to all tasks if it has few rows, and left to a shuffle if not."""
+    return F.broadcast(small) if small.limit(SENT_ROWS + 1).count() <= SENT_ROWS else small
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that is no column of ``df`` and begins none."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):
@@ -103,9 +112,11 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The named columns of Arrow batches, row by row."""
+    """The named columns of Arrow batches, row by row; a few rows at a time become Python objects."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
 
 
 def batched(records: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from pathloom.llm.common import batched, materialise, rows, window_hashes, word_hashes, words
+from pathloom.llm.common import batched, materialise, rows, sent, window_hashes, word_hashes, words
 from pathloom.llm.components import components
 
 SKETCH = 96
@@ -56,8 +56,6 @@ SHORT_LIST = 64
 FAMILY = 1000
 FAMILY_SHINGLES = 6_000_000
 OUTSIDE_BLOCK, BLOCK = 256, 512
-#: Ids that may be sent to all tasks, as 16 bytes or so each; more of them are joined by a shuffle.
-SENT_IDS = 500_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -166,11 +164,6 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([others[j] for _, j in found], pa.int64())})
 
 
-def sent(ids: DataFrame) -> DataFrame:
-    """A table of ids for a join: sent to all tasks if it is small, else left to a shuffle."""
-    return F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids
-
-
 def _sets(docs: DataFrame, members: DataFrame, width: int, id_column: str, text: str) -> DataFrame:
     """(family, doc_id, shingles) of the members (family, node, class), made again from their texts."""
     schema = pa.schema([("family", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
