@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pathloom.operators.paths import adjacency
+from pathloom.operators.paths import adjacency, as_graphs
 
 
 def formula(nodes: DataFrame) -> DataFrame:
@@ -59,17 +63,58 @@ def distances(starts: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFra
     return known
 
 
-def all_pairs(nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
-    """(g, a, b, dist) for all connected pairs of nodes."""
-    starts = nodes.select("g", F.col("id").alias("source"), "id")
-    return distances(starts, edges, limit).select("g", F.col("source").alias("a"), F.col("id").alias("b"), "dist")
+def _bfs(starts: list[int], near: dict[int, list[int]]) -> dict[int, int]:
+    known = dict.fromkeys(starts, 0)
+    open_ = deque(starts)
+    while open_:
+        at = open_.popleft()
+        for other in near[at]:
+            if other not in known:
+                known[other] = known[at] + 1
+                open_.append(other)
+    return known
+
+
+def _by_graph(nodes: DataFrame, edges: DataFrame, names: tuple[str, ...], one) -> DataFrame:
+    """``one(ids, near, changed edges)`` gives the rows of a graph, which is handled on the map side."""
+    schema = pa.schema([("g", pa.int64()), *((n, pa.int32()) for n in names)])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for g, ids, _, src, dst, chg in zip(*(c.to_pylist() for c in batch.columns)):
+                near: dict[int, list[int]] = {i: [] for i in ids}
+                for a, b in zip(src or (), dst or ()):
+                    near[a].append(b)
+                    near[b].append(a)
+                for row in one(ids, near, [(a, b) for a, b, c in zip(src or (), dst or (), chg or ()) if c]):
+                    for values, v in zip(out, (g, *row)):
+                        values.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
+    return as_graphs(nodes, edges).mapInArrow(walk, "g long, " + ", ".join(f"{n} int" for n in names))
 
-def core_distance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+
+def all_pairs(nodes: DataFrame, edges: DataFrame, strategy: str = "graphs") -> DataFrame:
+    """(g, a, b, dist) for all connected pairs of nodes; ``joins`` spreads a graph that is too large for a task."""
+    if strategy == "joins":
+        starts = nodes.select("g", F.col("id").alias("source"), "id")
+        return distances(starts, edges).select("g", F.col("source").alias("a"), F.col("id").alias("b"), "dist")
+    return _by_graph(nodes, edges, ("a", "b", "dist"), lambda ids, near, _: ((a, b, d) for a in ids for b, d in _bfs([a], near).items()))
+
+
+def core_distance(nodes: DataFrame, edges: DataFrame, strategy: str = "graphs") -> DataFrame:
     """(g, id, dist): hops to the nearest end of a changed edge; null where there is none."""
-    core = edges.where("chg <> 0").select("g", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    reached = distances(core.select("g", F.lit(0).alias("source"), "id"), edges)
-    return nodes.select("g", "id").join(reached.groupBy("g", "id").agg(F.min("dist").alias("dist")), ["g", "id"], "left")
+    if strategy == "joins":
+        core = edges.where("chg <> 0").select("g", F.explode(F.array("src", "dst")).alias("id")).distinct()
+        reached = distances(core.select("g", F.lit(0).alias("source"), "id"), edges)
+        return nodes.select("g", "id").join(reached.groupBy("g", "id").agg(F.min("dist").alias("dist")), ["g", "id"], "left")
+
+    def one(ids, near, changed):
+        known = _bfs(list(dict.fromkeys(x for edge in changed for x in edge)), near)
+        return ((i, known.get(i)) for i in ids)
+
+    return _by_graph(nodes, edges, ("id", "dist"), one)
 
 
 def farthest(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -287,10 +287,10 @@ def walk_kernel_logistic(spark, sf_dir):
 
 
 @query("WITH " + sql.NATION + sql.PRODUCT + """,
-m1 AS (SELECT i, j, a1, a2, b1, b2, 0.5 AS m FROM pe),
-m2 AS (SELECT x.i, x.j, x.a1, x.a2, x.b1, x.b2, 0.5 * sum(m) AS m FROM pe x JOIN m1 p ON p.i = x.i AND p.j = x.j AND p.b1 = x.a1 AND p.b2 = x.a2 WHERE p.a1 <> x.b1 AND p.a2 <> x.b2 GROUP BY ALL),
-m3 AS (SELECT x.i, x.j, x.a1, x.a2, x.b1, x.b2, 0.5 * sum(m) AS m FROM pe x JOIN m2 p ON p.i = x.i AND p.j = x.j AND p.b1 = x.a1 AND p.b2 = x.a2 WHERE p.a1 <> x.b1 AND p.a2 <> x.b2 GROUP BY ALL)
-SELECT i, j, round(sum(f), 4) AS k FROM (SELECT i, j, 0.5 AS f FROM pn UNION ALL SELECT i, j, 0.5 * m FROM m1 UNION ALL SELECT i, j, 0.5 * m FROM m2 UNION ALL SELECT i, j, 0.5 * m FROM m3) GROUP BY i, j""")
+m1 AS (SELECT i, j, a1, a2, b1, b2, 0.5::DOUBLE AS m FROM pe),
+m2 AS (SELECT x.i, x.j, x.a1, x.a2, x.b1, x.b2, 0.5::DOUBLE * sum(m) AS m FROM pe x JOIN m1 p ON p.i = x.i AND p.j = x.j AND p.b1 = x.a1 AND p.b2 = x.a2 WHERE p.a1 <> x.b1 AND p.a2 <> x.b2 GROUP BY ALL),
+m3 AS (SELECT x.i, x.j, x.a1, x.a2, x.b1, x.b2, 0.5::DOUBLE * sum(m) AS m FROM pe x JOIN m2 p ON p.i = x.i AND p.j = x.j AND p.b1 = x.a1 AND p.b2 = x.a2 WHERE p.a1 <> x.b1 AND p.a2 <> x.b2 GROUP BY ALL)
+SELECT i, j, round(sum(f), 4) AS k FROM (SELECT i, j, 0.5::DOUBLE AS f FROM pn UNION ALL SELECT i, j, 0.5::DOUBLE * m FROM m1 UNION ALL SELECT i, j, 0.5::DOUBLE * m FROM m2 UNION ALL SELECT i, j, 0.5::DOUBLE * m FROM m3) GROUP BY i, j""")
 def nontottering_kernel(spark, sf_dir):
     nodes, edges = adapters.nation_graph(spark, sf_dir)
     return _rounded(walks.nontottering_kernel(nodes, edges, walks.constant_weights(nodes), 0.5, 4), "k", digits=4)
