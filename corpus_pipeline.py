@@ -21,9 +21,14 @@ from pathloom.llm.queries import tokenizer_path
 _SCRATCH: list[str] = []
 
 
+#: Rows that go to Python at a time. Documents are long; ten times as many, the default, fill a worker's memory.
+BATCH_ROWS = "1000"
+
+
 def _begin(spark: SparkSession) -> None:
     discard(spark, _SCRATCH)
     _SCRATCH.clear()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -18,8 +18,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Entries in the table of chunks: about 150 MB. When full, it starts anew.
-TABLE_SIZE = 1_000_000
+#: Entries in the table of chunks: about 150 MB with their ids. When full, it starts anew.
+TABLE_SIZE = 600_000
 END_ID = 1
 
 # Lower-casing A-Z before normalisation is safe unless a combining mark follows; Latin text has none.
