@@ -1,0 +1 @@
+"""Scalar, array and matrix functions."""

@@ -1 +1,115 @@
-"""to come"""
+"""Forests: bracketed trees, upward ranks, siblings, and counts below a path."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def parse_trees(lines: DataFrame) -> DataFrame:
+    """Trees from rows (entry, tree, line), a line being one balanced bracket string like ``(C(C[O]))``.
+
+    (entry, tree, node, parent, bracket, sym, depth, is_leaf, is_last): an opening bracket begins a node at the depth
+    that the brackets so far leave; its parent is the last node before it one level up. All by windows over tokens.
+    """
+    token = F.posexplode(F.expr(r"regexp_extract_all(line, '[\\[({][^\\[\\](){}]*|[\\])}]', 0)")).alias("pos", "token")
+    tokens = lines.select("entry", "tree", token)
+    tree = Window.partitionBy("entry", "tree").orderBy("pos")
+    opens = F.substring("token", 1, 1).isin("(", "{", "[")
+    tokens = tokens.withColumn("open", opens)
+    level = F.sum(F.when(F.col("open"), 1).otherwise(-1)).over(tree)
+    nodes = tokens.withColumn("depth", level.cast("int")).withColumn("node", (F.sum(F.col("open").cast("int")).over(tree) - 1).cast("long")).where("open")
+    # The parent: per tree, the latest node of depth - 1, carried forward along the tree in one pass over depths.
+    both = nodes.select("*", F.col("depth").alias("key"), F.lit(True).alias("own")).union(nodes.select("*", (F.col("depth") - 1).alias("key"), F.lit(False).alias("own")))
+    offered = F.max(F.when(F.col("own"), F.struct("pos", "node"))).over(Window.partitionBy("entry", "tree", "key").orderBy("pos"))
+    placed = both.withColumn("parent", offered["node"]).where("not own")
+    out = placed.select("entry", "tree", "node", "parent", F.substring("token", 1, 1).alias("bracket"), F.expr("substring(token, 2)").alias("sym"), "depth")
+    return with_flags(out)
+
+
+def with_flags(nodes: DataFrame, order: str = "node") -> DataFrame:
+    """``nodes`` with is_leaf (no children) and is_last (the last of its siblings)."""
+    parents = nodes.where("parent is not null").select(F.col("entry").alias("pe"), F.col("tree").alias("pt"), F.col("parent").alias("p")).distinct()
+    joined = nodes.join(parents, (F.col("entry") == F.col("pe")) & (F.col("tree") == F.col("pt")) & (F.col("node") == F.col("p")), "left")
+    joined = joined.select(*nodes.columns, F.col("p").isNull().alias("is_leaf"))
+    return joined.withColumn("is_last", F.lead("node").over(Window.partitionBy("entry", "tree", "parent").orderBy(order)).isNull())
+
+
+def tree_text(nodes: DataFrame) -> DataFrame:
+    """(entry, tree, line): trees (with ``bracket``) as bracket strings again; the inverse of ``parse_trees``.
+
+    A node's closing brackets are as many as the depth falls to the next node, each matching what it closes; brackets
+    on the way are found from the ancestors' brackets, carried as an array along the depth-first order.
+    """
+    rows = nodes.groupBy("entry", "tree").agg(F.array_sort(F.collect_list(F.struct("node", "depth", "bracket", "sym"))).alias("n"))
+    start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("open"))
+    matching = lambda b: F.when(b == "(", ")").when(b == "{", "}").otherwise("]")
+    closed = lambda s, depth: F.array_join(F.transform(F.reverse(F.slice(s["open"], depth, F.greatest(F.size(s["open"]) - depth + 1, F.lit(0)))), matching), "")
+    step = lambda s, x: F.struct(
+        F.concat(s["text"], closed(s, x["depth"]), x["bracket"], x["sym"]).alias("text"),
+        F.concat(F.slice(s["open"], F.lit(1), x["depth"] - 1), F.array(x["bracket"])).alias("open"),
+    )
+    return rows.select("entry", "tree", F.aggregate("n", start, step, lambda s: F.concat(s["text"], closed(s, F.lit(1)))).alias("line"))
+
+
+def downward_paths(nodes: DataFrame, levels: int) -> DataFrame:
+    """``nodes`` with ``down``, the labels from the root to the node; one join per level of depth."""
+    roots = nodes.where("parent is null").withColumn("down", F.col("sym"))
+    out, now = roots, roots
+    for _ in range(levels - 1):
+        above = now.select(F.col("node").alias("p"), F.col("down").alias("above"))
+        now = nodes.join(above, nodes["parent"] == F.col("p")).withColumn("down", F.concat("above", "sym")).select(*out.columns)
+        out = out.union(now)
+    return out
+
+
+def upward_rank(nodes: DataFrame, levels: int) -> DataFrame:
+    """(node, rank): dense rank by the labels from the node up to the root.
+
+    Ranks come from the few distinct labels, so no node passes through one global sort.
+    """
+    up = downward_paths(nodes, levels).select("node", F.reverse("down").alias("up"))
+    ranks = up.select("up").distinct().withColumn("rank", F.dense_rank().over(Window.orderBy("up")))
+    return up.join(ranks, "up").select("node", F.col("rank").cast("long").alias("rank"))
+
+
+def subtree_leaves(nodes: DataFrame, levels: int, prefixes: list[str]) -> DataFrame:
+    """(prefix, leaves): leaves at or below the nodes whose labels from the root are the prefix."""
+    asked = nodes.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    leaves = with_flags(downward_paths(nodes, levels)).where("is_leaf")
+    found = leaves.groupBy("down").agg(F.count("*").alias("n"))
+    hit = F.broadcast(asked).join(found, F.col("down").startswith(F.col("prefix")), "left")
+    return hit.groupBy("prefix").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("leaves"))
+
+
+def totals(nodes: DataFrame) -> DataFrame:
+    """One row: entries, trees, nodes, leaves."""
+    flagged = with_flags(nodes)
+    return flagged.agg(F.count_distinct("entry").alias("entries"), F.count_distinct("entry", "tree").alias("trees"), F.count("*").alias("nodes"), F.sum(F.col("is_leaf").cast("long")).alias("leaves"))
+
+
+def kth_child(nodes: DataFrame, k: int, order: str = "node") -> DataFrame:
+    """(parent, child): the k-th child (from 1) of each node that has one."""
+    n = F.row_number().over(Window.partitionBy("entry", "tree", "parent").orderBy(order))
+    return nodes.where("parent is not null").withColumn("n", n).where(F.col("n") == k).select("parent", F.col("node").alias("child"))
+
+
+def degrees(nodes: DataFrame) -> DataFrame:
+    """(parent, degree): the number of children."""
+    return nodes.where("parent is not null").groupBy("parent").agg(F.count("*").alias("degree"))
+
+
+def symbol_cumulative(nodes: DataFrame) -> DataFrame:
+    """(sym, n, cum): symbol counts and their running sum in the order of symbols; a table of one row per symbol."""
+    counts = nodes.groupBy("sym").agg(F.count("*").alias("n"))
+    return counts.withColumn("cum", F.sum("n").over(Window.orderBy("sym")))
+
+
+def rank_of(sequence: DataFrame, symbol: str, position: Column | int) -> DataFrame:
+    """(g, n): how often ``symbol`` occurs in (g, id, sym) at ids up to ``position``."""
+    return sequence.groupBy("g").agg(F.count_if((F.col("sym") == symbol) & (F.col("id") <= position)).alias("n"))
+
+
+def select_of(sequence: DataFrame, symbol: str, k: int) -> DataFrame:
+    """(g, id): the place of the k-th occurrence of ``symbol``."""
+    n = F.row_number().over(Window.partitionBy("g").orderBy("id"))
+    return sequence.where(F.col("sym") == symbol).withColumn("n", n).where(F.col("n") == k).select("g", "id")

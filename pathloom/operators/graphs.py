@@ -75,7 +75,7 @@ def _bfs(starts: list[int], near: dict[int, list[int]]) -> dict[int, int]:
     return known
 
 
-def _by_graph(nodes: DataFrame, edges: DataFrame, names: tuple[str, ...], one) -> DataFrame:
+def by_graph(nodes: DataFrame, edges: DataFrame, names: tuple[str, ...], one) -> DataFrame:
     """``one(ids, near, changed edges)`` gives the rows of a graph, which is handled on the map side."""
     schema = pa.schema([("g", pa.int64()), *((n, pa.int32()) for n in names)])
 
@@ -100,7 +100,7 @@ def all_pairs(nodes: DataFrame, edges: DataFrame, strategy: str = "graphs") -> D
     if strategy == "joins":
         starts = nodes.select("g", F.col("id").alias("source"), "id")
         return distances(starts, edges).select("g", F.col("source").alias("a"), F.col("id").alias("b"), "dist")
-    return _by_graph(nodes, edges, ("a", "b", "dist"), lambda ids, near, _: ((a, b, d) for a in ids for b, d in _bfs([a], near).items()))
+    return by_graph(nodes, edges, ("a", "b", "dist"), lambda ids, near, _: ((a, b, d) for a in ids for b, d in _bfs([a], near).items()))
 
 
 def core_distance(nodes: DataFrame, edges: DataFrame, strategy: str = "graphs") -> DataFrame:
@@ -114,7 +114,7 @@ def core_distance(nodes: DataFrame, edges: DataFrame, strategy: str = "graphs")
         known = _bfs(list(dict.fromkeys(x for edge in changed for x in edge)), near)
         return ((i, known.get(i)) for i in ids)
 
-    return _by_graph(nodes, edges, ("id", "dist"), one)
+    return by_graph(nodes, edges, ("id", "dist"), one)
 
 
 def farthest(nodes: DataFrame, edges: DataFrame) -> DataFrame:

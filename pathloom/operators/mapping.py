@@ -1 +1,281 @@
-"""to come"""
+"""Atom mappings between two sides of a reaction: A*, greedy, exhaustive, assignment and common-subgraph searches.
+
+A mapping is a bijection that keeps symbols; its cost is the number of edges that
+exist on one side only. Every choice is broken by ids, so results are the same on
+every run. A search that passes ``max_states`` ends with the best known mapping
+and status ``capped``.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+from itertools import count
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from pathloom.operators.subgraphs import common_subgraph
+
+#: syms, edges as pairs of places
+Side = tuple[list[str], list[tuple[int, int]]]
+
+
+def _edges(side: Side) -> set[tuple[int, int]]:
+    return {(min(a, b), max(a, b)) for a, b in side[1]}
+
+
+def cost(lhs: Side, rhs: Side, image: dict[int, int]) -> int:
+    """Edges of mapped nodes that are on one side only."""
+    right, back = _edges(rhs), {b: a for a, b in image.items()}
+    left = _edges(lhs)
+    moved = {(min(image[a], image[b]), max(image[a], image[b])) for a, b in left if a in image and b in image}
+    return len(moved ^ {(a, b) for a, b in right if a in back and b in back})
+
+
+def bond_bound(lhs: Side, rhs: Side) -> int:
+    """Edges by end symbols that one side has more of than the other: none of these can be kept."""
+    kinds = lambda s: Counter(tuple(sorted((s[0][a], s[0][b]))) for a, b in _edges(s))
+    a, b = kinds(lhs), kinds(rhs)
+    return sum(((a - b) + (b - a)).values())
+
+
+def twins(side: Side) -> list[int]:
+    """For each node a bin: nodes of one neighbour only share a bin with their like at the same neighbour."""
+    near: list[list[int]] = [[] for _ in side[0]]
+    for a, b in _edges(side):
+        near[a].append(b)
+        near[b].append(a)
+    first: dict = {}
+    return [first.setdefault((near[i][0], s), i) if len(near[i]) == 1 else i for i, s in enumerate(side[0])]
+
+
+def order_of(side: Side, how: str = "bfs") -> list[int]:
+    """Nodes in their own order, or breadth- or depth-first from a node of greatest degree."""
+    if how == "plain":
+        return list(range(len(side[0])))
+    near: list[list[int]] = [[] for _ in side[0]]
+    for a, b in sorted(_edges(side)):
+        near[a].append(b)
+        near[b].append(a)
+    out: list[int] = []
+    seen: set[int] = set()
+    for start in sorted(range(len(near)), key=lambda i: (-len(near[i]), i)):
+        open_ = [start]
+        while open_:
+            node = open_.pop(0 if how == "bfs" else -1)
+            if node not in seen:
+                seen.add(node)
+                out.append(node)
+                open_ += [x for x in near[node] if x not in seen]
+    return out
+
+
+def astar(lhs: Side, rhs: Side, max_states: int = 50_000) -> tuple[dict[int, int], int, str]:
+    """The least cost, best first: edges decided so far, plus the edges that the rest must lose by their kinds."""
+    order, bins = order_of(lhs), twins(rhs)
+    left, right = _edges(lhs), _edges(rhs)
+    place = {a: k for k, a in enumerate(order)}
+    kind = lambda s, a, b: (s[a], s[b]) if s[a] <= s[b] else (s[b], s[a])
+    tick = count()
+
+    def bound(k: int, used: frozenset) -> int:
+        a = Counter(kind(lhs[0], x, y) for x, y in left if place[x] >= k or place[y] >= k)
+        b = Counter(kind(rhs[0], x, y) for x, y in right if x not in used or y not in used)
+        return sum(((a - b) + (b - a)).values())
+
+    best = greedy(lhs, rhs)
+    limit = cost(lhs, rhs, best)
+    open_ = [(bound(0, frozenset()), 0, next(tick), 0, ())]
+    states = 0
+    while open_:
+        f, _, _, g, images = heapq.heappop(open_)
+        if f >= limit:
+            return best, limit, "optimal"
+        k = len(images)
+        states += 1
+        if states > max_states:
+            return best, limit, "capped"
+        node = order[k]
+        used = frozenset(images)
+        tried: set[int] = set()
+        for target in range(len(rhs[0])):
+            if target in used or rhs[0][target] != lhs[0][node] or bins[target] in tried:
+                continue
+            tried.add(bins[target])
+            more = 0
+            for j, other in enumerate(images):
+                a, b = order[j], node
+                x, y = other, target
+                more += ((min(a, b), max(a, b)) in left) != ((min(x, y), max(x, y)) in right)
+            now, after = g + more, (*images, target)
+            if len(after) == len(order):
+                if now < limit:
+                    best, limit = dict(zip(order, after)), now
+                continue
+            h = now + bound(k + 1, used | {target})
+            if h < limit:
+                heapq.heappush(open_, (h, -k, next(tick), now, after))
+    return best, limit, "optimal"
+
+
+def dfs(lhs: Side, rhs: Side, max_states: int = 500_000) -> tuple[dict[int, int], int, str]:
+    """The least cost, by exhaustive search that leaves a branch when its cost reaches the best."""
+    order = order_of(lhs, "dfs")
+    left, right = _edges(lhs), _edges(rhs)
+    best, limit, states = greedy(lhs, rhs), 0, 0
+    limit = cost(lhs, rhs, best)
+    images: list[int] = []
+
+    def search(g: int) -> bool:
+        nonlocal best, limit, states
+        states += 1
+        if states > max_states:
+            return False
+        if len(images) == len(order):
+            if g < limit:
+                best, limit = dict(zip(order, images)), g
+            return True
+        node = order[len(images)]
+        for target in range(len(rhs[0])):
+            if target not in images and rhs[0][target] == lhs[0][node]:
+                more = sum(((min(order[j], node), max(order[j], node)) in left) != ((min(x, target), max(x, target)) in right) for j, x in enumerate(images))
+                if g + more < limit:
+                    images.append(target)
+                    going = search(g + more)
+                    images.pop()
+                    if not going:
+                        return False
+        return True
+
+    return (best, limit, "optimal") if search(0) else (best, limit, "capped")
+
+
+def greedy(lhs: Side, rhs: Side) -> dict[int, int]:
+    """Nodes in breadth-first order, each to the free node that costs least now, then by environment, then by id."""
+    left, right = _edges(lhs), _edges(rhs)
+    similar = similarities(lhs, rhs)
+    image: dict[int, int] = {}
+    for node in order_of(lhs):
+        free = [t for t in range(len(rhs[0])) if t not in image.values() and rhs[0][t] == lhs[0][node]]
+        if free:
+            price = lambda t: sum(((min(a, node), max(a, node)) in left) != ((min(b, t), max(b, t)) in right) for a, b in image.items())
+            image[node] = min(free, key=lambda t: (price(t), -similar[node][t], t))
+    return image
+
+
+def similarities(lhs: Side, rhs: Side) -> list[list[float]]:
+    """How alike the neighbourhoods of nodes of equal symbol are: shared neighbour symbols over all; -1 for others."""
+
+    def around(side: Side) -> list[Counter]:
+        near: list[Counter] = [Counter() for _ in side[0]]
+        for a, b in _edges(side):
+            near[a][side[0][b]] += 1
+            near[b][side[0][a]] += 1
+        return near
+
+    n1, n2 = around(lhs), around(rhs)
+    return [[-1.0 if s != t else (1 + 2 * sum((n1[i] & n2[j]).values())) / (1 + sum(n1[i].values()) + sum(n2[j].values())) for j, t in enumerate(rhs[0])] for i, s in enumerate(lhs[0])]
+
+
+def assignment(weights: list[list[float]]) -> list[int]:
+    """The column of each row with the greatest total weight, by shortest augmenting paths; rows <= columns."""
+    n, m = len(weights), len(weights[0]) if weights else 0
+    u, v, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = match[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    now = -weights[i0 - 1][j - 1] - u[i0] - v[j]
+                    if now < least[j]:
+                        least[j], way[j] = now, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if match[j]:
+            out[match[j] - 1] = j - 1
+    return out
+
+
+def hungarian(lhs: Side, rhs: Side) -> tuple[dict[int, int], int, str]:
+    """The bijection with the most similar neighbourhoods."""
+    weights = [[w if w >= 0 else -1e6 for w in row] for row in similarities(lhs, rhs)]
+    image = {i: j for i, j in enumerate(assignment(weights)) if lhs[0][i] == rhs[0][j]} if weights and len(weights) <= len(weights[0]) else {}
+    return image, cost(lhs, rhs, image), "heuristic"
+
+
+def cliques(lhs: Side, rhs: Side, limit: int = 2_000) -> tuple[dict[int, int], int, str]:
+    """Largest common subgraphs, one after another, of what is not mapped yet."""
+    image: dict[int, int] = {}
+
+    def graph(side: Side, kept: list[int]) -> tuple:
+        inside = [(x, y) for x, y in sorted(_edges(side)) if x in kept and y in kept]
+        return kept, [side[0][k] for k in kept], [x for x, _ in inside], [y for _, y in inside], [0] * len(inside)
+
+    while True:
+        a = [i for i in range(len(lhs[0])) if i not in image]
+        b = [j for j in range(len(rhs[0])) if j not in image.values()]
+        found = common_subgraph(graph(lhs, a), graph(rhs, b), limit) if a and b else []
+        if not found:
+            return image, cost(lhs, rhs, image), "heuristic"
+        image |= dict(found)
+
+
+ALGORITHMS = {"astar": astar, "dfs": dfs, "hungarian": hungarian, "cliques": cliques, "greedy": lambda a, b: (m := greedy(a, b), cost(a, b, m), "heuristic")}
+
+
+def map_reactions(sides: DataFrame, algorithm: str = "astar", **options) -> DataFrame:
+    """(reaction, lhs_atom, rhs_atom, cost, status) for reactions (reaction, syms1, edges1, syms2, edges2), edges being
+    arrays of structs (a, b); one search per reaction, on the map side."""
+    schema = pa.schema([("reaction", pa.int64()), ("lhs_atom", pa.int32()), ("rhs_atom", pa.int32()), ("cost", pa.int32()), ("status", pa.string())])
+    solve = ALGORITHMS[algorithm]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for r in batch.to_pylist():
+                lhs, rhs = ((r[f"syms{k}"] or [], [(e["a"], e["b"]) for e in r[f"edges{k}"] or ()]) for k in (1, 2))
+                image, price, status = solve(lhs, rhs, **options)
+                for a, b in sorted(image.items()):
+                    for values, v in zip(out, (r["reaction"], a, b, price, status)):
+                        values.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+
+    chosen = sides.select("reaction", "syms1", "edges1", "syms2", "edges2")
+    return chosen.mapInArrow(search, "reaction long, lhs_atom int, rhs_atom int, cost int, status string")
+
+
+def reaction_graph(lhs: DataFrame, rhs: DataFrame, image: DataFrame) -> DataFrame:
+    """(reaction, a, b, old, new, chg): edges of both sides under a mapping, a full outer join: an edge on the left only
+    is cleaved, on the right only formed. ``lhs`` and ``rhs`` are (reaction, a, b, type), ``image`` (reaction, lhs_atom, rhs_atom)."""
+    back = lambda end: image.select("reaction", F.col("rhs_atom").alias(end), F.col("lhs_atom").alias(f"{end}0"))
+    new = rhs.join(back("a"), ["reaction", "a"]).join(back("b"), ["reaction", "b"])
+    new = new.select("reaction", F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"), F.col("type").alias("new"))
+    old = lhs.select("reaction", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("type").alias("old"))
+    both = old.join(new, ["reaction", "a", "b"], "full_outer")
+    chg = F.when(F.col("old").isNull(), 1).when(F.col("new").isNull(), -1).otherwise(0)
+    return both.select("reaction", "a", "b", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("new", F.lit(0)).alias("new"), chg.alias("chg"))
+
+
+def completeness(sides: DataFrame, image: DataFrame) -> DataFrame:
+    """(reaction, mapped, total): mapped and all left-hand atoms."""
+    mapped = image.groupBy("reaction").agg(F.count("*").alias("mapped"))
+    return sides.select("reaction", F.size("syms1").cast("long").alias("total")).join(mapped, "reaction", "left").na.fill(0, ["mapped"])

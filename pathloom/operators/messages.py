@@ -1 +1,111 @@
-"""to come"""
+"""Node features by message passing: synchronous messages on directed edges, and what is built from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from pathloom.operators.graphs import by_graph, all_pairs
+from pathloom.operators.paths import adjacency
+
+
+def messages(nodes: DataFrame, edges: DataFrame, rounds: int, start: DataFrame, how: str = "sum") -> DataFrame:
+    """(g, src, dst, round, m): messages on directed edges; those of round 1 are the source's ``start`` (g, id, m), later
+    ones combine what reached the source in the round before over all edges but the one back (``how``: sum, min, max)."""
+    steps = adjacency(edges).select("g", "src", "dst")
+    combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    now = steps.join(start.select("g", F.col("id").alias("src"), "m"), ["g", "src"]).withColumn("round", F.lit(1))
+    levels = [now.select("g", "src", "dst", "round", "m")]
+    for k in range(2, rounds + 1):
+        before = levels[-1].select("g", F.col("src").alias("from"), F.col("dst").alias("src"), "m")
+        onward = steps.join(before, ["g", "src"]).where(F.col("from") != F.col("dst")).groupBy("g", "src", "dst").agg(combine("m").alias("m"))
+        levels.append(onward.select("g", "src", "dst", F.lit(k).alias("round"), "m"))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.union(more)
+    return out
+
+
+def atom_distribution(nodes: DataFrame, edges: DataFrame, context: int, with_centre: bool = True) -> DataFrame:
+    """(g, id, k, value): the sorted symbols within k hops, for k = 0..context."""
+    near = all_pairs(nodes, edges).where(F.col("dist") <= context)
+    if not with_centre:
+        near = near.where("dist > 0")
+    labelled = near.join(nodes.select("g", F.col("id").alias("b"), "sym"), ["g", "b"])
+    spread = labelled.select("g", F.col("a").alias("id"), "sym", F.explode(F.sequence("dist", F.lit(context))).alias("k"))
+    return spread.groupBy("g", "id", "k").agg(F.array_join(F.array_sort(F.collect_list("sym")), "").alias("value"))
+
+
+def bond_distribution(nodes: DataFrame, edges: DataFrame, context: int) -> DataFrame:
+    """(g, id, k, value): the sorted bonds (symbols in order, change between) with an end within k - 1 hops, k = 1..context."""
+    a = nodes.select("g", F.col("id").alias("src"), F.col("sym").alias("x"))
+    b = nodes.select("g", F.col("id").alias("dst"), F.col("sym").alias("y"))
+    bonds = edges.join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "src", "dst", F.concat(F.least("x", "y"), F.col("chg").cast("string"), F.greatest("x", "y")).alias("bond"))
+    near = all_pairs(nodes, edges).where(F.col("dist") < context).select("g", F.col("a").alias("id"), "b", "dist")
+    ends = bonds.select("g", "src", "dst", "bond", F.explode(F.array("src", "dst")).alias("b"))
+    met = ends.join(near, ["g", "b"]).groupBy("g", "id", "src", "dst", "bond").agg(F.min("dist").alias("dist"))
+    spread = met.select("g", "id", "bond", F.explode(F.sequence(F.col("dist") + 1, F.lit(context))).alias("k"))
+    return spread.groupBy("g", "id", "k").agg(F.array_join(F.array_sort(F.collect_list("bond")), ",").alias("value"))
+
+
+def wiener_index(nodes: DataFrame, edges: DataFrame, context: int) -> DataFrame:
+    """(g, id, k, value): the sum of distances between all pairs of nodes within k hops of a node, k = 1..context."""
+    pairs = all_pairs(nodes, edges)
+    near = pairs.where(F.col("dist") <= context)
+    x = near.select("g", F.col("a").alias("id"), F.col("b").alias("x"), F.col("dist").alias("dx"))
+    y = near.select("g", F.col("a").alias("id"), F.col("b").alias("y"), F.col("dist").alias("dy"))
+    inner = x.join(y, ["g", "id"]).where("x < y").withColumn("reach", F.greatest("dx", "dy"))
+    dist = pairs.select("g", F.col("a").alias("x"), F.col("b").alias("y"), "dist")
+    summed = inner.join(dist, ["g", "x", "y"]).select("g", "id", "dist", F.explode(F.sequence(F.greatest("reach", F.lit(1)), F.lit(context))).alias("k"))
+    found = summed.groupBy("g", "id", "k").agg(F.sum("dist").alias("value"))
+    every = nodes.select("g", "id", F.explode(F.sequence(F.lit(1), F.lit(context))).alias("k"))
+    return every.join(found, ["g", "id", "k"], "left").select("g", "id", "k", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+
+
+def morgan_index(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """(g, id, k, value): 1 for k = 0, then the sum of the neighbours' values of the round before."""
+    steps = adjacency(edges).select("g", F.col("src").alias("id"), F.col("dst").alias("next"))
+    now = nodes.select("g", "id", F.lit(1).cast("long").alias("value"))
+    levels = [now.withColumn("k", F.lit(0))]
+    for k in range(1, rounds + 1):
+        summed = steps.join(now.select("g", F.col("id").alias("next"), "value"), ["g", "next"]).groupBy("g", "id").agg(F.sum("value").alias("value"))
+        now = nodes.select("g", "id").join(summed, ["g", "id"], "left").select("g", "id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+        levels.append(now.withColumn("k", F.lit(k)))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.select("g", "id", "k", "value")
+
+
+def distance_extremes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, id, nearest, farthest): the least distance to another node and the greatest."""
+    far = all_pairs(nodes, edges).where("dist > 0").groupBy("g", F.col("a").alias("id")).agg(F.min("dist").alias("nearest"), F.max("dist").alias("farthest"))
+    return nodes.select("g", "id").join(far, ["g", "id"], "left")
+
+
+def ring_membership(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """(g, id, in_ring): whether a node lies on a ring of exactly ``size`` nodes: a simple path of that many nodes
+    whose ends are joined."""
+
+    def one(ids, near, _):
+        inside: set[int] = set()
+
+        def extend(path: list[int]) -> None:
+            if len(path) == size:
+                if size > 2 and path[0] in near[path[-1]]:
+                    inside.update(path)
+                return
+            for other in near[path[-1]]:
+                if other > path[0] and other not in path:
+                    extend([*path, other])
+
+        for i in ids:
+            extend([i])
+        return ((i, int(i in inside)) for i in ids)
+
+    return by_graph(nodes, edges, ("id", "in_ring"), one).withColumn("in_ring", F.col("in_ring") == 1)
+
+
+def features(distribution: DataFrame, low: int = 0, high: int = 1000) -> DataFrame:
+    """Feature facts of contexts low..high, as ``g:id:ATOM_DISTRIBUTION:k=value`` lines."""
+    kept = distribution.where(F.col("k").between(low, high))
+    return kept.select(F.concat_ws(":", "g", "id", F.lit("ATOM_DISTRIBUTION"), F.concat("k", F.lit("="), "value")).alias("value"))

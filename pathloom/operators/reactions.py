@@ -1 +1,93 @@
-"""to come"""
+"""Reactions over molecule kernels, balance, equations and label extraction from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def _sides(sides: DataFrame, kernel: DataFrame) -> DataFrame:
+    """(r1, r2, s1, s2, k): molecule similarities summed over the sides of two reactions r2 <= r1.
+
+    ``kernel`` (a, b, k) is symmetric and full. Ligands meet through the kernel's rows, so sides never meet directly.
+    """
+    one = sides.select(F.col("reaction").alias("r1"), F.col("side").alias("s1"), F.col("ligand").alias("a"))
+    two = sides.select(F.col("reaction").alias("r2"), F.col("side").alias("s2"), F.col("ligand").alias("b"))
+    return one.join(kernel, "a").join(two, "b").where("r2 <= r1").groupBy("r1", "r2", "s1", "s2").agg(F.sum("k").alias("k"))
+
+
+def _cell(s1: str, s2: str) -> Column:
+    return F.sum(F.when((F.col("s1") == s1) & (F.col("s2") == s2), F.col("k")).otherwise(0.0))
+
+
+def sum_of_reactants(sides: DataFrame, kernel: DataFrame) -> DataFrame:
+    """(i, j, k): similarities summed over all pairs of ligands of either side."""
+    return _sides(sides, kernel).groupBy(F.col("r1").alias("i"), F.col("r2").alias("j")).agg(F.sum("k").alias("k"))
+
+
+def difference_of_reactants(sides: DataFrame, kernel: DataFrame) -> DataFrame:
+    """(i, j, k): K(SS) + K(PP) - K(SP) - K(PS)."""
+    value = _cell("s", "s") + _cell("p", "p") - _cell("s", "p") - _cell("p", "s")
+    return _sides(sides, kernel).groupBy(F.col("r1").alias("i"), F.col("r2").alias("j")).agg(value.alias("k"))
+
+
+def reactant_matching(sides: DataFrame, kernel: DataFrame) -> DataFrame:
+    """(i, j, k): K(SS) * K(PP)."""
+    return _sides(sides, kernel).groupBy(F.col("r1").alias("i"), F.col("r2").alias("j")).agg((_cell("s", "s") * _cell("p", "p")).alias("k"))
+
+
+def balanced(sides: DataFrame) -> DataFrame:
+    """(reaction, balanced): whether both sides hold every ligand equally often."""
+    signed = F.sum(F.when(F.col("side") == "s", F.col("n")).otherwise(-F.col("n")))
+    apart = sides.groupBy("reaction", "ligand").agg(signed.alias("d"))
+    return apart.groupBy("reaction").agg((F.max(F.abs("d")) == 0).alias("balanced"))
+
+
+def expand_equation(equation: Column) -> Column:
+    """Ligands of an equation in order, with ``p`` between the sides: ``2 A + n B <=> C`` is [A, A, B, B, p, C].
+
+    A coefficient is a number, ``n`` or ``m`` (2), a number before one of them (times), or a sum or difference of these
+    in brackets; ``n`` and ``m`` are 3 if the equation holds ``(n-1)`` or ``(m-1)``, so that no ligand vanishes.
+    """
+    n = F.when(equation.contains("(n-1)"), 3).otherwise(2)
+    m = F.when(equation.contains("(m-1)"), 3).otherwise(2)
+
+    def amount(c: Column) -> Column:
+        plain = F.regexp_replace(c, r"[()\s]", "")
+        terms = F.split(F.regexp_replace(plain, "-", "+-"), r"\+")
+        value = lambda t: F.when(F.length(t) == 0, 0).otherwise(
+            F.when(t.startswith("-"), -1).otherwise(1)
+            * F.coalesce(F.nullif(F.regexp_extract(t, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+            * F.when(t.endswith("n"), n).when(t.endswith("m"), m).otherwise(1)
+        )
+        return F.aggregate(F.transform(terms, value), F.lit(0), lambda a, b: a + b)
+
+    def ligands(side: Column) -> Column:
+        parts = F.split(F.trim(side), r"\s+\+\s+")
+
+        def one(part: Column) -> Column:
+            part = F.trim(part)
+            tail = F.regexp_extract(part, r"\(([^()]*)\)$", 1)  # C00001(n+1)
+            bare = F.when(F.length(tail) > 0, F.regexp_replace(part, r"\([^()]*\)$", "")).otherwise(part)
+            words = F.split(bare, r"\s+")
+            lead = F.when(F.size(words) > 1, F.element_at(words, 1)).otherwise(F.lit("1"))
+            return F.array_repeat(F.element_at(words, -1), F.greatest(amount(lead), F.lit(0)))
+
+        return F.flatten(F.transform(parts, one))
+
+    sides = F.split(equation, "<=>")
+    return F.concat(ligands(F.element_at(sides, 1)), F.array(F.lit("p")), ligands(F.element_at(sides, 2)))
+
+
+def valid(equation: Column) -> Column:
+    """An equation of compounds only: glycans (``G`` and digits) are left out."""
+    return equation.isNotNull() & ~equation.rlike(r"\bG\d+")
+
+
+def has_hydrogens(nodes: DataFrame) -> DataFrame:
+    """(g, has_h): whether a graph has a node H or H+."""
+    return nodes.groupBy("g").agg(F.bool_or(F.col("sym").isin("H", "H+")).alias("has_h"))
+
+
+def balanced_atoms(atoms: DataFrame) -> DataFrame:
+    """(reaction, balanced) from (reaction, side, sym): the sorted symbols of both sides are equal."""
+    return balanced(atoms.groupBy("reaction", "side", F.col("sym").alias("ligand")).agg(F.count("*").alias("n")))

@@ -1 +1,268 @@
-"""to come"""
+"""Connected subgraphs, shortest label paths, isomorphism, cliques and common subgraphs.
+
+Searches that are exponential in one graph run per graph on the map side; graphs
+are first reduced to distinct forms, so equal graphs are searched once.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from pathloom.operators.graphs import canonical_hash
+from pathloom.operators.kernels import feature_kernel
+from pathloom.operators.paths import as_graphs
+from pathloom.schema import BRACKETS
+
+
+def neighbours_of(ids, src, dst) -> dict[int, list[int]]:
+    near: dict[int, list[int]] = {i: [] for i in ids}
+    for a, b in zip(src or (), dst or ()):
+        near[a].append(b)
+        near[b].append(a)
+    return near
+
+
+def connected_sets(near: dict[int, list[int]], size: int) -> Iterator[tuple[int, ...]]:
+    """Every connected set of at most ``size`` nodes once: a set grows from its least node by nodes that no earlier
+    choice has offered."""
+
+    def grow(chosen: tuple[int, ...], offered: list[int], seen: frozenset) -> Iterator[tuple[int, ...]]:
+        yield chosen
+        if len(chosen) == size:
+            return
+        for k, node in enumerate(offered):
+            fresh = [x for x in dict.fromkeys(near[node]) if x > chosen[0] and x not in seen]
+            yield from grow((*chosen, node), offered[k + 1 :] + fresh, seen | set(fresh))
+
+    for start in near:
+        offered = [x for x in dict.fromkeys(near[start]) if x > start]
+        yield from grow((start,), offered, frozenset([start, *offered]))
+
+
+def _per_graph(nodes: DataFrame, edges: DataFrame, ddl: str, schema: pa.Schema, one) -> DataFrame:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for g, *graph in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in one(*graph):
+                    for values, v in zip(out, (g, *row)):
+                        values.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+
+    return as_graphs(nodes, edges).mapInArrow(walk, ddl)
+
+
+_FEATURES = pa.schema([("g", pa.int64()), ("feature", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+_FEATURES_DDL = "g long, feature string, size int, n long"
+
+
+def subgraph_features(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """(g, feature, size, n): connected induced subgraphs by their sorted symbols and number of edges."""
+
+    def one(ids, syms, src, dst, chg):
+        near, label = neighbours_of(ids, src, dst), dict(zip(ids, syms))
+        found: Counter = Counter()
+        for members in connected_sets(near, size):
+            inside = set(members)
+            n_edges = sum(b in inside for a in members for b in near[a]) // 2
+            found["".join(sorted(label[m] for m in members)) + f":{n_edges}", len(members)] += 1
+        return ((f, n, k) for (f, n), k in found.items())
+
+    return _per_graph(nodes, edges, _FEATURES_DDL, _FEATURES, one)
+
+
+def subgraph_count(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """(g, n): the number of connected induced subgraphs of at most ``size`` nodes."""
+    return subgraph_features(nodes, edges, size).groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def subgraph_kernel(nodes: DataFrame, edges: DataFrame, size: int, how: str = "dot") -> DataFrame:
+    return feature_kernel(subgraph_features(nodes, edges, size), how)
+
+
+def shortest_path_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, feature, size, n): for each ordered pair of connected nodes the label of a shortest path, the least label
+    where there are several; size is the number of nodes."""
+    sign = lambda c: BRACKETS[(c > 0) - (c < 0)]
+
+    def one(ids, syms, src, dst, chg):
+        label = dict(zip(ids, syms))
+        near: dict[int, list[tuple[int, str]]] = {i: [] for i in ids}
+        for a, b, c in zip(src or (), dst or (), chg or ()):
+            near[a].append((b, sign(c) + label[b]))
+            near[b].append((a, sign(c) + label[a]))
+        found: Counter = Counter()
+        for start in ids:
+            level, seen, n = {start: BRACKETS[0] + label[start]}, {start}, 1
+            while level:
+                after: dict[int, str] = {}
+                for node, path in level.items():
+                    for other, step in near[node]:
+                        if other not in seen and (other not in after or path + step < after[other]):
+                            after[other] = path + step
+                seen |= after.keys()
+                level, n = after, n + 1
+                for path in level.values():
+                    found[path, n] += 1
+        return ((f, n, k) for (f, n), k in found.items())
+
+    return _per_graph(nodes, edges, _FEATURES_DDL, _FEATURES, one)
+
+
+def shortest_path_kernel(nodes: DataFrame, edges: DataFrame, lam: float = 1.0) -> DataFrame:
+    """(i, j, k): sum over common features of lam^size f f'."""
+    f = shortest_path_features(nodes, edges)
+    a = f.select(F.col("g").alias("i"), "feature", "size", F.col("n").alias("a"))
+    b = f.select(F.col("g").alias("j"), F.col("feature").alias("fb"), F.col("n").alias("b"))
+    sums = a.join(b, F.col("feature") == F.col("fb")).where("j <= i").groupBy("i", "j", "size").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
+    return sums.groupBy("i", "j").agg(F.sum(F.pow(F.lit(lam), "size") * F.col("p")).alias("k"))
+
+
+# Isomorphism.
+
+
+def isomorphism(one: tuple, two: tuple, induced: bool = True, bonds: bool = True) -> dict[int, int] | None:
+    """A mapping of graph ``one`` (ids, syms, src, dst, chg) into ``two`` that keeps symbols and changes, or null.
+
+    With equally many nodes and ``induced`` it is an isomorphism, with fewer nodes in ``one`` a subgraph isomorphism.
+    The next node is the one with most mapped neighbours; candidates are neighbours of an image.
+    """
+    (ids1, syms1, *_), (ids2, syms2, *_) = one, two
+    if len(ids1) > len(ids2):
+        return None
+    label1, label2 = dict(zip(ids1, syms1)), dict(zip(ids2, syms2))
+    need, have = Counter(syms1), Counter(syms2)
+    if any(have[s] < n for s, n in need.items()):
+        return None
+
+    def links(graph):
+        near: dict[int, dict[int, int]] = {i: {} for i in graph[0]}
+        for a, b, c in zip(graph[2] or (), graph[3] or (), graph[4] or ()):
+            near[a][b] = near[b][a] = c if bonds else 0
+        return near
+
+    near1, near2 = links(one), links(two)
+    exact = induced and len(ids1) == len(ids2)
+    if exact and sorted(map(len, near1.values())) != sorted(map(len, near2.values())):
+        return None
+    order: list[int] = []
+    left = set(ids1)
+    while left:
+        node = max(left, key=lambda i: (sum(x not in left for x in near1[i]), len(near1[i]), -i))
+        order.append(node)
+        left.discard(node)
+    image: dict[int, int] = {}
+    used: set[int] = set()
+
+    def fits(a: int, b: int) -> bool:
+        if label1[a] != label2[b] or b in used or len(near1[a]) > len(near2[b]) or exact and len(near1[a]) != len(near2[b]):
+            return False
+        for x, c in near1[a].items():
+            if x in image and near2[b].get(image[x]) != c:
+                return False
+        return not induced or sum(y in used for y in near2[b]) == sum(x in image for x in near1[a])
+
+    def search(k: int) -> bool:
+        if k == len(order):
+            return True
+        a = order[k]
+        placed = next((x for x in near1[a] if x in image), None)
+        for b in near2[image[placed]] if placed is not None else ids2:
+            if fits(a, b):
+                image[a] = b
+                used.add(b)
+                if search(k + 1):
+                    return True
+                del image[a]
+                used.discard(b)
+        return False
+
+    return dict(image) if search(0) else None
+
+
+def isomorphism_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, class): the least graph id that is isomorphic.
+
+    Graphs written alike are one form (a pre-aggregated minimum); forms meet under their hash, which only isomorphic
+    graphs and rare others share, and are compared exactly with the classes found so far.
+    """
+    packed = as_graphs(nodes, edges)
+    n = F.array_sort(F.arrays_zip("ids", "syms"))
+    ends = F.transform(F.arrays_zip("src", "dst", "chg"), lambda e: F.struct(F.least(e["src"], e["dst"]).alias("src"), F.greatest(e["src"], e["dst"]).alias("dst"), e["chg"].alias("chg")))
+    e = F.array_sort(F.coalesce(ends, F.array().cast("array<struct<src:int,dst:int,chg:int>>")))
+    forms = packed.select("g", n.alias("n"), e.alias("e")).withColumn("form", F.sha1(F.to_json(F.struct("n", "e")).cast("binary")))
+    first = forms.groupBy("form").agg(F.min("g").alias("rep"))
+    chosen = forms.join(first.select(F.col("rep").alias("g")), "g", "left_semi").join(canonical_hash(nodes, edges), "g")
+    schema = pa.schema([("rep", pa.int64()), ("class", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        classes: list[tuple[int, tuple]] = []
+        out: list[tuple[int, int]] = []
+        for row in sorted(table.to_pylist(), key=lambda r: r["g"]):
+            graph = ([x["ids"] for x in row["n"]], [x["syms"] for x in row["n"]], [x["src"] for x in row["e"]], [x["dst"] for x in row["e"]], [x["chg"] for x in row["e"]])
+            own = next((c for c, other in classes if isomorphism(graph, other) is not None), None)
+            if own is None:
+                own = row["g"]
+                classes.append((own, graph))
+            out.append((row["g"], own))
+        return pa.table({"rep": pa.array([a for a, _ in out], pa.int64()), "class": pa.array([b for _, b in out], pa.int64())}, schema=schema)
+
+    judged = chosen.groupBy("hash").applyInArrow(compare, "rep long, class long")
+    return forms.select("g", "form").join(first, "form").join(judged, "rep").select("g", "class")
+
+
+# Cliques and common subgraphs.
+
+
+def maximal_cliques(near: dict[int, set[int]]) -> Iterator[set[int]]:
+    """Maximal cliques by branch and bound with a pivot."""
+
+    def expand(chosen: set, candidates: set, done: set) -> Iterator[set]:
+        if not candidates and not done:
+            yield set(chosen)
+            return
+        pivot = max(candidates | done, key=lambda x: len(near[x] & candidates))
+        for node in sorted(candidates - near[pivot]):
+            yield from expand(chosen | {node}, candidates & near[node], done & near[node])
+            candidates = candidates - {node}
+            done = done | {node}
+
+    yield from expand(set(), set(near), set())
+
+
+def association_graph(one: tuple, two: tuple) -> tuple[list[tuple[int, int]], dict[int, set[int]]]:
+    """Pairs of nodes with equal symbols, and which pairs go together: different nodes, adjacent in both graphs by the
+    same change or in neither."""
+
+    def links(graph):
+        out: dict[tuple[int, int], int] = {}
+        for a, b, c in zip(graph[2] or (), graph[3] or (), graph[4] or ()):
+            out[a, b] = out[b, a] = c
+        return out
+
+    l1, l2 = links(one), links(two)
+    pairs = [(a, b) for a, s in zip(one[0], one[1]) for b, t in zip(two[0], two[1]) if s == t]
+    near: dict[int, set[int]] = {k: set() for k in range(len(pairs))}
+    for x, (a, b) in enumerate(pairs):
+        for y in range(x):
+            c, d = pairs[y]
+            if a != c and b != d and l1.get((a, c)) == l2.get((b, d)):
+                near[x].add(y)
+                near[y].add(x)
+    return pairs, near
+
+
+def common_subgraph(one: tuple, two: tuple, limit: int = 200_000) -> list[tuple[int, int]]:
+    """A largest common induced subgraph as pairs of nodes; after ``limit`` cliques the best so far."""
+    pairs, near = association_graph(one, two)
+    best: set[int] = set()
+    for k, clique in enumerate(maximal_cliques(near)):
+        if len(clique) > len(best):
+            best = clique
+        if len(best) == min(len(one[0]), len(two[0])) or k >= limit:
+            break
+    return sorted(pairs[k] for k in best)

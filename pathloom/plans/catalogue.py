@@ -304,3 +304,274 @@ SELECT fs.i, fs.j, round(sum(f * s), 8) AS k FROM fs JOIN pw ON pw.i = fs.i AND
 def marginal_kernel(spark, sf_dir):
     nodes, edges = adapters.nation_graph(spark, sf_dir)
     return _rounded(walks.marginal_kernel(nodes, edges, walks.constant_weights(nodes), 0.8, 5), "k", digits=8)
+
+
+# --- shortest paths and subgraphs (graphs are nations)
+
+
+_SP = "WITH RECURSIVE " + sql.paths(sql.NATION, 1000)
+
+
+@query(_SP + " SELECT a.g AS i, b.g AS j, round(CAST(sum(pow(0.9, a.len) * a.freq * b.freq) AS DOUBLE), 4) AS k FROM p a JOIN p b ON a.path = b.path AND b.g <= a.g WHERE a.len >= 2 GROUP BY a.g, b.g")
+def shortest_path_kernel(spark, sf_dir):
+    return _rounded(subgraphs.shortest_path_kernel(*adapters.nation_graph(spark, sf_dir), lam=0.9), "k", digits=4)
+
+
+_SUB = "WITH " + sql.NATION + """, iv AS (SELECT a.g, a.id, m, string_agg(b.sym, '' ORDER BY b.sym) AS s FROM n a, range(1, 6) r(m) JOIN n b ON b.g = a.g AND b.id >= a.id AND b.id < a.id + m GROUP BY a.g, a.id, m HAVING count(*) = m),
+f AS (SELECT g, s || ':' || (m - 1) AS feature, m AS size, count(*) AS n FROM iv GROUP BY ALL)"""
+_SUB = _SUB.replace("FROM n a, range(1, 6) r(m) JOIN n b", "FROM n a CROSS JOIN range(1, 6) r(m) JOIN n b")
+
+
+def _subgraph(how: str) -> Query:
+    def run(spark, sf_dir):
+        return _rounded(subgraphs.subgraph_kernel(*adapters.nation_graph(spark, sf_dir), 5, how), "k")
+
+    return run
+
+
+for _how, _value in {"dot": "sum(a.n * b.n)", "ind": "count(*)", "min": "sum(least(a.n, b.n))"}.items():
+    query(_SUB + f" SELECT a.g AS i, b.g AS j, round(CAST({_value} AS DOUBLE), 6) AS k FROM f a JOIN f b ON a.feature = b.feature AND b.g <= a.g GROUP BY a.g, b.g", name=f"subgraph_kernel_{_how}")(_subgraph(_how))
+query(_SUB + """, s AS (SELECT g, size, sum(n) AS t FROM f GROUP BY g, size)
+SELECT a.g AS i, b.g AS j, round(sum(least(a.n, b.n) / (sqrt(x.t) * sqrt(y.t))), 6) AS k
+FROM f a JOIN f b ON a.feature = b.feature AND b.g <= a.g JOIN s x ON x.g = a.g AND x.size = a.size JOIN s y ON y.g = b.g AND y.size = b.size GROUP BY a.g, b.g""", name="subgraph_kernel_minnorm")(_subgraph("minnorm"))
+
+
+@query("WITH " + sql.RING + """, size AS (SELECT g, count(*) AS k FROM n GROUP BY g)
+SELECT g, CAST(k * least(4, k - 1) + CASE WHEN k <= 4 THEN 1 ELSE 0 END AS BIGINT) AS n FROM size""")
+def subgraph_counts(spark, sf_dir):
+    return subgraphs.subgraph_count(*adapters.order_ring(spark, sf_dir), 4)
+
+
+@query(_P + """, full_ AS (SELECT p.g, min(path) AS key FROM p JOIN (SELECT g, count(*) AS k FROM n GROUP BY g) s ON s.g = p.g AND s.k = p.len GROUP BY p.g),
+c AS (SELECT key, count(*) AS members FROM full_ GROUP BY key)
+SELECT members, count(*) AS classes FROM c GROUP BY members""")
+def isomorphism_classes(spark, sf_dir):
+    found = subgraphs.isomorphism_classes(*adapters.order_graph(spark, sf_dir))
+    return found.groupBy("class").agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("classes"))
+
+
+# --- forests
+
+
+@query("WITH " + sql.FOREST_PATHS + """, lf AS (SELECT * FROM tp WHERE node NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)),
+q AS (SELECT unnest(['N', 'NA', 'NBO', 'NFFA', 'NZ']) AS prefix)
+SELECT prefix, count(down) AS leaves FROM q LEFT JOIN lf ON starts_with(down, prefix) GROUP BY prefix""")
+def subtree_leaves(spark, sf_dir):
+    return forest.subtree_leaves(adapters.geo_forest(spark, sf_dir), 4, ["N", "NA", "NBO", "NFFA", "NZ"])
+
+
+@query("WITH " + sql.FOREST + """ SELECT count(DISTINCT entry) AS entries, count(DISTINCT (entry, tree)) AS trees, count(*) AS nodes,
+CAST(sum(CASE WHEN node NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS leaves FROM t""")
+def forest_totals(spark, sf_dir):
+    return forest.totals(adapters.geo_forest(spark, sf_dir))
+
+
+@query("WITH " + sql.FOREST_PATHS + " SELECT node, dense_rank() OVER (ORDER BY reverse(down)) AS rank FROM tp")
+def upward_rank(spark, sf_dir):
+    return forest.upward_rank(adapters.geo_forest(spark, sf_dir), 4)
+
+
+@query("WITH " + sql.FOREST + """ SELECT node, node NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL) AS is_leaf,
+lead(node) OVER (PARTITION BY entry, tree, parent ORDER BY node) IS NULL AS is_last FROM t""")
+def last_sibling_flags(spark, sf_dir):
+    return forest.with_flags(adapters.geo_forest(spark, sf_dir)).select("node", "is_leaf", "is_last")
+
+
+@query("WITH " + sql.FOREST + ", k AS (SELECT parent, node, row_number() OVER (PARTITION BY entry, tree, parent ORDER BY node) AS r FROM t WHERE parent IS NOT NULL) SELECT parent, node AS child FROM k WHERE r = 2")
+def kth_child(spark, sf_dir):
+    return forest.kth_child(adapters.geo_forest(spark, sf_dir), 2)
+
+
+@query("WITH " + sql.FOREST + " SELECT parent, count(*) AS degree FROM t WHERE parent IS NOT NULL GROUP BY parent")
+def node_degrees(spark, sf_dir):
+    return forest.degrees(adapters.geo_forest(spark, sf_dir))
+
+
+@query("WITH " + sql.FOREST + ", c AS (SELECT sym, count(*) AS n FROM t GROUP BY sym) SELECT sym, n, CAST(sum(n) OVER (ORDER BY sym) AS BIGINT) AS cum FROM c")
+def symbol_cumulative(spark, sf_dir):
+    return forest.symbol_cumulative(adapters.geo_forest(spark, sf_dir))
+
+
+@query("WITH " + sql.USER + " SELECT g, count(*) FILTER (sym = 'c' AND id <= 20) AS n FROM n GROUP BY g")
+def rank_query(spark, sf_dir):
+    return forest.rank_of(adapters.user_chain(spark, sf_dir)[0], "c", 20)
+
+
+@query("WITH " + sql.USER + ", k AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY id) AS r FROM n WHERE sym = 'c') SELECT g, id FROM k WHERE r = 5")
+def select_query(spark, sf_dir):
+    return forest.select_of(adapters.user_chain(spark, sf_dir)[0], "c", 5)
+
+
+# --- reactions
+
+_SEG = """
+x AS (SELECT CAST(c_nationkey AS BIGINT) AS reaction, 's' AS side, c_mktsegment[1:1] AS ligand FROM customer
+      UNION ALL SELECT CAST(s_nationkey AS BIGINT), 'p', ['A', 'B', 'F', 'H', 'M'][s_suppkey % 5 + 1] FROM supplier),
+sd AS (SELECT reaction, side, ligand, count(*) AS n FROM x GROUP BY ALL)"""
+#: A molecule kernel: how near two letters are in the alphabet.
+_MK = ", mk AS (SELECT a, b, 1.0::DOUBLE / (1 + abs(ascii(a) - ascii(b))) AS k FROM (SELECT unnest(['A', 'B', 'F', 'H', 'M']) AS a), (SELECT unnest(['A', 'B', 'F', 'H', 'M']) AS b))"
+_CELLS = """, c AS (SELECT u.reaction AS i, v.reaction AS j, u.side || v.side AS w, sum(k) AS k FROM sd u JOIN mk ON a = u.ligand JOIN sd v ON v.ligand = b AND v.reaction <= u.reaction GROUP BY ALL),
+g AS (SELECT i, j, coalesce(sum(k) FILTER (w = 'ss'), 0) AS ss, coalesce(sum(k) FILTER (w = 'pp'), 0) AS pp, coalesce(sum(k) FILTER (w = 'sp'), 0) AS sp, coalesce(sum(k) FILTER (w = 'ps'), 0) AS ps FROM c GROUP BY i, j)"""
+
+
+def _letters(spark: SparkSession) -> DataFrame:
+    letters = "ABFHM"
+    return spark.createDataFrame([(a, b, 1.0 / (1 + abs(ord(a) - ord(b)))) for a in letters for b in letters], "a string, b string, k double")
+
+
+@query("WITH " + _SEG + _MK + _CELLS + " SELECT i, j, round(ss + pp + sp + ps, 6) AS k FROM g")
+def sum_of_reactants(spark, sf_dir):
+    return _rounded(reactions.sum_of_reactants(adapters.segment_reaction(spark, sf_dir), _letters(spark)), "k")
+
+
+@query("WITH " + _SEG + _MK + _CELLS + " SELECT i, j, round(ss + pp - sp - ps, 6) AS k FROM g")
+def difference_of_reactants(spark, sf_dir):
+    return _rounded(reactions.difference_of_reactants(adapters.segment_reaction(spark, sf_dir), _letters(spark)), "k")
+
+
+@query("WITH " + _SEG + _MK + _CELLS + " SELECT i, j, round(ss * pp, 6) AS k FROM g")
+def reactant_matching(spark, sf_dir):
+    return _rounded(reactions.reactant_matching(adapters.segment_reaction(spark, sf_dir), _letters(spark)), "k")
+
+
+_OR = "WITH o AS (SELECT l_orderkey AS reaction, CASE WHEN l_linestatus = 'O' THEN 's' ELSE 'p' END AS side, p_brand AS ligand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+
+
+@query(_OR + ", d AS (SELECT reaction, ligand, sum(CASE WHEN side = 's' THEN n ELSE -n END) AS d FROM o GROUP BY ALL) SELECT reaction, max(abs(d)) = 0 AS balanced FROM d GROUP BY reaction")
+def balanced_reactions(spark, sf_dir):
+    return reactions.balanced(adapters.order_reaction(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT DISTINCT l_orderkey AS reaction, l_partkey AS ligand FROM lineitem)
+SELECT DISTINCT a.reaction AS r1, b.reaction AS r2 FROM o a JOIN o b ON a.ligand = b.ligand AND a.reaction < b.reaction""")
+def reaction_adjacency(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return graphs.shared_ligands(lines.select(F.col("l_orderkey").alias("reaction"), F.lit("s").alias("side"), F.col("l_partkey").alias("ligand")))
+
+
+# --- message passing
+
+
+@query("WITH " + sql.ORDER + """ SELECT a.g, a.id, CAST(k AS INTEGER) AS k, string_agg(b.sym, '' ORDER BY b.sym) AS value
+FROM n a CROSS JOIN range(0, 4) r(k) JOIN n b ON b.g = a.g AND abs(b.id - a.id) <= k GROUP BY ALL""")
+def atom_distribution(spark, sf_dir):
+    return messages.atom_distribution(*adapters.order_graph(spark, sf_dir), context=3)
+
+
+@query("WITH " + sql.ORDER + """, b AS (SELECT e.g, src, dst, least(x.sym, y.sym) || chg || greatest(x.sym, y.sym) AS bond FROM e JOIN n x ON x.g = e.g AND x.id = src JOIN n y ON y.g = e.g AND y.id = dst)
+SELECT a.g, a.id, CAST(k AS INTEGER) AS k, string_agg(bond, ',' ORDER BY bond) AS value
+FROM n a CROSS JOIN range(1, 4) r(k) JOIN b ON b.g = a.g AND least(abs(src - a.id), abs(dst - a.id)) < k GROUP BY ALL""")
+def bond_distribution(spark, sf_dir):
+    return messages.bond_distribution(*adapters.order_graph(spark, sf_dir), context=3)
+
+
+@query("WITH " + sql.ORDER + """, pr AS (SELECT a.g, a.id, k, x.id AS x, y.id AS y FROM n a CROSS JOIN range(1, 4) r(k) JOIN n x ON x.g = a.g AND abs(x.id - a.id) <= k JOIN n y ON y.g = a.g AND abs(y.id - a.id) <= k AND x.id < y.id),
+s AS (SELECT g, id, k, sum(y - x) AS v FROM pr GROUP BY ALL)
+SELECT n.g, n.id, CAST(r.k AS INTEGER) AS k, CAST(coalesce(v, 0) AS BIGINT) AS value FROM n CROSS JOIN range(1, 4) r(k) LEFT JOIN s ON s.g = n.g AND s.id = n.id AND s.k = r.k""")
+def wiener_index(spark, sf_dir):
+    return messages.wiener_index(*adapters.order_graph(spark, sf_dir), context=3)
+
+
+@query("WITH " + sql.RING + """, m0 AS (SELECT g, id, 1 AS v FROM n),
+m1 AS (SELECT n.g, n.id, sum(m.v) AS v FROM n JOIN adj ON adj.g = n.g AND adj.src = n.id JOIN m0 m ON m.g = n.g AND m.id = adj.dst GROUP BY n.g, n.id),
+m2 AS (SELECT n.g, n.id, sum(m.v) AS v FROM n JOIN adj ON adj.g = n.g AND adj.src = n.id JOIN m1 m ON m.g = n.g AND m.id = adj.dst GROUP BY n.g, n.id)
+SELECT g, id, 0 AS k, CAST(v AS BIGINT) AS value FROM m0 UNION ALL SELECT g, id, 1, CAST(v AS BIGINT) FROM m1 UNION ALL SELECT g, id, 2, CAST(v AS BIGINT) FROM m2""")
+def morgan_index(spark, sf_dir):
+    return messages.morgan_index(*adapters.order_ring(spark, sf_dir), rounds=2)
+
+
+@query("WITH " + sql.RING + " SELECT n.g, n.id, k = 5 AS in_ring FROM n JOIN (SELECT g, count(*) AS k FROM n GROUP BY g) s ON s.g = n.g")
+def ring_membership(spark, sf_dir):
+    return messages.ring_membership(*adapters.order_ring(spark, sf_dir), size=5)
+
+
+@query("WITH " + sql.ORDER + " SELECT a.g, a.id, CAST(min(abs(a.id - b.id)) AS INTEGER) AS nearest, CAST(max(abs(a.id - b.id)) AS INTEGER) AS farthest FROM n a LEFT JOIN n b ON b.g = a.g AND b.id <> a.id GROUP BY a.g, a.id")
+def distance_extremes(spark, sf_dir):
+    return messages.distance_extremes(*adapters.order_graph(spark, sf_dir))
+
+
+@query("WITH " + sql.ORDER + """, m1 AS (SELECT a.g, a.src, a.dst, ascii(n.sym) AS m FROM adj a JOIN n ON n.g = a.g AND n.id = a.src),
+m2 AS (SELECT a.g, a.src, a.dst, sum(p.m) AS m FROM adj a JOIN m1 p ON p.g = a.g AND p.dst = a.src AND p.src <> a.dst GROUP BY ALL)
+SELECT g, src, dst, 1 AS round, CAST(m AS BIGINT) AS m FROM m1 UNION ALL SELECT g, src, dst, 2, CAST(m AS BIGINT) FROM m2""")
+def edge_messages(spark, sf_dir):
+    nodes, edges = adapters.order_graph(spark, sf_dir)
+    return messages.messages(nodes, edges, 2, nodes.select("g", "id", F.ascii("sym").cast("long").alias("m")))
+
+
+# --- labels and text
+
+
+@query("SELECT doc_id, CAST(max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) AS INTEGER) AS is_de, CAST(max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS INTEGER) AS is_en, CAST(max(CASE WHEN lang = 'es' THEN 1 ELSE 0 END) AS INTEGER) AS is_es, CAST(max(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS INTEGER) AS is_fr FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id) GROUP BY doc_id")
+def multi_label_matrix(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    known = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct(), "doc_id")
+    out = labels.multi_label(known.select(F.col("doc_id").alias("item"), F.col("lang").alias("label")), ["de", "en", "es", "fr"])
+    return out.withColumnRenamed("item", "doc_id")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+_LOC = "WITH l AS (SELECT doc_id, text, unnest(list_filter(range(0, length(text)), lambda i: text[i + 1 : i + {n}] = '{p}')) AS pos FROM documents WHERE contains(text, '{p}'))"
+
+
+@query(_LOC.format(n=2, p="ha") + " SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id")
+def text_count(spark, sf_dir):
+    return textindex.count(_docs(spark, sf_dir), "ha")
+
+
+@query(_LOC.format(n=6, p="hahaha") + " SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM l")
+def text_locate(spark, sf_dir):
+    return textindex.locate(_docs(spark, sf_dir), "hahaha")
+
+
+@query(_LOC.format(n=6, p="hahaha") + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, text[greatest(pos - 10, 0) + 1 : pos + 16] AS context FROM l")
+def text_grep_context(spark, sf_dir):
+    return textindex.context(_docs(spark, sf_dir), "hahaha", 10)
+
+
+@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE contains(text, 'hahaha')) SELECT count(DISTINCT line) AS n FROM l WHERE contains(line, 'hahaha')")
+def text_grep_count(spark, sf_dir):
+    return textindex.grep_count(_docs(spark, sf_dir), "hahaha")
+
+
+@query("SELECT doc_id, text[11:40] AS part FROM documents")
+def text_display(spark, sf_dir):
+    return textindex.display(_docs(spark, sf_dir), 10, 30)
+
+
+@query("""WITH s AS (SELECT p_partkey AS doc_id, i AS pos, p_name[i + 1 :] || chr(0) AS suffix, CASE WHEN i = 0 THEN chr(0) ELSE p_name[i : i] END AS b FROM part, range(0, 1000) r(i) WHERE i <= length(p_name)),
+o AS (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY suffix, pos) AS l FROM s)
+SELECT doc_id, count(*) AS length, count(*) FILTER (l IS NULL OR l <> b) AS runs FROM o GROUP BY doc_id""")
+def transform_runs(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    return textindex.transform_runs(parts)
+
+
+# --- mappings: an order's lines in their own order against the order of part keys (no SQL; tests compare searches)
+
+
+def _line_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *adapters.LINE_ORDER)
+    own = Window.partitionBy("l_orderkey").orderBy(*adapters.LINE_ORDER)
+    rows = lines.select(F.col("l_orderkey").alias("reaction"), (F.row_number().over(own) - 1).alias("id"), F.col("l_returnflag").alias("sym"), "l_partkey")
+    after = F.lead("id").over(Window.partitionBy("reaction").orderBy("l_partkey", "id"))
+    rows = rows.withColumn("next", after)
+    per = rows.groupBy("reaction").agg(F.array_sort(F.collect_list(F.struct("id", "sym", "next"))).alias("n"))
+    syms = F.col("n.sym")
+    chain = F.when(F.size("n") > 1, F.transform(F.sequence(F.lit(0), F.size("n") - 2), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    other = F.transform(F.filter("n", lambda x: x["next"].isNotNull()), lambda x: F.struct(x["id"].alias("a"), x["next"].alias("b")))
+    return per.select("reaction", syms.alias("syms1"), chain.alias("edges1"), syms.alias("syms2"), other.alias("edges2"))
+
+
+def _mapped(algorithm: str, **options) -> Query:
+    def run(spark, sf_dir):
+        found = mapping.map_reactions(_line_reactions(spark, sf_dir), algorithm, **options)
+        return found.groupBy("reaction").agg(F.max("cost").alias("cost"), F.count("*").alias("mapped"), F.max("status").alias("status"))
+
+    return run
+
+
+for _name, _options in {"astar": {"max_states": 300}, "greedy": {}, "hungarian": {}, "cliques": {"limit": 50}}.items():
+    query(name=f"atom_mapping_{_name}")(_mapped(_name, **_options))
