@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pathloom.operators import adapters, forest, graphs, kernels, labels, mapping, messages, paths, reactions, subgraphs, textindex, walks
 from pathloom.plans import sql
+from pathloom.sinks import text as sink
+from pathloom.sources import molfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -575,3 +577,37 @@ def _mapped(algorithm: str, **options) -> Query:
 
 for _name, _options in {"astar": {"max_states": 300}, "greedy": {}, "hungarian": {}, "cliques": {"limit": 50}}.items():
     query(name=f"atom_mapping_{_name}")(_mapped(_name, **_options))
+
+
+# --- files: written as text and parsed again
+
+
+@query("WITH " + sql.ORDER + """, a AS (SELECT g, count(*) AS nodes, CAST(sum(ascii(sym)) AS BIGINT) AS labels FROM n GROUP BY g),
+b AS (SELECT g, count(*) AS edges, CAST(sum(chg) AS BIGINT) AS changes FROM e GROUP BY g)
+SELECT a.g, nodes, labels, CAST(coalesce(edges, 0) AS BIGINT) AS edges, CAST(coalesce(changes, 0) AS BIGINT) AS changes FROM a LEFT JOIN b USING (g)""")
+def mol_roundtrip(spark, sf_dir):
+    nodes, edges = adapters.order_graph(spark, sf_dir)
+    graphs_ = nodes.select("g").distinct().select("g", F.concat(F.lit("O"), "g").alias("title"), F.lit("A => B").alias("second"))
+    files = sink.mol_text(graphs_, nodes, edges.withColumns({"old": F.lit(1), "new": F.lit(1) + F.col("chg")})).withColumn("name", F.lit("x_0_f.mol"))
+    _, atoms, bonds, _ = molfile.parse_reaction_graphs(files)
+    a = atoms.groupBy("g").agg(F.count("*").alias("nodes"), F.sum(F.ascii("sym")).cast("long").alias("labels"))
+    b = bonds.groupBy("g").agg(F.count("*").alias("edges"), F.sum("chg").alias("changes"))
+    return a.join(b, "g", "left").na.fill(0, ["edges", "changes"])
+
+
+@query("WITH " + sql.RING + """, size AS (SELECT g, count(*) AS k FROM n GROUP BY g)
+SELECT g, CAST(2 * k * (k - 1) + k AS BIGINT) AS nodes, CAST(2 * k AS BIGINT) AS leaves, CAST(k AS INTEGER) AS depth FROM size""")
+def sequence_roundtrip(spark, sf_dir):
+    nodes, edges = adapters.order_ring(spark, sf_dir)
+    lines = sink.sequences(nodes, edges).select(F.col("g").alias("entry"), F.col("start").cast("long").alias("tree"), "line")
+    found = forest.parse_trees(lines)
+    return found.groupBy(F.col("entry").alias("g")).agg(F.count("*").alias("nodes"), F.sum(F.col("is_leaf").cast("long")).alias("leaves"), F.max("depth").alias("depth"))
+
+
+@query(_P + " SELECT path, count(*) AS graphs, CAST(sum(freq) AS BIGINT) AS freq FROM p GROUP BY path")
+def frequency_lines(spark, sf_dir):
+    lines = sink.frequencies(_order_paths(spark, sf_dir))
+    w = F.split("value", " ")
+    pairs = F.slice(w, F.lit(2), F.size(w) - 1)
+    counts = F.transform(pairs, lambda p: F.split_part(p, F.lit(":"), F.lit(2)).cast("long"))
+    return lines.select(w[0].alias("path"), F.size(pairs).cast("long").alias("graphs"), F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("freq"))
