@@ -167,3 +167,22 @@ def shared_ligands(sides: DataFrame, side: str | None = None) -> DataFrame:
 def neighbours(network: DataFrame, reaction: int) -> DataFrame:
     """The reactions next to one in a network (r1, r2)."""
     return network.where((F.col("r1") == reaction) | (F.col("r2") == reaction)).select(F.when(F.col("r1") == reaction, F.col("r2")).otherwise(F.col("r1")).alias("reaction")).distinct()
+
+
+def pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, id, piece): the least node that is connected with a node."""
+
+    def one(ids, near, _):
+        out: dict[int, int] = {}
+        for i in sorted(ids):
+            if i not in out:
+                out |= dict.fromkeys(_bfs([i], near), i)
+        return out.items()
+
+    return by_graph(nodes, edges, ("id", "piece"), one)
+
+
+def least_cost(results: DataFrame, key: str = "reaction", cost: str = "cost") -> DataFrame:
+    """All results of least cost under each key."""
+    best = results.groupBy(key).agg(F.min(cost).alias("__least"))
+    return results.join(best, key).where(F.col(cost) == F.col("__least")).drop("__least")

@@ -91,3 +91,33 @@ def has_hydrogens(nodes: DataFrame) -> DataFrame:
 def balanced_atoms(atoms: DataFrame) -> DataFrame:
     """(reaction, balanced) from (reaction, side, sym): the sorted symbols of both sides are equal."""
     return balanced(atoms.groupBy("reaction", "side", F.col("sym").alias("ligand")).agg(F.count("*").alias("n")))
+
+
+#: Edge types of ligand graphs; any other name is 0.
+EDGE_TYPES = {"main": 1, "leave": 2, "cofac": 3, "trans": 4, "ligase": 5}
+
+
+def ligand_graph(sides: DataFrame, rpairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (g, id, sym) and edges (g, src, dst, chg) of reactions as graphs of ligands.
+
+    ``rpairs`` (reaction, sub, prod, type) joins a substrate and a product in either order; ligands of one side that
+    no pair joins are joined among themselves by an edge of type 0. ``chg`` holds the edge type.
+    """
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("reaction").orderBy("side", "ligand")) - 1
+    own = sides.select("reaction", "side", "ligand").distinct().withColumn("id", number)
+    nodes = own.select(F.col("reaction").alias("g"), "id", F.col("ligand").alias("sym"))
+    a = own.where("side = 's'").select("reaction", F.col("ligand").alias("x"), F.col("id").alias("src"))
+    b = own.where("side = 'p'").select("reaction", F.col("ligand").alias("y"), F.col("id").alias("dst"))
+    code = F.lit(0)
+    for name, n in EDGE_TYPES.items():
+        code = F.when(F.col("type") == name, n).otherwise(code)
+    pairs = rpairs.select("reaction", F.col("sub").alias("x"), F.col("prod").alias("y"), code.alias("chg"))
+    turned = pairs.select("reaction", F.col("y").alias("x"), F.col("x").alias("y"), "chg")
+    joined = pairs.union(turned).join(a, ["reaction", "x"]).join(b, ["reaction", "y"]).groupBy("reaction", "src", "dst").agg(F.max("chg").alias("chg"))
+    left = own.select("reaction", "side", F.col("id").alias("src"))
+    right = own.select(F.col("reaction").alias("r"), F.col("side").alias("t"), F.col("id").alias("dst"))
+    group = left.join(right, (F.col("reaction") == F.col("r")) & (F.col("side") == F.col("t")) & (F.col("src") < F.col("dst"))).select("reaction", "src", "dst")
+    group = group.join(joined, ["reaction", "src", "dst"], "left_anti").withColumn("chg", F.lit(0))
+    return nodes, joined.unionByName(group).select(F.col("reaction").alias("g"), "src", "dst", "chg")

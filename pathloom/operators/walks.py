@@ -156,3 +156,89 @@ def marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam:
 
 def constant_weights(nodes: DataFrame, value: float = 1.0) -> DataFrame:
     return nodes.select("g", "id", F.lit(value).alias("w"))
+
+
+def marginal_levels(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
+    """(i, j, len, k): the parts of ``marginal_kernel`` by the number of nodes of the walks."""
+    whole = [marginal_kernel(nodes, edges, weights, lam, n).withColumn("len", F.lit(n)) for n in range(1, length + 1)]
+    out = whole[0]
+    for more in whole[1:]:
+        out = out.unionByName(more)
+    before = F.coalesce(F.lag("k").over(Window.partitionBy("i", "j").orderBy("len")), F.lit(0.0))
+    return out.select("i", "j", "len", (F.col("k") - before).alias("k"))
+
+
+def partially_normalized(levels: DataFrame) -> DataFrame:
+    """(i, j, k): each level divided by the root of both graphs' own value at that level, then summed."""
+    own = levels.where("i = j").select(F.col("i").alias("d"), F.col("len").alias("dl"), F.col("k").alias("z"))
+    joined = levels
+    for side in ("i", "j"):
+        z = own.select(F.col("d").alias(side), F.col("dl").alias("len"), F.col("z").alias(f"z{side}"))
+        joined = joined.join(z, [side, "len"])
+    scale = F.sqrt(F.col("zi") * F.col("zj"))
+    return joined.groupBy("i", "j").agg(F.sum(F.when(scale > 0, F.col("k") / scale).otherwise(0.0)).alias("k"))
+
+
+def nontottering_marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
+    """As ``marginal_kernel`` for walks of second order that never step straight back in either graph: after u to v the
+    next node is drawn by weight from the neighbours of v but u, or the walk ends; dead ends end it surely."""
+    ends, moves = walk_probabilities(nodes, edges, weights, lam)
+    w = weights.select("g", "id", "w")
+    near = adjacency(edges).select("g", "src", "dst").join(w.select("g", F.col("id").alias("dst"), F.col("w").alias("wd")), ["g", "dst"]).join(w.select("g", F.col("id").alias("src"), F.col("w").alias("ws")), ["g", "src"])
+    total = near.groupBy("g", F.col("src").alias("at")).agg(F.sum("wd").alias("total"))
+    # After prev to at: what is left to choose from.
+    arcs = near.select("g", F.col("src").alias("prev"), F.col("dst").alias("at"), F.col("ws").alias("wp"), F.col("wd").alias("wa")).join(total, ["g", "at"])
+    arcs = arcs.select("g", "prev", "at", (F.col("total") - F.col("wp")).alias("left"), "wa")
+    arcs = arcs.withColumn("pe2", F.when(F.col("left") > 1e-12, 1 - F.lit(lam)).otherwise(1.0))
+    ends_of = lambda g, a, n: ends.select(F.col("g").alias(g), F.col("id").alias(a), F.col("ps").alias(f"ps{n}"), F.col("pe").alias(f"pe{n}"))
+    own = product_nodes(nodes).join(ends_of("i", "a1", 1), ["i", "a1"]).join(ends_of("j", "a2", 2), ["j", "a2"])
+    own = own.select(*KEY, (F.col("ps1") * F.col("ps2")).alias("ps"), (F.col("pe1") * F.col("pe2")).alias("pe"))
+    move = lambda g, a, b, n: moves.select(F.col("g").alias(g), F.col("src").alias(a), F.col("dst").alias(b), F.col("pt").alias(f"p{n}"))
+    arc = lambda g, a, b, n: arcs.select(F.col("g").alias(g), F.col("prev").alias(a), F.col("at").alias(b), F.col("left").alias(f"left{n}"), F.col("wa").alias(f"wa{n}"), F.col("pe2").alias(f"e{n}"))
+    steps = product_edges(nodes, edges).join(arc("i", "a1", "b1", 1), ["i", "a1", "b1"]).join(arc("j", "a2", "b2", 2), ["j", "a2", "b2"])
+    levels = [own.select("i", "j", (F.col("ps") * F.col("pe")).alias("f"))]
+    state = steps.join(own.select(*KEY, "ps"), KEY).join(move("i", "a1", "b1", 1), ["i", "a1", "b1"]).join(move("j", "a2", "b2", 2), ["j", "a2", "b2"])
+    state = state.select(*KEY, "b1", "b2", "left1", "left2", (F.col("e1") * F.col("e2")).alias("e"), (F.col("ps") * F.col("p1") * F.col("p2")).alias("m"))
+    for k in range(2, length + 1):
+        levels.append(state.select("i", "j", (F.col("m") * F.col("e")).alias("f")))
+        if k < length:
+            before = state.select("i", "j", F.col("a1").alias("t1"), F.col("a2").alias("t2"), F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("left1").alias("l1"), F.col("left2").alias("l2"), "m")
+            onward = steps.join(before, KEY).where("t1 <> b1 and t2 <> b2")
+            share = F.lit(lam * lam) * F.col("wa1") / F.col("l1") * F.col("wa2") / F.col("l2")
+            state = onward.groupBy(*KEY, "b1", "b2", "left1", "left2", (F.col("e1") * F.col("e2")).alias("e")).agg(F.sum(F.col("m") * share).alias("m"))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.union(more)
+    return out.groupBy("i", "j").agg(F.sum("f").alias("k"))
+
+
+def path_pair_kernel(paths: DataFrame, lam: float) -> DataFrame:
+    """(i, j, k): lam^length over all pairs of paths with equal labels, one of each graph."""
+    a = paths.select(F.col("g").alias("i"), "path", "len", F.col("freq").alias("fa"))
+    b = paths.select(F.col("g").alias("j"), F.col("path").alias("pb"), F.col("freq").alias("fb"))
+    sums = a.join(b, F.col("path") == F.col("pb")).where("j <= i").groupBy("i", "j", "len").agg(F.sum(F.col("fa") * F.col("fb")).alias("n"))
+    return sums.groupBy("i", "j").agg(F.sum(F.pow(F.lit(lam), "len") * F.col("n")).alias("k"))
+
+
+def reaction_graph_kernel(nodes: DataFrame, edges: DataFrame, molecules: DataFrame, lam: float, length: int) -> DataFrame:
+    """(i, j, k): a marginal walk kernel over graphs of molecules, where two nodes match by as much as their molecules
+    are alike: ``molecules`` (a, b, k) is a normalised, symmetric kernel over the nodes' symbols."""
+    ends, moves = walk_probabilities(nodes, edges, constant_weights(nodes), lam)
+    named = nodes.select("g", "id", "sym").join(ends, ["g", "id"])
+    one = named.select(F.col("g").alias("i"), F.col("id").alias("a1"), F.col("sym").alias("a"), F.col("ps").alias("ps1"), F.col("pe").alias("pe1"))
+    two = named.select(F.col("g").alias("j"), F.col("id").alias("a2"), F.col("sym").alias("b"), F.col("ps").alias("ps2"), F.col("pe").alias("pe2"))
+    own = one.join(molecules, "a").join(two, "b").where("j <= i").select(*KEY, (F.col("ps1") * F.col("ps2")).alias("ps"), (F.col("pe1") * F.col("pe2")).alias("pe"), F.col("k").alias("w"))
+    chg = adjacency(edges)
+    step = lambda g, a, b, n: moves.join(chg, ["g", "src", "dst"]).select(F.col("g").alias(g), F.col("src").alias(a), F.col("dst").alias(b), F.col("pt").alias(f"p{n}"), F.col("chg").alias(f"c{n}"))
+    now, levels = own.select(*KEY, (F.col("pe") * F.col("w")).alias("f")), []
+    for k in range(1, length + 1):
+        levels.append(now.join(own.select(*KEY, "ps"), KEY).select("i", "j", (F.col("ps") * F.col("f")).alias("f")))
+        if k < length:
+            nxt = now.select("i", "j", F.col("a1").alias("b1"), F.col("a2").alias("b2"), "f")
+            moved = nxt.join(step("i", "a1", "b1", 1), ["i", "b1"]).join(step("j", "a2", "b2", 2), ["j", "b2"]).where("c1 = c2")
+            moved = moved.groupBy(*KEY).agg(F.sum(F.col("p1") * F.col("p2") * F.col("f")).alias("f"))
+            now = moved.join(own.select(*KEY, "w"), KEY).select(*KEY, (F.col("w") * F.col("f")).alias("f"))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.union(more)
+    return out.groupBy("i", "j").agg(F.sum("f").alias("k"))

@@ -146,7 +146,7 @@ def labels_matrix(labels: DataFrame, values: list[str]) -> DataFrame:
     from pathloom.operators.labels import multi_label
 
     wide = multi_label(labels, values)
-    return wide.select("item", F.concat_ws(" ", *[F.col(c).cast("string") for c in wide.columns if c != "item"]).alias("value"))
+    return wide.select("item", F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in wide.columns if c != "item"]).alias("value"))
 
 
 def reaction_lines(reactions: DataFrame) -> DataFrame:

@@ -104,8 +104,8 @@ def read_code_table(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, codes, used, forward): rows of integers in the file's order; used rows have a first number above 0 and
     alternate between forward and backward."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("row_no", "line"))
-    rows = whole.select("row_no", F.transform(F.regexp_extract_all("line", F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("codes"))
-    rows = rows.withColumn("used", F.col("codes")[0] > 0)
+    rows = whole.select("row_no", F.transform(F.regexp_extract_all("line", F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("codes")).where(F.size("codes") > 0)
+    rows = rows.withColumn("used", F.coalesce(F.get("codes", F.lit(0)) > 0, F.lit(False)))
     n = F.sum(F.col("used").cast("int")).over(Window.partitionBy(F.lit(0)).orderBy("row_no"))
     return rows.withColumn("forward", F.when(F.col("used"), n % 2 == 1))
 

@@ -47,11 +47,11 @@ def _bonds(lines: DataFrame, reaction: bool) -> DataFrame:
 
 def _without_hydrogen(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
     heavy = atoms.where(~F.col("sym").isin("H", "H+"))
-    number = heavy.select("g", F.col("id").alias("was"), (F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1).alias("now"))
-    nodes = heavy.join(number, (heavy["g"] == number["g"]) & (heavy["id"] == number["was"])).select(heavy["g"], F.col("now").alias("id"), "sym", "x", "y")
+    number = heavy.select("g", "id", (F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1).alias("now"))
+    nodes = heavy.join(number, ["g", "id"]).select("g", F.col("now").alias("id"), "sym", "x", "y")
     edges = bonds
     for end in ("src", "dst"):
-        new = number.select(F.col("g").alias("ng"), F.col("was").alias("w"), F.col("now").alias(f"n_{end}"))
+        new = number.select(F.col("g").alias("ng"), F.col("id").alias("w"), F.col("now").alias(f"n_{end}"))
         edges = edges.join(new, (F.col("g") == F.col("ng")) & (F.col(end) == F.col("w"))).drop("ng", "w")
     edges = edges.withColumns({"src": F.col("n_src"), "dst": F.col("n_dst")}).drop("n_src", "n_dst")
     return nodes, edges

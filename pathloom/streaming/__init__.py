@@ -1,0 +1 @@
+"""Path tables that grow with a stream of graphs."""
