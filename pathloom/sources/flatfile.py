@@ -80,9 +80,12 @@ def rpairs(entries: DataFrame) -> DataFrame:
 
 def read_mapping_report(spark: SparkSession, path: str) -> DataFrame:
     """(reaction, lhs_atom, rhs_atom) from mapping reports: the atom rows of each report, under the last REACTION line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line"), F.monotonically_increasing_id().alias("file"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
+    w = Window.partitionBy("file").orderBy("ord")
     mark = F.when(F.col("line").startswith("REACTION"), F.regexp_extract("line", r"^REACTION\s+(\S+)", 1))
-    filled = lines.withColumn("reaction", F.last(mark, ignorenulls=True).over(Window.partitionBy("file").orderBy("ord")))
+    head = F.when(F.col("line").rlike("^[A-Z]{3,}"), F.regexp_extract("line", "^([A-Z]+)", 1))
+    filled = lines.withColumn("reaction", F.last(mark, ignorenulls=True).over(w)).withColumn("section", F.last(head, ignorenulls=True).over(w))
+    filled = filled.where("section <> 'BONDS'")
     row = r"^\s*(\d+)\s+\S+\s+(\d+)\s+\S+\s*$"
     return filled.where(F.col("line").rlike(row)).select("reaction", F.regexp_extract("line", row, 1).cast("int").alias("lhs_atom"), F.regexp_extract("line", row, 2).cast("int").alias("rhs_atom"))
 
