@@ -51,6 +51,9 @@ def _per_graph(nodes: DataFrame, edges: DataFrame, ddl: str, schema: pa.Schema,
                 for row in one(*graph):
                     for values, v in zip(out, (g, *row)):
                         values.append(v)
+                    if len(out[0]) == 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+                        out = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
     return as_graphs(nodes, edges).mapInArrow(walk, ddl)
