@@ -1,7 +1,16 @@
-"""Product graphs and walk kernels, set-based: all pairs of graphs advance together, one join per walk length."""
+"""Product graphs and walk kernels.
+
+Two strategies give the same kernels. ``pairs`` deals graphs to blocks of few and lets a task compute all pairs of two
+blocks with small matrices: the product graph of a pair is a mask over nodes x nodes and never a table. ``joins`` makes
+product graphs as tables, and all pairs advance together, one join per walk length: for single graphs too large for a task.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.operators.paths import adjacency
@@ -39,8 +48,74 @@ def reduced(product: DataFrame, core: DataFrame) -> DataFrame:
     return product.join(flag("i", "a1", "c1"), ["i", "a1"]).join(flag("j", "a2", "c2"), ["j", "a2"]).where("c1 = c2").drop("c1", "c2").select(*product.columns)
 
 
-def walk_counts(nodes: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+#: Graphs of a block. A task holds two blocks.
+BLOCK = 4
+
+
+def _pair_levels(nodes: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
+    """(i, j, len, k): weighted common walks of each number of nodes, for all pairs j <= i.
+
+    ``nodes`` (g, id, sym, a, s, q) and directed ``arcs`` (g, src, dst, chg, p): a level starts as the product of both
+    graphs' ``a``, moves along arcs of equal change by the product of ``p``, is scaled by ``s`` and summed with ``q``.
+    """
+    own = nodes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "sym", "a", "s", "q"))).alias("n"))
+    links = arcs.groupBy("g").agg(F.collect_list(F.struct("src", "dst", "chg", "p")).alias("e"))
+    packed = own.join(links, "g", "left")
+    blocks = max(1, math.ceil(packed.count() / BLOCK))
+    dealt = packed.withColumn("own", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("g", "n", "e", "own", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"))
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("len", pa.int32()), ("k", pa.float64())])
+
+    def graph(row: dict) -> tuple:
+        place = {x["id"]: k for k, x in enumerate(row["n"])}
+        syms = np.array([x["sym"] for x in row["n"]], object)
+        factors = [np.array([x[c] for x in row["n"]], float) for c in "asq"]
+        moves = {}
+        for chg in {x["chg"] for x in row["e"] or ()}:
+            chosen = [x for x in row["e"] if x["chg"] == chg]
+            moves[chg] = np.array([place[x["src"]] for x in chosen]), np.array([place[x["dst"]] for x in chosen]), np.array([x["p"] for x in chosen], float)
+        return row["g"], row["own"], syms, *factors, moves
+
+    def gathered(matrix: np.ndarray, move: tuple) -> np.ndarray:
+        src, dst, p = move
+        out = np.zeros_like(matrix)
+        np.add.at(out, src, matrix[dst] * p[:, None])
+        return out
+
+    def compare(table: pa.Table) -> pa.Table:
+        graphs = sorted((graph(r) for r in table.to_pylist()), key=lambda x: x[0])
+        alone = len({x[1] for x in graphs}) == 1 and table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        out: list[list] = [[], [], [], []]
+        for x in graphs:
+            for y in graphs:
+                if y[0] > x[0] or not alone and x[1] == y[1]:
+                    continue
+                same = (x[2][:, None] == y[2][None, :]).astype(float)
+                now, scale, start = (np.outer(x[k], y[k]) * same for k in (3, 4, 5))
+                for n in range(1, length + 1):
+                    for values, v in zip(out, (x[0], y[0], n, float((now * start).sum()))):
+                        values.append(v)
+                    if n < length:
+                        moved = np.zeros_like(now)
+                        for chg in x[6].keys() & y[6].keys():
+                            moved += gathered(gathered(now, x[6][chg]).T, y[6][chg]).T
+                        now = moved * scale
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+
+    levels = dealt.groupBy("x", "y").applyInArrow(compare, "i long, j long, len int, k double")
+    return levels.where("k <> 0")
+
+
+def _plain_arcs(edges: DataFrame) -> DataFrame:
+    return adjacency(edges).withColumn("p", F.lit(1.0))
+
+
+def walk_counts(nodes: DataFrame, edges: DataFrame, length: int, strategy: str = "pairs") -> DataFrame:
     """(i, j, len, n): common walks of 1..``length`` nodes: D_1 = 1, D_l(v) = sum of D_(l-1) over the neighbours."""
+    if strategy == "pairs":
+        one = F.lit(1.0)
+        levels = _pair_levels(nodes.select("g", "id", "sym", one.alias("a"), one.alias("s"), one.alias("q")), _plain_arcs(edges), length)
+        return levels.select("i", "j", "len", F.col("k").cast("long").alias("n"))
     steps = product_edges(nodes, edges)
     now = product_nodes(nodes).withColumn("n", F.lit(1).cast("long"))
     levels = []
@@ -71,11 +146,15 @@ def _weighted(product: DataFrame, weights: DataFrame) -> DataFrame:
     return product.join(side("i", "a1", "w1"), ["i", "a1"]).join(side("j", "a2", "w2"), ["j", "a2"]).select(*KEY, (F.col("w1") * F.col("w2")).alias("w"))
 
 
-def walk_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
+def walk_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "pairs") -> DataFrame:
     """(i, j, k): F_1(v) = lam w(v), F_l(v) = lam w(v) sum of F_(l-1) over neighbours, summed over nodes and lengths.
 
     ``weights`` is (g, id, w); all ones give the plain walk kernel.
     """
+    if strategy == "pairs":
+        factor = F.col("w") * math.sqrt(lam)
+        own = nodes.join(weights, ["g", "id"]).select("g", "id", "sym", factor.alias("a"), factor.alias("s"), F.lit(1.0).alias("q"))
+        return _pair_levels(own, _plain_arcs(edges), length).groupBy("i", "j").agg(F.sum("k").alias("k"))
     own = _weighted(product_nodes(nodes), weights)
     steps = product_edges(nodes, edges)
     now = own.select(*KEY, (F.lit(lam) * F.col("w")).alias("f"))
@@ -131,9 +210,11 @@ def walk_probabilities(nodes: DataFrame, edges: DataFrame, weights: DataFrame, l
     return nodes_out, moves
 
 
-def marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
+def marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "pairs") -> DataFrame:
     """(i, j, k): the probability that random walks on both graphs have equal labels: F_1 = Ps Pe, F_l(v) = sum over
     neighbours u of F_(l-1)(u) Pt(v, u), summed over lengths, with starts by Ps."""
+    if strategy == "pairs":
+        return marginal_levels(nodes, edges, weights, lam, length).groupBy("i", "j").agg(F.sum("k").alias("k"))
     ends, moves = walk_probabilities(nodes, edges, weights, lam)
     side = lambda g, a, n: ends.select(F.col("g").alias(g), F.col("id").alias(a), F.col("ps").alias(f"ps{n}"), F.col("pe").alias(f"pe{n}"))
     own = product_nodes(nodes).join(side("i", "a1", 1), ["i", "a1"]).join(side("j", "a2", 2), ["j", "a2"])
@@ -160,12 +241,10 @@ def constant_weights(nodes: DataFrame, value: float = 1.0) -> DataFrame:
 
 def marginal_levels(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
     """(i, j, len, k): the parts of ``marginal_kernel`` by the number of nodes of the walks."""
-    whole = [marginal_kernel(nodes, edges, weights, lam, n).withColumn("len", F.lit(n)) for n in range(1, length + 1)]
-    out = whole[0]
-    for more in whole[1:]:
-        out = out.unionByName(more)
-    before = F.coalesce(F.lag("k").over(Window.partitionBy("i", "j").orderBy("len")), F.lit(0.0))
-    return out.select("i", "j", "len", (F.col("k") - before).alias("k"))
+    ends, moves = walk_probabilities(nodes, edges, weights, lam)
+    own = nodes.join(ends, ["g", "id"]).select("g", "id", "sym", F.col("pe").alias("a"), F.lit(1.0).alias("s"), F.col("ps").alias("q"))
+    arcs = adjacency(edges).join(moves, ["g", "src", "dst"]).select("g", "src", "dst", "chg", F.col("pt").alias("p"))
+    return _pair_levels(own, arcs, length)
 
 
 def partially_normalized(levels: DataFrame) -> DataFrame:

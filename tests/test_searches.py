@@ -119,6 +119,16 @@ def test_walk_probabilities_add_up(spark):
     assert all(v == pytest.approx(1) for v in starts.values())
 
 
+def test_strategies_of_walk_kernels_agree(spark):
+    n, e = tables(spark, *random_graphs(17, 9))
+    w = n.select("g", "id", (0.5 + 0.1 * n["id"]).alias("w"))
+    for kernel in (lambda s: walks.walk_kernel(n, e, w, 0.7, 4, s), lambda s: walks.marginal_kernel(n, e, w, 0.7, 4, s)):
+        got, want = ({(r.i, r.j): r.k for r in kernel(s).collect() if r.k} for s in ("pairs", "joins"))
+        assert got == pytest.approx(want)
+    got, want = ({(r.i, r.j, r.len): r.n for r in walks.walk_counts(n, e, 4, s).collect()} for s in ("pairs", "joins"))
+    assert got == want
+
+
 def test_second_order_walks_by_enumeration(spark):
     nodes, edges = random_graphs(8, 3)
     n, e = tables(spark, nodes, edges)
