@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pathloom.operators.paths import is_core, reverse_direction
 
+# Fixed values of the 64 settings.
 LAMBDA = 0.9
 CAPS = (15, 50)
 SEED = 0.001

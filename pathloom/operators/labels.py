@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Three dotted fields of digits or a dash, then a fourth.
+# Fixed pattern: three dotted fields of digits or a dash, then a fourth.
 EC = r"(?:\d+|-)\.(?:\d+|-)\.(?:\d+|-)\.(?:[A-Za-z]?\d+|-)"
 
 

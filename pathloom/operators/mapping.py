@@ -279,3 +279,15 @@ def completeness(sides: DataFrame, image: DataFrame) -> DataFrame:
     """(reaction, mapped, total): mapped and all left-hand atoms."""
     mapped = image.groupBy("reaction").agg(F.count("*").alias("mapped"))
     return sides.select("reaction", F.size("syms1").cast("long").alias("total")).join(mapped, "reaction", "left").na.fill(0, ["mapped"])
+
+
+def dictionaries(nodes: DataFrame) -> DataFrame:
+    """(sym, code): symbols numbered from 0 in sorted order; a table of one row per symbol."""
+    from pyspark.sql import Window
+
+    return nodes.select("sym").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("sym")) - 1)
+
+
+def unmapped(nodes: DataFrame, image: DataFrame) -> DataFrame:
+    """Left-hand nodes (reaction, id, ..) that a mapping leaves out."""
+    return nodes.join(image.select("reaction", F.col("lhs_atom").alias("id")), ["reaction", "id"], "left_anti")

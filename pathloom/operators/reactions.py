@@ -93,7 +93,7 @@ def balanced_atoms(atoms: DataFrame) -> DataFrame:
     return balanced(atoms.groupBy("reaction", "side", F.col("sym").alias("ligand")).agg(F.count("*").alias("n")))
 
 
-#: Edge types of ligand graphs; any other name is 0.
+# Edge types of ligand graphs; any other name is 0.
 EDGE_TYPES = {"main": 1, "leave": 2, "cofac": 3, "trans": 4, "ligase": 5}
 
 
