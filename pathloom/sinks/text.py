@@ -156,3 +156,17 @@ def reaction_lines(reactions: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("line_no", F.row_number().over(Window.orderBy(order)))
+
+
+def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, value): graphs in GraphViz form; changed edges carry their sign."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    points = nodes.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "sym"))), lambda x: F.concat(F.lit("  n"), x["id"], F.lit(" [label="), quoted(x["sym"]), F.lit("];"))), "\n").alias("points"))
+    sign = lambda c: F.when(c > 0, ' [label="+"]').when(c < 0, ' [label="-"]').otherwise("")
+    lines = edges.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", "chg"))), lambda x: F.concat(F.lit("  n"), x["src"], F.lit(" -- n"), x["dst"], sign(x["chg"]), F.lit(";"))), "\n").alias("lines"))
+    return points.join(lines, "g", "left").select("g", F.concat_ws("\n", F.concat(F.lit("graph g"), "g", F.lit(" {")), "points", "lines", F.lit("}")).alias("value"))
+
+
+def network_dot(network: DataFrame) -> DataFrame:
+    """Lines of a reaction network (r1, r2) in GraphViz form, to go between ``graph network {`` and ``}``."""
+    return network.select(F.concat(F.lit('  "'), F.col("r1").cast("string"), F.lit('" -- "'), F.col("r2").cast("string"), F.lit('";')).alias("value"))

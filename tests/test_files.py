@@ -166,6 +166,13 @@ def test_path_files(spark, tmp_path):
     assert [r.value for r in sink.new_lines(spark.createDataFrame([("a",), ("b",), ("b",)], "value string"), old).collect()] == ["b"]
 
 
+def test_graphviz(spark):
+    nodes, edges = tables(spark, TOY_NODES, TOY_EDGES)
+    got = {r.g: r.value for r in sink.dot(nodes, edges).collect()}
+    assert got[0] == 'graph g0 {\n  n0 [label="C"];\n  n1 [label="C"];\n  n2 [label="O"];\n  n0 -- n1;\n  n1 -- n2 [label="+"];\n}'
+    assert [r.value for r in sink.network_dot(spark.createDataFrame([(1, 2)], "r1 long, r2 long")).collect()] == ['  "1" -- "2";']
+
+
 def test_reports_and_labels(spark):
     heads = spark.createDataFrame([("R1", "A <=> B", 2)], "reaction string, equation string, cost int")
     image = spark.createDataFrame([("R1", 2, "O", 1, "O"), ("R1", 1, "C", 2, "C")], "reaction string, lhs_atom int, lhs_sym string, rhs_atom int, rhs_sym string")
