@@ -7,6 +7,8 @@ Words are maximal runs of characters other than U+0020 and U+0009..U+000D.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,6 +34,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_SCRATCH:
         _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="pathloom-"))
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], ignore_errors=True)
     return f"file://{_LOCAL_SCRATCH[0]}"
 
 

@@ -24,8 +24,7 @@ END_ID = 1
 
 # Lower-casing A-Z before normalisation is safe unless a combining mark follows; Latin text has none.
 _ODD = re.compile("[^\x00-˿Ḁ-ỿ‐-⁄₠-₿]")
-_ASCII_WORD = re.compile(rb"([a-z]+)([!#$%&()*+,\-./:;=?_]*)")
-_OTHER_WORD = re.compile("([^\\W\\d_]*[a-zà-öø-ÿ])([!#$%&()*+,\\-./:;=?_]*)")
+_MARKS = b"!#$%&()*+,-./:;=?_"
 
 
 class Encoder:
@@ -53,30 +52,27 @@ class Encoder:
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        table, parts, wanted = self._table, {}, {}
+        table, parts, wanted = self._table, [], {}
         for chunk in chunks:
-            if not chunk:
-                table[chunk] = b""
-                continue
-            m = _ASCII_WORD.fullmatch(chunk)
-            if m:
-                parts[chunk] = m[1], m[2]
-            else:
-                other = _OTHER_WORD.fullmatch(text := chunk.decode())
-                if not other or _ODD.search(text):
-                    table[chunk] = self._plain(text)
+            word = chunk.rstrip(_MARKS)
+            if not word.isalpha():  # more than ASCII letters: other letters, or none
+                text = word.decode()
+                if not text.isalpha() or _ODD.search(text):
+                    table[chunk] = self._plain(chunk.decode()) if chunk else b""
                     continue
-                parts[chunk] = other[1].encode(), other[2].encode()
-            for part in parts[chunk]:
-                if part and part not in table:
-                    wanted[part] = None
+            rest = chunk[len(word) :]
+            parts.append((chunk, word, rest))
+            if word not in table:
+                wanted[word] = None
+            if rest and rest not in table:
+                wanted[rest] = None
         alike = [w for w in wanted if w[-1] >= 97]  # letters; the rest is punctuation
         if alike:
             table.update(zip(alike, self._words(alike)))
         for part in wanted:
             if part not in table:
                 table[part] = self._plain(part.decode())
-        for chunk, (word, rest) in parts.items():
+        for chunk, word, rest in parts:
             table[chunk] = table[word] + (table[rest] if rest else b"")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
