@@ -91,6 +91,8 @@ def _pair_levels(nodes: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
                 if y[0] > x[0] or not alone and x[1] == y[1]:
                     continue
                 same = (x[2][:, None] == y[2][None, :]).astype(float)
+                if not same.any():  # no product node, no row
+                    continue
                 now, scale, start = (np.outer(x[k], y[k]) * same for k in (3, 4, 5))
                 for n in range(1, length + 1):
                     for values, v in zip(out, (x[0], y[0], n, float((now * start).sum()))):
@@ -102,8 +104,7 @@ def _pair_levels(nodes: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
                         now = moved * scale
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
-    levels = dealt.groupBy("x", "y").applyInArrow(compare, "i long, j long, len int, k double")
-    return levels.where("k <> 0")
+    return dealt.groupBy("x", "y").applyInArrow(compare, "i long, j long, len int, k double")
 
 
 def _plain_arcs(edges: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def walk_counts(nodes: DataFrame, edges: DataFrame, length: int, strategy: str =
     if strategy == "pairs":
         one = F.lit(1.0)
         levels = _pair_levels(nodes.select("g", "id", "sym", one.alias("a"), one.alias("s"), one.alias("q")), _plain_arcs(edges), length)
-        return levels.select("i", "j", "len", F.col("k").cast("long").alias("n"))
+        return levels.where("k <> 0").select("i", "j", "len", F.col("k").cast("long").alias("n"))
     steps = product_edges(nodes, edges)
     now = product_nodes(nodes).withColumn("n", F.lit(1).cast("long"))
     levels = []
