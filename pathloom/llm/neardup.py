@@ -84,11 +84,12 @@ def need(n: Column) -> Column:
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sketches leave similarity 0.8 possible."""
-    union = np.union1d(a, b)[:SKETCH]
     common = np.intersect1d(a, b, assume_unique=True)
+    if len(a) < SKETCH and len(b) < SKETCH:  # whole sets, and so is their union, whatever its size
+        return len(common) * 5 >= 4 * (len(a) + len(b) - len(common))
+    union = np.union1d(a, b)[:SKETCH]
     shared = int(np.searchsorted(common, union[-1], "right"))
-    whole = len(a) < SKETCH and len(b) < SKETCH
-    return shared * 5 >= 4 * len(union) if whole else shared >= SAMPLE_NEED * len(union) // SKETCH
+    return shared >= SAMPLE_NEED * len(union) // SKETCH
 
 
 def _needs(size: np.ndarray) -> np.ndarray:

@@ -68,6 +68,29 @@ def test_against_all_pairs(spark, monkeypatch, short_list, family):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def at_the_threshold(seed):
+    """Pairs of texts whose sets fit into the sketch, while their union is larger and holds just over four fifths in common."""
+    rng = random.Random(seed)
+    docs = []
+    for k in range(40):
+        for union, common in ((100, 80), (101, 81), (102, 82), (103, 83), (104, 84), (105, 84), (105, 85)):
+            left = rng.randrange(max(0, union - common - 95 + common), min(95 - common, union - common) + 1)
+            own = [f"u{len(docs)}x{i}" for i in range(common + 3)]  # 4 words a shingle
+            more = lambda side, n: [f"{side}{len(docs)}x{i}" for i in range(n)]
+            docs += [own + more("l", left), own + more("r", union - common - left)]
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("family", [1000, 1])
+def test_whole_sets_with_a_larger_union(spark, monkeypatch, family):
+    monkeypatch.setattr(neardup, "FAMILY", family)
+    docs = at_the_threshold(4)
+    sizes = [len(shingles(t, 4)) for _, t in docs]
+    assert 80 <= min(sizes) and max(sizes) < neardup.SKETCH
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 4)
+
+
 def test_odd_rows(spark):
     long_text = " ".join(f"w{i % 7919}x{i % 13}" for i in range(60_000))
     docs = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "oNE TWO"), (6, "one two three four"), (None, "one two"), (8, "z y"), (8, "one two"), (9, long_text), (10, long_text)]
