@@ -2,8 +2,8 @@
 
 A mapping is a bijection that keeps symbols; its cost is the number of edges that
 exist on one side only. Every choice is broken by ids, so results are the same on
-every run. A search that passes ``max_states`` ends with the best known mapping
-and status ``capped``.
+every run. A search given a ``max_states`` that it passes ends with the best known
+mapping and status ``capped``.
 """
 
 from __future__ import annotations
@@ -72,33 +72,45 @@ def order_of(side: Side, how: str = "bfs") -> list[int]:
     return out
 
 
-def astar(lhs: Side, rhs: Side, max_states: int = 50_000) -> tuple[dict[int, int], int, str]:
-    """The least cost, best first: edges decided so far, plus the edges that the rest must lose by their kinds."""
+def astar(lhs: Side, rhs: Side, max_states: int | None = None) -> tuple[dict[int, int], int, str]:
+    """The least cost, best first: edges decided so far, plus the edges that the rest must lose by their kinds.
+
+    What is still to pay rests on the images taken and on where the nodes with open edges went; of states equal in
+    these only the cheapest goes on. ``max_states`` is for callers who want an early end; without it the search ends with the least cost.
+    """
     order, bins = order_of(lhs), twins(rhs)
     left, right = _edges(lhs), _edges(rhs)
     place = {a: k for k, a in enumerate(order)}
     kind = lambda s, a, b: (s[a], s[b]) if s[a] <= s[b] else (s[b], s[a])
     tick = count()
+    last = [max((place[b if a == node else a] for a, b in left if node in (a, b)), default=-1) for node in order]
+    open_places = [[j for j in range(k) if last[j] >= k] for k in range(len(order) + 1)]
+    lefts = [Counter(kind(lhs[0], x, y) for x, y in left if place[x] >= k or place[y] >= k) for k in range(len(order) + 1)]
+    bounds: dict[frozenset, int] = {}  # as many images are used as nodes are placed
 
     def bound(k: int, used: frozenset) -> int:
-        a = Counter(kind(lhs[0], x, y) for x, y in left if place[x] >= k or place[y] >= k)
-        b = Counter(kind(rhs[0], x, y) for x, y in right if x not in used or y not in used)
-        return sum(((a - b) + (b - a)).values())
+        if used not in bounds:
+            b = Counter(kind(rhs[0], x, y) for x, y in right if x not in used or y not in used)
+            bounds[used] = sum(((lefts[k] - b) + (b - lefts[k])).values())
+        return bounds[used]
 
     best = greedy(lhs, rhs)
     limit = cost(lhs, rhs, best)
     open_ = [(bound(0, frozenset()), 0, next(tick), 0, ())]
+    cheapest: dict[tuple, int] = {}
     states = 0
     while open_:
         f, _, _, g, images = heapq.heappop(open_)
         if f >= limit:
             return best, limit, "optimal"
         k = len(images)
+        used = frozenset(images)
+        if cheapest.get((used, *(images[j] for j in open_places[k])), g) < g:
+            continue
         states += 1
-        if states > max_states:
+        if max_states is not None and states > max_states:
             return best, limit, "capped"
         node = order[k]
-        used = frozenset(images)
         tried: set[int] = set()
         for target in range(len(rhs[0])):
             if target in used or rhs[0][target] != lhs[0][node] or bins[target] in tried:
@@ -114,13 +126,16 @@ def astar(lhs: Side, rhs: Side, max_states: int = 50_000) -> tuple[dict[int, int
                 if now < limit:
                     best, limit = dict(zip(order, after)), now
                 continue
-            h = now + bound(k + 1, used | {target})
-            if h < limit:
+            taken = used | {target}
+            h = now + bound(k + 1, taken)
+            state = (taken, *(after[j] for j in open_places[k + 1]))
+            if h < limit and now < cheapest.get(state, now + 1):
+                cheapest[state] = now
                 heapq.heappush(open_, (h, -k, next(tick), now, after))
     return best, limit, "optimal"
 
 
-def dfs(lhs: Side, rhs: Side, max_states: int = 500_000) -> tuple[dict[int, int], int, str]:
+def dfs(lhs: Side, rhs: Side, max_states: int | None = None) -> tuple[dict[int, int], int, str]:
     """The least cost, by exhaustive search that leaves a branch when its cost reaches the best."""
     order = order_of(lhs, "dfs")
     left, right = _edges(lhs), _edges(rhs)
@@ -131,7 +146,7 @@ def dfs(lhs: Side, rhs: Side, max_states: int = 500_000) -> tuple[dict[int, int]
     def search(g: int) -> bool:
         nonlocal best, limit, states
         states += 1
-        if states > max_states:
+        if max_states is not None and states > max_states:
             return False
         if len(images) == len(order):
             if g < limit:
@@ -222,7 +237,7 @@ def hungarian(lhs: Side, rhs: Side) -> tuple[dict[int, int], int, str]:
     return image, cost(lhs, rhs, image), "heuristic"
 
 
-def cliques(lhs: Side, rhs: Side, limit: int = 2_000) -> tuple[dict[int, int], int, str]:
+def cliques(lhs: Side, rhs: Side, limit: int | None = None) -> tuple[dict[int, int], int, str]:
     """Largest common subgraphs, one after another, of what is not mapped yet."""
     image: dict[int, int] = {}
 

@@ -259,13 +259,39 @@ def association_graph(one: tuple, two: tuple) -> tuple[list[tuple[int, int]], di
     return pairs, near
 
 
-def common_subgraph(one: tuple, two: tuple, limit: int = 200_000) -> list[tuple[int, int]]:
-    """A largest common induced subgraph as pairs of nodes; after ``limit`` cliques the best so far."""
+def largest_clique(near: dict[int, set[int]], most: int, group: dict[int, int]) -> set[int]:
+    """A largest clique, by branch and bound; nodes of one group are never together, so the groups left bound what can
+    come. The search may end at ``most`` nodes, which no clique exceeds."""
+    best: list[int] = []
+
+    def expand(chosen: list[int], candidates: set[int]) -> None:
+        nonlocal best
+        if len(chosen) > len(best):
+            best = chosen
+        left: dict[int, list[int]] = {}
+        for node in candidates:
+            left.setdefault(group[node], []).append(node)
+        # From the group with the fewest nodes: one of them is in the clique, or none is.
+        while left and len(best) < most and len(chosen) + len(left) > len(best):
+            own = min(left, key=lambda g: (len(left[g]), g))
+            for node in sorted(left.pop(own)):
+                expand([*chosen, node], candidates & near[node])
+                candidates = candidates - {node}
+
+    expand([], set(near))
+    return set(best)
+
+
+def common_subgraph(one: tuple, two: tuple, limit: int | None = None) -> list[tuple[int, int]]:
+    """A largest common induced subgraph as pairs of nodes; given a ``limit``, the best so far after as many cliques."""
     pairs, near = association_graph(one, two)
+    most = min(len(one[0]), len(two[0]))
+    if limit is None:
+        return sorted(pairs[k] for k in largest_clique(near, most, {k: a for k, (a, _) in enumerate(pairs)}))
     best: set[int] = set()
     for k, clique in enumerate(maximal_cliques(near)):
         if len(clique) > len(best):
             best = clique
-        if len(best) == min(len(one[0]), len(two[0])) or k >= limit:
+        if len(best) == most or k >= limit:
             break
     return sorted(pairs[k] for k in best)

@@ -567,16 +567,16 @@ def _line_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("reaction", syms.alias("syms1"), chain.alias("edges1"), syms.alias("syms2"), other.alias("edges2"))
 
 
-def _mapped(algorithm: str, **options) -> Query:
+def _mapped(algorithm: str) -> Query:
     def run(spark, sf_dir):
-        found = mapping.map_reactions(_line_reactions(spark, sf_dir), algorithm, **options)
+        found = mapping.map_reactions(_line_reactions(spark, sf_dir), algorithm)
         return found.groupBy("reaction").agg(F.max("cost").alias("cost"), F.count("*").alias("mapped"), F.max("status").alias("status"))
 
     return run
 
 
-for _name, _options in {"astar": {"max_states": 300}, "greedy": {}, "hungarian": {}, "cliques": {"limit": 50}}.items():
-    query(name=f"atom_mapping_{_name}")(_mapped(_name, **_options))
+for _name in ("astar", "greedy", "hungarian", "cliques"):
+    query(name=f"atom_mapping_{_name}")(_mapped(_name))
 
 
 # --- files: written as text and parsed again

@@ -1,11 +1,13 @@
 import random
-from itertools import combinations, permutations
+from itertools import combinations, islice, permutations
 
 import numpy as np
 import pytest
 
 from pathloom.functions import matrices
 from pathloom.operators import graphs, kernels, mapping, subgraphs, walks
+from pathloom.plans import catalogue
+from tests.conftest import SF_TEST
 from tests.test_paths import random_graphs, tables
 
 
@@ -33,6 +35,39 @@ def test_mappings(seed):
             assert price >= best
 
 
+def longest_orders(spark, lines):
+    sides = catalogue._line_reactions(spark, SF_TEST).where(f"size(syms1) >= {lines}")
+    pairs = lambda edges: [(e["a"], e["b"]) for e in edges]
+    return {r["reaction"]: ((r["syms1"], pairs(r["edges1"])), (r["syms2"], pairs(r["edges2"]))) for r in sides.collect()}
+
+
+def test_mappings_of_the_longest_orders(spark):
+    got = {r.reaction: (r.cost, r.status) for r in catalogue.QUERIES["atom_mapping_astar"](spark, SF_TEST).collect()}
+    assert {status for _, status in got.values()} == {"optimal"}
+    for reaction, (lhs, rhs) in longest_orders(spark, 11).items():
+        assert mapping.dfs(lhs, rhs)[1] == got[reaction][0]
+
+
+def test_largest_common_subgraphs(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(mapping, "map_reactions", lambda sides, algorithm, **options: asked.append(options) or sides.selectExpr("reaction", "0 AS cost", "'' AS status"))
+    catalogue.QUERIES["atom_mapping_cliques"](spark, SF_TEST)
+    assert asked == [{}]  # nothing ends the search early
+    for lhs, rhs in longest_orders(spark, 12).values():
+        one, two = ((list(range(len(s))), s, [a for a, _ in e], [b for _, b in e], [0] * len(e)) for s, e in (lhs, rhs))
+        pairs, near = subgraphs.association_graph(one, two)
+        found = subgraphs.common_subgraph(one, two)
+        assert len(found) >= max(map(len, islice(subgraphs.maximal_cliques(near), 2_000)))
+    rng = random.Random(9)
+    for _ in range(60):
+        one, two = graph(rng, 7), graph(rng, 7)
+        pairs, near = subgraphs.association_graph(one, two)
+        found = subgraphs.common_subgraph(one, two)
+        places = [pairs.index(p) for p in found]
+        assert all(b in near[a] for a, b in combinations(places, 2))
+        assert len(found) == max(map(len, subgraphs.maximal_cliques(near)))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_assignment(seed):
     rng = random.Random(seed)
