@@ -22,8 +22,8 @@ hidden inputs and closed dialogs. A *renderer* lays the rest out:
 All visible text is emitted, in order; nothing is judged to be boilerplate.
 
 Defined results: a null page gives null text and no blocks; an empty page gives
-an empty text; unclosed or stray tags never fail; depth is bounded by flattening
-what is nested over ``MAX_DEPTH`` deep; repeated rows give equal rows. Pages are
+an empty text; unclosed or stray tags never fail; elements nest to any depth, on
+explicit stacks (indents show up to ``MAX_INDENT`` columns); repeated rows give equal rows. Pages are
 handled one at a time on the map side, without a shuffle.
 """
 
@@ -31,17 +31,17 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pathloom.llm.common import batched, rows
 
-MAX_DEPTH = 200
-#: A table with more columns is laid out with single separators, so that padding stays in proportion to its text.
-MAX_COLUMNS = 64
+#: Deeper indents are shown as this one, so that what they add stays in proportion to the lines.
+MAX_INDENT = 800
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|[!?](?P<odd>[^>]*)(?:>|\Z)|/(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
@@ -56,6 +56,12 @@ UNSEEN = frozenset("head title script style template noscript iframe noembed nof
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr details".split())
 LINES = frozenset("html body div section article header footer main nav aside address form li dt dd tr caption figcaption legend option optgroup summary center dir menu search hgroup dialog select thead tbody tfoot".split())
 BLOCKS = APART | LINES
+#: What may stand in the head; anything else, and text, ends it.
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Elements of drawings and formulas that browsers don't show, those whose content is HTML again, and tags that end drawing and formula.
+FOREIGN_UNSEEN = {"svg": frozenset("defs symbol clippath mask marker pattern metadata desc".split()), "math": frozenset(["annotation", "annotation-xml"])}
+FOREIGN_HTML = {"svg": frozenset(["foreignobject", "desc", "title"]), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+FOREIGN_ENDERS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: A start tag on the left ends an open element on the right, up to the nearest element that scopes it.
 ENDS: dict[str, tuple[frozenset, frozenset]] = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -79,12 +85,18 @@ class Node:
     name: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list["Node | str"] = field(default_factory=list)
+    kind: str = ""  # svg, math or HTML
+
+    def inside(self) -> str:
+        """The kind of what stands in it."""
+        return "" if not self.kind or self.name in FOREIGN_HTML[self.kind] else self.kind
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """('text' | 'start' | 'end', name or text, attributes)."""
+    """('text' | 'start' | 'end', name or text, attributes); a tag closed by itself has the attribute ``/``."""
     at, n = 0, len(page)
     lowered = None
+    foreign = 0
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -93,14 +105,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "text", html.unescape(page[at : m.start()]), {}
         at = m.end()
         if m["end"]:
-            yield "end", m["end"].lower(), {}
+            name = m["end"].lower()
+            foreign -= foreign > 0 and name in FOREIGN_HTML
+            yield "end", name, {}
         elif m["start"]:
             name = m["start"].lower()
             attributes: dict[str, str] = {}
             for key, a, b, c in _ATTRIBUTE.findall(m["rest"]) if m["rest"] else ():
                 attributes.setdefault(key.lower(), html.unescape(a or b or c))
+            alone = m["rest"].endswith("/")
+            if alone:
+                attributes["/"] = ""
+            foreign += name in FOREIGN_HTML and not alone
             yield "start", name, attributes
-            if name in RAW or name in ESCAPABLE_RAW:
+            if (name in RAW or name in ESCAPABLE_RAW) and not (foreign and alone):
                 lowered = page.lower() if lowered is None and page.isascii() else lowered
                 close = _close(page, lowered, name, at)
                 if close > at:
@@ -127,21 +145,30 @@ def tree(page: str) -> Node:
     """The element tree, with implied tags."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # where elements of a name are open
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.name].pop()
+        del stack[k:]
+
+    def nearest(names: frozenset) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def close(names: frozenset, scope: frozenset) -> bool:
         """Close the nearest open element of ``names`` and all in it, unless one of ``scope`` lies between."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return True
-            if stack[k].name in scope:
-                return False
-        return False
+        k = nearest(names)
+        if not k or nearest(scope) > k:
+            return False
+        cut(k)
+        return True
 
     def open_(name: str, attributes: dict[str, str]) -> None:
-        node = Node(name, attributes)
+        kind = name if name in FOREIGN_HTML else stack[-1].inside()
+        node = Node(name, attributes, kind=kind)
         stack[-1].children.append(node)
-        if name not in VOID and len(stack) < MAX_DEPTH:
+        if name not in VOID and not (kind and "/" in attributes):
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
 
     for kind, name, attributes in tokens(page):
@@ -153,8 +180,11 @@ def tree(page: str) -> Node:
                 if name == "body":
                     close(frozenset(["head"]), frozenset())
                 continue
+            if name in FOREIGN_ENDERS:
+                while stack[-1].inside():
+                    cut(len(stack) - 1)
             if stack[-1].name == "head" and name in BLOCKS:
-                stack.pop()
+                cut(len(stack) - 1)
             if name in P_ENDERS:
                 close(frozenset(["p"]), P_SCOPE)
             if name in ENDS:
@@ -171,7 +201,7 @@ def tree(page: str) -> Node:
         elif name == "p":
             if not close(frozenset(["p"]), P_SCOPE):
                 open_("p", {})
-                stack.pop()
+                cut(len(stack) - 1)
         elif name not in ("html", "body"):
             scope = frozenset(["td", "th", "caption"]) if name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption") else frozenset()
             close(frozenset([name]), scope | (frozenset(["table"]) if name != "table" else frozenset()))
@@ -180,7 +210,7 @@ def tree(page: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attributes
-    if node.name in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found":
+    if node.name in UNSEEN or node.kind and node.name in FOREIGN_UNSEEN[node.kind] or "hidden" in a and a["hidden"].lower() != "until-found":
         return False
     if "style" in a and _HIDING.search(a["style"]):
         return False
@@ -197,7 +227,7 @@ class Lines:
         self.parts: list[str] = []
         self.space = False
         self.gap = 0  # blank lines wanted before the next text
-        self.indent = ""
+        self.indent = 0
         self.marker = ""
         self.blocks = 0
         self.fresh = True
@@ -244,9 +274,9 @@ class Lines:
         if self.fresh:
             self.blocks += 1
         self.gap, self.fresh = 0, False
-        lead = self.indent
+        lead = " " * min(self.indent, MAX_INDENT)
         if self.marker:
-            lead = self.indent[: max(0, len(self.indent) - len(self.marker))] + self.marker
+            lead = lead[: max(0, len(lead) - len(self.marker))] + self.marker
             self.marker = ""
         self.done.append((lead + text).rstrip())
 
@@ -266,15 +296,41 @@ def _number(value: str | None, default: int, low: int = -(10**9), high: int = 10
     return min(high, max(low, int(m[1]))) if m else default
 
 
-def _render(node: Node, out: Lines, kept: bool, depth: int = 0) -> None:
+#: A step of the layout: yields the steps it waits for, and is sent what they return.
+Step = Generator["Step", object, object]
+
+
+def _run(step: Step) -> object:
+    """The result of a step, on a stack of its own in place of Python's."""
+    stack, result = [step], None
+    while stack:
+        try:
+            inner = stack[-1].send(result)
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+        else:
+            stack.append(inner)
+            result = None
+    return result
+
+
+def _render(node: Node, out: Lines, kept: bool, shown: bool = True) -> Step:
+    """Lay out what is in a node; in a drawing only its texts are ``shown``."""
     for child in node.children:
         if isinstance(child, str):
-            out.kept(child) if kept else out.text(child)
+            if shown:
+                out.kept(child) if kept else out.text(child)
             continue
         if not visible(child):
             continue
         name = child.name
-        if name == "br":
+        if child.kind == "svg":
+            apart = name in ("svg", "text", "foreignobject")
+            out.space |= apart
+            yield _render(child, out, kept and not apart, name in ("text", "foreignobject") or shown and name != "svg")
+            out.space |= apart
+        elif name == "br":
             out.line(keep=True) if out.parts or kept else None
         elif name == "hr":
             out.block(True)
@@ -289,46 +345,46 @@ def _render(node: Node, out: Lines, kept: bool, depth: int = 0) -> None:
             pass
         elif name == "details" and "open" not in child.attributes:
             out.block(True)
-            _render(Node("details", {}, [c for c in child.children if isinstance(c, Node) and c.name == "summary"]), out, kept, depth + 1)
+            yield _render(Node("details", {}, [c for c in child.children if isinstance(c, Node) and c.name == "summary"]), out, kept)
             out.block(True)
         elif name == "table":
             out.block(True)
-            for line in _table(child, depth):
+            for line in (yield _table(child)):
                 out.parts = [line]
                 out.line()
             out.block(True)
         elif name in ("ul", "ol", "menu", "dir"):
             nested = node.name == "li"
             out.block(not nested)
-            _list(child, out, kept, depth)
+            yield _list(child, out, kept)
             out.block(not nested)
         elif name in ("blockquote", "dd", "figure"):
             out.block(name in APART)
-            out.indent += "    "
-            _render(child, out, kept, depth + 1)
+            out.indent += 4
+            yield _render(child, out, kept)
             out.block(name in APART)
-            out.indent = out.indent[:-4]
+            out.indent -= 4
         elif name in ("pre", "textarea", "listing"):
             out.block(name == "pre")
             if child.children and isinstance(child.children[0], str) and child.children[0].startswith("\n"):
                 child.children[0] = child.children[0][1:]
-            _render(child, out, True, depth + 1)
+            yield _render(child, out, True)
             out.block(name == "pre")
         elif name in BLOCKS:
             out.block(name in APART)
-            _render(child, out, kept, depth + 1)
+            yield _render(child, out, kept)
             out.block(name in APART)
         elif name == "q":
             out.text("\"")
-            _render(child, out, kept, depth + 1)
+            yield _render(child, out, kept)
             out.text("\"")
         else:
             if name in ("td", "th"):  # a cell outside of a table
                 out.space = True
-            _render(child, out, kept, depth + 1)
+            yield _render(child, out, kept)
 
 
-def _list(node: Node, out: Lines, kept: bool, depth: int) -> None:
+def _list(node: Node, out: Lines, kept: bool) -> Step:
     items = [c for c in node.children if isinstance(c, Node) and c.name == "li" and visible(c)]
     down = "reversed" in node.attributes
     at = _number(node.attributes.get("start"), len(items) if down else 1)
@@ -341,28 +397,28 @@ def _list(node: Node, out: Lines, kept: bool, depth: int) -> None:
             at += -1 if down else 1
             before = out.indent
             out.block(False)
-            out.indent += " " * len(marker)
+            out.indent += len(marker)
             out.marker = marker
-            _render(child, out, kept, depth + 1)
+            yield _render(child, out, kept)
             out.block(False)
             out.indent, out.marker = before, ""
         else:
-            _render(Node(node.name, {}, [child]), out, kept, depth + 1)
+            yield _render(Node(node.name, {}, [child]), out, kept)
 
 
-def _lay(node: Node, depth: int) -> list[str]:
+def _lay(node: Node) -> Step:
     own = Lines()
-    _render(node, own, False, depth + 1)
+    yield _render(node, own, False)
     return own.finish()
 
 
-def _table(node: Node, depth: int) -> list[str]:
+def _table(node: Node) -> Step:
     """The lines of a table: captions, then rows with cells in aligned columns."""
     captions: list[str] = []
     grid: list[list[tuple[int, list[str]]]] = []
     spans: dict[int, int] = {}  # columns that cells above still fill, and for how many rows
 
-    def row(node: Node) -> None:
+    def row(node: Node) -> Step:
         column, cells = 0, []
         filled = {c: n for c, n in spans.items() if n > 0}
         for c in filled:
@@ -373,11 +429,11 @@ def _table(node: Node, depth: int) -> list[str]:
                     captions.append(_SPACE.sub(" ", cell).strip())
                 continue
             if cell.name not in ("td", "th"):
-                captions.extend(_lay(Node("div", {}, [cell]), depth))
+                captions.extend((yield _lay(Node("div", {}, [cell]))))
                 continue
             while column in filled:
                 column += 1
-            cells.append((column, _lay(cell, depth)))
+            cells.append((column, (yield _lay(cell))))
             wide = _number(cell.attributes.get("colspan"), 1, 1, 1000)
             tall = _number(cell.attributes.get("rowspan"), 1, 0, 65534)
             for c in range(column, column + wide):
@@ -386,7 +442,7 @@ def _table(node: Node, depth: int) -> list[str]:
             column += wide
         grid.append(cells)
 
-    def walk(node: Node) -> None:
+    def walk(node: Node) -> Step:
         for child in node.children:
             if isinstance(child, str):
                 if child.strip(" \t\n\r\f"):
@@ -394,28 +450,28 @@ def _table(node: Node, depth: int) -> list[str]:
             elif not visible(child):
                 continue
             elif child.name == "tr":
-                row(child)
+                yield row(child)
             elif child.name in ("thead", "tbody", "tfoot"):
                 spans.clear()
-                walk(child)
+                yield walk(child)
             elif child.name not in ("col", "colgroup"):
-                captions.extend(_lay(Node("div", {}, [child]), depth))
-
-    walk(node)
-    columns = 1 + max((c for cells in grid for c, _ in cells), default=-1)
-    width = [0] * columns
-    if columns <= MAX_COLUMNS:
-        for cells in grid:
-            for k, (c, lines) in enumerate(cells[:-1]):
-                reach = cells[k + 1][0] - c
-                if reach == 1:
-                    width[c] = max(width[c], *map(len, lines), 0) if lines else width[c]
+                captions.extend((yield _lay(Node("div", {}, [child]))))
+
+    yield walk(node)
+    # Columns in which no cell begins take no room.
+    place = {c: k for k, c in enumerate(sorted({c for cells in grid for c, _ in cells}))}
+    width = [0] * len(place)
+    for cells in grid:
+        for k, (c, lines) in enumerate(cells[:-1]):
+            if place[cells[k + 1][0]] - place[c] == 1:
+                width[place[c]] = max(width[place[c]], *map(len, lines), 0) if lines else width[place[c]]
+    begins = list(accumulate((w + 2 for w in width), initial=0))
     out = list(captions)
     for cells in grid:
         for at in range(max((len(lines) for _, lines in cells), default=0)):
             line = ""
             for c, lines in cells:
-                begin = sum(width[:c]) + 2 * c if columns <= MAX_COLUMNS else 0
+                begin = begins[place[c]]
                 here = lines[at] if at < len(lines) else ""
                 if here:
                     line = (line.ljust(begin) if len(line) + 2 <= begin or not line else line + "  ") + here
@@ -431,7 +487,7 @@ def visible_text(page: str | None) -> tuple[str | None, int]:
     out = Lines()
     root = tree(page)
     if visible(root):
-        _render(root, out, False)
+        _run(_render(root, out, False))
     lines = out.finish()
     return "\n".join(lines), out.blocks
 

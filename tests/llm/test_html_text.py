@@ -46,6 +46,24 @@ def test_layout(page):
     assert visible_text(page)[0] == CASES[page]
 
 
+@pytest.mark.parametrize("deep", ["<b>" * 300, "<font>x<br>" * 400, "<div>" * 60_000, "<table><tr><td>" * 300])
+def test_hidden_and_laid_out_at_any_depth(deep):
+    page = deep + "<script>s</script><style>t</style><i hidden>h</i><p style='display:none'>d</p><ul><li>a<li>b</ul><pre>c  d\ne</pre><table><tr><td>f<td>g<tr><td>hhh<td>i</table>end"
+    lines = [line for line in visible_text(page)[0].split("\n") if line.strip() not in ("", "x")]
+    assert lines == ["- a", "- b", "c  d", "e", "f    g", "hhh  i", "end"]
+
+
+def test_end_tags_close_their_own_element_at_depth():
+    assert visible_text("<div hidden>" + "<div>" * 300 + "</div>" * 300 + "no</div>yes")[0] == "yes"
+
+
+def test_wide_tables_are_aligned():
+    cells = lambda w: "<tr>" + "".join(f"<td>{w if k % 2 else k % 10}" for k in range(100))
+    lines = visible_text(f"<table>{cells('abc')}{cells('d')}</table>")[0].split("\n")
+    assert len(lines) == 2 and all(lines[1][k] == "d" for k, c in enumerate(lines[0]) if c == "a")
+    assert [k for k, c in enumerate(lines[0]) if c.isdigit()] == [k for k, c in enumerate(lines[1]) if c.isdigit()]
+
+
 INLINE, BLOCK, HIDDEN = ["b", "i", "span", "a"], ["div", "p", "section", "h2", "ul", "li", "table", "tr", "td", "blockquote"], ["script", "style", "template"]
 
 
