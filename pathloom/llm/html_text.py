@@ -51,7 +51,7 @@ _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidde
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("textarea title".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist map meta link base param source track".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist map meta link base param source track".split())
 #: Set apart by a blank line, and merely on lines of their own.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr details".split())
 LINES = frozenset("html body div section article header footer main nav aside address form li dt dd tr caption figcaption legend option optgroup summary center dir menu search hgroup dialog select thead tbody tfoot".split())
@@ -172,6 +172,8 @@ def tree(page: str) -> Node:
             stack.append(node)
 
     for kind, name, attributes in tokens(page):
+        if stack[-1].name == "head" and (name.strip(" \t\n\r\f") if kind == "text" else name not in IN_HEAD if kind == "start" else name in ("br", "body", "html")):
+            cut(len(stack) - 1)
         if kind == "text":
             stack[-1].children.append(name)
         elif kind == "start":
@@ -183,8 +185,6 @@ def tree(page: str) -> Node:
             if name in FOREIGN_ENDERS:
                 while stack[-1].inside():
                     cut(len(stack) - 1)
-            if stack[-1].name == "head" and name in BLOCKS:
-                cut(len(stack) - 1)
             if name in P_ENDERS:
                 close(frozenset(["p"]), P_SCOPE)
             if name in ENDS:

@@ -46,6 +46,24 @@ def test_layout(page):
     assert visible_text(page)[0] == CASES[page]
 
 
+HEADS = {
+    "<head><title>t</title>plain <a href=x>link</a> text": "plain link text",
+    "<head><title>t</title><meta name=a><font><p>one<p>two": "one\n\ntwo",
+    "<html><head>\n<link rel=a>\n<style>s</style><script>c</script><noscript>n</noscript><x-tag>custom</x-tag> y": "custom y",
+    "<head><title>t</title><img alt=pic><button>b</button>": "picb",
+    "<head><title>t</title></br>x": "x",
+    "a <svg width=1><title>t</title><defs><text>n</text></defs><g/>.<text x=1>shown <tspan>too</tspan></text><path d='m'/><text>more</text></svg> b": "a shown too more b",
+    "<svg><title/><text>x</text><foreignObject><p>y</p></foreignObject></svg>z": "x\n\ny\n\nz",
+    "let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>.": "let x=1.",
+    "<svg><path><p>broken out</p>": "broken out",
+}
+
+
+@pytest.mark.parametrize("page", HEADS)
+def test_end_of_head_and_foreign_text(page):
+    assert visible_text(page)[0] == HEADS[page]
+
+
 @pytest.mark.parametrize("deep", ["<b>" * 300, "<font>x<br>" * 400, "<div>" * 60_000, "<table><tr><td>" * 300])
 def test_hidden_and_laid_out_at_any_depth(deep):
     page = deep + "<script>s</script><style>t</style><i hidden>h</i><p style='display:none'>d</p><ul><li>a<li>b</ul><pre>c  d\ne</pre><table><tr><td>f<td>g<tr><td>hhh<td>i</table>end"
