@@ -4,18 +4,20 @@
 over the whole text in linear time. Each distinct value is a protected entity,
 and so is each kind as a whole.
 
-*Terms.* A term is a word within ``NEAR`` words of an entity. From document
-counts over the whole corpus, p(e), p(t) and p(e, t), its disclosure of e is the
-share of e's information that it gives away, PMI(e; t) / -log p(e): 1 if the
-term never occurs without the entity. A term whose disclosure reaches
-``THRESHOLD`` is a span too where it stands near that entity: removed from
-``REMOVE`` on, below that generalised. An estimate counts only if the pair
-occurs in at least ``SUPPORT`` different surroundings, so copies of one document
-prove nothing, and documents without an entity are left alone.
-
-Documents are read twice on the map side; only counts of terms, combined per
-task, and the few words near entities are shuffled. Hot terms are one row per
-task after combining, a hot entity's pairs are distinct per surroundings.
+*Terms.* A term is a word of a document that holds an entity, outside of the base
+spans. From document counts over the whole corpus, p(e), p(t) and p(e, t), its
+disclosure of e is the share of e's information that it gives away, PMI(e; t) /
+-log p(e): 1 if the term never occurs without the entity. A term whose disclosure
+reaches ``THRESHOLD`` is a span too, wherever it stands in documents that hold that
+entity: removed from ``REMOVE`` on, below that generalised. An estimate counts only
+if the pair occurs in at least ``SUPPORT`` different surroundings, so copies of one
+document prove nothing: these are the ``NEAR`` words on both sides of the entity,
+each time the term is among them, and where it never is in a document, one of the
+entity's there. Documents without an entity are left alone.
+
+Documents are read on the map side; only counts of terms, combined per task, the few
+words near entities, and the rows of terms that can reach the threshold by their
+counts are shuffled. Hot terms are one row per task after combining.
 
 Defined results: a null text has no spans; offsets are code points, ends
 exclusive; identical rows get identical results; null ids are allowed; extra
@@ -104,41 +106,93 @@ def term_of(word: str) -> bytes:
     return word.strip(".,;:!?()[]{}<>\"'").encode("utf-8", "surrogatepass").lower()
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(entity, term, surroundings, start, end) for each word near a span, for the span's value and for its kind."""
+def _outside(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """The words' places, the numbers of those outside of the spans, starts, ends, and which are in spans."""
     found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = np.array([a for a, _ in found])
-    ends = np.array([b for _, b in found])
+    starts = np.array([a for a, _ in found], np.int64)
+    ends = np.array([b for _, b in found], np.int64)
     taken = np.zeros(len(found) + 1, bool)
     for a, _, b in spans:
         taken[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = True
+    return found, np.flatnonzero(~taken[:-1]).tolist(), starts, ends, taken
+
+
+def surroundings(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], dict[int, set[int]], dict[tuple[int, int], set[int]]]:
+    """(term, start, end) of the words outside of spans; the surroundings of each entity (values and kinds), and of each
+    (entity, term) near each other."""
+    found, free, starts, ends, taken = _outside(text, spans)
+    hashed: dict[bytes, int] = {}
+    every = []
+    for k in free:
+        term = term_of(text[found[k][0] : found[k][1]])
+        if term:
+            every.append((hashed.get(term) or hashed.setdefault(term, _hash(term)), *found[k]))
+    entities: dict[int, set[int]] = {}
+    near: dict[tuple[int, int], set[int]] = {}
     for a, kind, b in spans:
         first, last = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-        near = [k for k in (*range(max(0, first - NEAR), first), *range(last, min(len(found), last + NEAR))) if not taken[k]]
-        terms = [term_of(text[found[k][0] : found[k][1]]) for k in near]
+        terms = [term_of(text[found[k][0] : found[k][1]]) for k in (*range(max(0, first - NEAR), first), *range(last, min(len(found), last + NEAR))) if not taken[k]]
         around = _hash(b" ".join(terms))
         value = _hash(KINDS[kind].encode() + b"\n" + text[a:b].encode("utf-8", "surrogatepass").lower())
-        for k, term in zip(near, terms):
-            if term:
-                yield value, _hash(term), around, *found[k]
-                yield kind, _hash(term), around, *found[k]
+        for entity in (value, kind):
+            entities.setdefault(entity, set()).add(around)
+            for term in terms:
+                if term:
+                    near.setdefault((entity, hashed[term]), set()).add(around)
+    return every, entities, near
+
+
+def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(entity, term, surroundings, start, end) for each word of a text with spans, pair by pair: what is judged."""
+    every, entities, near = surroundings(text, spans)
+    for entity, arounds in entities.items():
+        for term, start, end in every:
+            for around in near.get((entity, term), (min(arounds),)):
+                yield entity, term, around, start, end
+
+
+def term_spans(text: str, spans: list[tuple[int, int, int]], told: dict[int, float]) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, disclosure) of all words outside of the spans that are among the terms."""
+    found, free, *_ = _outside(text, spans)
+    hashed: dict[bytes, float | None] = {}
+    out = []
+    for k in free:
+        term = term_of(text[found[k][0] : found[k][1]])
+        if term not in hashed:
+            hashed[term] = told.get(_hash(term)) if term else None
+        if hashed[term] is not None:
+            out.append((found[k][0], KINDS.index("term"), found[k][1], hashed[term]))
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
 def _base(docs: DataFrame) -> DataFrame:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    near = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("around", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("base", pa.list_(span)), ("base_sha256", pa.string()), ("near", pa.list_(near))])
+    entity = pa.struct([("entity", pa.int64()), ("home", pa.int64()), ("windows", pa.int32())])
+    near = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("around", pa.int64())])
+    word = pa.struct([("term", pa.int64()), ("windows", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("base", pa.list_(span)), ("base_sha256", pa.string()), ("entities", pa.list_(entity)), ("near", pa.list_(near)), ("words", pa.list_(word))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for doc_id, text, key in rows(batches, "doc_id", "text", "row_key"):
             spans = base_spans(text)
             told = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-            near_rows = [dict(zip(("entity", "term", "around", "start", "end"), x)) for x in near_terms(text, spans)] if spans else []
-            yield doc_id, key if spans else None, [dict(zip(("start", "kind", "end"), s)) for s in spans], hashlib.sha256(told.encode()).hexdigest(), near_rows
+            every, entities, near = surroundings(text, spans) if spans else ([], {}, {})
+            most = dict.fromkeys((t for t, _, _ in every), 1)  # no entity gives a term more surroundings
+            for (_, term), arounds in near.items():
+                most[term] = max(most[term], len(arounds))
+            yield (
+                doc_id, key if spans else None, [dict(zip(("start", "kind", "end"), s)) for s in spans], hashlib.sha256(told.encode()).hexdigest(),
+                [{"entity": e, "home": min(x), "windows": len(x)} for e, x in entities.items()],
+                [{"entity": e, "term": t, "around": a} for (e, t), x in near.items() for a in x],
+                [{"term": t, "windows": n} for t, n in most.items()],
+            )
 
-    ddl = "doc_id long, row_key long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, near array<struct<entity:long,term:long,around:long,start:int,end:int>>"
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return keyed.mapInArrow(lambda it: batched(make(it), schema), ddl)
+    ddl = "doc_id long, row_key long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, entities array<struct<entity:long,home:long,windows:int>>, near array<struct<entity:long,term:long,around:long>>, words array<struct<term:long,windows:int>>"
+    return _keyed(docs).mapInArrow(lambda it: batched(make(it), schema, 1024), ddl)
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
@@ -166,31 +220,67 @@ def _document_counts(docs: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame, scratch: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    """Base rows, and (row_key, terms): the disclosing terms of rows, with their disclosure."""
+    """Base rows, and (row_key, terms): the disclosing terms (term, disclosure) of rows."""
     base = materialise(_base(docs), "base-spans", scratch)
-    near = base.where("size(near) > 0").select("row_key", F.explode("near").alias("x")).select("row_key", "x.*").distinct()
-    total = base.count()
-
-    pairs = near.select("row_key", "entity", "term", "around").distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("both"), F.count_distinct("around").alias("contexts"))
-    together = together.where(F.col("contexts") >= SUPPORT)
-    entities = near.select("row_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    judged = together.join(entities, "entity").join(_document_counts(docs), "term")
-    n = F.lit(float(max(total, 1)))
-    told = F.log2(F.col("both") * n / (F.col("with_entity") * F.col("n"))) / F.log2(n / F.col("with_entity"))
+    each = lambda c: base.where(F.size(c) > 0).select("row_key", F.explode(c).alias("x")).select("row_key", "x.*")
+    total = float(max(base.count(), 1))
+
+    held = each("entities").distinct()
+    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity"), F.sum("windows").alias("windows"))
+    entities = materialise(entities.where((F.col("windows") >= SUPPORT) & (F.col("with_entity") < total)).drop("windows"), "entities", scratch)
+    is_kind = F.col("entity").between(0, 3)
+    kind, value = entities.agg(F.min(F.when(is_kind, F.col("with_entity"))), F.max(F.when(~is_kind, F.col("with_entity")))).first()
+
+    # The threshold is both / n >= p(e) ^ (1 - THRESHOLD); "both" is at most the rows with the term and an entity, and those with e.
+    most = lambda both, n: both * F.pow(F.lit(total) / n, F.lit(1 - THRESHOLD)) * (1 + 1e-9)
+    able = F.lit(False)
+    if kind:
+        able |= F.col("n") <= most(F.col("rows"), F.lit(kind))
+    if value:
+        low = F.least(F.col("rows"), F.lit(value))
+        able |= F.col("n") <= most(low, low)
+    words_ = each("words")
+    likely = words_.groupBy("term").agg(F.count("*").alias("rows"), F.sum("windows").alias("windows")).where(F.col("windows") >= SUPPORT)
+    likely = materialise(likely.join(_document_counts(docs), "term").where(able).select("term", "rows", "n"), "likely-terms", scratch)
+
+    chosen = words_.select("row_key", "term").join(sent(likely), "term")
+    pairs = chosen.join(held.join(sent(entities), "entity"), "row_key").where(F.col("n") <= most(F.least("rows", "with_entity"), F.col("with_entity")))
+    pairs = materialise(pairs.select("row_key", "entity", "term", "home", "with_entity", "n").distinct(), "pairs", scratch)
+    near = each("near").join(sent(likely.select("term")), "term", "left_semi").distinct()
+    judged = pairs.join(near, ["row_key", "entity", "term"], "left").groupBy("entity", "term", "with_entity", "n")
+    judged = judged.agg(F.count_distinct("row_key").alias("both"), F.count_distinct(F.coalesce("around", "home")).alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    told = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("n"))) / F.log2(F.lit(total) / F.col("with_entity"))
     judged = judged.withColumn("disclosure", told).where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
 
-    terms = near.join(judged, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "disclosure")
-    terms = terms.groupBy("row_key").agg(F.collect_list(span).alias("terms"))
+    terms = pairs.select("row_key", "entity", "term").join(judged, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    terms = terms.groupBy("row_key").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
     return base, materialise(terms, "terms", scratch)
 
 
+def _told(terms: list[dict] | None) -> dict[int, float]:
+    return {t["term"]: t["disclosure"] for t in terms or ()}
+
+
+def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row_key, terms): where the terms of rows stand."""
+    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())])
+    schema = pa.schema([("row_key", pa.int64()), ("terms", pa.list_(span))])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, text, more in rows(batches, "row_key", "text", "terms"):
+            found = term_spans(text, base_spans(text), _told(more))
+            yield key, [dict(zip(("start", "kind", "end", "disclosure"), x)) for x in found]
+
+    some = _keyed(docs).join(sent(terms), "row_key").select("row_key", "text", "terms")
+    return some.mapInArrow(lambda it: batched(make(it), schema, 1024), "row_key long, terms array<struct<start:int,kind:int,end:int,disclosure:double>>").dropDuplicates(["row_key"])
+
+
 def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", scratch: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, row_key (null without base spans), base, base_sha256 and ``found``, all spans with
     their disclosure."""
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     base, terms = _found(chosen, scratch)
+    terms = _places(chosen, terms)
     own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(1.0).alias("disclosure")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")
     # Rows without a base span have no terms; they stay out of the join.
@@ -226,7 +316,8 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text: str = "text", scr
                 own = {c: part.column(part.schema.get_field_index(c)) for c in columns}
                 new = []
                 for passage, more in zip(own[text].to_pylist(), part.column(part.schema.get_field_index(terms_of)).to_pylist()):
-                    spans = [(a, k, b, 1.0) for a, k, b in base_spans(passage)] + [(t["start"], t["kind"], t["end"], t["disclosure"]) for t in more or ()]
+                    own_spans = base_spans(passage)
+                    spans = [(a, k, b, 1.0) for a, k, b in own_spans] + (term_spans(passage, own_spans, _told(more)) if more else [])
                     new.append(_replaced(passage, sorted(spans)) if spans else passage)
                 own[text] = pa.array(new, own[text].type)
                 yield pa.RecordBatch.from_arrays([own[c] for c in columns], columns)

@@ -108,3 +108,17 @@ def test_sanitise(spark):
     assert all("Zorblax" not in out[i][-1] and "[EMAIL]" in " ".join(out[i]) for i in range(201, 206))
     assert "[IP]  [CARD] [PHONE]" in out[300][0] and out[500] == [None]  # "paid" is only ever near such values
     assert all(t in out[i] for i, t in docs if not brute(t))
+
+
+def test_terms_far_from_their_entity(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    docs = [(i, text(40)) for i in range(200)]
+    docs += [(300 + k, f"Quixby {text(20)} {text(9)} q.b@mail.example {text(9)} {text(30)} Quixby, {text(3)}") for k in range(4)]
+    docs += [(400 + k, f"Varnol {text(15)} v@{k}.example {text(3)} Varnol {text(15)} varnol.") for k in range(3)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.text.lower() for r in pii.sanitise(table).collect()}
+    assert not any("quixby" in out[300 + k] for k in range(4))
+    assert not any("varnol" in out[400 + k] for k in range(3))
+    spans = {r.doc_id: r.spans for r in pii.report(pii.find(table)).collect()}
+    assert all(f"term:{t.index('Quixby')}:" in spans[i] and f"term:{t.rindex('Quixby')}:" in spans[i] for i, t in docs if 300 <= i < 400)
