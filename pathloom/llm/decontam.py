@@ -9,8 +9,9 @@ hit is verified token by token along that alignment: it is the longest stretch
 that begins and ends with a match, holds at least ``MIN_MATCHED`` matching tokens
 and, in every prefix and suffix, at least ``MIN_SHARE`` of its tokens match.
 A document is contaminated if a verified overlap covers ``MIN_COVER`` of the
-item, or ``LONG_MATCH`` matching tokens of it. Items shorter than ``SPAN`` are
-met by one contiguous window of their whole length.
+item, or ``LONG_MATCH`` matching tokens of it. A further mask, one position shorter,
+meets every run of ``MIN_MATCHED`` tokens. Items shorter than ``SPAN`` are met by one
+contiguous window of their whole length; all their tokens must match anyway.
 
 The benchmark is the small side, but nothing rests on that: it is read in blocks
 of at most ``BLOCK_TOKENS`` tokens (and one item); a task holds one block at a time, so
@@ -35,6 +36,8 @@ from pathloom.llm.common import batched, mix, rows, word_hashes, words
 SPAN = 9
 #: Kept positions of each mask. They ignore different positions, so substitutions that spoil one mask spare another.
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 4, 5, 6, 8), (0, 2, 3, 5, 6, 8), (0, 1, 3, 4, 6, 8))
+#: For runs of 8 tokens in items of ``SPAN`` and more, which no mask of that span need meet.
+RUN_MASK = (0, 1, 3, 4, 6, 7)
 MIN_MATCHED = 8
 MIN_SHARE = 0.6
 MIN_COVER = 0.5
@@ -61,11 +64,11 @@ class Block:
         self.ids = [i for i, _ in items]
         self.tokens = [word_hashes(words(t)) for _, t in items]
         found: list[tuple[np.ndarray, int, int]] = []  # hashes, item, mask
-        self.shapes: list[tuple[tuple[int, ...], int]] = [(m, SPAN) for m in MASKS]
+        self.shapes: list[tuple[tuple[int, ...], int]] = [*((m, SPAN) for m in MASKS), (RUN_MASK, RUN_MASK[-1] + 1)]
         short: dict[int, int] = {}
         for item, tokens in enumerate(self.tokens):
             if len(tokens) >= SPAN:
-                found += [(spaced_hashes(tokens, m, SPAN), item, k) for k, m in enumerate(MASKS)]
+                found += [(spaced_hashes(tokens, m, span), item, k) for k, (m, span) in enumerate(self.shapes[: len(MASKS) + 1])]
             elif len(tokens):
                 n = len(tokens)
                 if n not in short:

@@ -62,3 +62,17 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert [r.contaminated for r in decontam.contamination(docs, none).collect()] == [False]
     assert decontam.contamination(docs.limit(0), none).collect() == []
+
+
+def test_runs_of_eight(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(8, 17)]
+    docs = []
+    for n, t in items:
+        own = t.split()
+        docs += [f"a b {' '.join(own[k : k + 8])} c d" for k in range(n - 7)]
+    nine = items[1][1].split()
+    docs += [" ".join(["a", *nine[1:]]), " ".join([*nine[:-1], "a"])] + [" ".join([*nine[:k], "a", *nine[k + 1 :]]) for k in range(2, 7)]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.contamination(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: sorted(brute(t, items)) for i, t in enumerate(docs)}
+    assert got == want and all(want.values())
