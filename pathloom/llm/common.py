@@ -12,13 +12,20 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
 _LOCAL_SCRATCH: list[str] = []
+#: Scratch tables of this process lie in folders of this name, which are deleted when it ends.
+_RUN = f"pathloom-{uuid.uuid4().hex}"
+_FOLDERS: set[str] = set()
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,8 +45,33 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL_SCRATCH[0]}"
 
 
+def _delete(folder: str) -> None:
+    with suppress(Exception):  # nothing to delete, or the store is gone
+        store, path = fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/pathloom/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared scratch folder. What is there lives until it is discarded or the process ends."""
+    folder = f"{scratch_root(spark)}/{_RUN}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_made() -> Iterator[list[str]]:
+    """The scratch paths that are made inside, for the caller to discard when no result needs them."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
 
 
 def materialise(df: DataFrame, tag: str, keep: list[str] | None = None) -> DataFrame:
@@ -69,6 +101,19 @@ def sent(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(SENT_ROWS + 1).count() <= SENT_ROWS else small
 
 
+def spread(df: DataFrame, rows_: int, size: int, task: int = 128_000_000) -> DataFrame:
+    """``df``, of ``rows_`` rows that each stand for a file, dealt one by one: to a task for each ``task`` of all
+    ``size`` bytes, and to no fewer than keep the cores busy."""
+    tasks = max(-(-size // task), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(1, min(rows_, tasks)))
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that tell rows apart by numbers and, last, a text."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns[:-1]]
+    return F.unhex(F.md5(F.concat_ws(":", *told, F.coalesce(F.concat(F.lit("="), F.col(columns[-1])), F.lit("-")))))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that is no column of ``df`` and begins none."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

@@ -8,26 +8,30 @@ it and carry no payload. Smaller payloads are always written in full. The task
 returns one capture row per record: key, file, offset, length.
 
 *Index.* Captures are sorted by key, the URL with its host reversed
-(``org,example)/path``), then by id. Each task of the sorted table writes one
-index part: blocks of ``BLOCK_LINES`` capture lines, compressed one by one, and a
-sparse directory of the first key of each block. The first keys of the parts are
-the top of the directory.
+(``org,example)/path``), then by id and payload digest. Each task of the sorted
+table writes one index part of about ``PART_CAPTURES`` captures: blocks of
+``BLOCK_LINES`` capture lines, compressed one by one, then the part's sparse
+directory, the first key of each block. The first keys of the parts are the top
+of the directory, one for each ``PART_CAPTURES`` captures.
 
 *Reading.* A lookup finds the part and the block by binary search over these
-keys, decompresses that block alone, finds the capture, and reads the range of
-the archive that holds the record. ``read_all`` streams whole archives instead,
-and resolves every revisit by a lookup of the record that it refers to.
+keys, decompresses that block alone, finds the capture, reads the range of the
+archive that holds the record, and checks the payload's digest. ``read_all``
+streams whole archives instead, checks every digest, and resolves every revisit
+by a lookup of the record that it refers to.
 
-Lookups come sorted by key, dealt by ranges of keys with an id as tie-break, so
-a hot host spreads and neighbouring lookups share a block. Equal payloads are
-grouped by a pre-aggregated maximum and joined back; a hot payload's side with
-one row is small, and adaptive execution splits the other.
+Payloads stay where they are: only digests are grouped, and the repeated ones
+are sent to all tasks while they are few. Lookups come sorted by key, dealt by
+ranges of keys with id and digest as tie-breaks, so a hot host spreads and
+neighbouring lookups share a block; they are streamed, never gathered. Archives
+are dealt to readers one by one.
 
 Defined results: a null payload is empty; null ids and URLs are written with
-empty headers and come back null; repeated rows (same id and payload) are equal,
-so each is what its id makes it; an empty table gives no archives. Offsets are
-those of the archives named in the committed capture table; files of lost tasks
-are never read.
+empty headers and come back null; records with one id are told apart by their
+digests, so an id and URL with two payloads has two captures; repeated rows (same
+id and payload) are equal, so each is what its id makes it; an empty table gives
+no archives. Offsets are those of the archives named in the committed capture
+table; files of lost tasks are never read.
 """
 
 from __future__ import annotations
@@ -44,15 +48,16 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.llm.common import batched, materialise, rows, scratch_path
+from pathloom.llm.common import batched, materialise, rows, scratch_path, sent, spread
 
 ARCHIVE_BYTES = 32_000_000
 LEAST_PAYLOAD = 1000
 BLOCK_LINES = 500
+PART_CAPTURES = 500_000
 DATE = "2000-01-01T00:00:00Z"
 
-_CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string())])
-_CAPTURE_DDL = "key string, page_id long, file string, offset long, length long, record_type string"
+_CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("digest", pa.string())])
+_CAPTURE_DDL = "key string, page_id long, file string, offset long, length long, record_type string, digest string"
 
 
 def capture_key(url: Column) -> Column:
@@ -112,7 +117,7 @@ def classify(pages: DataFrame, id_column: str = "page_id", url: str = "url", htm
     own = own.withColumns({"key": capture_key(F.col("url")), "digest": F.sha1(F.col("html").cast("binary"))})
     large = own.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "key")).alias("first"))
     large = large.where("n > 1").select(F.col("digest").alias("d"), "first")
-    joined = own.join(large, own["digest"] == large["d"], "left")
+    joined = own.join(sent(large), own["digest"] == large["d"], "left")
     revisit = F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.octet_length("html") >= LEAST_PAYLOAD)
     return joined.select(
         "page_id", "url", "html", "key", "digest",
@@ -123,7 +128,7 @@ def classify(pages: DataFrame, id_column: str = "page_id", url: str = "url", htm
 
 
 def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write the archives; one capture row per record: key, page_id, file, offset, length, record_type."""
+    """Write the archives; one capture row per record: key, page_id, file, offset, length, record_type, digest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -138,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
                 at += _put(out, head.encode() + info + b"\r\n\r\n")
             payload = text.encode("utf-8", "surrogatepass")
             size = _put(out, _record(kind, page_id, link, b"" if kind == "revisit" else payload, digest, len(payload), refers_to, refers_key))
-            yield key, page_id, name, at, size, kind
+            yield key, page_id, name, at, size, kind, digest
             at += size
             if at >= ARCHIVE_BYTES:
                 out.close()
@@ -157,65 +162,82 @@ def _put(out: pa.NativeFile, data: bytes) -> int:
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Write index parts over the captures, sorted by key and id; one row per block of the sparse directory."""
-    schema = pa.schema([("part", pa.string()), ("first_key", pa.string()), ("first_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("n", pa.int64())])
+    """Write index parts over the captures, sorted by key, id and digest; one row per part: part, first_key, first_id,
+    first_digest, blocks, n."""
+    schema = pa.schema([("part", pa.string()), ("first_key", pa.string()), ("first_id", pa.int64()), ("first_digest", pa.string()), ("blocks", pa.int64()), ("n", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        name, at, held, out = f"{uuid.uuid4().hex}.idx", 0, [], None
+        name, at, n, held, out = f"{uuid.uuid4().hex}.idx", 0, 0, [], None
+        directory: list[str] = []
+        first: tuple = ()
+
+        def block() -> int:
+            packed = zlib.compress("\n".join(map(_line, held)).encode("utf-8", "surrogatepass"), 6)
+            out.write(packed)
+            directory.append("\t".join([_line(held[0]), str(at), str(len(packed))]))
+            return len(packed)
+
         for row in rows(batches, *_CAPTURE.names):
+            if out is None:
+                out, first = store.open_output_stream(f"{root}/{name}", compression=None), (row[0], row[1], row[6])
             held.append(row)
             if len(held) == BLOCK_LINES:
-                out = out or store.open_output_stream(f"{root}/{name}", compression=None)
-                yield (entry := _block(out, name, at, held))
-                at, held = at + entry[4], []
+                at, n, held = at + block(), n + len(held), []
         if held:
-            out = out or store.open_output_stream(f"{root}/{name}", compression=None)
-            yield _block(out, name, at, held)
+            at, n = at + block(), n + len(held)
         if out is not None:
+            packed = zlib.compress("\n".join(directory).encode("utf-8", "surrogatepass"), 6)
+            out.write(packed + len(packed).to_bytes(8, "little"))
             out.close()
+            yield name, *first, len(directory), n
 
-    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    directory = ordered.mapInArrow(lambda it: batched(write(it), schema), "part string, first_key string, first_id long, offset long, length long, n long")
-    return materialise(directory, "directory")
+    parts = max(1, -(-captures.count() // PART_CAPTURES))
+    ordered = captures.repartitionByRange(parts, "key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest")
+    top = ordered.mapInArrow(lambda it: batched(write(it), schema), "part string, first_key string, first_id long, first_digest string, blocks long, n long")
+    return materialise(top, "directory")
 
 
-def _block(out: pa.NativeFile, name: str, at: int, held: list[tuple]) -> tuple:
-    lines = "\n".join("\t".join([_escaped(key), "" if i is None else str(i), file, str(offset), str(length), kind]) for key, i, file, offset, length, kind in held)
-    packed = zlib.compress(lines.encode("utf-8", "surrogatepass"), 6)
-    out.write(packed)
-    return name, held[0][0], held[0][1], at, len(packed), len(held)
+def _line(capture: tuple) -> str:
+    key, page_id, file, offset, length, kind, digest = capture
+    return "\t".join([_escaped(key).replace("\t", "%09"), "" if page_id is None else str(page_id), digest, file, str(offset), str(length), kind])
+
+
+def _place(line: list[str]) -> tuple[str, tuple[bool, int], str]:
+    """The key, id and digest by which a line is sorted."""
+    return _plain(line[0].replace("%09", "\t")), _order(int(line[1]) if line[1] else None), line[2]
 
 
 class Index:
     """Lookups in one index part: its sparse directory, and the last block that was read."""
 
-    def __init__(self, index_folder: str, archive_folder: str, part: str, directory: list[tuple[str, int | None, int, int]]):
-        self.store, root = fs.FileSystem.from_uri(index_folder)
-        self.file = self.store.open_input_file(f"{root}/{part}")
+    def __init__(self, index_folder: str, archive_folder: str, part: str):
+        store, root = fs.FileSystem.from_uri(index_folder)
+        self.file = store.open_input_file(f"{root}/{part}")
         self.archives, self.archive_root = fs.FileSystem.from_uri(archive_folder)
-        self.directory = sorted(((k, _order(i), o, n) for k, i, o, n in directory))
-        self.keys = [(k, i) for k, i, _, _ in self.directory]
+        size = self.file.size()
+        length = int.from_bytes(self.file.read_at(8, size - 8), "little")
+        lines = [x.split("\t") for x in zlib.decompress(self.file.read_at(length, size - 8 - length)).decode("utf-8", "surrogatepass").split("\n")]
+        self.keys = [_place(x) for x in lines]
+        self.blocks = [(int(x[-2]), int(x[-1])) for x in lines]
         self.block_at, self.block_keys, self.block = -1, [], []
         self.archive: tuple[str, pa.NativeFile] | None = None
 
-    def find(self, key: str, page_id: int | None) -> tuple[str, int, int] | None:
+    def find(self, key: str, page_id: int | None, digest: str) -> tuple[str, int, int] | None:
         """(file, offset, length) of a capture, by binary search over the directory and inside one block."""
-        wanted = key, _order(page_id)
+        wanted = key, _order(page_id), digest
         at = bisect.bisect_right(self.keys, wanted) - 1
         if at < 0:
             return None
         if at != self.block_at:
-            _, _, offset, length = self.directory[at]
-            lines = zlib.decompress(self.file.read_at(length, offset)).decode("utf-8", "surrogatepass").split("\n")
-            self.block = [line.split("\t") for line in lines]
-            self.block_keys = [(_plain(x[0]), _order(int(x[1]) if x[1] else None)) for x in self.block]
-            self.block_at = at
+            offset, length = self.blocks[at]
+            self.block = [x.split("\t") for x in zlib.decompress(self.file.read_at(length, offset)).decode("utf-8", "surrogatepass").split("\n")]
+            self.block_keys, self.block_at = [_place(x) for x in self.block], at
         k = bisect.bisect_left(self.block_keys, wanted)
         if k == len(self.block) or self.block_keys[k] != wanted:
             return None
-        return self.block[k][2], int(self.block[k][3]), int(self.block[k][4])
+        return self.block[k][3], int(self.block[k][4]), int(self.block[k][5])
 
     def record(self, where: tuple[str, int, int]) -> tuple[dict[str, str], bytes]:
         file, offset, length = where
@@ -224,48 +246,49 @@ class Index:
         return parse_record(gzip.decompress(self.archive[1].read_at(length, offset)))
 
 
+def _checked(payload: bytes, digest: str) -> str:
+    if hashlib.sha1(payload).hexdigest() != digest:
+        raise ValueError("a payload is not the one that its record names")
+    return digest
+
+
 def _order(page_id: int | None) -> tuple[bool, int]:
     """Nulls first, as Spark sorts them."""
     return page_id is not None, page_id or 0
 
 
 def lookup(wanted: DataFrame, directory: DataFrame, index_folder: str, archive_folder: str) -> DataFrame:
-    """For each distinct (key, page_id): payload_bytes and payload_digest of the record read from its archive, or null.
+    """For each distinct (key, page_id, digest): payload_bytes of the record read from its archive, or null.
 
-    The top of the directory, one key per index part, is what each task needs to
-    find a lookup's part; it has as many entries as the index has parts.
+    The top of the directory, one key for each ``PART_CAPTURES`` captures, is what each task needs to find a lookup's
+    part. A record that carries no payload (a revisit) has 0 bytes.
     """
-    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-    parts = directory.groupBy("part").agg(F.min(F.struct("first_key", "first_id", "part")).alias("m")).select("m.*").orderBy("first_key", "first_id").collect()
-    top = [(p["first_key"], _order(p["first_id"])) for p in parts]
-    names = [p["part"] for p in parts]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [bisect.bisect_right(top, (k, _order(i))) - 1 for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch.append_column("part", pa.array([names[a] if a >= 0 else None for a in at], pa.string()))
-
-    asked = wanted.select("key", F.col("page_id").cast("long").alias("page_id")).distinct().mapInArrow(place, "key string, page_id long, part string")
-    # A part's lookups and its directory meet in one group; parts are of bounded size.
-    blocks = directory.select("part", F.col("first_key").alias("key"), F.col("first_id").alias("page_id"), "offset", "length")
-    both = asked.select("part", "key", "page_id", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length")).union(blocks.select("part", "key", "page_id", "offset", "length"))
-
-    def answer(table: pa.Table) -> pa.Table:
-        found = list(zip(*(table.column(c).to_pylist() for c in ("part", "key", "page_id", "offset", "length"))))
-        index = Index(index_folder, archive_folder, found[0][0], [f[1:] for f in found if f[3] is not None]) if found[0][0] is not None else None
-        out = []
-        for _, key, page_id, _, _ in sorted((f for f in found if f[3] is None), key=lambda f: (f[1], _order(f[2]))):
-            where = index and index.find(key, page_id)
-            payload = index.record(where)[1] if where else None
-            out.append((key, page_id, None if payload is None else len(payload), None if payload is None else hashlib.sha1(payload).hexdigest()))
-        return pa.Table.from_batches(list(batched(iter(out), schema)), schema)
-
-    return both.groupBy("part").applyInArrow(answer, "key string, page_id long, payload_bytes long, payload_digest string")
+    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
+    parts = sorted((p["first_key"], _order(p["first_id"]), p["first_digest"], p["part"]) for p in directory.collect())
+    top = [p[:3] for p in parts]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, index = -1, None
+        for key, page_id, digest in rows(batches, "key", "page_id", "digest"):
+            part = bisect.bisect_right(top, (key, _order(page_id), digest)) - 1
+            if part >= 0 and part != at:
+                at, index = part, Index(index_folder, archive_folder, parts[part][3])
+            where = index.find(key, page_id, digest) if part >= 0 else None
+            payload = None
+            if where:
+                fields, payload = index.record(where)
+                if fields["WARC-Type"] == "response":
+                    _checked(payload, digest)
+            yield key, page_id, digest, None if payload is None else len(payload)
+
+    asked = wanted.select("key", F.col("page_id").cast("long").alias("page_id"), "digest").distinct()
+    dealt = asked.repartitionByRange("key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest")
+    return dealt.mapInArrow(lambda it: batched(answer(it), schema), "key string, page_id long, digest string, payload_bytes long")
 
 
 def read_archives(captures: DataFrame, folder: str) -> DataFrame:
     """Every page record of the archives that ``captures`` names, streamed: page_id, url, record_type, refers_to,
-    refers_key, and length and digest of the payload that the record holds (null for a revisit)."""
+    refers_key, the payload's digest, checked where the record holds it, and its length (null for a revisit)."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_key", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -280,10 +303,12 @@ def read_archives(captures: DataFrame, folder: str) -> DataFrame:
                     yield (
                         _id(fields["WARC-Record-ID"]), _plain(fields["WARC-Target-URI"]), fields["WARC-Type"],
                         _id(fields["WARC-Refers-To"]) if again else None, _plain(fields["X-Refers-To-Key"]) if again else None,
-                        None if again else len(block), None if again else hashlib.sha1(block).hexdigest(),
+                        None if again else len(block), fields["WARC-Payload-Digest"][5:] if again else _checked(block, fields["WARC-Payload-Digest"][5:]),
                     )
 
-    files = captures.select("file").distinct()
+    files = captures.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("size"))
+    n, size = files.agg(F.count("*"), F.sum("size")).first()
+    files = spread(files.select("file"), n, size or 0)
     ddl = "page_id long, url string, record_type string, refers_to long, refers_key string, payload_bytes long, payload_digest string"
     return files.mapInArrow(lambda it: batched(read(it), schema), ddl)
 
@@ -305,12 +330,13 @@ def _members(source: pa.NativeFile) -> Iterator[bytes]:
 
 def read_all(captures: DataFrame, directory: DataFrame, archive_folder: str, index_folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, revisits resolved by the index."""
-    records = read_archives(captures, archive_folder)
+    records = materialise(read_archives(captures, archive_folder), "records")
     full = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    again = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "refers_key")
-    targets = lookup(again.select(F.col("refers_key").alias("key"), F.col("refers_to").alias("page_id")), directory, index_folder, archive_folder)
-    targets = targets.select(F.col("key").alias("k"), F.col("page_id").alias("i"), "payload_bytes", "payload_digest")
-    solved = again.join(targets, (F.col("refers_key") == F.col("k")) & (F.col("refers_to") == F.col("i")), "left")
+    again = records.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to", "refers_key")
+    wanted = again.select(F.col("refers_key").alias("key"), F.col("refers_to").alias("page_id"), F.col("payload_digest").alias("digest"))
+    found = materialise(lookup(wanted, directory, index_folder, archive_folder), "lookups")
+    targets = found.select(F.col("key").alias("k"), F.col("page_id").alias("i"), F.col("digest").alias("d"), "payload_bytes")
+    solved = again.join(sent(targets), (F.col("refers_key") == F.col("k")) & (F.col("refers_to") == F.col("i")) & (F.col("payload_digest") == F.col("d")), "left")
     return full.unionByName(solved.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 

@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ def pages():
     rows += [(1000 + i, f"https://m.example.net/{i}", big[i % 3]) for i in range(40)]
     rows += [(2000, "http://a.b/", "x" * 999), (2001, "http://a.b/", "x" * 999), (2002, None, None), (2003, "", ""), (None, "http://n.u/", "z"), (None, None, big[2])]
     rows += [(2004, "odd\r\nurl%0D", "y" * 1000), (2005, "odd\r\nurl%0D", "y" * 1000), (2005, "odd\r\nurl%0D", "y" * 1000), (2006, "http://long/", "long é " * 300_000)]
+    # One id and URL with two payloads, one of them that of another page.
+    rows += [(3009, "http://u/", big[0] + "X"), (3009, "http://u/", big[0] + "Y"), (3003, "http://v/", big[0] + "Y"), (3004, "http://tab\t/%09", big[0] + "X")]
     return rows
 
 
@@ -33,6 +36,7 @@ def expected(rows):
 def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc, "PART_CAPTURES", 50)
     rows = pages()
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("key", F.lit("k")).repartition(3)
     archives, index = warc.folders(table)
@@ -40,13 +44,15 @@ def test_round_trip(spark, monkeypatch):
     directory = warc.build_index(captures, index)
     got = warc.read_all(captures, directory, archives, index).collect()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected(rows)
-    assert captures.select("file").distinct().count() > 3 and directory.count() > 20
+    assert captures.select("file").distinct().count() > 3 and directory.count() > 2 and directory.agg(F.sum("blocks")).first()[0] > 20
     assert directory.agg(F.sum("n")).first()[0] == len(rows) == captures.count()
 
     # Every capture is found by its key, and the range that it names is one record; others are not found.
-    wanted = captures.select("key", "page_id").union(spark.createDataFrame([("zz,none)/", 1), ("", 77)], "key string, page_id long"))
-    found = {(r.key, r.page_id): r.payload_digest for r in warc.lookup(wanted, directory, index, archives).collect()}
-    assert found["zz,none)/", 1] is None and found["", 77] is None and sum(v is None for v in found.values()) == 2
+    none = [("zz,none)/", 1, "0"), ("", 77, "0"), ("u)/", 3009, "0")]
+    wanted = captures.select("key", "page_id", "digest").union(spark.createDataFrame(none, "key string, page_id long, digest string"))
+    found = {(r.key, r.page_id, r.digest): r.payload_bytes for r in warc.lookup(wanted, directory, index, archives).collect()}
+    assert all(found[x] is None for x in none) and sum(v is None for v in found.values()) == 3
+    assert len(found) == 3 + captures.select("key", "page_id", "digest").distinct().count()
     store, root = fs.FileSystem.from_uri(archives)
     c = captures.where("record_type = 'revisit'").first()
     fields, block = warc.parse_record(gzip.decompress(store.open_input_file(f"{root}/{c.file}").read_at(c.length, c.offset)))
@@ -64,3 +70,16 @@ def test_empty_table(spark):
     archives, index = warc.folders(table)
     captures = warc.write_archives(table, archives)
     assert warc.read_all(captures, warc.build_index(captures, index), archives, index).collect() == []
+
+
+def test_a_record_of_another_payload_is_refused(spark):
+    table = spark.createDataFrame([(1, "http://a/", "x" * 2000)], "page_id long, url string, html string")
+    archives, _ = warc.folders(table)
+    captures = warc.write_archives(table, archives)
+    store, root = fs.FileSystem.from_uri(archives)
+    file = f"{root}/{captures.first().file}"
+    members = [m.replace(b"xxx", b"xyx") for m in warc._members(store.open_input_stream(file, compression=None))]
+    with store.open_output_stream(file, compression=None) as out:
+        out.write(b"".join(map(gzip.compress, members)))
+    with pytest.raises(Exception, match="not the one"):
+        warc.read_archives(captures, archives).collect()
