@@ -1,8 +1,8 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 Each document's set of word shingles is hashed once; the ``SKETCH`` least hash
-values are its sketch. Documents with equal sets are one class, and only one
-representative of a class goes on.
+values are its sketch. Documents with equal sets are one class; a class is a node
+with a number of its own, and only one row of it goes on.
 
 *Inverted lists.* Two sets with similarity of at least 0.8 share, but for a
 chance below 1e-9 for a pair exactly at the threshold, at least ``need(n)``
@@ -31,9 +31,9 @@ members, however many pairs are alike.
 
 Defined results: null, empty and word-less texts have no shingles and are linked
 with nothing; fewer words than a shingle make one shingle of the whole sequence;
-rows that repeat an id are each judged by their own text; a row whose id
-is null is a component of its own (component_id null, kept). Extra columns of
-the input are not read.
+rows that repeat an id are each judged by their own text, and link nothing through
+the id; a row whose id is null is a component of its own (component_id null, kept).
+Ids may be of any type with an order. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from pathloom.llm.common import batched, materialise, rows, sent, window_hashes, word_hashes, words
+from pathloom.llm.common import batched, discard, materialise, rows, sent, window_hashes, word_hashes, words
 from pathloom.llm.components import components
 
 SKETCH = 96
@@ -63,17 +63,25 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(words(text)), width).view(np.int64))
 
 
+def _chosen(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def sketches(docs: DataFrame, width: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class, sketch): class is a fingerprint of the whole set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for doc_id, passage in rows(batches, "doc_id", "text"):
-            own = shingle_set(passage, width)
-            yield doc_id, len(own), (xxh3_128_digest(own.tobytes()) if len(own) else None), own[:SKETCH]
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(passage, width) for passage in part.column(1).to_pylist()]
+                marks = [xxh3_128_digest(own.tobytes()) if len(own) else None for own in sets]
+                cuts = np.cumsum([0, *(min(len(own), SKETCH) for own in sets)])
+                least = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([own[:SKETCH] for own in sets])))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(own) for own in sets], pa.int64()), pa.array(marks, pa.binary()), least], ["doc_id", "n_shingles", "class", "sketch"])
 
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(lambda it: batched(make(it), schema, 2048), "doc_id long, n_shingles long, class binary, sketch array<long>")
+    own = _chosen(docs, id_column, text)
+    return own.mapInArrow(make, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_shingles long, class binary, sketch array<long>")
 
 
 def need(n: Column) -> Column:
@@ -148,42 +156,46 @@ def _set_of(data: pa.Scalar) -> np.ndarray:
 
 def _family_links(table: pa.Table) -> pa.Table:
     """Links that join what is alike in one small family."""
-    ids = table.column("doc_id").to_pylist()
+    nodes = table.column("node").to_pylist()
     sets = [_set_of(s) for s in table.column("shingles")]
-    found = _links(sets, sets, ids, ids)
-    return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+    found = _links(sets, sets, nodes, nodes)
+    return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
 
 
 def _block_links(table: pa.Table) -> pa.Table:
     """Links between members outside a family's largest component and a block of its members."""
     outside = table.filter(pa.compute.field("outside"))
     inside = table.filter(~pa.compute.field("outside"))
-    ids, others = outside.column("doc_id").to_pylist(), inside.column("doc_id").to_pylist()
+    nodes, others = outside.column("node").to_pylist(), inside.column("node").to_pylist()
     found = []
-    if ids and others:
+    if nodes and others:
         found = _links([_set_of(s) for s in outside.column("shingles")], [_set_of(s) for s in inside.column("shingles")], outside.column("component").to_pylist(), inside.column("component").to_pylist())
-    return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([others[j] for _, j in found], pa.int64())})
+    return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([others[j] for _, j in found], pa.int64())})
 
 
 def _sets(docs: DataFrame, members: DataFrame, width: int, id_column: str, text: str) -> DataFrame:
-    """(family, doc_id, shingles) of the members (family, node, class), made again from their texts."""
-    schema = pa.schema([("family", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
+    """(family, node, shingles) of the members (family, node, rep, class), made again from their texts; by family."""
+    schema = pa.schema([("family", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for family, doc_id, own, passage in rows(batches, "family", "doc_id", "class", "text"):
-            data = shingle_set(passage, width).tobytes()
-            if xxh3_128_digest(data) == own:  # another text under the same id is another class
-                yield family, doc_id, data
+        done: set[int] = set()  # rows may be repeated; a task tells each member once
+        for family, node, own, passage in rows(batches, "family", "node", "class", "text"):
+            if node not in done:
+                data = shingle_set(passage, width).tobytes()
+                if xxh3_128_digest(data) == own:  # another text under the same id is another class
+                    done.add(node)
+                    yield family, node, data
 
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    some = chosen.join(sent(members), chosen["doc_id"] == members["node"]).select("family", "doc_id", "class", "text")
-    return some.mapInArrow(lambda it: batched(make(it), schema, 512), "family long, doc_id long, shingles binary").dropDuplicates(["family", "doc_id", "shingles"])
+    chosen = _chosen(docs, id_column, text)
+    some = chosen.join(sent(members), chosen["doc_id"] == members["rep"]).select("family", "node", "class", "text")
+    found = some.mapInArrow(lambda it: batched(make(it), schema, 512), "family long, node long, shingles binary")
+    return found.repartition("family").dropDuplicates(["family", "node"])
 
 
 def _pairs_by(test, pairs: DataFrame, sets: DataFrame, column) -> DataFrame:
     """The pairs (a, b) whose values of ``column`` pass ``test``."""
-    left = sets.select(F.col("doc_id").alias("a"), column.alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), column.alias("sb"))
+    left = sets.select(F.col("node").alias("a"), column.alias("sa"))
+    right = sets.select(F.col("node").alias("b"), column.alias("sb"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,67 +207,70 @@ def _pairs_by(test, pairs: DataFrame, sets: DataFrame, column) -> DataFrame:
 
 def _large_families(lists: DataFrame, members: DataFrame, sets: DataFrame, held: list[str]) -> DataFrame:
     """Links that join what is alike in families (family, node) that no one task may hold."""
-    own = lists.join(members.select("node").distinct(), lists["doc_id"] == F.col("node"), "left_semi")
+    own = lists.join(members.select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi")
     short = own.where(F.col("df") <= SHORT_LIST)
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") > F.col("y.doc_id")))
-    pairs = pairs.where("x.n * 5 >= y.n * 4 and y.n * 5 >= x.n * 4").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    pairs = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.node") > F.col("y.node")))
+    pairs = pairs.where("x.n * 5 >= y.n * 4 and y.n * 5 >= x.n * 4").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     long = own.where(F.col("df") > SHORT_LIST)
-    pivots = long.groupBy("v").agg(F.min("doc_id").alias("b"))
-    pairs = pairs.union(long.join(pivots, "v").where("doc_id > b").select(F.col("doc_id").alias("a"), "b")).distinct()
+    pivots = long.groupBy("v").agg(F.min("node").alias("b"))
+    pairs = pairs.union(long.join(pivots, "v").where("node > b").select(F.col("node").alias("a"), "b")).distinct()
     likely = materialise(_pairs_by(_alike, pairs, sets, F.substring("shingles", 1, 8 * SKETCH)), "candidates", held)
     links = materialise(_pairs_by(_similar, likely, sets, F.col("shingles")), "verified", held)
     labels = components(links, held)
 
-    placed = members.select("family", "node").distinct().join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
+    placed = members.select("family", "node").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
     placed = materialise(placed.select("family", "node", F.coalesce("component", "node").alias("component")), "placed", held)
     most = placed.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("home"), F.sum("count").alias("n"), F.max("count").alias("at_home"))
     most = most.withColumns({"outer": F.ceil((F.col("n") - F.col("at_home")) / OUTSIDE_BLOCK).cast("int"), "inner": F.ceil(F.col("n") / BLOCK).cast("int")}).where("outer > 0")
-    dealt = placed.join(most, "family").join(sets.select(F.col("doc_id").alias("sd"), "shingles"), F.col("node") == F.col("sd"))
+    dealt = placed.join(most, "family").join(sets.select(F.col("node").alias("sd"), "shingles"), F.col("node") == F.col("sd"))
     number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = [F.col("node").alias("doc_id"), "component", "shingles"]
+    rest = ["node", "component", "shingles"]
     outside = dealt.where("component <> home").select("family", number("outer").alias("i"), each("inner").alias("j"), *rest, F.lit(True).alias("outside"))
     inside = dealt.select("family", each("outer").alias("i"), number("inner").alias("j"), *rest, F.lit(False).alias("outside"))
     found = outside.union(inside).groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long")
     return links.union(materialise(found, "links-of-blocks", held))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id", text: str = "text", scratch: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     held: list[str] = []
-    features = materialise(sketches(docs, width, id_column, text), "sketches", held)
-    # One representative of each class; a class of copies is a pre-aggregated minimum.
-    classes = features.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    features = materialise(sketches(docs, width, id_column, text).withColumn("row", F.monotonically_increasing_id()), "sketches", held)
+    # A node for each class, and one row that stands for it: of its rows with the least id the first.
+    known = features.where("class is not null and doc_id is not null")
+    classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("copies"))
+    classes = classes.select("class", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("first"), "copies", F.monotonically_increasing_id().alias("node"))
     classes = materialise(classes, "classes", held)
-    reps = features.join(sent(classes.withColumnRenamed("class", "c")), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    reps = features.select("row", "n_shingles", "sketch").join(sent(classes.select("first", "node")), F.col("row") == F.col("first"))
 
-    values = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
+    values = reps.select("node", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(common, "v").groupBy("doc_id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "v"))).alias("s"))
+    shared = values.join(common, "v").groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("df", "v"))).alias("s"))
     shared = shared.withColumn("need", need(F.col("n"))).where("size(s) >= need")
-    lists = shared.select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("e"))
-    lists = materialise(lists.select("doc_id", "n", "e.v", "e.df"), "lists", held)
+    lists = shared.select("node", "n", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("e"))
+    lists = materialise(lists.select("node", "n", "e.v", "e.df"), "lists", held)
 
-    heads = lists.groupBy("v").agg(F.min("doc_id").alias("b"), F.count("*").alias("members")).where("members > 1").select("v", "b")
-    families = components(lists.join(heads, "v").select(F.col("doc_id").alias("a"), "b"), held)
-    named = families.select(F.col("component").alias("family"), "node").join(classes, F.col("node") == F.col("rep")).select("family", "node", "class")
-    sizes = lists.select(F.col("doc_id").alias("d"), "n").distinct()
+    heads = lists.groupBy("v").agg(F.min("node").alias("b"), F.count("*").alias("members")).where("members > 1").select("v", "b")
+    families = components(lists.join(heads, "v").select(F.col("node").alias("a"), "b"), held)
+    named = families.select(F.col("component").alias("family"), F.col("node").alias("member")).join(classes, F.col("member") == F.col("node"))
+    sizes = lists.select(F.col("node").alias("d"), "n").distinct()
     sizes = named.join(sizes, F.col("node") == F.col("d")).groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     sizes = sizes.select(F.col("family").alias("f"), ((F.col("members") > FAMILY) | (F.col("shingles") > FAMILY_SHINGLES)).alias("large"))
-    members = materialise(named.join(sizes, F.col("family") == F.col("f")).select("family", "node", "class", "large"), "members", held)
+    members = materialise(named.join(sizes, F.col("family") == F.col("f")).select("family", "node", "rep", "class", "large"), "members", held)
 
     small, large = members.where("not large"), members.where("large")
     links = materialise(_sets(docs, small, width, id_column, text).groupBy("family").applyInArrow(_family_links, "a long, b long"), "links-of-families", held)
     if not large.isEmpty():
         sets = materialise(_sets(docs, large, width, id_column, text), "sets", held)
         links = links.union(_large_families(lists, large, sets, held))
-    labels = components(links, held)
 
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("class").alias("__class"), F.coalesce("component", "rep").alias("component"))
-    out = features.select("doc_id", "n_shingles", "class").join(named, F.col("class") == F.col("__class"), "left")
-    component = F.coalesce("component", "doc_id")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    if scratch is not None:
-        scratch += held
+    # The least id of what is reachable, for classes that are linked or have copies; the others' is their own.
+    labels = classes.select("class", "rep", "copies", "node").join(components(links, held).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    labels = materialise(labels.where("copies > 1 or component is not null").select(F.col("class").alias("__class"), "rep", "component"), "labels", held)
+    least = labels.where("component is not null").groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "c")
+    least = materialise(labels.join(least, F.col("component") == F.col("c"), "left").select("__class", F.coalesce("least", "rep").alias("component_id")), "least", held)
+    out = features.select("doc_id", "n_shingles", "class").join(sent(least), F.col("class") == F.col("__class"), "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = materialise(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    discard(docs.sparkSession, held)
     return out

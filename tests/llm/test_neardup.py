@@ -81,9 +81,9 @@ def at_the_threshold(seed):
     return [(i, " ".join(w)) for i, w in enumerate(docs)]
 
 
-@pytest.mark.parametrize("family", [1000, 1])
+@pytest.mark.parametrize("family", [1000, 1, 0])
 def test_whole_sets_with_a_larger_union(spark, monkeypatch, family):
-    monkeypatch.setattr(neardup, "FAMILY", family)
+    monkeypatch.setattr(neardup, "FAMILY" if family else "FAMILY_SHINGLES", family)
     docs = at_the_threshold(4)
     sizes = [len(shingles(t, 4)) for _, t in docs]
     assert 80 <= min(sizes) and max(sizes) < neardup.SKETCH
@@ -101,6 +101,21 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_repeated_ids_link_nothing(spark):
+    rng = random.Random(5)
+    a = [f"a{rng.randrange(999)}" for _ in range(60)]
+    near, other = " ".join([*a, "more"]), " ".join(f"b{k}" for k in range(60))
+    docs = [(3, near), (5, " ".join(a)), (5, other), (9, other), (9, other), (9, f"{other} x"), (11, "y z")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False), (9, 5, False), (11, 11, True)]
+
+
+def test_ids_of_other_types(spark):
+    rows = [(f"k{i}", f"one two three four five {i // 3}") for i in range(9)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").select("doc_id", "text"), width=4).collect()}
+    assert got == {f"k{i}": f"k{i - i % 3}" for i in range(9)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 200)] + [(5, 5)]
