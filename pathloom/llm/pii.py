@@ -5,7 +5,7 @@ over the whole text in linear time. Each distinct value is a protected entity,
 and so is each kind as a whole.
 
 *Terms.* A term is a word of a document that holds an entity, outside of the base
-spans. From document counts over the whole corpus, p(e), p(t) and p(e, t), its
+spans. From counts of documents over the whole corpus, copies included, p(e), p(t) and p(e, t), its
 disclosure of e is the share of e's information that it gives away, PMI(e; t) /
 -log p(e): 1 if the term never occurs without the entity. A term whose disclosure
 reaches ``THRESHOLD`` is a span too, wherever it stands in documents that hold that
@@ -15,7 +15,8 @@ document prove nothing: these are the ``NEAR`` words on both sides of the entity
 each time the term is among them, and where it never is in a document, one of the
 entity's there. Documents without an entity are left alone.
 
-Documents are read on the map side; only counts of terms, combined per task, the few
+A document of very many spans is worked off ``SLICE`` spans at a time, and its words near entities go out in as
+many rows. Documents are read on the map side; only counts of terms, combined per task, the few
 words near entities, and the rows of terms that can reach the threshold by their
 counts are shuffled. Hot terms are one row per task after combining.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from pathloom.llm.common import batched, free_name, materialise, rows, sent, word_hashes, words
+from pathloom.llm.common import batched, discard, free_name, materialise, row_key, rows, sent, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
@@ -44,6 +45,7 @@ SUPPORT = 3
 THRESHOLD = 0.8
 REMOVE = 0.95
 COUNT_CHUNK = 4_000_000
+SLICE = 2000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,38 +119,48 @@ def _outside(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[i
     return found, np.flatnonzero(~taken[:-1]).tolist(), starts, ends, taken
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], dict[int, set[int]], dict[tuple[int, int], set[int]]]:
-    """(term, start, end) of the words outside of spans; the surroundings of each entity (values and kinds), and of each
-    (entity, term) near each other."""
+def _value(text: str, span: tuple[int, int, int]) -> int:
+    a, kind, b = span
+    return _hash(KINDS[kind].encode() + b"\n" + text[a:b].encode("utf-8", "surrogatepass").lower())
+
+
+def surroundings(text: str, spans: list[tuple[int, int, int]], size: int = SLICE) -> Iterator[tuple[list[tuple[int, int]], set[tuple[int, int, int]], set[int]]]:
+    """``size`` spans at a time: (entity, surroundings) of their entities, values and kinds; (entity, term, surroundings)
+    of the terms near them; and, in the last slice, all terms outside of spans."""
     found, free, starts, ends, taken = _outside(text, spans)
     hashed: dict[bytes, int] = {}
-    every = []
+    own = [0] * len(found)  # the term at a free place
     for k in free:
-        term = term_of(text[found[k][0] : found[k][1]])
-        if term:
-            every.append((hashed.get(term) or hashed.setdefault(term, _hash(term)), *found[k]))
-    entities: dict[int, set[int]] = {}
-    near: dict[tuple[int, int], set[int]] = {}
-    for a, kind, b in spans:
-        first, last = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-        terms = [term_of(text[found[k][0] : found[k][1]]) for k in (*range(max(0, first - NEAR), first), *range(last, min(len(found), last + NEAR))) if not taken[k]]
-        around = _hash(b" ".join(terms))
-        value = _hash(KINDS[kind].encode() + b"\n" + text[a:b].encode("utf-8", "surrogatepass").lower())
-        for entity in (value, kind):
-            entities.setdefault(entity, set()).add(around)
-            for term in terms:
-                if term:
-                    near.setdefault((entity, hashed[term]), set()).add(around)
-    return every, entities, near
+        if term := term_of(text[found[k][0] : found[k][1]]):
+            own[k] = hashed.get(term) or hashed.setdefault(term, _hash(term))
+    for at in range(0, len(spans), size):
+        entities: list[tuple[int, int]] = []
+        near: set[tuple[int, int, int]] = set()
+        for span in spans[at : at + size]:
+            first, last = int(np.searchsorted(ends, span[0], "right")), int(np.searchsorted(starts, span[2], "left"))
+            places = [k for k in (*range(max(0, first - NEAR), first), *range(last, min(len(found), last + NEAR))) if not taken[k]]
+            around = _hash(b" ".join(term_of(text[found[k][0] : found[k][1]]) for k in places))
+            for entity in (_value(text, span), span[1]):
+                entities.append((entity, around))
+                near.update((entity, own[k], around) for k in places if own[k])
+        yield entities, near, set(hashed.values()) if at + size >= len(spans) else set()
 
 
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
     """(entity, term, surroundings, start, end) for each word of a text with spans, pair by pair: what is judged."""
-    every, entities, near = surroundings(text, spans)
+    entities: dict[int, set[int]] = {}
+    near: dict[tuple[int, int], set[int]] = {}
+    for some, terms, _ in surroundings(text, spans):
+        for entity, around in some:
+            entities.setdefault(entity, set()).add(around)
+        for entity, term, around in terms:
+            near.setdefault((entity, term), set()).add(around)
+    found, free, *_ = _outside(text, spans)
     for entity, arounds in entities.items():
-        for term, start, end in every:
-            for around in near.get((entity, term), (min(arounds),)):
-                yield entity, term, around, start, end
+        for start, end in (found[k] for k in free):
+            if word := term_of(text[start:end]):
+                for around in near.get((entity, _hash(word)), (min(arounds),)):
+                    yield entity, _hash(word), around, start, end
 
 
 def term_spans(text: str, spans: list[tuple[int, int, int]], told: dict[int, float]) -> list[tuple[int, int, int, float]]:
@@ -166,32 +178,37 @@ def term_spans(text: str, spans: list[tuple[int, int, int]], told: dict[int, flo
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("row_key", row_key("doc_id", "text"))
 
 
 def _base(docs: DataFrame) -> DataFrame:
+    """One row per document with its base spans, and, where it has some, rows of what is near them (``base`` null)."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     entity = pa.struct([("entity", pa.int64()), ("home", pa.int64()), ("windows", pa.int32())])
     near = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("around", pa.int64())])
     word = pa.struct([("term", pa.int64()), ("windows", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("base", pa.list_(span)), ("base_sha256", pa.string()), ("entities", pa.list_(entity)), ("near", pa.list_(near)), ("words", pa.list_(word))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("base", pa.list_(span)), ("base_sha256", pa.string()), ("entities", pa.list_(entity)), ("near", pa.list_(near)), ("words", pa.list_(word))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for doc_id, text, key in rows(batches, "doc_id", "text", "row_key"):
             spans = base_spans(text)
             told = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-            every, entities, near = surroundings(text, spans) if spans else ([], {}, {})
-            most = dict.fromkeys((t for t, _, _ in every), 1)  # no entity gives a term more surroundings
-            for (_, term), arounds in near.items():
-                most[term] = max(most[term], len(arounds))
-            yield (
-                doc_id, key if spans else None, [dict(zip(("start", "kind", "end"), s)) for s in spans], hashlib.sha256(told.encode()).hexdigest(),
-                [{"entity": e, "home": min(x), "windows": len(x)} for e, x in entities.items()],
-                [{"entity": e, "term": t, "around": a} for (e, t), x in near.items() for a in x],
-                [{"term": t, "windows": n} for t, n in most.items()],
-            )
-
-    ddl = "doc_id long, row_key long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, entities array<struct<entity:long,home:long,windows:int>>, near array<struct<entity:long,term:long,around:long>>, words array<struct<term:long,windows:int>>"
+            yield doc_id, key if spans else None, spans, hashlib.sha256(told.encode()).hexdigest(), [], [], []
+            held: list[np.ndarray] = []
+            most: dict[int, set[int]] = {}  # of each term, surroundings, as many as matter
+            terms: set[int] = set()
+            for entities, around, terms in surroundings(text, spans, SLICE) if spans else ():
+                held.append(np.array(entities, np.int64))
+                for _, term, a in around:
+                    if len(seen := most.setdefault(term, set())) < SUPPORT:
+                        seen.add(a)
+                yield None, key, None, None, [], list(around), []
+            if held:
+                entity_, a = np.unique(np.concatenate(held), axis=0).T  # sorted, so the least surroundings come first
+                each, first, n = np.unique(entity_, return_index=True, return_counts=True)
+                yield None, key, None, None, list(zip(each.tolist(), a[first].tolist(), n.tolist())), [], [(t, len(most.get(t, (0,)))) for t in terms]
+
+    ddl = "doc_id long, row_key binary, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, entities array<struct<entity:long,home:long,windows:int>>, near array<struct<entity:long,term:long,around:long>>, words array<struct<term:long,windows:int>>"
     return _keyed(docs).mapInArrow(lambda it: batched(make(it), schema, 1024), ddl)
 
 
@@ -219,14 +236,17 @@ def _document_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _found(docs: DataFrame, scratch: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    """Base rows, and (row_key, terms): the disclosing terms (term, disclosure) of rows."""
-    base = materialise(_base(docs), "base-spans", scratch)
-    each = lambda c: base.where(F.size(c) > 0).select("row_key", F.explode(c).alias("x")).select("row_key", "x.*")
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base rows, and (row_key, terms): the disclosing terms (term, disclosure) of rows. All counts are of rows."""
+    scratch: list[str] = []
+    told = materialise(_base(docs), "base-spans")
+    base = told.where("base is not null")
+    each = lambda c: told.where(F.size(c) > 0).select("row_key", F.explode(c).alias("x")).select("row_key", "x.*")
     total = float(max(base.count(), 1))
 
-    held = each("entities").distinct()
-    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity"), F.sum("windows").alias("windows"))
+    # Equal rows have one key; ``times`` says how many there are.
+    held = materialise(each("entities").groupBy("row_key", "entity", "home", "windows").agg(F.count("*").alias("times")), "held", scratch)
+    entities = held.groupBy("entity").agg(F.sum("times").alias("with_entity"), F.sum("windows").alias("windows"))
     entities = materialise(entities.where((F.col("windows") >= SUPPORT) & (F.col("with_entity") < total)).drop("windows"), "entities", scratch)
     is_kind = F.col("entity").between(0, 3)
     kind, value = entities.agg(F.min(F.when(is_kind, F.col("with_entity"))), F.max(F.when(~is_kind, F.col("with_entity")))).first()
@@ -243,18 +263,22 @@ def _found(docs: DataFrame, scratch: list[str] | None) -> tuple[DataFrame, DataF
     likely = words_.groupBy("term").agg(F.count("*").alias("rows"), F.sum("windows").alias("windows")).where(F.col("windows") >= SUPPORT)
     likely = materialise(likely.join(_document_counts(docs), "term").where(able).select("term", "rows", "n"), "likely-terms", scratch)
 
-    chosen = words_.select("row_key", "term").join(sent(likely), "term")
+    chosen = words_.join(sent(likely), "term").select("row_key", "term", "rows", "n").distinct()
     pairs = chosen.join(held.join(sent(entities), "entity"), "row_key").where(F.col("n") <= most(F.least("rows", "with_entity"), F.col("with_entity")))
-    pairs = materialise(pairs.select("row_key", "entity", "term", "home", "with_entity", "n").distinct(), "pairs", scratch)
-    near = each("near").join(sent(likely.select("term")), "term", "left_semi").distinct()
-    judged = pairs.join(near, ["row_key", "entity", "term"], "left").groupBy("entity", "term", "with_entity", "n")
-    judged = judged.agg(F.count_distinct("row_key").alias("both"), F.count_distinct(F.coalesce("around", "home")).alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    told = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("n"))) / F.log2(F.lit(total) / F.col("with_entity"))
-    judged = judged.withColumn("disclosure", told).where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
-
-    terms = pairs.select("row_key", "entity", "term").join(judged, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("disclosure").alias("disclosure"))
-    terms = terms.groupBy("row_key").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
-    return base, materialise(terms, "terms", scratch)
+    pairs = materialise(pairs.select("row_key", "entity", "term", "home", "times", "with_entity", "n"), "pairs", scratch)
+    together = pairs.groupBy("entity", "term", "with_entity", "n").agg(F.sum("times").alias("both"))
+    share = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("n"))) / F.log2(F.lit(total) / F.col("with_entity"))
+    together = materialise(together.withColumn("disclosure", share).where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure"), "together", scratch)
+
+    # Surroundings are only told apart for pairs that reach the threshold.
+    pairs = pairs.join(sent(together), ["entity", "term"])
+    near = each("near").join(sent(together.select("entity", "term")), ["entity", "term"], "left_semi").distinct()
+    around = pairs.join(near, ["row_key", "entity", "term"], "left").select("entity", "term", F.coalesce("around", "home").alias("around")).distinct()
+    judged = materialise(around.groupBy("entity", "term").count().where(F.col("count") >= SUPPORT).select("entity", "term"), "judged", scratch)
+    terms = pairs.join(sent(judged), ["entity", "term"], "left_semi").groupBy("row_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    terms = materialise(terms.groupBy("row_key").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms")), "terms")
+    discard(docs.sparkSession, scratch)
+    return base, terms
 
 
 def _told(terms: list[dict] | None) -> dict[int, float]:
@@ -264,22 +288,22 @@ def _told(terms: list[dict] | None) -> dict[int, float]:
 def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(row_key, terms): where the terms of rows stand."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())])
-    schema = pa.schema([("row_key", pa.int64()), ("terms", pa.list_(span))])
+    schema = pa.schema([("row_key", pa.binary()), ("terms", pa.list_(span))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for key, text, more in rows(batches, "row_key", "text", "terms"):
             found = term_spans(text, base_spans(text), _told(more))
-            yield key, [dict(zip(("start", "kind", "end", "disclosure"), x)) for x in found]
+            yield key, found
 
     some = _keyed(docs).join(sent(terms), "row_key").select("row_key", "text", "terms")
-    return some.mapInArrow(lambda it: batched(make(it), schema, 1024), "row_key long, terms array<struct<start:int,kind:int,end:int,disclosure:double>>").dropDuplicates(["row_key"])
+    return some.mapInArrow(lambda it: batched(make(it), schema, 1024), "row_key binary, terms array<struct<start:int,kind:int,end:int,disclosure:double>>").dropDuplicates(["row_key"])
 
 
-def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", scratch: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, row_key (null without base spans), base, base_sha256 and ``found``, all spans with
     their disclosure."""
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base, terms = _found(chosen, scratch)
+    base, terms = _found(chosen)
     terms = _places(chosen, terms)
     own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(1.0).alias("disclosure")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")
@@ -298,14 +322,14 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), "base_sha256", told.alias("spans"))
 
 
-def sanitise(docs: DataFrame, id_column: str = "doc_id", text: str = "text", scratch: list[str] | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with base spans replaced by their kind, revealing terms generalised or removed; other columns as they were.
 
     Overlapping spans are replaced as one, under the kind that begins first.
     """
     key, terms_of = free_name(docs, "__key"), free_name(docs, "__terms")
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    terms = _found(chosen, scratch)[1].select(F.col("row_key").alias(key), F.col("terms").alias(terms_of))
+    terms = _found(chosen)[1].select(F.col("row_key").alias(key), F.col("terms").alias(terms_of))
     columns = docs.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
@@ -323,7 +347,7 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text: str = "text", scr
                 yield pa.RecordBatch.from_arrays([own[c] for c in columns], columns)
 
     # Few rows have terms; they are sent to all tasks while they are few, so the texts stay where they are.
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_column).cast("long"), F.col(text).cast("string")))
+    keyed = docs.withColumn(key, row_key(id_column, text))
     return keyed.join(sent(terms), key, "left").select(*columns, terms_of).mapInArrow(replace, ", ".join(fields))
 
 

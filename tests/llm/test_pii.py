@@ -69,14 +69,13 @@ def test_find_report_and_terms(spark):
     assert len(got) == len(docs)
     want = defaultdict(list)
     n = len(docs)
-    near, with_entity, with_term, around = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    near, with_entity, with_term, around = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)  # of rows
     for row, (_, t) in enumerate(docs):
         for w in re.findall(pii._WORD, t or ""):
             with_term[pii._hash(pii.term_of(w))].add(row)
         for entity, term, context, _, _ in pii.near_terms(t, brute(t)) if brute(t) else []:
-            key = docs[row]  # equal rows are one
-            near[entity, term].add(key)
-            with_entity[entity].add(key)
+            near[entity, term].add(row)
+            with_entity[entity].add(row)
             around[entity, term].add(context)
     for i, t in docs:
         spans = set(brute(t))
@@ -122,3 +121,34 @@ def test_terms_far_from_their_entity(spark):
     assert not any("varnol" in out[400 + k] for k in range(3))
     spans = {r.doc_id: r.spans for r in pii.report(pii.find(table)).collect()}
     assert all(f"term:{t.index('Quixby')}:" in spans[i] and f"term:{t.rindex('Quixby')}:" in spans[i] for i, t in docs if 300 <= i < 400)
+
+
+def test_copies_change_no_term(spark):
+    """The same documents once and 20 times, under ids of their own or repeated ones, give the same terms."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(200)}" for _ in range(n))
+    named = [(k, f"{text(12)} Zorblax writes as ann.lee@mail.example {text(10)}") for k in range(6)]
+    plain = [(100 + k, text(30)) for k in range(200)]
+    for repeated in (named, named * 20, [(1000 * c + i, t) for c in range(20) for i, t in named]):
+        table = spark.createDataFrame(repeated + plain, "doc_id long, text string")
+        got = [(r.doc_id, r.spans) for r in pii.report(pii.find(table)).collect()]
+        assert len(got) == len(repeated) + len(plain)
+        texts = dict(repeated + plain)
+        assert sum(f"term:{texts[i].index('Zorblax')}:" in spans for i, spans in got if "Zorblax" in texts[i]) == len(repeated)
+        assert not any(spans for i, spans in got if "Zorblax" not in texts[i])
+
+
+def test_a_document_of_very_many_spans(spark, monkeypatch):
+    text = " ".join(f"word{k % 50} a{k % 20_000}@b.example" for k in range(100_000))
+    table = spark.createDataFrame([(1, text), (2, "c d"), (None, text[:2000])], "doc_id long, text string")
+    got = {r.doc_id: r.n_email for r in pii.report(pii.find(table)).collect()}
+    assert got == {1: 100_000, 2: 0, None: len(brute(text[:2000]))}
+    slices = list(pii.surroundings(text, pii.base_spans(text)))
+    assert len(slices) == 50 and max(len(n) for _, n, _ in slices) <= 2 * pii.SLICE * 2 * pii.NEAR
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    table = spark.createDataFrame(corpus(), "doc_id long, text string")
+    whole = sorted(map(str, pii.report(pii.find(table)).collect()))
+    monkeypatch.setattr(pii, "SLICE", 1)
+    assert sorted(map(str, pii.report(pii.find(table)).collect())) == whole
