@@ -3,35 +3,41 @@
 A *mask* is a fixed pattern over ``SPAN`` token positions of which some are
 ignored. Every window of a benchmark item and of a training document is hashed
 under each mask over its kept positions only, so a window still meets its origin
-when substituted tokens fall on ignored positions. Where hashes meet, the hit
-fixes an alignment (item, shift between the texts), and the overlap around the
-hit is verified token by token along that alignment: it is the longest stretch
+when substituted tokens fall on ignored positions. Both sides' hashes are
+*joined*, and a hit fixes an alignment (item, shift between the texts); the overlap
+around it is verified token by token along that alignment: it is the longest stretch
 that begins and ends with a match, holds at least ``MIN_MATCHED`` matching tokens
-and, in every prefix and suffix, at least ``MIN_SHARE`` of its tokens match.
+and, in every prefix and suffix, at least 3 of 5 of its tokens match.
 A document is contaminated if a verified overlap covers ``MIN_COVER`` of the
 item, or ``LONG_MATCH`` matching tokens of it. A further mask, one position shorter,
 meets every run of ``MIN_MATCHED`` tokens. Items shorter than ``SPAN`` are met by one
 contiguous window of their whole length; all their tokens must match anyway.
 
-The benchmark is the small side, but nothing rests on that: it is read in blocks
-of at most ``BLOCK_TOKENS`` tokens (and one item); a task holds one block at a time, so
-its memory is bounded and any number of blocks gives the same rows. Documents
-are streamed through the map side; no text is shuffled.
+*Scale.* A filter of the benchmark's hashes, of at most 2^``FILTER_BITS`` bits
+whatever the benchmark's size, drops nearly all windows of the documents on the map
+side; a larger benchmark lets more pass, and the join decides. What passes is one
+row for each distinct hash of a distinct text, with its places. Texts are told
+apart by 128 bits, so copies are joined and verified once; only texts that hold a
+hit are read again and shuffled, once. An alignment is verified once, whatever the
+number of its hits, and all alignments of an item at a time.
 
 Defined results: null, empty and word-less texts are clean, with no items;
-repeated rows get equal rows; benchmark items without words match nothing;
-an empty benchmark or table contaminates nothing. Case of A-Z is ignored.
+repeated rows get equal rows; repeated benchmark rows are one item, ids that several
+texts share count for each; an id that is null stays null and comes after the others;
+benchmark items without words match nothing; an empty benchmark or table
+contaminates nothing. Case of A-Z is ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from pathloom.llm.common import batched, mix, rows, word_hashes, words
+from pathloom.llm.common import batched, discard, materialise, mix, row_key, rows, sent, word_hashes, words
 
 SPAN = 9
 #: Kept positions of each mask. They ignore different positions, so substitutions that spoil one mask spare another.
@@ -39,12 +45,19 @@ MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 4, 5, 6, 8), (0, 2, 3, 5, 6, 8), (0, 1, 3, 4
 #: For runs of 8 tokens in items of ``SPAN`` and more, which no mask of that span need meet.
 RUN_MASK = (0, 1, 3, 4, 6, 7)
 MIN_MATCHED = 8
-MIN_SHARE = 0.6
+#: A match and a mismatch in a score that is worth nothing where 3 of 5 tokens match, the least share.
+GAIN, LOSS = 2, 3
 MIN_COVER = 0.5
 LONG_MATCH = 13
-BLOCK_TOKENS = 1_000_000
+#: The filter has 128 bits for each hash of the benchmark, up to 2^27 (16 MB).
+FILTER_BITS = 27
+CELLS = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
+#: Kept positions and span of each seed.
+Seed = tuple[tuple[int, ...], int]
+LONG_SEEDS: tuple[Seed, ...] = (*((m, SPAN) for m in MASKS), (RUN_MASK, RUN_MASK[-1] + 1))
+
 
 def spaced_hashes(tokens: np.ndarray, kept: tuple[int, ...], span: int) -> np.ndarray:
     """A hash for each window of ``span`` tokens, over the kept positions."""
@@ -57,126 +70,197 @@ def spaced_hashes(tokens: np.ndarray, kept: tuple[int, ...], span: int) -> np.nd
     return mix(out)
 
 
-class Block:
-    """Benchmark items and the sorted hashes of their windows under all masks."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.tokens = [word_hashes(words(t)) for _, t in items]
-        found: list[tuple[np.ndarray, int, int]] = []  # hashes, item, mask
-        self.shapes: list[tuple[tuple[int, ...], int]] = [*((m, SPAN) for m in MASKS), (RUN_MASK, RUN_MASK[-1] + 1)]
-        short: dict[int, int] = {}
-        for item, tokens in enumerate(self.tokens):
-            if len(tokens) >= SPAN:
-                found += [(spaced_hashes(tokens, m, span), item, k) for k, (m, span) in enumerate(self.shapes[: len(MASKS) + 1])]
-            elif len(tokens):
-                n = len(tokens)
-                if n not in short:
-                    short[n] = len(self.shapes)
-                    self.shapes.append((tuple(range(n)), n))
-                found.append((spaced_hashes(tokens, tuple(range(n)), n), item, short[n]))
-        hashes = np.concatenate([h for h, _, _ in found] or [np.zeros(0, np.uint64)])
-        item = np.concatenate([np.full(len(h), i) for h, i, _ in found] or [np.zeros(0, int)]).astype(np.int64)
-        place = np.concatenate([np.arange(len(h)) for h, _, _ in found] or [np.zeros(0, int)]).astype(np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
-        self.bits = np.zeros(1 << 22, bool)  # a first look that most windows don't pass
-        self.bits[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
-        """(item, shift) of all windows that meet: position in the document less position in the item."""
-        out: set[tuple[int, int]] = set()
-        for kept, span in self.shapes:
-            own = spaced_hashes(tokens, kept, span)
-            likely = np.flatnonzero(self.bits[(own & np.uint64((1 << 22) - 1)).view(np.int64)])
-            if len(likely):
-                low = np.searchsorted(self.hashes, own[likely], "left")
-                high = np.searchsorted(self.hashes, own[likely], "right")
-                for at, a, b in zip(likely.tolist(), low.tolist(), high.tolist()):
-                    for k in range(a, b):
-                        out.add((int(self.item[k]), at - int(self.place[k])))
-        return out
-
-    def verified(self, tokens: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """For each item with a verified overlap: (matched tokens, begin, end) in the document, the best one."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for item, shift in sorted(self.hits(tokens)):
-            own = self.tokens[item]
-            low, high = max(0, shift), min(len(tokens), shift + len(own))
-            same = tokens[low:high] == own[low - shift : high - shift]
-            for a, b, matched in _stretches(same):
-                if matched < min(MIN_MATCHED, len(own)) or matched < min(MIN_COVER * len(own), LONG_MATCH):
-                    continue
-                found = matched, low + a, low + b
-                if item not in best or (-matched, low + a) < (-best[item][0], best[item][1]):
-                    best[item] = found
-        return best
-
-
-def _stretches(same: np.ndarray) -> list[tuple[int, int, int]]:
-    """Stretches of an alignment in which matches outweigh mismatches throughout: maximal segments of a score
-    that gains for a match and loses for a mismatch so that a share of ``MIN_SHARE`` is worth nothing."""
-    gain, loss = 1 - MIN_SHARE, MIN_SHARE
-    out, total, begin, top, end, count, matched = [], 0.0, 0, 0.0, 0, 0, 0
-    for k, hit in enumerate(same.tolist()):
-        if hit:
-            if total == 0:
-                begin, count = k, 0
-                top = 0.0
-            total += gain
-            count += 1
-            if total >= top:
-                top, end, matched = total, k + 1, count
-        elif total:
-            total -= loss
-            if total <= 1e-9:
-                out.append((begin, end, matched))
-                total = 0.0
-    if total:
-        out.append((begin, end, matched))
+def seeds_of(n: int) -> tuple[Seed, ...]:
+    """The seeds of an item of ``n`` tokens."""
+    return LONG_SEEDS if n >= SPAN else ((tuple(range(n)), n),) if n else ()
+
+
+def _grouped(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The distinct hashes and the places of each."""
+    order = np.argsort(hashes, kind="stable")
+    each, first = np.unique(hashes[order], return_index=True)
+    return each.view(np.int64), pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(places[order], pa.int32()))
+
+
+def _keyed_hits(key: bytes, hashes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    each, at = _grouped(hashes, places)
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(each), pa.binary()), pa.array(each), at], ["key", "hash", "at"])
+
+
+_HITS = "key binary, hash long, at array<int>"
+
+
+def _item_hashes(items: DataFrame) -> DataFrame:
+    """(key, hash, at) of benchmark items (key, text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, text in rows(batches, "key", "text"):
+            tokens = word_hashes(words(text))
+            own = [spaced_hashes(tokens, *seed) for seed in seeds_of(len(tokens))]
+            if own:
+                yield _keyed_hits(key, np.concatenate(own), np.concatenate([np.arange(len(h)) for h in own]))
+
+    return items.select("key", "text").mapInArrow(make, _HITS)
+
+
+def _probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three places of each hash in a filter of 2^``bits``."""
+    for shift in (0, 20, 36):
+        yield (hashes >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+
+
+def _filter(hashes: DataFrame, n: int) -> tuple[int, bytes]:
+    """A filter of ``n`` hashes, as its size's exponent and 64-bit words; its words are set by a distributed aggregate."""
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(max(n, 1) * 128))))
+    place = F.explode(F.array(*(F.shiftrightunsigned("hash", s).bitwiseAND((1 << bits) - 1) for s in (0, 20, 36)))).alias("p")
+    words_ = hashes.select(place).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("v"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    table = words_.toArrow()
+    out[table.column("w").to_numpy()] = table.column("v").to_numpy()
+    return bits, out.tobytes()
+
+
+def _document_hits(texts: DataFrame, sent_filter, bits: int, seeds: list[Seed]) -> DataFrame:
+    """(key, hash, at) of the windows of texts (key, text) that pass the filter; places tell the seed apart by the hash."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(sent_filter.value, np.uint64)
+        for key, text in rows(batches, "key", "text"):
+            tokens = word_hashes(words(text))
+            found, places = [], []
+            for seed in seeds:
+                own = spaced_hashes(tokens, *seed)
+                at = np.arange(len(own))
+                for probe in _probes(own, bits):
+                    p = probe[at]
+                    at = at[(held[(p >> np.uint64(6)).view(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+                found.append(own[at])
+                places.append(at)
+            if found and any(map(len, found)):
+                yield _keyed_hits(key, np.concatenate(found), np.concatenate(places))
+
+    return texts.mapInArrow(make, _HITS)
+
+
+def _shifts(n: int, m: int, pairs: list[dict]) -> np.ndarray:
+    """The distinct alignments (place in the document less place in the item) of ``pairs`` of places."""
+    marked = np.zeros(n + m + 1, bool)
+    for pair in pairs:
+        at = np.array(pair["at"], np.int64) + m
+        for place in pair["places"]:
+            marked[at - place] = True
+    return np.flatnonzero(marked) - m
+
+
+def _stretches(same: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, begin, end, matched) of the stretches in which matches outweigh mismatches throughout: maximal segments
+    of a score that gains ``GAIN`` for a match and loses ``LOSS`` for a mismatch. All rows go on together, a column at a time."""
+    rows_, columns = same.shape
+    total, top, begin, end, count, matched = (np.zeros(rows_, np.int64) for _ in range(6))
+    out: list[tuple[int, int, int, int]] = []
+
+    def close(which: np.ndarray) -> None:
+        out.extend(zip(which.tolist(), begin[which].tolist(), end[which].tolist(), matched[which].tolist()))
+
+    for k in range(columns):
+        hit = np.flatnonzero(same[:, k])
+        fresh = hit[total[hit] == 0]
+        begin[fresh], count[fresh], top[fresh] = k, 0, 0
+        total[hit] += GAIN
+        count[hit] += 1
+        risen = hit[total[hit] >= top[hit]]
+        top[risen], end[risen], matched[risen] = total[risen], k + 1, count[risen]
+        miss = np.flatnonzero(~same[:, k] & (total > 0))
+        total[miss] -= LOSS
+        over = miss[total[miss] <= 0]
+        close(over)
+        total[over] = 0
+    close(np.flatnonzero(total > 0))
     return out
 
 
-def blocks(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", limit: int = BLOCK_TOKENS) -> Iterator[Block]:
-    """The benchmark in blocks of about ``limit`` tokens, streamed through the driver one partition at a time."""
-    held, size = [], 0
-    for item, passage in benchmark.select(F.col(id_column).cast("long"), F.col(text).cast("string")).toLocalIterator():
-        held.append((item, passage))
-        size += len(words(passage))
-        if size >= limit:
-            yield Block(held)
-            held, size = [], 0
-    if held:
-        yield Block(held)
+def verified(tokens: np.ndarray, own: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int] | None:
+    """(matched tokens, begin, end) in the document of the best verified overlap with an item along ``shifts``."""
+    n, m = len(tokens), len(own)
+    best = None
+    for at in range(0, len(shifts), max(1, CELLS // m)):
+        some = shifts[at : at + max(1, CELLS // m)]
+        places = some[:, None] + np.arange(m)[None, :]
+        inside = (places >= 0) & (places < n)
+        same = inside & (tokens[np.clip(places, 0, n - 1)] == own[None, :])
+        enough = same.sum(axis=1) >= min(MIN_MATCHED, m)  # a stretch has no more matches than its alignment
+        if enough.any():
+            some, same = some[enough], same[enough]
+            for row, begin, end, matched in _stretches(same):
+                if matched >= min(MIN_MATCHED, m) and matched >= min(MIN_COVER * m, LONG_MATCH):
+                    found = matched, int(some[row]) + begin, int(some[row]) + end
+                    if best is None or (-found[0], found[1]) < (-best[0], best[1]):
+                        best = found
+    return best
+
+
+def _overlaps(candidates: DataFrame) -> DataFrame:
+    """(key, item_id, matched, begin, end) of the verified rows of (key, text, item_id, item_text, pairs)."""
+    own = candidates.select("key", "text", "item_text", "pairs", "item_id")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tokens = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                keep, found = [], []
+                for k, (key, text, item_text, pairs) in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)))):
+                    if key != last:
+                        last, tokens = key, word_hashes(words(text))
+                    item = word_hashes(words(item_text))
+                    if overlap := verified(tokens, item, _shifts(len(tokens), len(item), pairs)):
+                        keep.append(k)
+                        found.append(overlap)
+                some = part.take(pa.array(keep, pa.int64()))
+                columns = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(4), *(pa.array(c, pa.int64()) for c in columns)], ["key", "item_id", "matched", "begin", "end"])
+
+    kind = own.schema["item_id"].dataType.simpleString()
+    return own.mapInArrow(make, f"key binary, item_id {kind}, matched long, begin long, end long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, item_ids, best_item, matched, begin, end (in words)."""
-    ddl = "doc_id long, contaminated boolean, n_items long, item_ids array<long>, best_item long, matched long, begin long, end long"
-    schema = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("best_item", pa.int64()), ("matched", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
-    spark: SparkSession = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark)]
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    spark, held = docs.sparkSession, []
+    mark = F.unhex(F.md5(text))
+    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).distinct().withColumn("key", row_key("item_id", "text"))
+    items = materialise(items, "items", held)
+    seeded = materialise(_item_hashes(items), "item-hashes", held)
+    short = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x09-\x0D ]+", " ")), " "))
+    lengths = sorted(r[0] for r in items.where(F.length(F.trim(F.regexp_replace("text", r"[\x09-\x0D ]+", " "))) > 0).select(short.alias("n")).where(F.col("n") < SPAN).distinct().collect())
+    seeds = [*LONG_SEEDS, *(s for n in lengths for s in seeds_of(n))]
+    hashes = seeded.select("hash").distinct()
+    bits, content = _filter(hashes, hashes.count())
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            held = list(rows(iter([batch]), "doc_id", "text"))
-            hits: list[list[tuple[int, int, int, int]]] = [[] for _ in held]
-            for b in sent:
-                block = b.value
-                for found, (_, passage) in zip(hits, held):
-                    overlaps = block.verified(word_hashes(words(passage)))
-                    found += [(-m, -1 if block.ids[i] is None else block.ids[i], x, y) for i, (m, x, y) in overlaps.items()]
-                if len(sent) > 1:
-                    del b._value  # one block in memory at a time; the next batch loads it again
-            yield from decided(held, hits)
-
-    def decided(held: list[tuple], hits: list[list[tuple[int, int, int, int]]]) -> Iterator[tuple]:
-        for (doc_id, _), found in zip(held, hits):
-            if found:
-                matched, item, begin, end = min(found)
-                yield doc_id, True, len(found), sorted(f[1] for f in found), item, -matched, begin, end
-            else:
-                yield doc_id, False, 0, [], None, 0, None, None
-
-    return chosen.mapInArrow(lambda it: batched(judge(it), schema), ddl)
+    chosen = docs.select(F.col(id_column).alias("doc_id"), mark.alias("key"), F.col(text).cast("string").alias("text"))
+    texts = chosen.where("key is not null").select("key", "text")
+    hits = _document_hits(texts, spark.sparkContext.broadcast(content), bits, seeds).dropDuplicates(["key", "hash"])
+    met = seeded.select("hash", F.col("key").alias("item"), F.col("at").alias("places"))
+    pairs = hits.join(sent(met), "hash").groupBy("key", "item").agg(F.collect_list(F.struct("at", "places")).alias("pairs"))
+    pairs = materialise(pairs, "pairs", held)
+
+    # Texts that hold a hit are read again, one of each kind; items are joined to their pairs.
+    wanted = pairs.select(F.col("key").alias("k")).distinct()
+    again = texts.join(sent(wanted), F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    named = pairs.join(sent(items.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text"))), "item")
+    overlaps = materialise(_overlaps(named.join(again, "key")), "overlaps", held)
+
+    order = F.struct(-F.col("matched"), F.col("item_id").isNull(), "item_id", "begin", "end")
+    verdicts = overlaps.groupBy("key").agg(
+        F.count("*").alias("n_items"), F.collect_list("item_id").alias("ids"), F.count_if(F.col("item_id").isNull()).alias("nulls"), F.min(order).alias("best")
+    )
+    kind = items.schema["item_id"].dataType.simpleString()
+    ids = F.concat(F.array_sort("ids"), F.array_repeat(F.lit(None).cast(kind), F.col("nulls").cast("int")))
+    verdicts = materialise(verdicts.select(F.col("key").alias("k"), "n_items", ids.alias("item_ids"), "best"), "verdicts")
+    discard(spark, held)
+    out = chosen.select("doc_id", "key").join(sent(verdicts), F.col("key") == F.col("k"), "left")
+    return out.select(
+        "doc_id", F.col("k").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("item_ids", F.array().cast(f"array<{kind}>")).alias("item_ids"), F.col("best.item_id").alias("best_item"),
+        F.coalesce(-F.col("best.col1"), F.lit(0)).cast("long").alias("matched"), F.col("best.begin").alias("begin"), F.col("best.end").alias("end"),
+    )
