@@ -12,10 +12,10 @@ losslessly into full pieces and a rest.
 
 Scale: texts are read once and leave the map side as (id, piece, length,
 checksum); only these few bytes per piece are dealt out. Pieces are dealt to
-shards by a hash of id, piece and checksum, with as many shards as keep a shard
-at ``SHARD_BINS`` sequences, so a task is bounded at any size and a hot source
-or group of copies spreads evenly. A shard wastes part of its last sequence,
-about 1 in 4000.
+shards by the hash of a running number, so identical pieces spread like any
+others, with as many shards as keep a shard at ``SHARD_BINS`` sequences' tokens and
+at ``SHARD_ROWS`` pieces: a task is bounded at any size. A shard wastes part of its
+last sequence, about 1 in 4000.
 
 Defined results: null text packs as an empty document (its end id alone);
 repeated rows and repeated or null ids are packed as documents of their own;
@@ -38,6 +38,7 @@ from pathloom.llm.common import batched, materialise, rows
 from pathloom.llm.tokens import END_ID, encoder
 
 SHARD_BINS = 2000
+SHARD_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -109,23 +110,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_column: str
     return chosen.mapInArrow(lambda it: batched(cut(it), schema), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, limits: Limits = Limits(), salt: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
+def pack(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``pieces`` (with a ``length`` column) with sequence_id and offset. Read twice: give it materialised."""
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, int(total // (limits.tokens * SHARD_BINS)))
-    kept = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "__shard")]
+    total, n = pieces.agg(F.sum("length"), F.count("*")).first()
+    shards = max(1, int((total or 0) // (limits.tokens * SHARD_BINS)), -(-n // SHARD_ROWS))
+    kept = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "__shard", "__number")]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
 
     def place(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values([*salt], kind="stable", na_position="first")
+        shard = shard.sort_values("__number", kind="stable")
         bins, offsets = best_fit(shard["length"].to_numpy(), limits)
         return shard[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    dealt = pieces.select(*names, F.pmod(F.xxhash64(*salt), F.lit(shards)).alias("__shard"))
+    # The number is of a row's partition and place in it: a task that runs again gives its rows the same ones.
+    numbered = pieces.select(*names, F.monotonically_increasing_id().alias("__number"))
+    dealt = numbered.withColumn("__shard", F.pmod(F.xxhash64("__number"), F.lit(shards)))
     return dealt.groupBy("__shard").applyInPandas(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text", scratch: list[str] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialise(token_pieces(docs, tokenizer, limits.tokens, id_column, text), "pieces", scratch), limits)
+    return pack(materialise(token_pieces(docs, tokenizer, limits.tokens, id_column, text), "pieces"), limits)

@@ -27,6 +27,57 @@ def test_no_constraint_is_broken(lengths, rule, documents, cost):
         assert sum(n for _, n in pieces) <= 50 and len(pieces) <= documents and sum(n * n for _, n in pieces) <= cost
 
 
+def plain_best_fit(lengths, limits):
+    """The rule in the docstring, word for word: every open bin is looked at for every piece."""
+    caps, bins, out = (limits.tokens, limits.documents, limits.cost), [], [None] * len(lengths)
+    for at in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = [x / c for x, c in zip((lengths[at], 1, lengths[at] ** 2), caps)]
+        best = None
+        for k, free in enumerate(bins):
+            if all(f >= x - 1e-12 for f, x in zip(free, need)):
+                if limits.rule == "norm":
+                    score = sum(w * (f - x) ** 2 for w, f, x in zip(limits.weights, free, need))
+                else:
+                    score = -sum(w * f * x for w, f, x in zip(limits.weights, free, need))
+                if best is None or score < best[0] - 1e-12:
+                    best = score, k
+        if best is None:
+            bins.append([1.0, 1.0, 1.0])
+            best = 0, len(bins) - 1
+        out[at] = best[1]
+        bins[best[1]] = [f - x for f, x in zip(bins[best[1]], need)]
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("documents, cost", [(4, 2500), (9, 3000), (50, 6000)])
+def test_is_the_plain_best_fit(rule, documents, cost):
+    rng = np.random.default_rng(documents)
+    limits = packing.Limits(tokens=50, documents=documents, cost=cost, weights=(1.0, 0.31, 0.17), rule=rule)
+    for _ in range(20):
+        lengths = rng.integers(1, 50, rng.integers(1, 60))
+        bins, _ = packing.best_fit(lengths, limits)
+        assert bins.tolist() == plain_best_fit(lengths.tolist(), limits)
+
+
+def test_the_rules_and_capacities_differ():
+    lengths = np.random.default_rng(2).integers(1, 50, 300)
+    most = lambda **k: packing.best_fit(lengths, packing.Limits(tokens=50, **k))[0]
+    assert (most(documents=50, cost=2500) != most(documents=50, cost=2500, rule="dot")).any()
+    lengths = lengths % 12 + 1
+    assert most(documents=2, cost=2500).max() > most(documents=50, cost=2500).max()
+    assert max(np.bincount(most(documents=2, cost=2500))) == 2
+
+
+def test_identical_rows_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 20_000)
+    pieces = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(1).cast("long").alias("length"))
+    got = packing.pack(pieces, packing.Limits(documents=512)).groupBy("sequence_id").agg(F.count("*").alias("n"), F.max("offset").alias("last")).collect()
+    shards = {r.sequence_id >> 32 for r in got}
+    assert len(shards) == 5 and sum(r.n for r in got) == 100_000 and all(r.n == r.last + 1 <= 512 for r in got)
+    assert len(got) <= 100_000 // 512 + 1 + len(shards)
+
+
 def test_packs_near_the_bound_and_rejects_what_cannot_fit():
     sizes = np.minimum(4096, np.random.default_rng(1).lognormal(6, 1.2, 4000).astype(int) + 1)
     bins, _ = packing.best_fit(sizes, packing.Limits())
