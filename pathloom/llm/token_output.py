@@ -12,7 +12,7 @@ folder:
 
 No shuffle is needed, memory is bounded by the chunk, and a lost executor only
 repeats its own chunks: files have names of their own and only those that the
-committed manifest names are ever read.
+committed manifest names are ever read. Files are dealt to readers one by one.
 
 Defined results: null and empty texts are one end id; documents over the
 capacity are cut losslessly; repeated rows are written as often as they occur;
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from pathloom.llm.common import batched, materialise, rows, scratch_path
+from pathloom.llm.common import batched, materialise, rows, scratch_path, spread
 from pathloom.llm.tokens import END_ID, encoder
 
 CHUNK_TOKENS = 6_000_000
@@ -155,7 +155,8 @@ def read_token_files(manifest: DataFrame, capacity: int = 4096) -> DataFrame:
                 yield (None if doc_id == NULL_ID else doc_id), piece, start, length, file.rpartition("/")[2], row, column, zlib.crc32(ids.tobytes())
 
     ddl = "doc_id long, piece int, start long, length long, file string, row int, offset int, ids_crc32 long"
-    return manifest.mapInArrow(lambda it: batched(segments(it), schema), ddl)
+    n, size = manifest.agg(F.count("*"), F.sum(F.col("n_rows") * F.col("width")) * capacity).first()
+    return spread(manifest, n, size or 0).mapInArrow(lambda it: batched(segments(it), schema), ddl)
 
 
 def scratch_folder(docs: DataFrame) -> str:
