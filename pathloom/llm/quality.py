@@ -19,7 +19,7 @@ their id: a bounded sample, whatever the size of the table.
 Defined results: a null text has no words and fails the base rule; labels that
 are null or whose document is missing are not used; with no labels, or only
 one kind, the list is empty and the base rule alone decides; rows that repeat
-an id get rows of their own; very long texts are measured whole.
+an id get rows of their own, and the least of their measures trains; very long texts are measured whole.
 """
 
 from __future__ import annotations
@@ -224,7 +224,9 @@ def sampled(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
 
 def sample(measured: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The measures of the documents of ``labels`` (as ``sampled``), in the order of their hash, and whether they are bad."""
-    joined = measured.join(labels.select("doc_id", "quality"), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", *RATIOS, "quality")
+    joined = measured.select("doc_id", *RATIOS).join(labels.select("doc_id", "quality"), "doc_id")
+    # One row an id: as many as labels, however often an id is repeated.
+    joined = joined.groupBy("doc_id", "quality").agg(F.min(F.struct(*RATIOS)).alias("m")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "m.*", "quality")
     held = joined.toPandas().sort_values(["h", "doc_id", *RATIOS], kind="stable")
     return {c: held[c].to_numpy(float) for c in RATIOS}, held["quality"].to_numpy(int) == 0
 

@@ -61,6 +61,71 @@ def test_learned_rules_hold_on_unseen_rows():
     assert (rejected & bad).sum() >= 0.9 * bad.sum() and (rejected & ~bad).sum() <= 0.02 * rejected.sum()
 
 
+def plain_learn(x, bad):
+    """Sequential covering, threshold by threshold and row by row."""
+    n, left, out = len(bad), set(range(len(bad))), []
+    holds = lambda c, i: x[c[0]][i] >= c[2] if c[1] else x[c[0]][i] < c[2]
+    for _ in range(quality.MAX_RULES):
+        grow = [i for i in left if i % 3 != 2]
+        if sum(bad[i] for i in grow) <= quality.LEAST:
+            break
+        conditions = []
+        while len(conditions) < quality.MAX_CONDITIONS:
+            p = sum(bad[i] for i in grow)
+            if not p or p == len(grow):
+                break
+            best = None
+            for name in quality.RATIOS:
+                values = sorted({x[name][i] for i in grow})
+                for above in (False, True):
+                    for a, b in zip(values, values[1:]):
+                        c = (name, above, (a + b) / 2)
+                        covered = [i for i in grow if holds(c, i)]
+                        pp = sum(bad[i] for i in covered)
+                        gain = pp * (np.log2(pp / len(covered)) - np.log2(p / len(grow))) if pp else -1
+                        if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                            best = gain, c
+            if best is None:
+                break
+            conditions.append(best[1])
+            grow = [i for i in grow if holds(best[1], i)]
+        if not conditions:
+            break
+
+        def covered(k):
+            return [i for i in left if i % 3 == 2 and all(holds(c, i) for c in conditions[:k])]
+
+        def worth(k):
+            found = covered(k)
+            return (2 * sum(bad[i] for i in found) - len(found)) / len(found) if found else -1.0
+
+        k = max(range(1, len(conditions) + 1), key=lambda k: (worth(k), -k))
+        tested = covered(k)
+        p = sum(bad[i] for i in tested)
+        if p > quality.LEAST and p >= quality.PRECISION * len(tested):
+            out.append(conditions[:k])
+        left -= {i for i in left if all(holds(c, i) for c in conditions[:k])}
+    return out
+
+
+def test_learns_what_the_plain_covering_learns():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = {c: np.round(rng.uniform(0, 1, 150), 2) for c in quality.RATIOS}
+        bad = (x["symbol_rate"] > 0.6) & (x["mark_rate"] < 0.7) | (x["upper_rate"] > 0.85) | (rng.random(150) < 0.02)
+        got = [[(c.name, c.above, c.value) for c in r.conditions] for r in quality.learn(x, bad)]
+        assert got == plain_learn(x, bad) and got
+
+
+def test_repeated_ids_train_once(spark):
+    docs = [(1, "a b " * 20)] * 500 + [(1, "c! " * 20), (2, "d e f " * 9), (3, None)]
+    measured = quality.measures(spark.createDataFrame(docs, "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    x, bad = quality.sample(measured, quality.sampled(labels))
+    assert len(bad) == 3 and sorted(bad.tolist()) == [False, True, True]
+    assert sorted(x["mark_rate"].tolist()) == [0.0, 0.0, 0.0]
+
+
 def test_noise_teaches_nothing():
     rng = np.random.default_rng(1)
     x = {c: rng.uniform(0, 1, 3000) for c in quality.RATIOS}
