@@ -16,8 +16,10 @@ Counts are exchanged in compact form, so no row per token ever exists:
    ranges of hash values, one blob with the chunk's distinct n-grams in the range
    and their counts, already summed over the chunk.
 2. A range is added up in one task over all chunks' blobs and answered with one
-   blob of totals per chunk. Ranges are as many as keep a task's share constant;
-   a hot n-gram is one entry per chunk, wherever it occurs how often.
+   blob of totals per chunk. Ranges are as many as the texts' bytes ask for, so that
+   each holds the n-grams of about ``RANGE_BYTES`` of text, however the input is cut
+   into files; a hot n-gram is one entry per chunk, wherever it occurs how often.
+   Totals are 64-bit counts, sent as 32-bit ones where they fit.
 3. The documents are read again into the same chunks, by name; a chunk's answers
    and its token stream meet, and its documents are scored. A chunk whose content
    differs from the first reading has another name, and is refused.
@@ -47,6 +49,7 @@ from xxhash import xxh3_128
 from pathloom.llm.common import materialise, mix, rows, word_hashes, words
 
 CHUNK = 1_000_000
+RANGE_BYTES = 16_000_000
 FOLDS = 5
 HELD_OUT = 1
 #: Of the training folds, the one that is predicted when weights are learned.
@@ -75,6 +78,14 @@ def _pack(a: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
 
 
+def _pack_counts(a: np.ndarray) -> bytes:
+    return _pack(a.astype("<u4")) + b"\x04" if not len(a) or a.max() < 1 << 32 else _pack(a.astype("<u8")) + b"\x08"
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[:-1]), f"<u{data[-1]}").astype(np.uint64)
+
+
 def _join(parts: list[bytes]) -> bytes:
     return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
 
@@ -198,7 +209,7 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
 def _sums(keys: list[np.ndarray], counts: list[np.ndarray], roles: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Totals over the counting part and over all training documents, and each blob's places in them."""
     every, which = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.zeros((2, len(every)), np.uint32)
+    totals = np.zeros((2, len(every)), np.uint64)
     places, at = [], 0
     for k, c, role in zip(keys, counts, roles):
         own = which[at : at + len(k)]
@@ -218,7 +229,7 @@ def _add_up(part: pd.DataFrame) -> pd.DataFrame:
     counts = lambda k: [np.frombuffer(zlib.decompress(b[k]), "<u4") for b in blobs]
     pairs, pair_at = _sums([_unsteps(b[0]) for b in blobs], counts(1), roles)
     singles, word_at = _sums([np.frombuffer(b[2], np.uint64) for b in blobs], counts(3), roles)
-    answers = [_join([_pack(pairs[:, p]), _pack(singles[:, w])]) for p, w in zip(pair_at, word_at)]
+    answers = [_join([_pack_counts(t[row, at]) for t, at in ((pairs, p), (singles, w)) for row in (0, 1)]) for p, w in zip(pair_at, word_at)]
     out = part[["bucket", "chunk", "role"]].assign(blob=answers, n=0, v=0, n_counting=0, starts=0, starts_counting=0)
     starts = [int(b[4]) for b in blobs]
     own = int(singles[1].sum(dtype=np.int64)), int((singles[1] > 0).sum()), int(singles[0].sum(dtype=np.int64)), sum(s for s, r in zip(starts, roles) if r != "held"), sum(s for s, r in zip(starts, roles) if r == "counting")
@@ -248,12 +259,12 @@ def _answered(part: pd.DataFrame, row: int, starts: int) -> tuple[int, Chunk, np
         raise RuntimeError("a chunk was not read the same way twice")
     chunk = Chunk.load(blobs[0])
     answers = [_split(b) for b in blobs[1:]]
-    total = lambda k: np.concatenate([np.frombuffer(zlib.decompress(a[k]), "<u4").reshape(2, -1)[row] for a in answers])
+    total = lambda k: np.concatenate([_unpack_counts(a[2 * k + row]) for a in answers])
     pairs, which, context = chunk.bigrams()
     pair_n, word_n = total(0), total(1)
     if len(pair_n) != len(pairs) or len(word_n) != len(chunk.vocabulary):
         raise RuntimeError("the answers to a chunk are not complete")
-    return int(times.iloc[0]), chunk, pair_n[which].astype(float), np.append(word_n, np.uint32(starts))[context].astype(float), word_n[chunk.places].astype(float)
+    return int(times.iloc[0]), chunk, pair_n[which].astype(float), np.append(word_n, np.uint64(starts))[context].astype(float), word_n[chunk.places].astype(float)
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -339,15 +350,16 @@ def _scores(n: int, v: int, starts: int, weights: np.ndarray):
     return score
 
 
-def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None, scratch: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if buckets is None:  # a range's share of the counts is about that of one input partition
-        buckets = max(8, chosen.rdd.getNumPartitions())
-    answers = _requests(chosen, buckets).groupBy("bucket").applyInPandas(
+    if buckets is None:
+        size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(8, -(-size // RANGE_BYTES))
+    answers = _requests(chosen, buckets).repartitionById(buckets, "bucket").groupBy("bucket").applyInPandas(
         _add_up, "bucket int, chunk string, role string, blob binary, n long, v long, n_counting long, starts long, starts_counting long"
     )
-    answers = materialise(answers, "answers", scratch)
+    answers = materialise(answers, "answers")
     n, v, n_counting, starts, starts_counting = (x or 0 for x in answers.agg(*map(F.sum, ("n", "v", "n_counting", "starts", "starts_counting"))).first())
     blobs = answers.select("bucket", "chunk", "blob")
     tuning = blobs.where(answers["role"] == "tuning").union(_streams(chosen, "tuning")).groupBy("chunk")

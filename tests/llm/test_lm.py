@@ -96,3 +96,18 @@ def test_copies_of_whole_chunks(spark):
 def test_very_long_text(spark):
     got = lm.score(spark.createDataFrame([(0, "a b c " * 100_000), (2, "a b")], "doc_id long, text string")).collect()
     assert sorted(r.n_tokens for r in got) == [3, 300_001]
+
+
+def test_totals_over_32_bits():
+    """Counts of a word and a bigram in two chunks that add up to more than 2^32, through the exchange."""
+    chunk = lm.Chunk.of([1], [np.array([5, 9, lm.END], np.uint64)])
+    pairs, _, _ = chunk.bigrams()
+    big = np.array([4_000_000_000, 1, 2], "<u4")
+    request = lm._join([lm._steps(pairs), lm._pack(big), chunk.vocabulary.tobytes(), lm._pack(big), b"3000000000"])
+    part = pd.DataFrame({"bucket": 0, "chunk": ["a", "b", "c"], "role": ["counting", "tuning", "held"], "blob": [request] * 3})
+    answers = lm._add_up(part)
+    assert answers.iloc[0][["n", "v", "n_counting", "starts", "starts_counting"]].tolist() == [2 * 4_000_000_003, 3, 4_000_000_003, 6_000_000_000, 3_000_000_000]
+    both = pd.DataFrame({"bucket": [-1, 0], "chunk": "a", "blob": [chunk.dump(), answers["blob"].iloc[0]]})
+    _, _, c12, c1, c2 = lm._answered(both, 1, 6_000_000_000)
+    assert sorted(c12.tolist()) == sorted(c2.tolist()) == [2.0, 4.0, 8_000_000_000.0] and c1[0] == 6_000_000_000
+    assert lm._answered(both, 0, 3_000_000_000)[4].max() == 4_000_000_000
