@@ -7,8 +7,9 @@ authors leave out: end tags of paragraphs, list items, options, table parts and
 definition terms, the closing of everything inside a closed block, rows and
 sections of tables. *Visibility rules* leave out the head but for nothing else
 visible, scripts, styles, templates, elements with ``hidden``
-or a style of ``display:none`` or ``visibility:hidden``,
-hidden inputs and closed dialogs. A *renderer* lays the rest out:
+or a style of ``display:none``, hidden inputs and closed dialogs; what a style of
+``visibility:hidden`` hides takes no room either, but for elements in it that a
+``visibility:visible`` shows again. A *renderer* lays the rest out:
 
 * white space is collapsed, but kept in ``pre`` and ``textarea``;
 * blocks begin on lines of their own; paragraphs, headings, lists, tables and
@@ -46,7 +47,8 @@ MAX_INDENT = 800
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|[!?](?P<odd>[^>]*)(?:>|\Z)|/(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -212,13 +214,19 @@ def visible(node: Node) -> bool:
     a = node.attributes
     if node.name in UNSEEN or node.kind and node.name in FOREIGN_UNSEEN[node.kind] or "hidden" in a and a["hidden"].lower() != "until-found":
         return False
-    if "style" in a and _HIDING.search(a["style"]):
+    if "style" in a and _GONE.search(a["style"]):
         return False
     if node.name == "dialog" and "open" not in a:
         return False
     return not (node.name == "input" and a.get("type", "").lower() in ("hidden", "password", "checkbox", "radio", "file", "color", "range", "image"))
 
 
+def seen(node: Node, before: bool) -> bool:
+    """Whether the text of a node shows, by its style or as that of its parent."""
+    found = _VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else ()
+    return found[-1].lower() in ("visible", "initial") if found else before
+
+
 class Lines:
     """Lines of laid-out text: collapsed inline text, breaks between blocks, indents."""
 
@@ -315,76 +323,76 @@ def _run(step: Step) -> object:
     return result
 
 
-def _render(node: Node, out: Lines, kept: bool, shown: bool = True) -> Step:
-    """Lay out what is in a node; in a drawing only its texts are ``shown``."""
+def _render(node: Node, out: Lines, kept: bool, seen_: bool, shown: bool = True) -> Step:
+    """Lay out what is in a node; texts, marks and rules only where they are ``seen_``, in a drawing only texts that are ``shown``."""
     for child in node.children:
         if isinstance(child, str):
-            if shown:
+            if shown and seen_:
                 out.kept(child) if kept else out.text(child)
             continue
         if not visible(child):
             continue
-        name = child.name
+        name, own = child.name, seen(child, seen_)
         if child.kind == "svg":
             apart = name in ("svg", "text", "foreignobject")
             out.space |= apart
-            yield _render(child, out, kept and not apart, name in ("text", "foreignobject") or shown and name != "svg")
+            yield _render(child, out, kept and not apart, own, name in ("text", "foreignobject") or shown and name != "svg")
             out.space |= apart
         elif name == "br":
-            out.line(keep=True) if out.parts or kept else None
+            out.line(keep=True) if own and (out.parts or kept) else None
         elif name == "hr":
             out.block(True)
-            out.text("---")
+            out.text("---" if own else "")
             out.block(True)
         elif name == "img":
-            if alt := child.attributes.get("alt", ""):
+            if own and (alt := child.attributes.get("alt", "")):
                 out.text(alt)
         elif name == "input":
-            out.text(child.attributes.get("value") or child.attributes.get("placeholder", ""))
+            out.text((child.attributes.get("value") or child.attributes.get("placeholder", "")) if own else "")
         elif name == "wbr":
             pass
         elif name == "details" and "open" not in child.attributes:
             out.block(True)
-            yield _render(Node("details", {}, [c for c in child.children if isinstance(c, Node) and c.name == "summary"]), out, kept)
+            yield _render(Node("details", {}, [c for c in child.children if isinstance(c, Node) and c.name == "summary"]), out, kept, own)
             out.block(True)
         elif name == "table":
             out.block(True)
-            for line in (yield _table(child)):
+            for line in (yield _table(child, own)):
                 out.parts = [line]
                 out.line()
             out.block(True)
         elif name in ("ul", "ol", "menu", "dir"):
             nested = node.name == "li"
             out.block(not nested)
-            yield _list(child, out, kept)
+            yield _list(child, out, kept, own)
             out.block(not nested)
         elif name in ("blockquote", "dd", "figure"):
             out.block(name in APART)
             out.indent += 4
-            yield _render(child, out, kept)
+            yield _render(child, out, kept, own)
             out.block(name in APART)
             out.indent -= 4
         elif name in ("pre", "textarea", "listing"):
             out.block(name == "pre")
             if child.children and isinstance(child.children[0], str) and child.children[0].startswith("\n"):
                 child.children[0] = child.children[0][1:]
-            yield _render(child, out, True)
+            yield _render(child, out, True, own)
             out.block(name == "pre")
         elif name in BLOCKS:
             out.block(name in APART)
-            yield _render(child, out, kept)
+            yield _render(child, out, kept, own)
             out.block(name in APART)
         elif name == "q":
-            out.text("\"")
-            yield _render(child, out, kept)
-            out.text("\"")
+            out.text("\"" if own else "")
+            yield _render(child, out, kept, own)
+            out.text("\"" if own else "")
         else:
             if name in ("td", "th"):  # a cell outside of a table
                 out.space = True
-            yield _render(child, out, kept)
+            yield _render(child, out, kept, own)
 
 
-def _list(node: Node, out: Lines, kept: bool) -> Step:
+def _list(node: Node, out: Lines, kept: bool, seen_: bool) -> Step:
     items = [c for c in node.children if isinstance(c, Node) and c.name == "li" and visible(c)]
     down = "reversed" in node.attributes
     at = _number(node.attributes.get("start"), len(items) if down else 1)
@@ -392,48 +400,49 @@ def _list(node: Node, out: Lines, kept: bool) -> Step:
         if isinstance(child, Node) and child.name == "li":
             if not visible(child):
                 continue
+            own = seen(child, seen_)
             at = _number(child.attributes.get("value"), at)
             marker = f"{at}. " if node.name == "ol" else "- "
             at += -1 if down else 1
             before = out.indent
             out.block(False)
             out.indent += len(marker)
-            out.marker = marker
-            yield _render(child, out, kept)
+            out.marker = marker if own else ""
+            yield _render(child, out, kept, own)
             out.block(False)
             out.indent, out.marker = before, ""
         else:
-            yield _render(Node(node.name, {}, [child]), out, kept)
+            yield _render(Node(node.name, {}, [child]), out, kept, seen_)
 
 
-def _lay(node: Node) -> Step:
+def _lay(node: Node, seen_: bool) -> Step:
     own = Lines()
-    yield _render(node, own, False)
+    yield _render(node, own, False, seen_)
     return own.finish()
 
 
-def _table(node: Node) -> Step:
+def _table(node: Node, seen_: bool) -> Step:
     """The lines of a table: captions, then rows with cells in aligned columns."""
     captions: list[str] = []
     grid: list[list[tuple[int, list[str]]]] = []
     spans: dict[int, int] = {}  # columns that cells above still fill, and for how many rows
 
-    def row(node: Node) -> Step:
+    def row(node: Node, seen_: bool) -> Step:
         column, cells = 0, []
         filled = {c: n for c, n in spans.items() if n > 0}
         for c in filled:
             spans[c] -= 1
         for cell in node.children:
             if not isinstance(cell, Node) or not visible(cell):
-                if isinstance(cell, str) and cell.strip():
+                if isinstance(cell, str) and seen_ and cell.strip():
                     captions.append(_SPACE.sub(" ", cell).strip())
                 continue
             if cell.name not in ("td", "th"):
-                captions.extend((yield _lay(Node("div", {}, [cell]))))
+                captions.extend((yield _lay(Node("div", {}, [cell]), seen_)))
                 continue
             while column in filled:
                 column += 1
-            cells.append((column, (yield _lay(cell))))
+            cells.append((column, (yield _lay(cell, seen(cell, seen_)))))
             wide = _number(cell.attributes.get("colspan"), 1, 1, 1000)
             tall = _number(cell.attributes.get("rowspan"), 1, 0, 65534)
             for c in range(column, column + wide):
@@ -442,22 +451,22 @@ def _table(node: Node) -> Step:
             column += wide
         grid.append(cells)
 
-    def walk(node: Node) -> Step:
+    def walk(node: Node, seen_: bool) -> Step:
         for child in node.children:
             if isinstance(child, str):
-                if child.strip(" \t\n\r\f"):
+                if seen_ and child.strip(" \t\n\r\f"):
                     captions.append(_SPACE.sub(" ", child).strip())
             elif not visible(child):
                 continue
             elif child.name == "tr":
-                yield row(child)
+                yield row(child, seen(child, seen_))
             elif child.name in ("thead", "tbody", "tfoot"):
                 spans.clear()
-                yield walk(child)
+                yield walk(child, seen(child, seen_))
             elif child.name not in ("col", "colgroup"):
-                captions.extend((yield _lay(Node("div", {}, [child]))))
+                captions.extend((yield _lay(Node("div", {}, [child]), seen_)))
 
-    yield walk(node)
+    yield walk(node, seen_)
     # Columns in which no cell begins take no room.
     place = {c: k for k, c in enumerate(sorted({c for cells in grid for c, _ in cells}))}
     width = [0] * len(place)
@@ -487,7 +496,7 @@ def visible_text(page: str | None) -> tuple[str | None, int]:
     out = Lines()
     root = tree(page)
     if visible(root):
-        _run(_render(root, out, False))
+        _run(_render(root, out, False, seen(root, True)))
     lines = out.finish()
     return "\n".join(lines), out.blocks
 

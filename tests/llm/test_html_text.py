@@ -158,3 +158,21 @@ def test_table_of_pages(spark):
     got = sorted(((r.page_id or 0, r.text, r.n_blocks, r.n_chars) for r in html_text.extract(pages).collect()), key=str)
     assert got == [(0, "", 0, 0), (1, "a\n\nb", 2, 4), (1, "a\n\nb", 2, 4), (2, None, 0, None)]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_visibility_is_inherited_and_shown_again():
+    text = lambda page: html_text.visible_text(page)[0]
+    assert text('<div style="visibility:hidden">a <b style="VISIBILITY : visible">b</b> c<img alt=d></div>e') == "b\ne"
+    assert text('<ul style="visibility:hidden"><li>a<li style="visibility:visible">b<li><i style="visibility:initial">c</i></ul>') == "- b\n  c"
+    assert text('<table style="visibility:collapse"><tr><td>a<td style="visibility:visible">b<tr style="visibility:visible"><td>c<td>d</table>') == "   b\nc  d"
+    assert text('<div style="visibility:visible;visibility:hidden">a<p hidden style="visibility:visible">b</p></div>') == ""
+    assert text('<div style="display:none">a<b style="visibility:visible">b</b></div>c') == "c"
+    assert text("<body style=visibility:hidden>a<hr><q>b</q><p style=visibility:visible>c") == "c"
+    deep = "<div style=visibility:hidden>" + "<b>" * 3000 + "x<i style=visibility:visible>y<script>z</script>"
+    assert text(deep) == "y"
+
+
+@pytest.mark.parametrize("depth", [1, 190, 300, 5000])
+def test_rules_hold_at_any_depth(depth):
+    page = "<b>" * depth + "<script>var leaked=1</script><p hidden>secret</p><svg><text>drawn</text></svg><math><mi>m</mi></math><ul><li>x</ul>"
+    assert html_text.visible_text(page)[0] == "drawn m\n\n- x"
