@@ -112,11 +112,12 @@ def with_measures(docs: DataFrame, prefix: str = "", text: str = "text") -> Data
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            columns = zip(*found) if found else ((),) * len(_NAMES)
-            for name, values in zip(_NAMES, columns):
-                batch = batch.append_column(prefix + name, pa.array(values, pa.int64()))
-            yield batch
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [measure(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                for name, values in zip(_NAMES, zip(*found)):
+                    part = part.append_column(prefix + name, pa.array(values, pa.int64()))
+                yield part
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     return _with_ratios(docs.mapInArrow(make, ", ".join([*fields, *(f"{prefix}{n} long" for n in _NAMES)])), prefix)
