@@ -80,3 +80,14 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_session_and_the_documents_of_a_sequence(spark, tmp_path, monkeypatch):
+    fixture(str(tmp_path), spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(corpus_pipeline, "SEQUENCE_DOCUMENTS", 5)
+    docs = corpus_pipeline.run(spark, str(tmp_path))
+    assert spark.conf.get(name, None) == before
+    held = docs.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()
+    assert max(r.n for r in held) == 5 and max(r.tokens for r in held) <= 4096
