@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ LONG_MATCH = 13
 #: The filter has 128 bits for each hash of the benchmark, up to 2^27 (16 MB).
 FILTER_BITS = 27
 CELLS = 4_000_000
+DOCUMENTS = 200
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Kept positions and span of each seed.
@@ -64,9 +66,11 @@ def spaced_hashes(tokens: np.ndarray, kept: tuple[int, ...], span: int) -> np.nd
     n = len(tokens) - span + 1
     if n <= 0:
         return tokens[:0]
-    out = np.full(n, kept[0] * 31 + span * 1009 + len(kept), np.uint64)
+    out, high = np.full(n, kept[0] * 31 + span * 1009 + len(kept), np.uint64), np.empty(n, np.uint64)
     for k in kept:
-        out = (out ^ (out >> np.uint64(31))) * _STEP + tokens[k : k + n]
+        out ^= np.right_shift(out, np.uint64(31), out=high)
+        out *= _STEP
+        out += tokens[k : k + n]
     return mix(out)
 
 
@@ -75,16 +79,13 @@ def seeds_of(n: int) -> tuple[Seed, ...]:
     return LONG_SEEDS if n >= SPAN else ((tuple(range(n)), n),) if n else ()
 
 
-def _grouped(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """The distinct hashes and the places of each."""
-    order = np.argsort(hashes, kind="stable")
-    each, first = np.unique(hashes[order], return_index=True)
-    return each.view(np.int64), pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(places[order], pa.int32()))
-
-
-def _keyed_hits(key: bytes, hashes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    each, at = _grouped(hashes, places)
-    return pa.RecordBatch.from_arrays([pa.array([key] * len(each), pa.binary()), pa.array(each), at], ["key", "hash", "at"])
+def _hits(keys: pa.Array, owner: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """(key, hash, at): the places of each distinct hash of an owner, a place in ``keys``."""
+    order = np.lexsort((places, hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])))
+    at = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(places[order], pa.int32()))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(owner[first])), pa.array(hashes[first].view(np.int64)), at], ["key", "hash", "at"])
 
 
 _HITS = "key binary, hash long, at array<int>"
@@ -98,21 +99,31 @@ def _item_hashes(items: DataFrame) -> DataFrame:
             tokens = word_hashes(words(text))
             own = [spaced_hashes(tokens, *seed) for seed in seeds_of(len(tokens))]
             if own:
-                yield _keyed_hits(key, np.concatenate(own), np.concatenate([np.arange(len(h)) for h in own]))
+                every = np.concatenate(own)
+                yield _hits(pa.array([key], pa.binary()), np.zeros(len(every), np.int64), every, np.concatenate([np.arange(len(h)) for h in own]))
 
     return items.select("key", "text").mapInArrow(make, _HITS)
 
 
-def _probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Three places of each hash in a filter of 2^``bits``."""
-    for shift in (0, 20, 36):
-        yield (hashes >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+#: A hash has three places in the filter, its bits from these on.
+_PROBES = (0, 20, 36)
+
+
+def _passing(hashes: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
+    """The places of the hashes that pass a filter of 2^``bits``; what a probe drops is not probed again."""
+    out = None
+    for shift in _PROBES:
+        own = hashes if out is None else hashes[out]
+        p = (own >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        passed = np.flatnonzero((held[(p >> np.uint64(6)).view(np.int64)] >> (p & np.uint64(63))) & np.uint64(1))
+        out = passed if out is None else out[passed]
+    return out
 
 
 def _filter(hashes: DataFrame, n: int) -> tuple[int, bytes]:
     """A filter of ``n`` hashes, as its size's exponent and 64-bit words; its words are set by a distributed aggregate."""
     bits = min(FILTER_BITS, max(16, math.ceil(math.log2(max(n, 1) * 128))))
-    place = F.explode(F.array(*(F.shiftrightunsigned("hash", s).bitwiseAND((1 << bits) - 1) for s in (0, 20, 36)))).alias("p")
+    place = F.explode(F.array(*(F.shiftrightunsigned("hash", s).bitwiseAND((1 << bits) - 1) for s in _PROBES))).alias("p")
     words_ = hashes.select(place).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("v"))
     out = np.zeros(1 << (bits - 6), np.int64)
     table = words_.toArrow()
@@ -121,23 +132,27 @@ def _filter(hashes: DataFrame, n: int) -> tuple[int, bytes]:
 
 
 def _document_hits(texts: DataFrame, sent_filter, bits: int, seeds: list[Seed]) -> DataFrame:
-    """(key, hash, at) of the windows of texts (key, text) that pass the filter; places tell the seed apart by the hash."""
+    """(key, hash, at) of the windows of texts (key, text) that pass the filter. ``DOCUMENTS`` texts are hashed as one
+    sequence; windows over the end of a text are dropped. Hashes of different seeds differ, so places need no seed."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(sent_filter.value, np.uint64)
-        for key, text in rows(batches, "key", "text"):
-            tokens = word_hashes(words(text))
-            found, places = [], []
-            for seed in seeds:
-                own = spaced_hashes(tokens, *seed)
-                at = np.arange(len(own))
-                for probe in _probes(own, bits):
-                    p = probe[at]
-                    at = at[(held[(p >> np.uint64(6)).view(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
-                found.append(own[at])
-                places.append(at)
-            if found and any(map(len, found)):
-                yield _keyed_hits(key, np.concatenate(found), np.concatenate(places))
+        for batch in batches:
+            for row in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(row, DOCUMENTS)
+                found = [words(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([len(w) for w in found])
+                tokens = word_hashes(list(chain.from_iterable(found)))
+                out = []
+                for kept, span in seeds:
+                    own = spaced_hashes(tokens, kept, span)
+                    at = _passing(own, held, bits)
+                    owner = np.searchsorted(ends, at, "right")
+                    inside = at + span <= ends[owner]
+                    out.append((owner[inside], own[at[inside]], at[inside]))
+                owner, hashes, at = map(np.concatenate, zip(*out))
+                if len(at):
+                    yield _hits(part.column(0), owner, hashes, at - np.append(0, ends)[owner])
 
     return texts.mapInArrow(make, _HITS)
 
