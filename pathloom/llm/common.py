@@ -7,99 +7,14 @@ Words are maximal runs of characters other than U+0020 and U+0009..U+000D.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager, suppress
-from contextvars import ContextVar
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-_LOCAL_SCRATCH: list[str] = []
-#: Scratch tables of this process lie in folders of this name, which are deleted when it ends.
-_RUN = f"pathloom-{uuid.uuid4().hex}"
-_FOLDERS: set[str] = set()
-_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a temporary folder serves, but only if driver
-    and executors are one process; on a cluster its absence is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="pathloom-"))
-        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], ignore_errors=True)
-    return f"file://{_LOCAL_SCRATCH[0]}"
-
-
-def _delete(folder: str) -> None:
-    with suppress(Exception):  # nothing to delete, or the store is gone
-        store, path = fs.FileSystem.from_uri(folder)
-        store.delete_dir(path)
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared scratch folder. What is there lives until it is discarded or the process ends."""
-    folder = f"{scratch_root(spark)}/{_RUN}"
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_delete, folder)
-    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
-    if (made := _MADE.get()) is not None:
-        made.append(path)
-    return path
-
-
-@contextmanager
-def scratch_made() -> Iterator[list[str]]:
-    """The scratch paths that are made inside, for the caller to discard when no result needs them."""
-    made: list[str] = []
-    token = _MADE.set(made)
-    try:
-        yield made
-    finally:
-        _MADE.reset(token)
-
-
-def materialise(df: DataFrame, tag: str, keep: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: a cut of the
-    lineage that survives lost executors. The path is added to ``keep``."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Delete scratch tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-#: Rows of a few dozen bytes that may be sent to all tasks; more of them are joined by a shuffle.
-SENT_ROWS = 500_000
-
-
-def sent(small: DataFrame) -> DataFrame:
-    """A side of a join that is sent to all tasks if it has few rows, and left to a shuffle if not."""
-    return F.broadcast(small) if small.limit(SENT_ROWS + 1).count() <= SENT_ROWS else small
-
+from pathloom.scratch import discard, materialise, scratch_made, scratch_path, sent  # noqa: F401  the operators' own
 
 def spread(df: DataFrame, rows_: int, size: int, task: int = 128_000_000) -> DataFrame:
     """``df``, of ``rows_`` rows that each stand for a file, dealt one by one: to a task for each ``task`` of all
