@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pathloom.operators.paths import adjacency, as_graphs
+from pathloom.scratch import materialise, numbered
 
 
 def formula(nodes: DataFrame) -> DataFrame:
@@ -35,6 +36,13 @@ def node_spectrum(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(near, ["g", "id"], "left").groupBy("g", key.alias("key")).agg(F.count("*").alias("n"))
 
 
+def neighbouring(nodes: DataFrame) -> DataFrame:
+    """(g1, g2): each graph and the next one in the order of ids, of graphs numbered in ranges."""
+    ids = numbered(nodes.select("g").distinct(), "n", "g")
+    after = ids.select(F.col("g").alias("g2"), (F.col("n") - 1).alias("n"))
+    return ids.join(after, "n").select(F.col("g").alias("g1"), "g2")
+
+
 def spectrum_similarity(spectrum: DataFrame, pairs: DataFrame) -> DataFrame:
     """(g1, g2, sim): (total - sum of absolute differences) / total over the pairs' spectra."""
     one = pairs.join(spectrum, F.col("g1") == F.col("g")).select("g1", "g2", "key", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n2"))
@@ -49,14 +57,14 @@ def distances(starts: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFra
 
     A round extends only what the last one reached; what is already known is removed by an anti-join.
     """
-    steps = adjacency(edges).select("g", F.col("src").alias("id"), F.col("dst").alias("next")).distinct().cache()
-    durable = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    steps = adjacency(edges).select("g", F.col("src").alias("id"), F.col("dst").alias("next")).distinct()
+    steps = materialise(steps, "steps")
     front = starts.select("g", "source", "id", F.lit(0).alias("dist")).distinct()
     known = front
     for hop in range(1, limit + 1):
         front = front.join(steps, ["g", "id"]).select("g", "source", F.col("next").alias("id")).distinct()
         front = front.join(known, ["g", "source", "id"], "left_anti").withColumn("dist", F.lit(hop))
-        front = front.checkpoint() if durable else front.cache()
+        front = materialise(front, "front")
         if front.isEmpty():
             break
         known = known.union(front)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.schema import BRACKETS
+from pathloom.scratch import materialise, numbered
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -94,17 +95,17 @@ def path_table(nodes: DataFrame, edges: DataFrame, max_depth: int = 50, strategy
 
 
 def _by_joins(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """One join per length. Rounds end when no path grows; each is written by ``checkpoint`` where a folder is set."""
+    """One join per length. Rounds end when no path grows; each is written to the scratch folder."""
     symbols = nodes.select("g", F.col("id").alias("dst"), "sym")
-    steps = adjacency(edges).join(symbols, ["g", "dst"]).select("g", "src", "dst", F.concat(bracket(F.col("chg")), "sym").alias("step")).cache()
+    steps = adjacency(edges).join(symbols, ["g", "dst"]).select("g", "src", "dst", F.concat(bracket(F.col("chg")), "sym").alias("step"))
+    steps = materialise(steps, "steps")
     now = nodes.select("g", F.col("id").alias("at"), F.array("id").alias("seen"), F.concat(F.lit(BRACKETS[0]), "sym").alias("path"), F.lit(1).alias("len"))
     rounds = []
-    durable = nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for _ in range(max_depth):
-        now = now.checkpoint() if durable else now.cache()
+        now = materialise(now, "paths")
+        rounds.append(now.select("g", "path", "len"))
         if now.isEmpty():
             break
-        rounds.append(now.select("g", "path", "len"))
         longer = now.join(steps, (now["g"] == steps["g"]) & (F.col("at") == F.col("src"))).where(~F.array_contains("seen", F.col("dst")))
         now = longer.select(now["g"], F.col("dst").alias("at"), F.concat("seen", F.array("dst")).alias("seen"), F.concat("path", "step").alias("path"), (F.col("len") + 1).alias("len"))
     out = rounds[0]
@@ -114,18 +115,19 @@ def _by_joins(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
 
 
 def _by_sql(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("pathloom_nodes")
-    adjacency(edges).select("g", "src", "dst", bracket(F.col("chg")).alias("b")).createOrReplaceTempView("pathloom_steps")
-    return spark.sql(
+    """The recursive query. It fails beyond the session's ``spark.sql.cteRecursionRowLimit``, a million rows if not set."""
+    steps = adjacency(edges).select("g", "src", "dst", bracket(F.col("chg")).alias("b"))
+    return nodes.sparkSession.sql(
         f"""
         WITH RECURSIVE w(g, cur, visited, path, len) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT g, id, array(id), concat('(', sym), 1 FROM pathloom_nodes
+          SELECT g, id, array(id), concat('(', sym), 1 FROM {{nodes}}
           UNION ALL
           SELECT w.g, s.dst, concat(w.visited, array(s.dst)), concat(w.path, s.b, n.sym), w.len + 1
-          FROM w JOIN pathloom_steps s ON s.g = w.g AND s.src = w.cur JOIN pathloom_nodes n ON n.g = s.g AND n.id = s.dst
+          FROM w JOIN {{steps}} s ON s.g = w.g AND s.src = w.cur JOIN {{nodes}} n ON n.g = s.g AND n.id = s.dst
           WHERE w.len < {max_depth} AND NOT array_contains(w.visited, s.dst))
-        SELECT g, path, len, count(*) AS freq FROM w GROUP BY g, path, len"""
+        SELECT g, path, len, count(*) AS freq FROM w GROUP BY g, path, len""",
+        nodes=nodes,
+        steps=steps,
     )
 
 
@@ -191,24 +193,15 @@ def child_symbols(index: DataFrame, prefix: str) -> DataFrame:
 
 
 def feature_ids(paths: DataFrame) -> DataFrame:
-    """(path, len, path_id): paths numbered from 1 by length, then label.
-
-    The numbers are global without a single-task sort: each length numbers its own
-    paths in parallel after the paths of shorter lengths, a table of one row per length.
-    """
-    distinct = paths.select("path", "len").distinct()
-    sizes = distinct.groupBy("len").count()
-    before = sizes.select("len", (F.sum("count").over(Window.orderBy("len")) - F.col("count")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("len").orderBy("path"))
-    return distinct.withColumn("own", own).join(F.broadcast(before), "len").select("path", "len", (F.col("own") + F.col("before")).alias("path_id"))
+    """(path, len, path_id): paths numbered from 1 by length, then label, in ranges."""
+    return numbered(paths.select("len", "path").distinct(), "path_id", "len", "path").select("path", "len", "path_id")
 
 
 def feature_triples(paths: DataFrame) -> DataFrame:
     """(path_id, graph_id, freq); graphs numbered from 1 by g."""
-    graphs = paths.select("g").distinct()
-    graphs = graphs.withColumn("graph_id", F.row_number().over(Window.orderBy("g")))
+    graphs = numbered(paths.select("g").distinct(), "graph_id", "g")
     ids = feature_ids(paths).select("path", "path_id")
-    return paths.join(ids, "path").join(graphs, "g").select("path_id", F.col("graph_id").cast("long").alias("graph_id"), "freq")
+    return paths.join(ids, "path").join(graphs, "g").select("path_id", "graph_id", "freq")
 
 
 def feature_pivot(paths: DataFrame, patterns: list[str]) -> DataFrame:

@@ -1,19 +1,21 @@
 """Product graphs and walk kernels.
 
-Two strategies give the same kernels. ``pairs`` deals graphs to blocks of few and lets a task compute all pairs of two
-blocks with small matrices: the product graph of a pair is a mask over nodes x nodes and never a table. ``joins`` makes
-product graphs as tables, and all pairs advance together, one join per walk length: for single graphs too large for a task.
+Two strategies give the same kernels. ``features``: what a walk in a product graph
+weighs is a factor of one graph times a factor of the other, and its nodes and
+edges match exactly if both walks read alike; so a kernel is the dot product of the
+graphs' weighted counts of label walks. These grow along a graph's own edges, one
+join and one sum a step, and meet in one equi-join on the label: no pair of graphs
+is looked at before its result. ``joins`` makes product graphs as tables and lets
+all pairs advance together: the definition, word for word.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pathloom.operators.paths import adjacency
+from pathloom.operators.paths import adjacency, bracket
 
 KEY = ["i", "j", "a1", "a2"]
 
@@ -48,75 +50,79 @@ def reduced(product: DataFrame, core: DataFrame) -> DataFrame:
     return product.join(flag("i", "a1", "c1"), ["i", "a1"]).join(flag("j", "a2", "c2"), ["j", "a2"]).where("c1 = c2").drop("c1", "c2").select(*product.columns)
 
 
-#: Graphs of a block. A task holds two blocks.
-BLOCK = 4
+def _met(left: DataFrame, right: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """(i, j, ..): sums of products over pairs of rows of graphs j <= i that agree in ``keys``."""
+    a = left.select(F.col("g").alias("i"), *keys, *(F.col(c).alias(f"{c}1") for c in sums.values()))
+    b = right.select(F.col("g").alias("j"), *(F.col(k).alias(f"{k}_") for k in keys), *(F.col(c).alias(f"{c}2") for c in sums.values()))
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    met = a.join(b, on).where("j <= i")
+    return met.groupBy("i", "j", *(["len"] if "len" in keys else [])).agg(*(F.sum(F.col(f"{c}1") * F.col(f"{c}2")).alias(n) for n, c in sums.items()))
 
 
-def _pair_levels(nodes: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
-    """(i, j, len, k): weighted common walks of each number of nodes, for all pairs j <= i.
+def product_sizes(nodes: DataFrame, edges: DataFrame, core: DataFrame | None = None) -> DataFrame:
+    """(i, j, nodes, edges): sizes of the product graphs that have a node, from each graph's counts of symbols and of
+    labelled arcs; with ``core`` (g, id, dist) the nodes of the reduced product graphs alone."""
+    if core is not None:
+        flagged = nodes.join(core, ["g", "id"]).select("g", "sym", F.coalesce(F.col("dist") == 0, F.lit(False)).alias("inner"))
+        own = flagged.groupBy("g", "sym", "inner").agg(F.count("*").alias("n"))
+        return _met(own, own, ["sym", "inner"], {"nodes": "n"})
+    own = nodes.groupBy("g", "sym").agg(F.count("*").alias("n"))
+    arcs = _labelled(nodes, edges).groupBy("g", "s1", "s2", "chg").agg(F.count("*").alias("n"))
+    met = _met(own, own, ["sym"], {"nodes": "n"}).join(_met(arcs, arcs, ["s1", "s2", "chg"], {"edges": "n"}), ["i", "j"], "left")
+    return met.na.fill(0, ["edges"])
+
+
+def _step(change: Column, sym: str) -> Column:
+    return F.concat(bracket(change), F.col(sym))
+
 
-    ``nodes`` (g, id, sym, a, s, q) and directed ``arcs`` (g, src, dst, chg, p): a level starts as the product of both
-    graphs' ``a``, moves along arcs of equal change by the product of ``p``, is scaled by ``s`` and summed with ``q``.
+def walk_features(nodes: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
+    """(g, walk, len, f): weighted counts of label walks of 1..``length`` nodes.
+
+    ``nodes`` (g, id, sym, a, s, q) and directed ``arcs`` (g, src, dst, chg, p): a walk of one node weighs ``a``; one
+    that begins at a node and goes on along an arc weighs the node's ``s`` times ``p`` times what goes on; a node's walks
+    are summed with its ``q``.
     """
-    own = nodes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "sym", "a", "s", "q"))).alias("n"))
-    links = arcs.groupBy("g").agg(F.collect_list(F.struct("src", "dst", "chg", "p")).alias("e"))
-    packed = own.join(links, "g", "left")
-    blocks = max(1, math.ceil(packed.count() / BLOCK))
-    dealt = packed.withColumn("own", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("g", "n", "e", "own", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"))
-    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("len", pa.int32()), ("k", pa.float64())])
-
-    def graph(row: dict) -> tuple:
-        place = {x["id"]: k for k, x in enumerate(row["n"])}
-        syms = np.array([x["sym"] for x in row["n"]], object)
-        factors = [np.array([x[c] for x in row["n"]], float) for c in "asq"]
-        moves = {}
-        for chg in {x["chg"] for x in row["e"] or ()}:
-            chosen = [x for x in row["e"] if x["chg"] == chg]
-            moves[chg] = np.array([place[x["src"]] for x in chosen]), np.array([place[x["dst"]] for x in chosen]), np.array([x["p"] for x in chosen], float)
-        return row["g"], row["own"], syms, *factors, moves
-
-    def gathered(matrix: np.ndarray, move: tuple) -> np.ndarray:
-        src, dst, p = move
-        out = np.zeros_like(matrix)
-        np.add.at(out, src, matrix[dst] * p[:, None])
-        return out
-
-    def compare(table: pa.Table) -> pa.Table:
-        graphs = sorted((graph(r) for r in table.to_pylist()), key=lambda x: x[0])
-        alone = len({x[1] for x in graphs}) == 1 and table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        out: list[list] = [[], [], [], []]
-        for x in graphs:
-            for y in graphs:
-                if y[0] > x[0] or not alone and x[1] == y[1]:
-                    continue
-                same = (x[2][:, None] == y[2][None, :]).astype(float)
-                if not same.any():  # no product node, no row
-                    continue
-                now, scale, start = (np.outer(x[k], y[k]) * same for k in (3, 4, 5))
-                for n in range(1, length + 1):
-                    for values, v in zip(out, (x[0], y[0], n, float((now * start).sum()))):
-                        values.append(v)
-                    if n < length:
-                        moved = np.zeros_like(now)
-                        for chg in x[6].keys() & y[6].keys():
-                            moved += gathered(gathered(now, x[6][chg]).T, y[6][chg]).T
-                        now = moved * scale
-        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
-
-    return dealt.groupBy("x", "y").applyInArrow(compare, "i long, j long, len int, k double")
+    own = nodes.select("g", F.col("id").alias("src"), F.col("sym").alias("own"), "s", "q")
+    steps = arcs.join(own, ["g", "src"]).select("g", "src", "dst", (F.col("p") * F.col("s")).alias("w"), _step(F.col("chg"), "own").alias("step"), "q")
+    # A walk's label is read from its end, so that a step adds to it; of a pair both are read alike.
+    now = nodes.select("g", F.col("id").alias("src"), F.concat(F.lit("("), "sym").alias("walk"), F.col("a").alias("f"), "q")
+    levels = []
+    for n in range(1, length + 1):
+        levels.append(now.groupBy("g", "walk").agg(F.sum(F.col("q") * F.col("f")).alias("f")).select("g", "walk", F.lit(n).alias("len"), "f"))
+        if n < length:
+            before = now.select("g", F.col("src").alias("dst"), "walk", "f")
+            moved = steps.join(before, ["g", "dst"]).select("g", "src", "q", F.concat("walk", "step").alias("walk"), (F.col("w") * F.col("f")).alias("f"))
+            now = moved.groupBy("g", "src", "q", "walk").agg(F.sum("f").alias("f"))
+    return _all(levels)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _levels(features: DataFrame) -> DataFrame:
+    """(i, j, len, k): the dot products of walk features, by length."""
+    return _met(features, features, ["walk", "len"], {"k": "f"})
+
+
+def _pair_levels(nodes: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
+    return _levels(walk_features(nodes, arcs, length))
 
 
 def _plain_arcs(edges: DataFrame) -> DataFrame:
     return adjacency(edges).withColumn("p", F.lit(1.0))
 
 
-def walk_counts(nodes: DataFrame, edges: DataFrame, length: int, strategy: str = "pairs") -> DataFrame:
+def walk_counts(nodes: DataFrame, edges: DataFrame, length: int, strategy: str = "features") -> DataFrame:
     """(i, j, len, n): common walks of 1..``length`` nodes: D_1 = 1, D_l(v) = sum of D_(l-1) over the neighbours."""
-    if strategy == "pairs":
-        one = F.lit(1.0)
-        levels = _pair_levels(nodes.select("g", "id", "sym", one.alias("a"), one.alias("s"), one.alias("q")), _plain_arcs(edges), length)
-        return levels.where("k <> 0").select("i", "j", "len", F.col("k").cast("long").alias("n"))
+    if strategy == "features":
+        one = F.lit(1).cast("long")
+        arcs = adjacency(edges).withColumn("p", one)
+        return _pair_levels(nodes.select("g", "id", "sym", one.alias("a"), one.alias("s"), one.alias("q")), arcs, length).withColumnRenamed("k", "n")
     steps = product_edges(nodes, edges)
     now = product_nodes(nodes).withColumn("n", F.lit(1).cast("long"))
     levels = []
@@ -147,12 +153,12 @@ def _weighted(product: DataFrame, weights: DataFrame) -> DataFrame:
     return product.join(side("i", "a1", "w1"), ["i", "a1"]).join(side("j", "a2", "w2"), ["j", "a2"]).select(*KEY, (F.col("w1") * F.col("w2")).alias("w"))
 
 
-def walk_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "pairs") -> DataFrame:
+def walk_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "features") -> DataFrame:
     """(i, j, k): F_1(v) = lam w(v), F_l(v) = lam w(v) sum of F_(l-1) over neighbours, summed over nodes and lengths.
 
     ``weights`` is (g, id, w); all ones give the plain walk kernel.
     """
-    if strategy == "pairs":
+    if strategy == "features":
         factor = F.col("w") * math.sqrt(lam)
         own = nodes.join(weights, ["g", "id"]).select("g", "id", "sym", factor.alias("a"), factor.alias("s"), F.lit(1.0).alias("q"))
         return _pair_levels(own, _plain_arcs(edges), length).groupBy("i", "j").agg(F.sum("k").alias("k"))
@@ -174,25 +180,35 @@ def _summed(own: DataFrame, steps: DataFrame, now: DataFrame, length: int, scale
     return out.groupBy("i", "j").agg(F.sum("f").alias("k"))
 
 
+def _nontottering(own: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
+    """(i, j, k): dot products of label walks that never step straight back.
+
+    ``own`` (g, id, sym, b, e): a walk of one node weighs b e. ``arcs`` (g, src, dst, chg, first, out, into, e): the first
+    step of a walk weighs b ``first``; going on from one arc along another weighs the ``out`` of the one times the
+    ``into`` of the other, and a walk that ends with an arc weighs its ``e``.
+    """
+    named = arcs.join(own.select("g", F.col("id").alias("dst"), F.col("sym").alias("to")), ["g", "dst"])
+    steps = named.select("g", "src", "dst", "first", "out", "into", "e", _step(F.col("chg"), "to").alias("step"))
+    features = [own.groupBy("g", F.concat(F.lit("("), "sym").alias("walk")).agg(F.sum(F.col("b") * F.col("e")).alias("f"))]
+    begin = own.select("g", F.col("id").alias("src"), F.concat(F.lit("("), "sym").alias("walk"), "b")
+    now = steps.join(begin, ["g", "src"]).select("g", "src", "dst", "out", "e", F.concat("walk", "step").alias("walk"), (F.col("b") * F.col("first")).alias("m"))
+    for n in range(2, length + 1):
+        features.append(now.groupBy("g", "walk").agg(F.sum(F.col("m") * F.col("e")).alias("f")))
+        if n < length:
+            before = now.select("g", F.col("src").alias("from"), F.col("dst").alias("src"), "walk", (F.col("m") * F.col("out")).alias("m"))
+            onward = steps.join(before, ["g", "src"]).where(F.col("from") != F.col("dst"))
+            now = onward.groupBy("g", "src", "dst", "out", "e", F.concat("walk", "step").alias("walk")).agg(F.sum(F.col("m") * F.col("into")).alias("m"))
+    return _met(_all(features), _all(features), ["walk"], {"k": "f"})
+
+
 def nontottering_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
-    """As ``walk_kernel`` over walks that never turn straight back in either graph; the state is a message on each
-    directed product edge: M_1(u to v) = lam w(u), M_l(u to v) = lam w(u) sum of M_(l-1)(t to u), t unlike v in both."""
-    own = _weighted(product_nodes(nodes), weights)
-    steps = product_edges(nodes, edges)  # a to b
-    levels = [own.select("i", "j", (F.lit(lam) * F.col("w")).alias("f"))]
-    message = steps.join(own, KEY).select(*KEY, "b1", "b2", (F.lit(lam) * F.col("w")).alias("m"))
-    target = own.select("i", "j", F.col("a1").alias("b1"), F.col("a2").alias("b2"), "w")
-    for k in range(2, length + 1):
-        arrived = message.groupBy("i", "j", "b1", "b2").agg(F.sum("m").alias("m")).join(target, ["i", "j", "b1", "b2"])
-        levels.append(arrived.select("i", "j", (F.lit(lam) * F.col("w") * F.col("m")).alias("f")))
-        if k < length:
-            before = message.select("i", "j", F.col("a1").alias("t1"), F.col("a2").alias("t2"), F.col("b1").alias("a1"), F.col("b2").alias("a2"), "m")
-            onward = steps.join(before, KEY).where("t1 <> b1 and t2 <> b2").groupBy(*KEY, "b1", "b2").agg(F.sum("m").alias("m"))
-            message = onward.join(own, KEY).select(*KEY, "b1", "b2", (F.lit(lam) * F.col("w") * F.col("m")).alias("m"))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.union(more)
-    return out.groupBy("i", "j").agg(F.sum("f").alias("k"))
+    """As ``walk_kernel`` over walks that never turn straight back in either graph: with messages on directed edges,
+    M_1(u to v) = lam w(u), M_l(u to v) = lam w(u) sum of M_(l-1)(t to u), t unlike v, and ends by lam w(v)."""
+    own = nodes.join(weights, ["g", "id"]).select("g", "id", "sym", F.lit(1.0).alias("b"), (F.col("w") * math.sqrt(lam)).alias("e"))
+    at = own.select("g", F.col("id").alias("src"), F.col("e").alias("into"))
+    to = own.select("g", F.col("id").alias("dst"), "e")
+    arcs = adjacency(edges).join(at, ["g", "src"]).join(to, ["g", "dst"]).withColumns({"first": F.col("into"), "out": F.lit(1.0)})
+    return _nontottering(own, arcs, length)
 
 
 def walk_probabilities(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float) -> tuple[DataFrame, DataFrame]:
@@ -211,10 +227,10 @@ def walk_probabilities(nodes: DataFrame, edges: DataFrame, weights: DataFrame, l
     return nodes_out, moves
 
 
-def marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "pairs") -> DataFrame:
+def marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "features") -> DataFrame:
     """(i, j, k): the probability that random walks on both graphs have equal labels: F_1 = Ps Pe, F_l(v) = sum over
     neighbours u of F_(l-1)(u) Pt(v, u), summed over lengths, with starts by Ps."""
-    if strategy == "pairs":
+    if strategy == "features":
         return marginal_levels(nodes, edges, weights, lam, length).groupBy("i", "j").agg(F.sum("k").alias("k"))
     ends, moves = walk_probabilities(nodes, edges, weights, lam)
     side = lambda g, a, n: ends.select(F.col("g").alias(g), F.col("id").alias(a), F.col("ps").alias(f"ps{n}"), F.col("pe").alias(f"pe{n}"))
@@ -265,31 +281,14 @@ def nontottering_marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: Da
     ends, moves = walk_probabilities(nodes, edges, weights, lam)
     w = weights.select("g", "id", "w")
     near = adjacency(edges).select("g", "src", "dst").join(w.select("g", F.col("id").alias("dst"), F.col("w").alias("wd")), ["g", "dst"]).join(w.select("g", F.col("id").alias("src"), F.col("w").alias("ws")), ["g", "src"])
-    total = near.groupBy("g", F.col("src").alias("at")).agg(F.sum("wd").alias("total"))
-    # After prev to at: what is left to choose from.
-    arcs = near.select("g", F.col("src").alias("prev"), F.col("dst").alias("at"), F.col("ws").alias("wp"), F.col("wd").alias("wa")).join(total, ["g", "at"])
-    arcs = arcs.select("g", "prev", "at", (F.col("total") - F.col("wp")).alias("left"), "wa")
-    arcs = arcs.withColumn("pe2", F.when(F.col("left") > 1e-12, 1 - F.lit(lam)).otherwise(1.0))
-    ends_of = lambda g, a, n: ends.select(F.col("g").alias(g), F.col("id").alias(a), F.col("ps").alias(f"ps{n}"), F.col("pe").alias(f"pe{n}"))
-    own = product_nodes(nodes).join(ends_of("i", "a1", 1), ["i", "a1"]).join(ends_of("j", "a2", 2), ["j", "a2"])
-    own = own.select(*KEY, (F.col("ps1") * F.col("ps2")).alias("ps"), (F.col("pe1") * F.col("pe2")).alias("pe"))
-    move = lambda g, a, b, n: moves.select(F.col("g").alias(g), F.col("src").alias(a), F.col("dst").alias(b), F.col("pt").alias(f"p{n}"))
-    arc = lambda g, a, b, n: arcs.select(F.col("g").alias(g), F.col("prev").alias(a), F.col("at").alias(b), F.col("left").alias(f"left{n}"), F.col("wa").alias(f"wa{n}"), F.col("pe2").alias(f"e{n}"))
-    steps = product_edges(nodes, edges).join(arc("i", "a1", "b1", 1), ["i", "a1", "b1"]).join(arc("j", "a2", "b2", 2), ["j", "a2", "b2"])
-    levels = [own.select("i", "j", (F.col("ps") * F.col("pe")).alias("f"))]
-    state = steps.join(own.select(*KEY, "ps"), KEY).join(move("i", "a1", "b1", 1), ["i", "a1", "b1"]).join(move("j", "a2", "b2", 2), ["j", "a2", "b2"])
-    state = state.select(*KEY, "b1", "b2", "left1", "left2", (F.col("e1") * F.col("e2")).alias("e"), (F.col("ps") * F.col("p1") * F.col("p2")).alias("m"))
-    for k in range(2, length + 1):
-        levels.append(state.select("i", "j", (F.col("m") * F.col("e")).alias("f")))
-        if k < length:
-            before = state.select("i", "j", F.col("a1").alias("t1"), F.col("a2").alias("t2"), F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("left1").alias("l1"), F.col("left2").alias("l2"), "m")
-            onward = steps.join(before, KEY).where("t1 <> b1 and t2 <> b2")
-            share = F.lit(lam * lam) * F.col("wa1") / F.col("l1") * F.col("wa2") / F.col("l2")
-            state = onward.groupBy(*KEY, "b1", "b2", "left1", "left2", (F.col("e1") * F.col("e2")).alias("e")).agg(F.sum(F.col("m") * share).alias("m"))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.union(more)
-    return out.groupBy("i", "j").agg(F.sum("f").alias("k"))
+    total = near.groupBy("g", F.col("src").alias("dst")).agg(F.sum("wd").alias("total"))
+    # After src to dst: what is left to choose from.
+    left = near.join(total, ["g", "dst"]).select("g", "src", "dst", (F.col("total") - F.col("ws")).alias("left"), F.col("wd").alias("into"))
+    goes_on = F.col("left") > 1e-12
+    left = left.withColumns({"out": F.when(goes_on, F.lit(lam) / F.col("left")).otherwise(0.0), "e": F.when(goes_on, 1 - F.lit(lam)).otherwise(1.0)})
+    arcs = adjacency(edges).join(left, ["g", "src", "dst"]).join(moves.withColumnRenamed("pt", "first"), ["g", "src", "dst"])
+    own = nodes.join(ends, ["g", "id"]).select("g", "id", "sym", F.col("ps").alias("b"), F.col("pe").alias("e"))
+    return _nontottering(own, arcs, length)
 
 
 def path_pair_kernel(paths: DataFrame, lam: float) -> DataFrame:

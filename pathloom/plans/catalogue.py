@@ -205,10 +205,7 @@ u AS (SELECT g1, g2, key, sum(a) AS a, sum(b) AS b FROM (
 SELECT g1, g2, round((sum(a + b) - sum(abs(a - b))) / sum(a + b), 6) AS sim FROM u GROUP BY g1, g2""")
 def spectrum_similarity(spark, sf_dir):
     nodes, edges = adapters.order_graph(spark, sf_dir)
-    ids = nodes.select(F.col("g").alias("g1")).distinct()
-    # The next order: the chain of ids is one global order, of one number per graph.
-    pairs = ids.withColumn("g2", F.lead("g1").over(Window.orderBy("g1"))).where("g2 is not null")
-    return _rounded(graphs.spectrum_similarity(graphs.node_spectrum(nodes, edges), pairs), "sim")
+    return _rounded(graphs.spectrum_similarity(graphs.node_spectrum(nodes, edges), graphs.neighbouring(nodes)), "sim")
 
 
 @query("WITH " + sql.ORDER + sql.CORE + " SELECT g, id, CAST(dist AS INTEGER) AS dist FROM cd")
@@ -246,17 +243,14 @@ def canonical_hash_classes(spark, sf_dir):
 @query("WITH " + sql.NATION + sql.PRODUCT + """, a AS (SELECT i, j, count(*) AS nodes FROM pn GROUP BY i, j), b AS (SELECT i, j, count(*) AS edges FROM pe GROUP BY i, j)
 SELECT a.i, a.j, nodes, CAST(coalesce(edges, 0) AS BIGINT) AS edges FROM a LEFT JOIN b ON a.i = b.i AND a.j = b.j""")
 def product_graph_size(spark, sf_dir):
-    nodes, edges = adapters.nation_graph(spark, sf_dir)
-    n = walks.product_nodes(nodes).groupBy("i", "j").agg(F.count("*").alias("nodes"))
-    e = walks.product_edges(nodes, edges).groupBy("i", "j").agg(F.count("*").alias("edges"))
-    return n.join(e, ["i", "j"], "left").na.fill(0, ["edges"])
+    return walks.product_sizes(*adapters.nation_graph(spark, sf_dir))
 
 
 @query("WITH " + sql.NATION + sql.PRODUCT + sql.CORE + """
 SELECT i, j, count(*) AS nodes FROM pn JOIN cd x ON x.g = i AND x.id = a1 JOIN cd y ON y.g = j AND y.id = a2 WHERE coalesce(x.dist = 0, false) = coalesce(y.dist = 0, false) GROUP BY i, j""")
 def reduced_product_graph_size(spark, sf_dir):
     nodes, edges = adapters.nation_graph(spark, sf_dir)
-    return walks.reduced(walks.product_nodes(nodes), graphs.core_distance(nodes, edges)).groupBy("i", "j").agg(F.count("*").alias("nodes"))
+    return walks.product_sizes(nodes, edges, graphs.core_distance(nodes, edges))
 
 
 _ONES = ", pw AS (SELECT i, j, a1, a2, 1.0::DOUBLE AS w FROM pn)"

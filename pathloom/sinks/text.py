@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pathloom.operators.paths import is_core
 from pathloom.schema import BRACKETS
+from pathloom.scratch import numbered as by_ranges
 from pathloom.sources.trees import INDEX_VERSION
 
 
@@ -155,7 +156,8 @@ def reaction_lines(reactions: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("line_no", F.row_number().over(Window.orderBy(order)))
+    """``df`` with line_no, from 1 in the order of a column that tells rows apart."""
+    return by_ranges(df, "line_no", order)
 
 
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pathloom.functions.columns import fixed
+from pathloom.scratch import numbered
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -19,8 +20,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def number_graphs(files: DataFrame) -> DataFrame:
     """``files`` with g, their number from 0 in the order of names."""
-    names = files.select("name").distinct().withColumn("g", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
-    return files.join(names, "name")
+    return files.join(numbered(files.select("name").distinct(), "g", "name", start=0), "name")
 
 
 def _lines(files: DataFrame) -> DataFrame:

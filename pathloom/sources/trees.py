@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pathloom.operators.forest import parse_trees
+from pathloom.scratch import numbered
 
 INDEX_VERSION = "pathloom-paths-1"
 
@@ -69,4 +70,4 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 def graph_list(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(name, index): files of a folder in the order of names."""
     names = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return names.withColumn("index", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
+    return numbered(names, "index", "name", start=0)

@@ -104,3 +104,18 @@ def test_streaming_equals_batch(spark, tmp_path):
     append_paths(stream, f"{tmp_path}/out", f"{tmp_path}/check").start().awaitTermination()
     got = counted(spark.read.parquet(f"{tmp_path}/out").select("g", "path", "len", "freq"))
     assert got == counted(paths.path_table(nodes, edges))
+
+
+@pytest.mark.parametrize("strategy", ["graphs", "joins", "sql"])
+def test_no_graphs(spark, strategy):
+    assert paths.path_table(*tables(spark, [], []), strategy=strategy).collect() == []
+
+
+def test_features_are_numbered_in_order(spark):
+    nodes = [(g, i, "CNO"[(g * i) % 3]) for g in (4, 9, 2) for i in range(5)]
+    edges = [(g, i, i + 1, (g + i) % 3 - 1) for g in (4, 9, 2) for i in range(4)]
+    table = paths.path_table(*tables(spark, nodes, edges))
+    ids = {r.path: r.path_id for r in paths.feature_ids(table).collect()}
+    want = sorted({(r.len, r.path) for r in table.collect()})
+    assert ids == {p: k for k, (_, p) in enumerate(want, 1)}
+    assert {r.graph_id for r in paths.feature_triples(table).collect()} == {1, 2, 3}

@@ -158,10 +158,14 @@ def test_strategies_of_walk_kernels_agree(spark):
     n, e = tables(spark, *random_graphs(17, 9))
     w = n.select("g", "id", (0.5 + 0.1 * n["id"]).alias("w"))
     for kernel in (lambda s: walks.walk_kernel(n, e, w, 0.7, 4, s), lambda s: walks.marginal_kernel(n, e, w, 0.7, 4, s)):
-        got, want = ({(r.i, r.j): r.k for r in kernel(s).collect() if r.k} for s in ("pairs", "joins"))
+        got, want = ({(r.i, r.j): r.k for r in kernel(s).collect() if r.k} for s in ("features", "joins"))
         assert got == pytest.approx(want)
-    got, want = ({(r.i, r.j, r.len): r.n for r in walks.walk_counts(n, e, 4, s).collect()} for s in ("pairs", "joins"))
+    got, want = ({(r.i, r.j, r.len): r.n for r in walks.walk_counts(n, e, 4, s).collect()} for s in ("features", "joins"))
     assert got == want
+    sizes = {(r.i, r.j): (r.nodes, r.edges) for r in walks.product_sizes(n, e).collect()}
+    count = lambda t: {(r.i, r.j): r["count"] for r in t.groupBy("i", "j").count().collect()}
+    points, links = count(walks.product_nodes(n)), count(walks.product_edges(n, e))
+    assert sizes == {k: (v, links.get(k, 0)) for k, v in points.items()}
 
 
 def test_second_order_walks_by_enumeration(spark):
