@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pathloom.operators import adapters, forest, graphs, kernels, labels, mapping, messages, paths, reactions, subgraphs, textindex, walks
 from pathloom.plans import sql
+from pathloom.plans.registry import ORACLE_SQL, QUERIES, Query, query, rounded as _rounded  # noqa: F401
+from pathloom.scratch import scratch_path
 from pathloom.sinks import text as sink
-from pathloom.sources import molfile
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, name: str | None = None):
-    """Register a query under its function's name, with its SQL if there is one."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if oracle is not None:
-            ORACLE_SQL[name or f.__name__] = oracle
-        return f
-
-    return add
+from pathloom.sources import molfile, trees
 
 
 def _order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.path_table(*adapters.order_graph(spark, sf_dir))
 
 
-def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 _P = "WITH RECURSIVE " + sql.paths(sql.ORDER)
 
 # --- paths
@@ -61,28 +41,41 @@ def path_length_histogram(spark, sf_dir):
     return paths.length_histogram(_order_paths(spark, sf_dir))
 
 
+_INDEX: dict[tuple[str, str], str] = {}
+
+
+def path_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written path index of the orders: built by the first query of a session, read by all."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEX:
+        folder = scratch_path(spark, "path-index")
+        sink.save_index(_order_paths(spark, sf_dir), folder)
+        _INDEX[key] = folder
+    return trees.read_index(spark, _INDEX[key])
+
+
 PATTERNS = ["(A", "(N(N", "(A[R", "(N(N(N", "(R{A(N", "(Z"]
 _IN = ", ".join(f"'{p}'" for p in PATTERNS)
 
 
 @query(_P + f", asked AS (SELECT unnest([{_IN}]) AS path) SELECT asked.path, CAST(coalesce(sum(freq), 0) AS BIGINT) AS n FROM asked LEFT JOIN p ON p.path = asked.path GROUP BY asked.path")
 def subpath_count(spark, sf_dir):
-    return paths.subpath_count(_order_paths(spark, sf_dir), PATTERNS)
+    return paths.subpath_count(path_index(spark, sf_dir), PATTERNS)
 
 
 @query(_P + f" SELECT path, g, CAST(sum(freq) AS BIGINT) AS n FROM p WHERE path IN ({_IN}) GROUP BY path, g")
 def subpath_freq(spark, sf_dir):
-    return paths.subpath_freq(_order_paths(spark, sf_dir), PATTERNS)
+    return paths.subpath_freq(path_index(spark, sf_dir), PATTERNS)
 
 
 @query(_P + " SELECT path, len, CAST(sum(freq) AS BIGINT) AS freq FROM p WHERE starts_with(path, '(N(N') GROUP BY path, len")
 def descend_prefix(spark, sf_dir):
-    return paths.descend(_order_paths(spark, sf_dir), "(N(N").groupBy("path", "len").agg(F.sum("freq").alias("freq"))
+    return paths.descend(path_index(spark, sf_dir), "(N(N").groupBy("path", "len").agg(F.sum("freq").alias("freq"))
 
 
 @query(_P + " SELECT DISTINCT path[5:6] AS step FROM p WHERE starts_with(path, '(N(N') AND path <> '(N(N'")
 def child_symbols(spark, sf_dir):
-    return paths.child_symbols(_order_paths(spark, sf_dir), "(N(N")
+    return paths.child_symbols(path_index(spark, sf_dir), "(N(N")
 
 
 @query(_P + """, f AS (SELECT path, len, row_number() OVER (ORDER BY len, path) AS path_id FROM (SELECT DISTINCT path, len FROM p)),
@@ -545,7 +538,7 @@ def transform_runs(spark, sf_dir):
     return textindex.transform_runs(parts)
 
 
-# --- mappings: an order's lines in their own order against the order of part keys (no SQL; tests compare searches)
+# --- mappings: an order's lines in their own order against the order of part keys
 
 
 def _line_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,10 +562,43 @@ def _mapped(algorithm: str) -> Query:
     return run
 
 
-for _name in ("astar", "greedy", "hungarian", "cliques"):
+def _optimum(levels: int = 20) -> str:
+    """The least cost, by dynamic programming over sets of used images and the last one: both sides are chains of the
+    same lines, so a mapping costs twice the edges that it does not keep."""
+    out = f"""WITH l AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY {sql._LINES}) - 1 AS id, l_returnflag AS sym, l_partkey FROM lineitem),
+r AS (SELECT g, id, lead(id) OVER (PARTITION BY g ORDER BY l_partkey, id) AS nx FROM l),
+re AS (SELECT g, id AS a, nx AS b FROM r WHERE nx IS NOT NULL UNION ALL SELECT g, nx, id FROM r WHERE nx IS NOT NULL),
+n AS (SELECT g, count(*) AS n FROM l GROUP BY g),
+d0 AS (SELECT l.g, t.id AS last, 1::BIGINT << t.id AS used, 0 AS kept FROM l JOIN l t ON t.g = l.g AND t.sym = l.sym WHERE l.id = 0)"""
+    for k in range(1, levels):
+        out += f""",
+d{k} AS (SELECT d.g, t.id AS last, d.used | (1::BIGINT << t.id) AS used, max(d.kept + CASE WHEN re.a IS NULL THEN 0 ELSE 1 END) AS kept
+      FROM d{k - 1} d JOIN l ON l.g = d.g AND l.id = {k} JOIN l t ON t.g = d.g AND t.sym = l.sym AND (d.used >> t.id) & 1 = 0
+      LEFT JOIN re ON re.g = d.g AND re.a = d.last AND re.b = t.id GROUP BY ALL)"""
+    every = " UNION ALL ".join(f"SELECT g, {k + 1} AS n, max(kept) AS kept FROM d{k} GROUP BY g" for k in range(levels))
+    return out + f", e AS ({every}) SELECT n.g AS reaction, CAST(2 * (n.n - 1 - e.kept) AS INTEGER) AS cost, n.n AS mapped, 'optimal' AS status FROM n JOIN e ON e.g = n.g AND e.n = n.n"
+
+
+for _name in ("astar", "dfs"):
+    query(_optimum(), name=f"atom_mapping_{_name}")(_mapped(_name))
+for _name in ("greedy", "hungarian", "cliques"):
     query(name=f"atom_mapping_{_name}")(_mapped(_name))
 
 
+@query("SELECT count(DISTINCT l_orderkey) AS reactions, 0::BIGINT AS greedy_below, 0::BIGINT AS hungarian_below, 0::BIGINT AS cliques_below, 0::BIGINT AS incomplete FROM lineitem")
+def atom_mapping_bounds(spark, sf_dir):
+    """No heuristic beats the optimum, and every one maps all atoms: both sides hold the same symbols."""
+    sides = _line_reactions(spark, sf_dir)
+    size = sides.select("reaction", F.size("syms1").alias("size"))
+    best = _mapped("astar")(spark, sf_dir).select("reaction", "cost")
+    out, below, short = size.join(best, "reaction"), [], F.lit(False)
+    for name in ("greedy", "hungarian", "cliques"):
+        found = _mapped(name)(spark, sf_dir).select("reaction", F.col("cost").alias(name), F.col("mapped").alias(f"{name}_n"))
+        out, short = out.join(found, "reaction"), short | (F.col(f"{name}_n") < F.col("size"))
+        below.append(F.count_if(F.col(name) < F.col("cost")).alias(f"{name}_below"))
+    return out.agg(F.count("*").alias("reactions"), *below, F.count_if(short).alias("incomplete"))
+
+
 # --- files: written as text and parsed again
 
 
