@@ -53,6 +53,42 @@ def sequences(nodes: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFr
     return as_graphs(nodes, edges).mapInArrow(walk, "g long, start int, line string")
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each text to a file of its name under ``folder``; how many there are. A task that runs again writes the
+    same files again."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("name", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def message_lines(messages: DataFrame) -> DataFrame:
+    """Lines ``round graph source target message`` of what ``messages`` sends."""
+    return messages.select(F.concat_ws(" ", "round", "g", "src", "dst", F.col("m").cast("string")).alias("value"))
+
+
+def molecule_text(molecules: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, text): molecule files in MOL form of molecules (g, title), nodes (g, id, sym, x, y) and edges (g, src, dst, type)."""
+    three = lambda c: F.lpad(c.cast("string"), 3, " ")
+    row = F.concat(F.format_string("%10.4f%10.4f%10.4f ", "x", "y", F.lit(0.0)), F.rpad("sym", 3, " "), F.lit(" 0  0  0  0  0"))
+    lines = lambda key, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, line.alias("line")))), lambda x: x["line"]), "\n")
+    atoms = nodes.groupBy("g").agg(F.count("*").alias("na"), lines(["id"], row).alias("atoms"))
+    bond = F.concat(three(F.col("src") + 1), three(F.col("dst") + 1), three(F.col("type")), F.lit("  0  0  0"))
+    bonds = edges.groupBy("g").agg(F.count("*").alias("nb"), lines(["src", "dst"], bond).alias("bonds"))
+    counts = F.concat(three(F.col("na")), three(F.coalesce("nb", F.lit(0))), F.lit("  0  0  0  0  0  0  0  0999 V2000"))
+    joined = molecules.join(atoms, "g").join(bonds, "g", "left")
+    return joined.select("g", F.concat_ws("\n", "title", F.lit(""), F.lit(""), counts, "atoms", "bonds", F.lit("M  END"), F.lit("")).alias("text"))
+
+
 def sequence_files(lines: DataFrame, graphs: DataFrame) -> DataFrame:
     """(name, text): per graph a title and its tries; names tell forward from backward reactions."""
     mark = F.when(F.col("direction") > 0, "_f_").when(F.col("direction") < 0, "_b_").otherwise("_")
