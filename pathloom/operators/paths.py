@@ -141,6 +141,11 @@ def shared_paths(paths: DataFrame, more_than: int) -> DataFrame:
     return paths.groupBy("path", "len").agg(F.count("*").alias("n_graphs"), F.sum("freq").alias("total")).where(F.col("n_graphs") > more_than)
 
 
+def of_length(paths: DataFrame, low: int, high: int) -> DataFrame:
+    """Paths of ``low`` to ``high`` nodes."""
+    return paths.where(F.col("len").between(low, high))
+
+
 def core_paths(paths: DataFrame) -> DataFrame:
     return paths.where(is_core(F.col("path"))).groupBy("path", "len").agg(F.sum("freq").alias("freq"))
 

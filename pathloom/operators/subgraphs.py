@@ -218,6 +218,16 @@ def isomorphism_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return forms.select("g", "form").join(first, "form").join(judged, "rep").select("g", "class")
 
 
+def contains(nodes: DataFrame, edges: DataFrame, pattern: tuple, induced: bool = False) -> DataFrame:
+    """(g, found): whether the pattern (ids, syms, src, dst, chg) is a subgraph of a graph."""
+
+    def one(*graph):
+        return ((int(isomorphism(pattern, graph, induced) is not None),),)
+
+    found = _per_graph(nodes, edges, "g long, found int", pa.schema([("g", pa.int64()), ("found", pa.int32())]), one)
+    return found.select("g", (F.col("found") == 1).alias("found"))
+
+
 # Cliques and common subgraphs.
 
 
@@ -237,6 +247,16 @@ def maximal_cliques(near: dict[int, set[int]]) -> Iterator[set[int]]:
     yield from expand(set(), set(near), set())
 
 
+def clique_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, size, n): how many maximal cliques of each size a graph has."""
+
+    def one(ids, syms, src, dst, chg):
+        near = {i: set(x) for i, x in neighbours_of(ids, src, dst).items()}
+        return Counter(len(c) for c in maximal_cliques(near)).items()
+
+    return _per_graph(nodes, edges, "g long, size int, n long", pa.schema([("g", pa.int64()), ("size", pa.int32()), ("n", pa.int64())]), one)
+
+
 def association_graph(one: tuple, two: tuple) -> tuple[list[tuple[int, int]], dict[int, set[int]]]:
     """Pairs of nodes with equal symbols, and which pairs go together: different nodes, adjacent in both graphs by the
     same change or in neither."""

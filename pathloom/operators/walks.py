@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.operators.paths import adjacency, bracket
+from pathloom.scratch import materialise
 
 KEY = ["i", "j", "a1", "a2"]
 
@@ -105,7 +106,8 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def _levels(features: DataFrame) -> DataFrame:
-    """(i, j, len, k): the dot products of walk features, by length."""
+    """(i, j, len, k): the dot products of walk features, by length. Features are written once and read by both sides."""
+    features = materialise(features, "walk-features")
     return _met(features, features, ["walk", "len"], {"k": "f"})
 
 
@@ -198,7 +200,8 @@ def _nontottering(own: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
             before = now.select("g", F.col("src").alias("from"), F.col("dst").alias("src"), "walk", (F.col("m") * F.col("out")).alias("m"))
             onward = steps.join(before, ["g", "src"]).where(F.col("from") != F.col("dst"))
             now = onward.groupBy("g", "src", "dst", "out", "e", F.concat("walk", "step").alias("walk")).agg(F.sum(F.col("m") * F.col("into")).alias("m"))
-    return _met(_all(features), _all(features), ["walk"], {"k": "f"})
+    written = materialise(_all(features), "walk-features")
+    return _met(written, written, ["walk"], {"k": "f"})
 
 
 def nontottering_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
@@ -266,6 +269,7 @@ def marginal_levels(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam:
 
 def partially_normalized(levels: DataFrame) -> DataFrame:
     """(i, j, k): each level divided by the root of both graphs' own value at that level, then summed."""
+    levels = materialise(levels, "levels")
     own = levels.where("i = j").select(F.col("i").alias("d"), F.col("len").alias("dl"), F.col("k").alias("z"))
     joined = levels
     for side in ("i", "j"):
@@ -303,12 +307,13 @@ def reaction_graph_kernel(nodes: DataFrame, edges: DataFrame, molecules: DataFra
     """(i, j, k): a marginal walk kernel over graphs of molecules, where two nodes match by as much as their molecules
     are alike: ``molecules`` (a, b, k) is a normalised, symmetric kernel over the nodes' symbols."""
     ends, moves = walk_probabilities(nodes, edges, constant_weights(nodes), lam)
-    named = nodes.select("g", "id", "sym").join(ends, ["g", "id"])
+    named = materialise(nodes.select("g", "id", "sym").join(ends, ["g", "id"]), "ends")
     one = named.select(F.col("g").alias("i"), F.col("id").alias("a1"), F.col("sym").alias("a"), F.col("ps").alias("ps1"), F.col("pe").alias("pe1"))
     two = named.select(F.col("g").alias("j"), F.col("id").alias("a2"), F.col("sym").alias("b"), F.col("ps").alias("ps2"), F.col("pe").alias("pe2"))
     own = one.join(molecules, "a").join(two, "b").where("j <= i").select(*KEY, (F.col("ps1") * F.col("ps2")).alias("ps"), (F.col("pe1") * F.col("pe2")).alias("pe"), F.col("k").alias("w"))
-    chg = adjacency(edges)
-    step = lambda g, a, b, n: moves.join(chg, ["g", "src", "dst"]).select(F.col("g").alias(g), F.col("src").alias(a), F.col("dst").alias(b), F.col("pt").alias(f"p{n}"), F.col("chg").alias(f"c{n}"))
+    own = materialise(own, "product-nodes")
+    moves = materialise(moves.join(adjacency(edges), ["g", "src", "dst"]), "moves")
+    step = lambda g, a, b, n: moves.select(F.col("g").alias(g), F.col("src").alias(a), F.col("dst").alias(b), F.col("pt").alias(f"p{n}"), F.col("chg").alias(f"c{n}"))
     now, levels = own.select(*KEY, (F.col("pe") * F.col("w")).alias("f")), []
     for k in range(1, length + 1):
         levels.append(now.join(own.select(*KEY, "ps"), KEY).select("i", "j", (F.col("ps") * F.col("f")).alias("f")))
@@ -316,7 +321,7 @@ def reaction_graph_kernel(nodes: DataFrame, edges: DataFrame, molecules: DataFra
             nxt = now.select("i", "j", F.col("a1").alias("b1"), F.col("a2").alias("b2"), "f")
             moved = nxt.join(step("i", "a1", "b1", 1), ["i", "b1"]).join(step("j", "a2", "b2", 2), ["j", "b2"]).where("c1 = c2")
             moved = moved.groupBy(*KEY).agg(F.sum(F.col("p1") * F.col("p2") * F.col("f")).alias("f"))
-            now = moved.join(own.select(*KEY, "w"), KEY).select(*KEY, (F.col("w") * F.col("f")).alias("f"))
+            now = materialise(moved.join(own.select(*KEY, "w"), KEY).select(*KEY, (F.col("w") * F.col("f")).alias("f")), "level")
     out = levels[0]
     for more in levels[1:]:
         out = out.union(more)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pathloom.operators import adapters, forest, graphs, kernels, labels, mapping, messages, paths, reactions, subgraphs, textindex, walks
-from pathloom.plans import formats, sql  # noqa: F401  formats registers its own
+from pathloom.plans import formats, sql, structures  # noqa: F401  the other two register their own
 from pathloom.plans.registry import ORACLE_SQL, QUERIES, Query, query, rounded as _rounded  # noqa: F401
 from pathloom.scratch import scratch_path
 from pathloom.sinks import text as sink

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from pathloom.functions import matrices
-from pathloom.operators import graphs, kernels, mapping, subgraphs, walks
+from pathloom.operators import graphs, kernels, mapping, subgraphs, textindex, walks
 from pathloom.plans import catalogue
 from tests.conftest import SF_TEST
 from tests.test_paths import random_graphs, tables
@@ -231,3 +231,39 @@ def test_reaction_graph_of_a_mapping(spark):
     got = {(r.a, r.b): (r.old, r.new, r.chg) for r in mapping.reaction_graph(lhs, rhs, moved).collect()}
     assert got == {(0, 1): (1, 1, 0), (1, 2): (2, 0, -1), (0, 2): (0, 1, 1)}
     assert graphs.least_cost(spark.createDataFrame([(1, 3), (1, 2), (1, 2), (2, 5)], "reaction long, cost int")).count() == 3
+
+
+def test_text_index_against_plain_search(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choice("abé\n\x00") for _ in range(rng.randrange(0, 80))) for i in range(60)} | {99: "ab" * 3000, 100: "x"}
+    docs = spark.createDataFrame([*texts.items(), (101, None)], "doc_id long, text string")
+    one = textindex.build_index(docs.where("doc_id < 50"), f"{tmp_path}/one")
+    index = textindex.merge_indexes(one, textindex.build_index(docs.where("doc_id >= 50"), f"{tmp_path}/two"), f"{tmp_path}/all")
+    for pattern in ("a", "ab", "abab", "ababa", "abé", "aéb\na", "bababababab", "zz", "x", "éé\x00"):
+        want = sorted((i, k) for i, t in texts.items() for k in range(len(t)) if t.startswith(pattern, k))
+        assert sorted((r.doc_id, r.pos) for r in textindex.index_locate(index, pattern).collect()) == want
+        assert sorted((r.doc_id, r.pos) for r in textindex.locate(docs, pattern).collect()) == want
+
+
+def test_suffixes_by_sorting(spark):
+    rng = random.Random(7)
+    texts = {i: "".join(rng.choice("abé") for _ in range(rng.randrange(0, 60))) for i in range(40)} | {99: "a" * 500, 100: "ab" * 300, 101: ""}
+    docs = spark.createDataFrame([*texts.items(), (102, None)], "doc_id long, text string")
+    runs = {r.doc_id: (r.length, r.runs) for r in textindex.transform_runs(docs).collect()}
+    shared, back = {}, {}
+    for r in textindex.common_prefixes(docs).collect():
+        shared[r.doc_id, r.pos] = r.lcp
+    for r in textindex.steps_back(docs).collect():
+        back[r.doc_id, r.place] = r.back
+    for i, t in texts.items():
+        order = sorted(range(len(t) + 1), key=lambda k: t[k:] + "\x00")
+        bwt = [t[k - 1] if k else "\x00" for k in order]
+        assert runs[i] == (len(t) + 1, 1 + sum(a != b for a, b in zip(bwt, bwt[1:])))
+        for a, b in zip(order, order[1:]):
+            assert shared[i, b] == next(k for k in range(len(t) + 2) if t[a : a + k + 1] != t[b : b + k + 1] or k == len(t) - max(a, b))
+        place, out = 0, []
+        for _ in t:
+            out.append(bwt[place])
+            place = back[i, place]
+        assert "".join(reversed(out)) == t
+    assert set(runs) == set(texts)
