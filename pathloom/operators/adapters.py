@@ -81,6 +81,14 @@ def geo_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
+def deep_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry, tree, node, parent, sym): a nation's customers hang below one another in the order of their keys, every
+    third one a side branch, so a tree is about two thirds as deep as it has nodes; labels as in ``nation_graph``."""
+    nodes = nation_graph(spark, sf_dir)[0]
+    above = F.when(F.col("id") > 0, F.col("id") - F.when(F.col("id") % 3 == 2, 2).otherwise(F.when(F.col("id") % 3 == 0, 2).otherwise(1)))
+    return nodes.select(F.lit(0).cast("long").alias("entry"), F.col("g").alias("tree"), F.col("id").cast("long").alias("node"), above.cast("long").alias("parent"), "sym")
+
+
 def order_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(reaction, side, ligand, n): an order's lines of status O are substrates, of status F products; a ligand is
     the brand of the part."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pathloom.scratch import discard, materialise, numbered, running, sent
+
 
 def parse_trees(lines: DataFrame) -> DataFrame:
     """Trees from rows (entry, tree, line), a line being one balanced bracket string like ``(C(C[O]))``.
@@ -51,34 +53,94 @@ def tree_text(nodes: DataFrame) -> DataFrame:
     return rows.select("entry", "tree", F.aggregate("n", start, step, lambda s: F.concat(s["text"], closed(s, F.lit(1)))).alias("line"))
 
 
-def downward_paths(nodes: DataFrame, levels: int) -> DataFrame:
-    """``nodes`` with ``down``, the labels from the root to the node; one join per level of depth."""
-    roots = nodes.where("parent is null").withColumn("down", F.col("sym"))
-    out, now = roots, roots
-    for _ in range(levels - 1):
-        above = now.select(F.col("node").alias("p"), F.col("down").alias("above"))
-        now = nodes.join(above, nodes["parent"] == F.col("p")).withColumn("down", F.concat("above", "sym")).select(*out.columns)
-        out = out.union(now)
-    return out
+TREE = ["entry", "tree"]
+
+
+def _jump(now: DataFrame, held: DataFrame, *columns: str) -> DataFrame:
+    """``now`` with what ``held`` (entry, tree, node, ...) has for each row's ``up``, under names with ``up_``; null without one."""
+    other = held.select(*(F.col(c).alias(f"u_{c}") for c in TREE), F.col("node").alias("u_node"), *(F.col(c).alias(f"up_{c}") for c in columns))
+    same = (F.col("up") == F.col("u_node")) & (F.col("entry") == F.col("u_entry")) & (F.col("tree") == F.col("u_tree"))
+    return now.join(other, same, "left").drop("u_entry", "u_tree", "u_node")
 
 
-def upward_rank(nodes: DataFrame, levels: int) -> DataFrame:
-    """(node, rank): dense rank by the labels from the node up to the root.
+def upward_rank(nodes: DataFrame) -> DataFrame:
+    """(entry, tree, node, rank): dense rank, over the forest, of the labels from the node up to the root.
 
-    Ranks come from the few distinct labels, so no node passes through one global sort.
+    Prefix doubling: round k ranks the first 2^k labels of every node by the pair of its own rank and the rank of the
+    node 2^k above it (0 beyond the root), and doubles what it looks up to. A tree of depth d takes about log2(d)
+    rounds whatever its shape; no label string is built, and pairs are numbered in ranges.
     """
-    up = downward_paths(nodes, levels).select("node", F.reverse("down").alias("up"))
-    ranks = up.select("up").distinct().withColumn("rank", F.dense_rank().over(Window.orderBy("up")))
-    return up.join(ranks, "up").select("node", F.col("rank").cast("long").alias("rank"))
-
-
-def subtree_leaves(nodes: DataFrame, levels: int, prefixes: list[str]) -> DataFrame:
-    """(prefix, leaves): leaves at or below the nodes whose labels from the root are the prefix."""
-    asked = nodes.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
-    leaves = with_flags(downward_paths(nodes, levels)).where("is_leaf")
-    found = leaves.groupBy("down").agg(F.count("*").alias("n"))
-    hit = F.broadcast(asked).join(found, F.col("down").startswith(F.col("prefix")), "left")
-    return hit.groupBy("prefix").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("leaves"))
+    held: list[str] = []
+    symbols = numbered(nodes.select("sym").distinct(), "rank", "sym").select(F.col("sym").alias("s"), "rank")
+    now = materialise(nodes.join(symbols, F.col("sym") == F.col("s")).select(*TREE, "node", F.col("parent").alias("up"), "rank"), "upward", held)
+    while not now.where("up is not null").isEmpty():
+        both = _jump(now, now, "up", "rank").select(*TREE, "node", F.col("up_up").alias("up"), F.col("rank").alias("first"), F.coalesce("up_rank", F.lit(0)).alias("second"))
+        both = materialise(both, "upward-pairs", held)
+        pairs = numbered(both.select("first", "second").distinct(), "rank", "first", "second").select(F.col("first").alias("f"), F.col("second").alias("s"), "rank")
+        ranked = both.join(sent(pairs), (F.col("first") == F.col("f")) & (F.col("second") == F.col("s"))).select(*TREE, "node", "up", "rank")
+        after = materialise(ranked, "upward")
+        discard(nodes.sparkSession, held)
+        held[:] = []
+        now = after
+    return now.select(*TREE, "node", F.col("rank").cast("long").alias("rank"))
+
+
+def intervals(nodes: DataFrame, order: str = "node") -> DataFrame:
+    """(entry, tree, node, pre, size, leaves): the place of each node in its tree's depth-first order, from 0, and how many
+    nodes and leaves its subtree has. The subtree of a node is the range of places ``pre`` to ``pre + size - 1``.
+
+    By doubling, for any depth d in about log2(d) rounds: a node's sum over descendants less than 2^k below it plus those
+    of the nodes exactly 2^k below it makes its sum for 2^(k+1). A place is the sum, over the node and its ancestors, of
+    what the siblings before hold and of one for the parent; such sums are doubled upwards. Siblings are summed in
+    ranges (``scratch.running``), so the children of one node may lie in many tasks.
+    """
+    held: list[str] = []
+    parents = nodes.where("parent is not null").select(*TREE, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    start = nodes.select(*TREE, "node", "parent", F.col(order).alias("at")).join(parents, [*TREE, "node"], "left")
+    start = start.select(*TREE, "node", "parent", "at", F.lit(1).cast("long").alias("size"), F.when(F.col("inner"), 0).otherwise(1).cast("long").alias("leaves"))
+    start = materialise(start, "intervals", held)
+    now = start.select(*TREE, "node", F.col("parent").alias("up"), "size", "leaves")
+    while not now.where("up is not null").isEmpty():
+        below = now.where("up is not null").groupBy(*TREE, F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.sum("leaves").alias("more_leaves"))
+        sums = _jump(now, now, "up").join(below, [*TREE, "node"], "left")
+        sums = sums.select(*TREE, "node", F.col("up_up").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("leaves") + F.coalesce("more_leaves", F.lit(0))).alias("leaves"))
+        now = materialise(sums, "subtree-sums", held)
+    sized = materialise(start.drop("size", "leaves").join(now.drop("up"), [*TREE, "node"]), "subtree-sizes", held)
+
+    siblings = running(sized, "before", "size", *TREE, "parent", "at", "node")
+    first = siblings.groupBy(*TREE, "parent").agg(F.min("before").alias("first")).select(*(F.col(c).alias(f"f_{c}") for c in (*TREE, "parent")), "first")
+    mine = (F.col("entry") == F.col("f_entry")) & (F.col("tree") == F.col("f_tree")) & F.col("parent").eqNullSafe(F.col("f_parent"))
+    offset = F.col("before") - F.col("first") + F.when(F.col("parent").isNull(), 0).otherwise(1)
+    now = materialise(siblings.join(first, mine).select(*TREE, "node", F.col("parent").alias("up"), offset.alias("pre")), "offsets", held)
+    while not now.where("up is not null").isEmpty():
+        sums = _jump(now, now, "up", "pre").select(*TREE, "node", F.col("up_up").alias("up"), (F.col("pre") + F.coalesce("up_pre", F.lit(0))).alias("pre"))
+        now = materialise(sums, "places", held)
+    out = materialise(now.drop("up").join(sized.select(*TREE, "node", "size", "leaves"), [*TREE, "node"]), "intervals")
+    discard(nodes.sparkSession, held)
+    return out
+
+
+def at_path(nodes: DataFrame, symbols: list[str]) -> DataFrame:
+    """The nodes whose labels from the root are ``symbols``: one join for each symbol, of what still fits."""
+    found = nodes.where(F.col("parent").isNull() & (F.col("sym") == symbols[0]))
+    for sym in symbols[1:]:
+        above = found.select(*TREE, F.col("node").alias("parent"))
+        found = nodes.where(F.col("sym") == sym).join(above, [*TREE, "parent"]).select(*nodes.columns)
+    return found
+
+
+def subtree_leaves(nodes: DataFrame, paths: dict[str, list[str]], order: str = "node") -> DataFrame:
+    """(prefix, leaves): leaves at or below the nodes whose labels from the root are the path of that name; any depth."""
+    places = intervals(nodes, order)
+    asked = nodes.sparkSession.createDataFrame([(p,) for p in paths], "prefix string")
+    hits = None
+    for name, symbols in paths.items():
+        own = at_path(nodes, symbols).select(F.lit(name).alias("prefix"), *TREE, "node")
+        hits = own if hits is None else hits.union(own)
+    if hits is None:
+        return asked.withColumn("leaves", F.lit(0).cast("long"))
+    found = hits.join(places, [*TREE, "node"]).groupBy("prefix").agg(F.sum("leaves").alias("n"))
+    return asked.join(F.broadcast(found), "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).cast("long").alias("leaves"))
 
 
 def totals(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pathloom.operators.paths import adjacency, as_graphs
-from pathloom.scratch import materialise, numbered
+from pathloom.scratch import discard, materialise, numbered
 
 
 def formula(nodes: DataFrame) -> DataFrame:
@@ -52,23 +52,35 @@ def spectrum_similarity(spectrum: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("g1", "g2").agg(((total - apart) / total).alias("sim"))
 
 
-def distances(starts: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
+def distances(starts: DataFrame, edges: DataFrame, within: int | None = None) -> DataFrame:
     """(g, source, id, dist): breadth-first distances from (g, source, id), one join per hop, ``id`` at distance 0.
 
-    A round extends only what the last one reached; what is already known is removed by an anti-join.
+    A round extends only what the last one reached. Edges go both ways, so what it meets again lies in the last two
+    rounds, and only these are removed. It ends when nothing new is met, or after ``within`` hops, if such are asked for.
     """
+    held: list[str] = []
     steps = adjacency(edges).select("g", F.col("src").alias("id"), F.col("dst").alias("next")).distinct()
-    steps = materialise(steps, "steps")
-    front = starts.select("g", "source", "id", F.lit(0).alias("dist")).distinct()
-    known = front
-    for hop in range(1, limit + 1):
-        front = front.join(steps, ["g", "id"]).select("g", "source", F.col("next").alias("id")).distinct()
-        front = front.join(known, ["g", "source", "id"], "left_anti").withColumn("dist", F.lit(hop))
-        front = materialise(front, "front")
-        if front.isEmpty():
-            break
-        known = known.union(front)
-    return known
+    steps = materialise(steps, "steps", held)
+    front = materialise(starts.select("g", "source", "id", F.lit(0).alias("dist")).distinct(), "front", held)
+    known, last, hop = [front], front, 0
+    while not front.isEmpty() and (within is None or hop < within):
+        hop += 1
+        met = front.join(steps, ["g", "id"]).select("g", "source", F.col("next").alias("id")).distinct()
+        new = met.join(front.unionByName(last), ["g", "source", "id"], "left_anti").withColumn("dist", F.lit(hop))
+        last, front = front, materialise(new, "front", held)
+        known.append(front)
+        if len(known) == 32:  # a plan over hundreds of rounds would take longer than they
+            known = [materialise(_together(known), "known", held)]
+    out = materialise(_together(known), "distances")
+    discard(edges.sparkSession, held)
+    return out
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _bfs(starts: list[int], near: dict[int, list[int]]) -> dict[int, int]:
@@ -98,6 +110,9 @@ def by_graph(nodes: DataFrame, edges: DataFrame, names: tuple[str, ...], one) ->
                 for row in one(ids, near, [(a, b) for a, b, c in zip(src or (), dst or (), chg or ()) if c]):
                     for values, v in zip(out, (g, *row)):
                         values.append(v)
+                    if len(out[0]) == 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+                        out = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
     return as_graphs(nodes, edges).mapInArrow(walk, "g long, " + ", ".join(f"{n} int" for n in names))

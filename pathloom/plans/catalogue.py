@@ -346,7 +346,7 @@ def isomorphism_classes(spark, sf_dir):
 q AS (SELECT unnest(['N', 'NA', 'NBO', 'NFFA', 'NZ']) AS prefix)
 SELECT prefix, count(down) AS leaves FROM q LEFT JOIN lf ON starts_with(down, prefix) GROUP BY prefix""")
 def subtree_leaves(spark, sf_dir):
-    return forest.subtree_leaves(adapters.geo_forest(spark, sf_dir), 4, ["N", "NA", "NBO", "NFFA", "NZ"])
+    return forest.subtree_leaves(adapters.geo_forest(spark, sf_dir), {p: list(p) for p in ("N", "NA", "NBO", "NFFA", "NZ")})
 
 
 @query("WITH " + sql.FOREST + """ SELECT count(DISTINCT entry) AS entries, count(DISTINCT (entry, tree)) AS trees, count(*) AS nodes,
@@ -357,7 +357,24 @@ def forest_totals(spark, sf_dir):
 
 @query("WITH " + sql.FOREST_PATHS + " SELECT node, dense_rank() OVER (ORDER BY reverse(down)) AS rank FROM tp")
 def upward_rank(spark, sf_dir):
-    return forest.upward_rank(adapters.geo_forest(spark, sf_dir), 4)
+    return forest.upward_rank(adapters.geo_forest(spark, sf_dir)).select("node", "rank")
+
+
+_DEEP = "WITH RECURSIVE " + sql.NATION + """, t AS (SELECT g, id, sym, CASE WHEN id > 0 THEN id - CASE WHEN id % 3 = 1 THEN 1 ELSE 2 END END AS parent FROM n),
+tp AS (SELECT g, id, sym AS up, format('{:09d}', id) AS down FROM t WHERE parent IS NULL
+  UNION ALL SELECT t.g, t.id, t.sym || tp.up, tp.down || format('{:09d}', t.id) FROM tp JOIN t ON t.g = tp.g AND t.parent = tp.id)"""
+
+
+@query(_DEEP + " SELECT g AS tree, id AS node, dense_rank() OVER (ORDER BY up) AS rank FROM tp")
+def deep_upward_rank(spark, sf_dir):
+    return forest.upward_rank(adapters.deep_forest(spark, sf_dir)).select("tree", "node", "rank")
+
+
+@query(_DEEP + """, lf AS (SELECT tp.*, NOT EXISTS (SELECT 1 FROM t WHERE t.g = tp.g AND t.parent = tp.id) AS leaf FROM tp)
+SELECT a.g AS tree, a.id AS node, dense_rank() OVER (PARTITION BY a.g ORDER BY a.down) - 1 AS pre, count(*) AS size, CAST(sum(b.leaf::INTEGER) AS BIGINT) AS leaves
+FROM lf a JOIN lf b ON a.g = b.g AND starts_with(b.down, a.down) GROUP BY a.g, a.id, a.down""")
+def subtree_intervals(spark, sf_dir):
+    return forest.intervals(adapters.deep_forest(spark, sf_dir)).select("tree", "node", "pre", "size", "leaves")
 
 
 @query("WITH " + sql.FOREST + """ SELECT node, node NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL) AS is_leaf,

@@ -11,7 +11,8 @@ from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _LOCAL_SCRATCH: list[str] = []
 #: Scratch tables of this process lie in folders of this name, which are deleted when it ends.
@@ -84,13 +85,41 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of a few dozen bytes that may be sent to all tasks; more of them are joined by a shuffle.
+#: What may be sent to all tasks: so many rows, and so many bytes in them; more is joined by a shuffle.
 SENT_ROWS = 500_000
+SENT_BYTES = 64_000_000
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: lengths of texts, binaries, arrays and maps, and 8 for what has a fixed size."""
+
+    def size(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+        if isinstance(kind, ArrayType):
+            total = F.aggregate(value, F.lit(8).cast("long"), lambda n, x: n + size(x, kind.elementType))
+            return F.coalesce(total, F.lit(8).cast("long"))
+        if isinstance(kind, MapType):
+            return size(F.map_keys(value), ArrayType(kind.keyType)) + size(F.map_values(value), ArrayType(kind.valueType))
+        if isinstance(kind, StructType):
+            return sum((size(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+        return F.lit(8).cast("long")
+
+    return sum((size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8).cast("long"))
 
 
 def sent(small: DataFrame) -> DataFrame:
-    """A side of a join that is sent to all tasks if it has few rows, and left to a shuffle if not."""
-    return F.broadcast(small) if small.limit(SENT_ROWS + 1).count() <= SENT_ROWS else small
+    """A side of a join that is sent to all tasks if it has few rows and few bytes, and left to a shuffle if not."""
+    rows, size = small.limit(SENT_ROWS + 1).agg(F.count("*"), F.sum(row_bytes(small))).first()
+    return F.broadcast(small) if rows <= SENT_ROWS and (size or 0) <= SENT_BYTES else small
+
+
+def _ranged(df: DataFrame, prefix: str, *order: str) -> tuple[DataFrame, str, str]:
+    """``df`` written in sorted ranges, with the names of the columns for the range and the place in it."""
+    part, own = (f"__{prefix}_{k}" for k in ("part", "own"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    return materialise(ranged.withColumns({part: F.shiftright(place, 33), own: place.bitwiseAND((1 << 33) - 1)}), "ranged"), part, own
 
 
 def numbered(df: DataFrame, name: str, *order: str, start: int = 1) -> DataFrame:
@@ -99,10 +128,18 @@ def numbered(df: DataFrame, name: str, *order: str, start: int = 1) -> DataFrame
     Rows are sorted in ranges, written once, and numbered within their range after the rows of the ranges before it:
     the only sort that one task does is of one row for each range.
     """
-    part, own, before = (f"__{name}_{k}" for k in ("part", "own", "before"))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id()
-    written = materialise(ranged.withColumns({part: F.shiftright(place, 33), own: place.bitwiseAND((1 << 33) - 1)}), "numbered")
+    written, part, own = _ranged(df, name, *order)
+    before = f"__{name}_before"
     sizes = written.groupBy(F.col(part).alias("p")).count()
     offsets = sizes.select("p", (F.sum("count").over(Window.orderBy("p")) - F.col("count")).alias(before))
     return written.join(F.broadcast(offsets), F.col(part) == F.col("p")).withColumn(name, F.col(own) + F.col(before) + start).drop("p", part, own, before)
+
+
+def running(df: DataFrame, name: str, value: str, *order: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over the rows before each in the order of ``order``, by ranges as ``numbered``."""
+    written, part, own = _ranged(df, name, *order)
+    before = f"__{name}_before"
+    sums = written.groupBy(F.col(part).alias("p")).agg(F.sum(value).alias("sum"))
+    offsets = sums.select("p", (F.sum("sum").over(Window.orderBy("p")) - F.col("sum")).alias(before))
+    within = F.sum(value).over(Window.partitionBy(part).orderBy(own)) - F.col(value)
+    return written.withColumn(name, within).join(F.broadcast(offsets), F.col(part) == F.col("p")).withColumn(name, F.col(name) + F.col(before)).drop("p", part, own, before)
