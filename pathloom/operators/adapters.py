@@ -47,6 +47,17 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return _chain(rows, "state", "p")
 
 
+def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A nation is a chain of its suppliers, labelled by the letter that the supplier's key falls on; changes as in ``nation_graph``."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    letter = F.element_at(F.array(*map(F.lit, "ABFHM")), (F.pmod("s_suppkey", F.lit(5)) + 1).cast("int"))
+    rows = suppliers.select(
+        F.col("s_nationkey").cast("long").alias("g"), (F.row_number().over(w) - 1).alias("id"), letter.alias("sym"), F.when(F.col("s_acctbal") >= 0, "p").otherwise("n").alias("state")
+    )
+    return _chain(rows, "state", "p")
+
+
 def user_chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A user is the chain of their events in time, labelled by the first letter of the type; nothing changes."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

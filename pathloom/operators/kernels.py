@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pathloom.operators.paths import is_core, reverse_direction
+from pathloom.scratch import materialise
 
 # Fixed values of the 64 settings.
 LAMBDA = 0.9
@@ -48,9 +49,7 @@ def path_kernels(paths: DataFrame, lam: float = LAMBDA, caps: tuple[int, ...] =
     types: f, forward; fb, forward against backward; tensor, ff*bb + fb*bf + bf*fb + bb*ff; max, the greatest of the
     three. Each cross kernel is scaled once by the diagonals. The seed keeps diagonals above zero.
     """
-    graphs = paths.select("g").distinct()
-    pairs = graphs.select(F.col("g").alias("i")).join(graphs.select(F.col("g").alias("j")), F.lit(True))
-    own = path_products(paths)
+    paths = materialise(paths, "paths")  # read by each side of each product
     cells = []
     for cap in caps:
         for dp in ("ind", "float"):
@@ -59,8 +58,11 @@ def path_kernels(paths: DataFrame, lam: float = LAMBDA, caps: tuple[int, ...] =
                 value = F.when(use, F.pow(F.lit(lam), F.col("len")) * F.col(dp)).otherwise(0.0)
                 cells.append((cap, dp, kind, value))
     sums = [F.sum(F.when(F.col("dir") == d, v).otherwise(0.0)).alias(f"{d}{n}") for n, (*_, v) in enumerate(cells) for d in ("ff", "fb")]
-    wide = own.groupBy("i", "j").agg(*sums)
-    wide = pairs.join(wide, ["i", "j"], "left").na.fill(0.0)
+    # Each ordered pair has a row, all zeros where no path is shared.
+    graphs = paths.select("g").distinct()
+    none = graphs.select(F.col("g").alias("i")).crossJoin(graphs.select(F.col("g").alias("j")))
+    none = none.select("i", "j", F.lit(0).alias("len"), F.lit(False).alias("core"), F.lit(0).cast("long").alias("float"), F.lit(0).cast("long").alias("ind"), F.lit("").alias("dir"))
+    wide = materialise(path_products(paths).unionByName(none).groupBy("i", "j").agg(*sums), "path-products")
     settings = F.array(*[F.struct(F.lit(c).alias("l"), F.lit(d).alias("dp"), F.lit(p).alias("paths"), (F.col(f"ff{n}") + seed).alias("ff"), (F.col(f"fb{n}") + seed).alias("fb")) for n, (c, d, p, _) in enumerate(cells)])
     long = wide.select("i", "j", F.explode(settings).alias("s")).select("i", "j", "s.*")
     keys = ["l", "dp", "paths"]

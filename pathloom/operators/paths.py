@@ -203,7 +203,8 @@ def feature_ids(paths: DataFrame) -> DataFrame:
 
 
 def feature_triples(paths: DataFrame) -> DataFrame:
-    """(path_id, graph_id, freq); graphs numbered from 1 by g."""
+    """(path_id, graph_id, freq); graphs numbered from 1 by g. Paths are enumerated once and written."""
+    paths = materialise(paths, "paths")
     graphs = numbered(paths.select("g").distinct(), "graph_id", "g")
     ids = feature_ids(paths).select("path", "path_id")
     return paths.join(ids, "path").join(graphs, "g").select("path_id", "graph_id", "freq")

@@ -1,12 +1,16 @@
 """Product graphs and walk kernels.
 
-Two strategies give the same kernels. ``features``: what a walk in a product graph
+Three strategies give the same kernels. ``features``: what a walk in a product graph
 weighs is a factor of one graph times a factor of the other, and its nodes and
 edges match exactly if both walks read alike; so a kernel is the dot product of the
 graphs' weighted counts of label walks. These grow along a graph's own edges, one
 join and one sum a step, and meet in one equi-join on the label: no pair of graphs
-is looked at before its result. ``joins`` makes product graphs as tables and lets
-all pairs advance together: the definition, word for word.
+is looked at before its result. The number of label walks grows with each step until
+all walks read differently, so this is the strategy for short walks. ``blocks``
+(``pairs``) keeps a number for each node of a product graph, two blocks of graphs in a
+task: its state is the same at every length, and it can end at convergence; it is the
+default beyond ``SHORT_WALKS`` nodes. ``joins`` makes product graphs as tables and lets all
+pairs advance together: the definition, word for word, for graphs that no task may hold.
 """
 
 from __future__ import annotations
@@ -15,10 +19,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pathloom.operators import pairs
 from pathloom.operators.paths import adjacency, bracket
 from pathloom.scratch import materialise
 
 KEY = ["i", "j", "a1", "a2"]
+#: Walks of at most so many nodes are compared by their labels.
+SHORT_WALKS = 6
 
 
 def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -111,20 +118,26 @@ def _levels(features: DataFrame) -> DataFrame:
     return _met(features, features, ["walk", "len"], {"k": "f"})
 
 
-def _pair_levels(nodes: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
-    return _levels(walk_features(nodes, arcs, length))
+def _pair_levels(nodes: DataFrame, arcs: DataFrame, length: int, strategy: str | None = None, epsilon: float | None = None) -> DataFrame:
+    """Levels by ``features`` for walks of a few nodes, by ``blocks`` for longer ones or where ``epsilon`` ends them."""
+    if strategy == "features" or strategy is None and epsilon is None and length <= SHORT_WALKS:
+        return _levels(walk_features(nodes, arcs, length))
+    return pairs.levels(nodes, arcs, length, epsilon)
 
 
 def _plain_arcs(edges: DataFrame) -> DataFrame:
     return adjacency(edges).withColumn("p", F.lit(1.0))
 
 
-def walk_counts(nodes: DataFrame, edges: DataFrame, length: int, strategy: str = "features") -> DataFrame:
-    """(i, j, len, n): common walks of 1..``length`` nodes: D_1 = 1, D_l(v) = sum of D_(l-1) over the neighbours."""
-    if strategy == "features":
+def walk_counts(nodes: DataFrame, edges: DataFrame, length: int, strategy: str | None = None) -> DataFrame:
+    """(i, j, len, n): common walks of 1..``length`` nodes: D_1 = 1, D_l(v) = sum of D_(l-1) over the neighbours.
+
+    Counts are whole; ``blocks`` adds in floating point, which is exact up to 2**53."""
+    if strategy != "joins":
         one = F.lit(1).cast("long")
         arcs = adjacency(edges).withColumn("p", one)
-        return _pair_levels(nodes.select("g", "id", "sym", one.alias("a"), one.alias("s"), one.alias("q")), arcs, length).withColumnRenamed("k", "n")
+        levels = _pair_levels(nodes.select("g", "id", "sym", one.alias("a"), one.alias("s"), one.alias("q")), arcs, length, strategy)
+        return levels.select("i", "j", "len", F.col("k").cast("long").alias("n"))
     steps = product_edges(nodes, edges)
     now = product_nodes(nodes).withColumn("n", F.lit(1).cast("long"))
     levels = []
@@ -155,15 +168,21 @@ def _weighted(product: DataFrame, weights: DataFrame) -> DataFrame:
     return product.join(side("i", "a1", "w1"), ["i", "a1"]).join(side("j", "a2", "w2"), ["j", "a2"]).select(*KEY, (F.col("w1") * F.col("w2")).alias("w"))
 
 
-def walk_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "features") -> DataFrame:
+def walk_levels(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int = 50, strategy: str | None = None, epsilon: float | None = None) -> DataFrame:
+    """(i, j, len, k): the parts of ``walk_kernel`` by the number of nodes of the walks."""
+    factor = F.col("w") * math.sqrt(lam)
+    own = nodes.join(weights, ["g", "id"]).select("g", "id", "sym", factor.alias("a"), factor.alias("s"), F.lit(1.0).alias("q"))
+    return _pair_levels(own, _plain_arcs(edges), length, strategy, epsilon)
+
+
+def walk_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int = 50, strategy: str | None = None, epsilon: float | None = None) -> DataFrame:
     """(i, j, k): F_1(v) = lam w(v), F_l(v) = lam w(v) sum of F_(l-1) over neighbours, summed over nodes and lengths.
 
-    ``weights`` is (g, id, w); all ones give the plain walk kernel.
+    ``weights`` is (g, id, w); all ones give the plain walk kernel. With ``epsilon`` a pair of graphs ends when a length
+    adds at most that share of what it has so far.
     """
-    if strategy == "features":
-        factor = F.col("w") * math.sqrt(lam)
-        own = nodes.join(weights, ["g", "id"]).select("g", "id", "sym", factor.alias("a"), factor.alias("s"), F.lit(1.0).alias("q"))
-        return _pair_levels(own, _plain_arcs(edges), length).groupBy("i", "j").agg(F.sum("k").alias("k"))
+    if strategy != "joins":
+        return walk_levels(nodes, edges, weights, lam, length, strategy, epsilon).groupBy("i", "j").agg(F.sum("k").alias("k"))
     own = _weighted(product_nodes(nodes), weights)
     steps = product_edges(nodes, edges)
     now = own.select(*KEY, (F.lit(lam) * F.col("w")).alias("f"))
@@ -182,13 +201,16 @@ def _summed(own: DataFrame, steps: DataFrame, now: DataFrame, length: int, scale
     return out.groupBy("i", "j").agg(F.sum("f").alias("k"))
 
 
-def _nontottering(own: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
-    """(i, j, k): dot products of label walks that never step straight back.
+def _nontottering(own: DataFrame, arcs: DataFrame, length: int, epsilon: float | None = None) -> DataFrame:
+    """(i, j, k): dot products of label walks that never step straight back, by labels or by blocks as ``_pair_levels``.
 
     ``own`` (g, id, sym, b, e): a walk of one node weighs b e. ``arcs`` (g, src, dst, chg, first, out, into, e): the first
     step of a walk weighs b ``first``; going on from one arc along another weighs the ``out`` of the one times the
     ``into`` of the other, and a walk that ends with an arc weighs its ``e``.
     """
+    if epsilon is not None or length > SHORT_WALKS:
+        points = own.select("g", "id", "sym", F.col("b").alias("a"), F.lit(1.0).alias("s"), F.col("e").alias("q"))
+        return pairs.levels(points, arcs, length, epsilon, straight=True).groupBy("i", "j").agg(F.sum("k").alias("k"))
     named = arcs.join(own.select("g", F.col("id").alias("dst"), F.col("sym").alias("to")), ["g", "dst"])
     steps = named.select("g", "src", "dst", "first", "out", "into", "e", _step(F.col("chg"), "to").alias("step"))
     features = [own.groupBy("g", F.concat(F.lit("("), "sym").alias("walk")).agg(F.sum(F.col("b") * F.col("e")).alias("f"))]
@@ -204,14 +226,14 @@ def _nontottering(own: DataFrame, arcs: DataFrame, length: int) -> DataFrame:
     return _met(written, written, ["walk"], {"k": "f"})
 
 
-def nontottering_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
+def nontottering_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int = 50, epsilon: float | None = None) -> DataFrame:
     """As ``walk_kernel`` over walks that never turn straight back in either graph: with messages on directed edges,
     M_1(u to v) = lam w(u), M_l(u to v) = lam w(u) sum of M_(l-1)(t to u), t unlike v, and ends by lam w(v)."""
     own = nodes.join(weights, ["g", "id"]).select("g", "id", "sym", F.lit(1.0).alias("b"), (F.col("w") * math.sqrt(lam)).alias("e"))
     at = own.select("g", F.col("id").alias("src"), F.col("e").alias("into"))
     to = own.select("g", F.col("id").alias("dst"), "e")
     arcs = adjacency(edges).join(at, ["g", "src"]).join(to, ["g", "dst"]).withColumns({"first": F.col("into"), "out": F.lit(1.0)})
-    return _nontottering(own, arcs, length)
+    return _nontottering(own, arcs, length, epsilon)
 
 
 def walk_probabilities(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float) -> tuple[DataFrame, DataFrame]:
@@ -230,11 +252,11 @@ def walk_probabilities(nodes: DataFrame, edges: DataFrame, weights: DataFrame, l
     return nodes_out, moves
 
 
-def marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int, strategy: str = "features") -> DataFrame:
+def marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int = 50, strategy: str | None = None, epsilon: float | None = None) -> DataFrame:
     """(i, j, k): the probability that random walks on both graphs have equal labels: F_1 = Ps Pe, F_l(v) = sum over
     neighbours u of F_(l-1)(u) Pt(v, u), summed over lengths, with starts by Ps."""
-    if strategy == "features":
-        return marginal_levels(nodes, edges, weights, lam, length).groupBy("i", "j").agg(F.sum("k").alias("k"))
+    if strategy != "joins":
+        return marginal_levels(nodes, edges, weights, lam, length, strategy, epsilon).groupBy("i", "j").agg(F.sum("k").alias("k"))
     ends, moves = walk_probabilities(nodes, edges, weights, lam)
     side = lambda g, a, n: ends.select(F.col("g").alias(g), F.col("id").alias(a), F.col("ps").alias(f"ps{n}"), F.col("pe").alias(f"pe{n}"))
     own = product_nodes(nodes).join(side("i", "a1", 1), ["i", "a1"]).join(side("j", "a2", 2), ["j", "a2"])
@@ -259,12 +281,12 @@ def constant_weights(nodes: DataFrame, value: float = 1.0) -> DataFrame:
     return nodes.select("g", "id", F.lit(value).alias("w"))
 
 
-def marginal_levels(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
+def marginal_levels(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int = 50, strategy: str | None = None, epsilon: float | None = None) -> DataFrame:
     """(i, j, len, k): the parts of ``marginal_kernel`` by the number of nodes of the walks."""
     ends, moves = walk_probabilities(nodes, edges, weights, lam)
     own = nodes.join(ends, ["g", "id"]).select("g", "id", "sym", F.col("pe").alias("a"), F.lit(1.0).alias("s"), F.col("ps").alias("q"))
     arcs = adjacency(edges).join(moves, ["g", "src", "dst"]).select("g", "src", "dst", "chg", F.col("pt").alias("p"))
-    return _pair_levels(own, arcs, length)
+    return _pair_levels(own, arcs, length, strategy, epsilon)
 
 
 def partially_normalized(levels: DataFrame) -> DataFrame:
@@ -279,7 +301,7 @@ def partially_normalized(levels: DataFrame) -> DataFrame:
     return joined.groupBy("i", "j").agg(F.sum(F.when(scale > 0, F.col("k") / scale).otherwise(0.0)).alias("k"))
 
 
-def nontottering_marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int) -> DataFrame:
+def nontottering_marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: float, length: int = 50, epsilon: float | None = None) -> DataFrame:
     """As ``marginal_kernel`` for walks of second order that never step straight back in either graph: after u to v the
     next node is drawn by weight from the neighbours of v but u, or the walk ends; dead ends end it surely."""
     ends, moves = walk_probabilities(nodes, edges, weights, lam)
@@ -292,7 +314,7 @@ def nontottering_marginal_kernel(nodes: DataFrame, edges: DataFrame, weights: Da
     left = left.withColumns({"out": F.when(goes_on, F.lit(lam) / F.col("left")).otherwise(0.0), "e": F.when(goes_on, 1 - F.lit(lam)).otherwise(1.0)})
     arcs = adjacency(edges).join(left, ["g", "src", "dst"]).join(moves.withColumnRenamed("pt", "first"), ["g", "src", "dst"])
     own = nodes.join(ends, ["g", "id"]).select("g", "id", "sym", F.col("ps").alias("b"), F.col("pe").alias("e"))
-    return _nontottering(own, arcs, length)
+    return _nontottering(own, arcs, length, epsilon)
 
 
 def path_pair_kernel(paths: DataFrame, lam: float) -> DataFrame:

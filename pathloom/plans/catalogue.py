@@ -295,6 +295,44 @@ def marginal_kernel(spark, sf_dir):
     return _rounded(walks.marginal_kernel(nodes, edges, walks.constant_weights(nodes), 0.8, 5), "k", digits=8)
 
 
+# --- long walks, and product graphs as rows (nations as chains of their suppliers)
+
+
+@query("WITH " + sql.SUPPLIER + sql.PRODUCT + " SELECT i, j, a1, a2 FROM pn")
+def product_graph_nodes(spark, sf_dir):
+    return walks.product_nodes(adapters.supplier_graph(spark, sf_dir)[0])
+
+
+@query("WITH " + sql.SUPPLIER + " SELECT x.g AS i, y.g AS j, count(*) AS pairs FROM n x JOIN n y ON y.g <= x.g GROUP BY x.g, y.g")
+def product_graph_all_pairs(spark, sf_dir):
+    found = walks.product_nodes(adapters.supplier_graph(spark, sf_dir)[0], match_labels=False)
+    return found.groupBy("i", "j").agg(F.count("*").alias("pairs"))
+
+
+@query("WITH " + sql.SUPPLIER + sql.PRODUCT + " SELECT i, j, a1, a2, b1, b2 FROM pe")
+def product_graph_edges(spark, sf_dir):
+    return walks.product_edges(*adapters.supplier_graph(spark, sf_dir))
+
+
+@query("WITH " + sql.SUPPLIER + sql.PRODUCT + sql.CORE + """
+SELECT i, j, a1, a2 FROM pn JOIN cd x ON x.g = i AND x.id = a1 JOIN cd y ON y.g = j AND y.id = a2 WHERE coalesce(x.dist = 0, false) = coalesce(y.dist = 0, false)""")
+def reduced_product_graph_nodes(spark, sf_dir):
+    nodes, edges = adapters.supplier_graph(spark, sf_dir)
+    return walks.reduced(walks.product_nodes(nodes), graphs.core_distance(nodes, edges))
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + _ONES + sql.walk_levels("SELECT i, j, a1, a2, 1 AS f FROM pn", "1", 20) + " SELECT i, j, len, CAST(sum(f) AS BIGINT) AS n FROM fs GROUP BY i, j, len")
+def long_walk_counts(spark, sf_dir):
+    return walks.walk_counts(*adapters.nation_graph(spark, sf_dir), 20)
+
+
+@query("WITH " + sql.SUPPLIER + sql.PRODUCT + sql.CORE + _weights("coalesce(pow(2.0, -dist), 0)") + sql.walk_levels("SELECT i, j, a1, a2, 0.2 * w AS f FROM pw", "0.2 * any_value(pw.w)", 50) + " SELECT i, j, round(sum(f), 4) AS k FROM fs GROUP BY i, j")
+def walk_kernel_converged(spark, sf_dir):
+    nodes, edges = adapters.supplier_graph(spark, sf_dir)
+    w = graphs.core_distance(nodes, edges).select("g", "id", walks.exponential(F.col("dist"), 2.0).alias("w"))
+    return _rounded(walks.walk_kernel(nodes, edges, w, 0.2, 500, epsilon=1e-13), "k", digits=4)
+
+
 # --- shortest paths and subgraphs (graphs are nations)
 
 

@@ -16,6 +16,9 @@ n AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER B
 NATION = """
 n AS (SELECT CAST(c_nationkey AS BIGINT) AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS id, c_mktsegment[1:1] AS sym,
              CASE WHEN c_acctbal >= 0 THEN 'p' ELSE 'n' END AS st FROM customer),""" + _EDGES.format(low="p") + _ADJ
+SUPPLIER = """
+n AS (SELECT CAST(s_nationkey AS BIGINT) AS g, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS id, ['A', 'B', 'F', 'H', 'M'][s_suppkey % 5 + 1] AS sym,
+             CASE WHEN s_acctbal >= 0 THEN 'p' ELSE 'n' END AS st FROM supplier),""" + _EDGES.format(low="p") + _ADJ
 USER = """
 n AS (SELECT user_id AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS id, event_type[1:1] AS sym, 's' AS st FROM events),""" + _EDGES.format(low="s") + _ADJ
 RING = f"""
