@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pathloom.operators.subgraphs import common_subgraph
 
@@ -34,13 +34,6 @@ def cost(lhs: Side, rhs: Side, image: dict[int, int]) -> int:
     return len(moved ^ {(a, b) for a, b in right if a in back and b in back})
 
 
-def bond_bound(lhs: Side, rhs: Side) -> int:
-    """Edges by end symbols that one side has more of than the other: none of these can be kept."""
-    kinds = lambda s: Counter(tuple(sorted((s[0][a], s[0][b]))) for a, b in _edges(s))
-    a, b = kinds(lhs), kinds(rhs)
-    return sum(((a - b) + (b - a)).values())
-
-
 def twins(side: Side) -> list[int]:
     """For each node a bin: nodes of one neighbour only share a bin with their like at the same neighbour."""
     near: list[list[int]] = [[] for _ in side[0]]
@@ -52,7 +45,8 @@ def twins(side: Side) -> list[int]:
 
 
 def order_of(side: Side, how: str = "bfs") -> list[int]:
-    """Nodes in their own order, or breadth- or depth-first from a node of greatest degree."""
+    """Nodes in their own order, breadth- or depth-first from a node of greatest degree, or (``far``) breadth-first from the
+    node with the greatest distance to another one."""
     if how == "plain":
         return list(range(len(side[0])))
     near: list[list[int]] = [[] for _ in side[0]]
@@ -61,10 +55,11 @@ def order_of(side: Side, how: str = "bfs") -> list[int]:
         near[b].append(a)
     out: list[int] = []
     seen: set[int] = set()
-    for start in sorted(range(len(near)), key=lambda i: (-len(near[i]), i)):
+    rank = [-max(d.values()) for d in _rings(near)] if how == "far" else [-len(x) for x in near]
+    for start in sorted(range(len(near)), key=lambda i: (rank[i], i)):
         open_ = [start]
         while open_:
-            node = open_.pop(0 if how == "bfs" else -1)
+            node = open_.pop(-1 if how == "dfs" else 0)
             if node not in seen:
                 seen.add(node)
                 out.append(node)
@@ -72,6 +67,141 @@ def order_of(side: Side, how: str = "bfs") -> list[int]:
     return out
 
 
+def _rings(near: list[list[int]]) -> list[dict[int, int]]:
+    """For each node the distances to all that it reaches."""
+    out = []
+    for start in range(len(near)):
+        known, front = {start: 0}, [start]
+        while front:
+            reached = {x: known[n] + 1 for n in front for x in near[n] if x not in known}
+            known |= reached
+            front = list(reached)
+        out.append(known)
+    return out
+
+
+def difference(lhs: Side, rhs: Side, context: int = 1) -> list[list[int]]:
+    """How unlike the surroundings of two nodes are: symbols, by distance up to ``context``, that one has more of."""
+
+    def around(side: Side) -> list[Counter]:
+        near: list[list[int]] = [[] for _ in side[0]]
+        for a, b in _edges(side):
+            near[a].append(b)
+            near[b].append(a)
+        return [Counter((d, side[0][x]) for x, d in known.items() if 0 < d <= context) for known in _rings(near)]
+
+    n1, n2 = around(lhs), around(rhs)
+    return [[sum(((a - b) + (b - a)).values()) for b in n2] for a in n1]
+
+
+def optima(lhs: Side, rhs: Side, context: int = 1, order: str = "far") -> tuple[int, int, Iterator[tuple[int, ...]]]:
+    """(bonds, difference, images): *every* mapping of all left nodes with the least cost in two parts: edges that are on one
+    side only, and then the nodes' differences. Images are by left node, in no order.
+
+    Best first, as ``astar``, with both parts in one number. What is still to pay is at least the edges that the rest
+    must lose by their kinds, and each open node's least difference to a free image. States that are equal in the
+    images taken and in where nodes with open edges went pay the same from there on, so for each only the cheapest
+    ways to it are kept, all of them; the search goes on until nothing cheaper or as cheap is open, and the mappings
+    are read backwards from the end.
+    """
+    nodes = order_of(lhs, order)
+    left, right = _edges(lhs), _edges(rhs)
+    unlike = difference(lhs, rhs, context)
+    unit = 1 + sum(max(row, default=0) for row in unlike)  # an edge outweighs all differences
+    place = {a: k for k, a in enumerate(nodes)}
+    kind = lambda s, a, b: (s[a], s[b]) if s[a] <= s[b] else (s[b], s[a])
+    last = [max((place[b if a == node else a] for a, b in left if node in (a, b)), default=-1) for node in nodes]
+    held = [[j for j in range(k) if last[j] >= k] for k in range(len(nodes) + 1)]
+    lefts = [Counter(kind(lhs[0], x, y) for x, y in left if place[x] >= k or place[y] >= k) for k in range(len(nodes) + 1)]
+    targets = [[t for t, s in enumerate(rhs[0]) if s == lhs[0][node]] for node in nodes]
+    bounds: dict[frozenset, int] = {}
+    whole = len(lhs[0]) == len(rhs[0])
+
+    def bound(k: int, used: frozenset) -> int:
+        if used not in bounds:
+            b = Counter(kind(rhs[0], x, y) for x, y in right if x not in used or y not in used)
+            least = [min((unlike[nodes[j]][t] for t in targets[j] if t not in used), default=0) for j in range(k, len(nodes))]
+            bounds[used] = unit * sum(((lefts[k] - b) + (b - lefts[k] if whole else Counter())).values()) + sum(least)
+        return bounds[used]
+
+    first = (frozenset(), ())
+    paid: dict[tuple, int] = {first: 0}
+    ways: dict[tuple, list[tuple[tuple, int]]] = {first: []}  # the states before, with the image that was chosen
+    where: dict[tuple, dict[int, int]] = {first: {}}  # images of the nodes with open edges
+    tick = count()
+    open_ = [(bound(0, frozenset()), 0, next(tick), 0, first)]
+    best = None
+    ends: list[tuple] = []
+    while open_ and (best is None or open_[0][0] <= best):
+        _, _, _, g, state = heapq.heappop(open_)
+        if g > paid[state]:
+            continue
+        used = state[0]
+        k = len(used)
+        if k == len(nodes):
+            best = g
+            ends.append(state)
+            continue
+        node, images = nodes[k], where[state]
+        for target in targets[k]:
+            if target in used:
+                continue
+            lost = 0
+            for x in range(len(lhs[0])):
+                if (min(x, node), max(x, node)) in left and place[x] < k:
+                    y = images[place[x]]
+                    lost += (min(y, target), max(y, target)) not in right
+            # Edges of the right side to images whose node has no edge to this one.
+            made = sum((min(y, target), max(y, target)) in right for y in used)
+            kept = sum((min(x, node), max(x, node)) in left and place[x] < k for x in range(len(lhs[0]))) - lost
+            now = g + unit * (lost + made - kept) + unlike[node][target]
+            taken = used | {target}
+            seen = {**images, k: target}
+            after = (taken, tuple(seen[j] for j in held[k + 1]))
+            f = now + bound(k + 1, taken)
+            if best is not None and f > best or now > paid.get(after, now):
+                continue
+            if now < paid.get(after, now + 1):
+                paid[after], ways[after], where[after] = now, [], {j: seen[j] for j in held[k + 1]}
+                heapq.heappush(open_, (f, -k, next(tick), now, after))
+            ways[after].append((state, target))
+
+    def backwards(state: tuple, k: int, images: dict[int, int]) -> Iterator[tuple[int, ...]]:
+        if k == 0:
+            yield tuple(images[node] for node in range(len(nodes)))
+            return
+        for before, target in ways[state]:
+            yield from backwards(before, k - 1, {**images, nodes[k - 1]: target})
+
+    found = (m for end in ends for m in backwards(end, len(nodes), {}))
+    return ((best or 0) // unit, (best or 0) % unit, found) if best is not None else (0, 0, iter(()))
+
+
+def optimal_mappings(sides: DataFrame, context: int = 1) -> DataFrame:
+    """(reaction, mapping, images, bonds, difference): every optimum of each reaction by ``optima``, numbered from 0 in the
+    order of their images; none where the left side can't be mapped whole. Sides as for ``map_reactions``."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("reaction", pa.int64()), ("images", pa.list_(pa.int32())), ("bonds", pa.int32()), ("difference", pa.int32())])
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                lhs, rhs = ((r[f"syms{k}"] or [], [(e["a"], e["b"]) for e in r[f"edges{k}"] or ()]) for k in (1, 2))
+                bonds, unlike, found = optima(lhs, rhs, context)
+                for images in found:
+                    out.append((r["reaction"], images, bonds, unlike))
+                    if len(out) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    chosen = sides.select("reaction", "syms1", "edges1", "syms2", "edges2")
+    found = chosen.mapInArrow(search, "reaction long, images array<int>, bonds int, difference int")
+    number = F.row_number().over(Window.partitionBy("reaction").orderBy("images")) - 1
+    return found.select("reaction", number.alias("mapping"), "images", "bonds", "difference")
+
+
 def astar(lhs: Side, rhs: Side, max_states: int | None = None) -> tuple[dict[int, int], int, str]:
     """The least cost, best first: edges decided so far, plus the edges that the rest must lose by their kinds.
 
@@ -87,11 +217,12 @@ def astar(lhs: Side, rhs: Side, max_states: int | None = None) -> tuple[dict[int
     open_places = [[j for j in range(k) if last[j] >= k] for k in range(len(order) + 1)]
     lefts = [Counter(kind(lhs[0], x, y) for x, y in left if place[x] >= k or place[y] >= k) for k in range(len(order) + 1)]
     bounds: dict[frozenset, int] = {}  # as many images are used as nodes are placed
+    whole = len(lhs[0]) == len(rhs[0])  # if not, edges of the right side may touch nodes that are no image, and cost nothing
 
     def bound(k: int, used: frozenset) -> int:
         if used not in bounds:
             b = Counter(kind(rhs[0], x, y) for x, y in right if x not in used or y not in used)
-            bounds[used] = sum(((lefts[k] - b) + (b - lefts[k])).values())
+            bounds[used] = sum(((lefts[k] - b) + (b - lefts[k] if whole else Counter())).values())
         return bounds[used]
 
     best = greedy(lhs, rhs)
@@ -298,8 +429,6 @@ def completeness(sides: DataFrame, image: DataFrame) -> DataFrame:
 
 def dictionaries(nodes: DataFrame) -> DataFrame:
     """(sym, code): symbols numbered from 0 in sorted order; a table of one row per symbol."""
-    from pyspark.sql import Window
-
     return nodes.select("sym").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("sym")) - 1)
 
 

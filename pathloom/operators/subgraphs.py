@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pathloom.operators.graphs import canonical_hash
 from pathloom.operators.kernels import feature_kernel
 from pathloom.operators.paths import as_graphs
 from pathloom.schema import BRACKETS
@@ -187,37 +186,6 @@ def isomorphism(one: tuple, two: tuple, induced: bool = True, bonds: bool = True
     return dict(image) if search(0) else None
 
 
-def isomorphism_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, class): the least graph id that is isomorphic.
-
-    Graphs written alike are one form (a pre-aggregated minimum); forms meet under their hash, which only isomorphic
-    graphs and rare others share, and are compared exactly with the classes found so far.
-    """
-    packed = as_graphs(nodes, edges)
-    n = F.array_sort(F.arrays_zip("ids", "syms"))
-    ends = F.transform(F.arrays_zip("src", "dst", "chg"), lambda e: F.struct(F.least(e["src"], e["dst"]).alias("src"), F.greatest(e["src"], e["dst"]).alias("dst"), e["chg"].alias("chg")))
-    e = F.array_sort(F.coalesce(ends, F.array().cast("array<struct<src:int,dst:int,chg:int>>")))
-    forms = packed.select("g", n.alias("n"), e.alias("e")).withColumn("form", F.sha1(F.to_json(F.struct("n", "e")).cast("binary")))
-    first = forms.groupBy("form").agg(F.min("g").alias("rep"))
-    chosen = forms.join(first.select(F.col("rep").alias("g")), "g", "left_semi").join(canonical_hash(nodes, edges), "g")
-    schema = pa.schema([("rep", pa.int64()), ("class", pa.int64())])
-
-    def compare(table: pa.Table) -> pa.Table:
-        classes: list[tuple[int, tuple]] = []
-        out: list[tuple[int, int]] = []
-        for row in sorted(table.to_pylist(), key=lambda r: r["g"]):
-            graph = ([x["ids"] for x in row["n"]], [x["syms"] for x in row["n"]], [x["src"] for x in row["e"]], [x["dst"] for x in row["e"]], [x["chg"] for x in row["e"]])
-            own = next((c for c, other in classes if isomorphism(graph, other) is not None), None)
-            if own is None:
-                own = row["g"]
-                classes.append((own, graph))
-            out.append((row["g"], own))
-        return pa.table({"rep": pa.array([a for a, _ in out], pa.int64()), "class": pa.array([b for _, b in out], pa.int64())}, schema=schema)
-
-    judged = chosen.groupBy("hash").applyInArrow(compare, "rep long, class long")
-    return forms.select("g", "form").join(first, "form").join(judged, "rep").select("g", "class")
-
-
 def contains(nodes: DataFrame, edges: DataFrame, pattern: tuple, induced: bool = False) -> DataFrame:
     """(g, found): whether the pattern (ids, syms, src, dst, chg) is a subgraph of a graph."""
 
@@ -315,3 +283,78 @@ def common_subgraph(one: tuple, two: tuple, limit: int | None = None) -> list[tu
         if len(best) == most or k >= limit:
             break
     return sorted(pairs[k] for k in best)
+
+
+def common_bonds(one: tuple, two: tuple) -> tuple[int, dict[int, int]]:
+    """(size, mapping): a common subgraph with most *edges*, of equal symbols at the ends and equal changes, by backtracking.
+
+    A matrix of edge pairs that are still possible is kept: giving a node its image strikes out, at each of its edges, the
+    edges of the other graph that don't touch the image. Edges that have a possible partner, counted by the kinds that
+    both graphs still have, bound what can come; a branch that can't beat the best is left. Nodes may stay unmapped, and
+    the common part need not be connected.
+    """
+    (ids1, syms1, *_), (ids2, syms2, *_) = one, two
+    label1, label2 = dict(zip(ids1, syms1)), dict(zip(ids2, syms2))
+    links1, links2 = ([(a, b, c) for a, b, c in zip(g[2] or (), g[3] or (), g[4] or ()) if a != b] for g in (one, two))
+    kind = lambda label, e: (*sorted((label[e[0]], label[e[1]])), e[2])
+    kinds1, kinds2 = [kind(label1, e) for e in links1], [kind(label2, e) for e in links2]
+    touch1, touch2 = ({i: {k for k, e in enumerate(links) if i in e[:2]} for i in ids} for ids, links in ((ids1, links1), (ids2, links2)))
+    every = [sum(1 << y for y, t in enumerate(kinds2) if s == t) for s in kinds1]
+    masks = {i: sum(1 << y for y in touch2[i]) for i in ids2}
+    of_kind = {t: sum(1 << y for y, s in enumerate(kinds2) if s == t) for t in set(kinds2)}
+    # Nodes with most edges first, each next to one before where there is one.
+    order: list[int] = []
+    left = [i for i in ids1 if touch1[i]]
+    near = {i: {x for k in touch1[i] for x in links1[k][:2]} for i in ids1}
+    while left:
+        node = max(left, key=lambda i: (sum(x in order for x in near[i]), len(touch1[i]), -i))
+        order.append(node)
+        left.remove(node)
+    best: tuple[int, dict[int, int]] = 0, {}
+
+    def bound(possible: list[int]) -> int:
+        have: dict[tuple, list[int]] = {}
+        for t, mask in zip(kinds1, possible):
+            if mask:
+                n = have.setdefault(t, [0, 0])
+                n[0] += 1
+                n[1] |= mask
+        return sum(min(n, (mask & of_kind[t]).bit_count()) for t, (n, mask) in have.items())
+
+    def search(k: int, possible: list[int], image: dict[int, int]) -> None:
+        nonlocal best
+        most = bound(possible)
+        if most <= best[0]:
+            return
+        if k == len(order):
+            best = most, dict(image)
+            return
+        node = order[k]
+        used = set(image.values())
+        choices = []
+        for target in ids2:
+            if target not in used and label2[target] == label1[node]:
+                after = [mask & masks[target] if e in touch1[node] else mask & ~masks[target] for e, mask in enumerate(possible)]
+                choices.append((sum(after[e] > 0 for e in touch1[node]), target, after))
+        for kept, target, after in sorted(choices, key=lambda c: (-c[0], c[1])):
+            if kept:
+                search(k + 1, after, {**image, node: target})
+        search(k + 1, [0 if e in touch1[node] else mask for e, mask in enumerate(possible)], image)
+
+    search(0, every, {})
+    return best
+
+
+def common_bond_sizes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(g1, g2, bonds): the most edges that a common subgraph of each pair (g1, g2) has; a search for each pair, map side."""
+    packed = as_graphs(nodes, edges)
+    columns = ["ids", "syms", "src", "dst", "chg"]
+    side = lambda n: packed.select(F.col("g").alias(f"g{n}"), *(F.col(c).alias(f"{c}{n}") for c in columns))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            sizes = [common_bonds(tuple(r[f"{c}1"] for c in columns), tuple(r[f"{c}2"] for c in columns))[0] for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("g1"), batch.column("g2"), pa.array(sizes, pa.int32())], ["g1", "g2", "bonds"])
+
+    return pairs.join(side(1), "g1").join(side(2), "g2").mapInArrow(search, "g1 long, g2 long, bonds int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pathloom.operators import adapters, forest, graphs, kernels, labels, mapping, messages, paths, reactions, subgraphs, textindex, walks
+from pathloom.operators import adapters, canonical, forest, graphs, kernels, labels, mapping, messages, paths, reactions, subgraphs, textindex, walks
 from pathloom.plans import formats, sql, structures  # noqa: F401  the other two register their own
 from pathloom.plans.registry import ORACLE_SQL, QUERIES, Query, query, rounded as _rounded  # noqa: F401
 from pathloom.scratch import scratch_path
@@ -373,7 +373,7 @@ def subgraph_counts(spark, sf_dir):
 c AS (SELECT key, count(*) AS members FROM full_ GROUP BY key)
 SELECT members, count(*) AS classes FROM c GROUP BY members""")
 def isomorphism_classes(spark, sf_dir):
-    found = subgraphs.isomorphism_classes(*adapters.order_graph(spark, sf_dir))
+    found = canonical.isomorphism_classes(*adapters.order_graph(spark, sf_dir))
     return found.groupBy("class").agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("classes"))
 
 
@@ -634,6 +634,67 @@ d{k} AS (SELECT d.g, t.id AS last, d.used | (1::BIGINT << t.id) AS used, max(d.k
     return out + f", e AS ({every}) SELECT n.g AS reaction, CAST(2 * (n.n - 1 - e.kept) AS INTEGER) AS cost, n.n AS mapped, 'optimal' AS status FROM n JOIN e ON e.g = n.g AND e.n = n.n"
 
 
+def _all_optima(levels: int = 20) -> str:
+    """Every least-cost mapping, counted by the same dynamic programming: a way's value is its kept edges and then the
+    differences of its nodes' neighbours; of a state's ways only those of greatest value are counted on."""
+    around = lambda name, edges: f"""
+{name} AS (SELECT l.g, l.id, count(*) FILTER (o.sym = 'A') AS na, count(*) FILTER (o.sym = 'N') AS nn, count(*) FILTER (o.sym = 'R') AS nr
+      FROM l LEFT JOIN {edges} e ON e.g = l.g AND e.a = l.id LEFT JOIN l o ON o.g = l.g AND o.id = e.b GROUP BY l.g, l.id)"""
+    out = f"""WITH l AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY {sql._LINES}) - 1 AS id, l_returnflag AS sym, l_partkey FROM lineitem),
+r AS (SELECT g, id, lead(id) OVER (PARTITION BY g ORDER BY l_partkey, id) AS nx FROM l),
+re AS (SELECT g, id AS a, nx AS b FROM r WHERE nx IS NOT NULL UNION ALL SELECT g, nx, id FROM r WHERE nx IS NOT NULL),
+le AS (SELECT x.g, x.id AS a, y.id AS b FROM l x JOIN l y ON y.g = x.g AND abs(y.id - x.id) = 1),{around("ln_", "le")},{around("rn", "re")},
+n AS (SELECT g, count(*) AS n FROM l GROUP BY g),
+pr AS (SELECT l.g, l.id AS a, t.id AS b, abs(x.na - y.na) + abs(x.nn - y.nn) + abs(x.nr - y.nr) AS d
+      FROM l JOIN l t ON t.g = l.g AND t.sym = l.sym JOIN ln_ x ON x.g = l.g AND x.id = l.id JOIN rn y ON y.g = l.g AND y.id = t.id),
+d0 AS (SELECT g, b AS last, 1::BIGINT << b AS used, -d AS v, 1::BIGINT AS ways FROM pr WHERE a = 0)"""
+    for k in range(1, levels):
+        out += f""",
+d{k} AS (SELECT g, last, used, max(v) AS v, CAST(sum(ways) AS BIGINT) AS ways FROM (
+      SELECT d.g, p.b AS last, d.used | (1::BIGINT << p.b) AS used, d.v - p.d + CASE WHEN re.a IS NULL THEN 0 ELSE 10000 END AS v, ways
+      FROM d{k - 1} d JOIN pr p ON p.g = d.g AND p.a = {k} AND (d.used >> p.b) & 1 = 0 LEFT JOIN re ON re.g = d.g AND re.a = d.last AND re.b = p.b
+      QUALIFY rank() OVER (PARTITION BY d.g, p.b, d.used | (1::BIGINT << p.b) ORDER BY d.v - p.d + CASE WHEN re.a IS NULL THEN 0 ELSE 10000 END DESC) = 1) GROUP BY ALL)"""
+    every = " UNION ALL ".join(f"SELECT g, {k + 1} AS n, v, ways FROM d{k}" for k in range(levels))
+    return out + f""", e AS ({every}), b AS (SELECT n.g, n.n, v, ways FROM n JOIN e ON e.g = n.g AND e.n = n.n QUALIFY rank() OVER (PARTITION BY n.g ORDER BY v DESC) = 1)
+SELECT g AS reaction, CAST(2 * (n - 1 - ceil(v / 10000.0)) AS INTEGER) AS bonds, CAST(10000 * ceil(v / 10000.0) - v AS INTEGER) AS difference, CAST(sum(ways) AS BIGINT) AS optima FROM b GROUP BY g, n, v"""
+
+
+@query(_all_optima())
+def optimal_mappings(spark, sf_dir):
+    found = mapping.optimal_mappings(_line_reactions(spark, sf_dir))
+    return found.groupBy("reaction").agg(F.max("bonds").alias("bonds"), F.max("difference").alias("difference"), F.count("*").alias("optima"))
+
+
+@query()
+def distinct_optimal_mappings(spark, sf_dir):
+    """How many optimal mappings of a reaction give different reaction graphs."""
+    sides = _line_reactions(spark, sf_dir)
+    return canonical.distinct_mappings(mapping.optimal_mappings(sides), sides).groupBy("reaction").agg(F.count("*").alias("classes"))
+
+
+def _common_bonds(levels: int = 20) -> str:
+    """The most common edges of neighbouring orders, by dynamic programming along the first: each line goes to a free
+    line of the second with its symbol, or to none (-1)."""
+    out = "WITH " + sql.ORDER + """, ids AS (SELECT g AS g1, lead(g) OVER (ORDER BY g) AS g2 FROM (SELECT DISTINCT g FROM n)),
+p AS (SELECT * FROM ids WHERE g2 IS NOT NULL), sz AS (SELECT g, count(*) AS k FROM n GROUP BY g),
+to_ AS (SELECT p.g1, p.g2, a.id AS a, b.id AS b FROM p JOIN n a ON a.g = p.g1 JOIN n b ON b.g = p.g2 AND b.sym = a.sym UNION ALL SELECT p.g1, p.g2, a.id, -1 FROM p JOIN n a ON a.g = p.g1),
+ke AS (SELECT p.g1, x.src AS a, y.src AS b, y.dst AS c FROM p JOIN e x ON x.g = p.g1 JOIN adj y ON y.g = p.g2 AND y.chg = x.chg),
+d0 AS (SELECT g1, g2, b AS last, CASE WHEN b < 0 THEN 0 ELSE 1::BIGINT << b END AS used, 0 AS kept FROM to_ WHERE a = 0)"""
+    for k in range(1, levels):
+        out += f""",
+d{k} AS (SELECT d.g1, d.g2, t.b AS last, d.used | CASE WHEN t.b < 0 THEN 0 ELSE 1::BIGINT << t.b END AS used, max(d.kept + CASE WHEN ke.a IS NULL THEN 0 ELSE 1 END) AS kept
+      FROM d{k - 1} d JOIN to_ t ON t.g1 = d.g1 AND t.a = {k} AND (t.b < 0 OR (d.used >> greatest(t.b, 0)) & 1 = 0)
+      LEFT JOIN ke ON ke.g1 = d.g1 AND ke.a = {k - 1} AND ke.b = d.last AND ke.c = t.b GROUP BY ALL)"""
+    every = " UNION ALL ".join(f"SELECT g1, g2, {k + 1} AS n, max(kept) AS kept FROM d{k} GROUP BY g1, g2" for k in range(levels))
+    return out + f", b AS ({every}) SELECT b.g1, b.g2, CAST(kept AS INTEGER) AS bonds FROM b JOIN sz ON sz.g = b.g1 AND sz.k = b.n"
+
+
+@query(_common_bonds())
+def common_bonds(spark, sf_dir):
+    nodes, edges = adapters.order_graph(spark, sf_dir)
+    return subgraphs.common_bond_sizes(nodes, edges, graphs.neighbouring(nodes))
+
+
 for _name in ("astar", "dfs"):
     query(_optimum(), name=f"atom_mapping_{_name}")(_mapped(_name))
 for _name in ("greedy", "hungarian", "cliques"):
