@@ -53,7 +53,7 @@ _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|i
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("textarea title".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist map meta link base param source track".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes audio video canvas datalist map meta link base param source track".split())
 #: Set apart by a blank line, and merely on lines of their own.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr details".split())
 LINES = frozenset("html body div section article header footer main nav aside address form li dt dd tr caption figcaption legend option optgroup summary center dir menu search hgroup dialog select thead tbody tfoot".split())
@@ -212,7 +212,9 @@ def tree(page: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attributes
-    if node.name in UNSEEN or node.kind and node.name in FOREIGN_UNSEEN[node.kind] or "hidden" in a and a["hidden"].lower() != "until-found":
+    if node.name in UNSEEN or node.kind and node.name in FOREIGN_UNSEEN[node.kind] or "hidden" in a:
+        return False
+    if node.name == "object" and "data" in a:  # what it names stands in for its content
         return False
     if "style" in a and _GONE.search(a["style"]):
         return False

@@ -184,16 +184,21 @@ def _best_condition(x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, C
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
-    """The decision list for rejecting: rows come in the order of their hash, every third is for pruning."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[Rule]:
+    """The decision list for rejecting: rows come in the order of their hash, every third is for pruning.
+
+    Covering ends when too few bad rows are left to learn from, when no condition gains anything, or after ``max_rules``
+    rules; a rule grows while a condition gains, to ``max_conditions`` of them. Both bound how long the list may get to
+    stay readable; they bound no documents.
+    """
     prune = np.arange(len(bad)) % 3 == 2
     left, out = np.ones(len(bad), bool), []
-    for _ in range(MAX_RULES):
+    for _ in range(max_rules):
         if (left & ~prune & bad).sum() <= LEAST:
             break
         rows_ = left & ~prune
         grown: list[Condition] = []
-        while len(grown) < MAX_CONDITIONS and (found := _best_condition({k: v[rows_] for k, v in x.items()}, bad[rows_])):
+        while len(grown) < max_conditions and (found := _best_condition({k: v[rows_] for k, v in x.items()}, bad[rows_])):
             grown.append(found[1])
             rows_ &= found[1].holds(x)
         if not grown:

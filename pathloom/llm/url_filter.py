@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pathloom.llm.common import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULTS = ("host", "path", "rule", "verdict")
 
@@ -65,12 +67,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     head = max([c for _, c in shapes], default=0)
 
     # A column of the same name that isn't the URL gives way; the URL itself is read first.
-    with_url = pages.withColumn("__url", F.col(url).cast("string"))
+    whole, first, of_host, of_head = (free_name(pages, n) for n in ("__url", "__head", "__h", "__p"))
+    with_url = pages.withColumn(whole, F.col(url).cast("string"))
     kept = [c for c in pages.columns if c.lower() not in RESULTS]
-    judged = with_url.select(*kept, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
-    judged = judged.withColumn("__head", F.substring("path", 1, head))
+    judged = with_url.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col(whole)).alias("host"), path_of(F.col(whole)).alias("path"))
+    judged = judged.withColumn(first, F.substring("path", 1, head))
 
-    keys = judged.where("host <> ''").select("host", F.col("__head").alias("head")).distinct()
+    keys = judged.where("host <> ''").select("host", F.col(first).alias("head")).distinct()
     labels = F.split("host", r"\.")
     pieces = [
         F.when(
@@ -87,8 +90,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     decided = hits.groupBy("host", "head").agg(
         F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("best")
     )
-    decided = decided.select(F.col("host").alias("__h"), F.col("head").alias("__p"), "best")
-    out = judged.join(decided, (judged["host"] == decided["__h"]) & (judged["__head"] == decided["__p"]), "left")
-    return out.select(
-        *kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    decided = decided.select(F.col("host").alias(of_host), F.col("head").alias(of_head), F.col("best").alias(free_name(pages, "__best")))
+    out = judged.join(decided, (judged["host"] == decided[of_host]) & (judged[first] == decided[of_head]), "left")
+    best = F.col(free_name(pages, "__best"))
+    return out.select(*(F.col(f"`{c}`") for c in kept), "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))

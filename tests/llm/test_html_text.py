@@ -13,6 +13,8 @@ from pathloom.llm.html_text import visible_text
 CASES = {
     "<p>One<p>two <b>three</b>\n four": "One\n\ntwo three four",
     "a<br>b<br><br>c": "a\nb\nc",
+    "<p>a <object>fallback</object><p>b<object data=x.pdf>gone</object><p>c": "a fallback\n\nb\n\nc",
+    "<p>a<p hidden=until-found>b<p hidden>c<p>d": "a\n\nd",
     "<h1>T</h1><div>x</div><div>y</div><p>z</p>": "T\n\nx\ny\n\nz",
     "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e": "- a\n- b\n  - c\n- d\n\ne",
     "<ol start=3><li>a<li value=9>b<li>c</ol>": "3. a\n9. b\n10. c",

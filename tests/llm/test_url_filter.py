@@ -41,6 +41,12 @@ def test_against_every_rule(spark):
     assert got == Counter((i, *brute(u, rules)) for i, u in rows)
 
 
+def test_columns_named_like_inner_ones_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "u", "h", "p", "q", "b", "d")], "page_id long, url string, __url string, __head string, __h string, __p string, __best string, `a.b` string")
+    (row,) = url_filter.filter_urls(pages, url_filter.rule_table(spark, URL_RULES)).collect()
+    assert tuple(row) == (1, "http://a.org/x", "u", "h", "p", "q", "b", "d", "a.org", "/x", "org/", "allow")
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     none = url_filter.rule_table(spark, URL_RULES).limit(0)
