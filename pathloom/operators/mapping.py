@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.operators.subgraphs import common_subgraph
 
@@ -435,3 +435,23 @@ def dictionaries(nodes: DataFrame) -> DataFrame:
 def unmapped(nodes: DataFrame, image: DataFrame) -> DataFrame:
     """Left-hand nodes (reaction, id, ..) that a mapping leaves out."""
     return nodes.join(image.select("reaction", F.col("lhs_atom").alias("id")), ["reaction", "id"], "left_anti")
+
+
+def assign_pairs(pairs: DataFrame) -> DataFrame:
+    """(reaction, lhs_atom, rhs_atom) from ordered pairs (reaction, ord, lhs, rhs) of atom lists.
+
+    A pair names a kind of atom on either side, and compounds that occur twice share it: pair after pair, each left atom
+    that is not mapped yet goes to the first right atom that is not. What a pair may still take depends on all before
+    it, so a reaction's pairs are folded in their order; reactions are independent of each other.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "lhs", "rhs")))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("left"), none.alias("right"))
+
+    def step(state: Column, pair: Column) -> Column:
+        left, right = F.array_except(pair["lhs"], state["left"]), F.array_except(pair["rhs"], state["right"])
+        n = F.least(F.size(left), F.size(right))
+        return F.struct(F.concat(state["left"], F.slice(left, F.lit(1), n)).alias("left"), F.concat(state["right"], F.slice(right, F.lit(1), n)).alias("right"))
+
+    known = pairs.where("lhs is not null and rhs is not null").groupBy("reaction").agg(F.aggregate(ordered, start, step).alias("s"))
+    return known.select("reaction", F.explode(F.arrays_zip(F.col("s.left").alias("lhs_atom"), F.col("s.right").alias("rhs_atom"))).alias("p")).select("reaction", "p.lhs_atom", "p.rhs_atom")

@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from pathloom.operators.graphs import by_graph, all_pairs
-from pathloom.operators.paths import adjacency
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def messages(nodes: DataFrame, edges: DataFrame, rounds: int, start: DataFrame, how: str = "sum") -> DataFrame:
+from pathloom.operators.graphs import all_pairs, by_graph
+from pathloom.operators.paths import adjacency
+from pathloom.scratch import discard, materialise
+
+
+#: Aggregates by name; a caller may give a function from a column to an aggregate in place of a name.
+COMBINE = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "all": lambda m: F.array_sort(F.collect_list(m)), "distinct": lambda m: F.array_sort(F.collect_set(m))}
+
+
+def aggregate(how: str | Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return COMBINE[how] if isinstance(how, str) else how
+
+
+def until_stable(
+    nodes: DataFrame, edges: DataFrame, start: DataFrame, message: Callable[[Column, Column], Column], combine: str | Callable[[Column], Column],
+    update: Callable[[Column, Column], Column], within: int | None = None,
+) -> tuple[DataFrame, int]:
+    """((g, id, m), rounds): node states passed along edges until none changes, or for ``within`` rounds.
+
+    ``start`` (g, id, m) has a state for each node, which may be null. In a round a node with a state sends ``message(m, chg)``
+    along each of its edges, what reaches a node is combined by an aggregate (a name of ``COMBINE`` or a caller's own),
+    and its next state is ``update(m, combined)``, where ``combined`` is null if nothing reached it. Every round is written to
+    the scratch folder. An update that never settles goes on for ever without ``within``.
+    """
+    held: list[str] = []
+    steps = materialise(adjacency(edges).select("g", "src", F.col("dst").alias("id"), "chg"), "steps", held)
+    now = materialise(nodes.select("g", "id").join(start.select("g", "id", "m"), ["g", "id"], "left"), "states", held)
+    rounds = 0
+    while within is None or rounds < within:
+        sent_ = steps.join(now.where("m is not null").select("g", F.col("id").alias("src"), "m"), ["g", "src"])
+        met = sent_.groupBy("g", "id").agg(aggregate(combine)(message(F.col("m"), F.col("chg"))).alias("met"))
+        after = now.join(met, ["g", "id"], "left").withColumn("next", update(F.col("m"), F.col("met")))
+        after = materialise(after.select("g", "id", F.col("next").alias("m"), (~F.col("next").eqNullSafe(F.col("m"))).alias("changed")), "states", held)
+        now = after.select("g", "id", "m")
+        if after.where("changed").isEmpty():
+            break
+        rounds += 1
+    out = materialise(now, "stable-states")
+    discard(edges.sparkSession, held)
+    return out, rounds
+
+
+def messages(nodes: DataFrame, edges: DataFrame, rounds: int, start: DataFrame, how: str | Callable[[Column], Column] = "sum") -> DataFrame:
     """(g, src, dst, round, m): messages on directed edges; those of round 1 are the source's ``start`` (g, id, m), later
-    ones combine what reached the source in the round before over all edges but the one back (``how``: sum, min, max)."""
+    ones combine what reached the source in the round before over all edges but the one back (``how``: a name of
+    ``COMBINE``, or a function from a column to an aggregate)."""
     steps = adjacency(edges).select("g", "src", "dst")
-    combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    combine = aggregate(how)
     now = steps.join(start.select("g", F.col("id").alias("src"), "m"), ["g", "src"]).withColumn("round", F.lit(1))
     levels = [now.select("g", "src", "dst", "round", "m")]
     for k in range(2, rounds + 1):
         before = levels[-1].select("g", F.col("src").alias("from"), F.col("dst").alias("src"), "m")
-        onward = steps.join(before, ["g", "src"]).where(F.col("from") != F.col("dst")).groupBy("g", "src", "dst").agg(combine("m").alias("m"))
+        onward = steps.join(before, ["g", "src"]).where(F.col("from") != F.col("dst")).groupBy("g", "src", "dst").agg(combine(F.col("m")).alias("m"))
         levels.append(onward.select("g", "src", "dst", F.lit(k).alias("round"), "m"))
     out = levels[0]
     for more in levels[1:]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pathloom.operators import adapters, canonical, forest, graphs, kernels, labels, mapping, messages, paths, reactions, subgraphs, textindex, walks
 from pathloom.plans import formats, sql, structures  # noqa: F401  the other two register their own
 from pathloom.plans.registry import ORACLE_SQL, QUERIES, Query, query, rounded as _rounded  # noqa: F401
-from pathloom.scratch import scratch_path
+from pathloom.scratch import built_once, scratch_path
 from pathloom.sinks import text as sink
 from pathloom.sources import molfile, trees
 
@@ -41,17 +41,13 @@ def path_length_histogram(spark, sf_dir):
     return paths.length_histogram(_order_paths(spark, sf_dir))
 
 
-_INDEX: dict[tuple[str, str], str] = {}
-
-
 def path_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The written path index of the orders: built by the first query of a session, read by all."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDEX:
-        folder = scratch_path(spark, "path-index")
+    """The written path index of the orders: built by the first query over these files, read by all."""
+
+    def build(folder: str) -> None:
         sink.save_index(_order_paths(spark, sf_dir), folder)
-        _INDEX[key] = folder
-    return trees.read_index(spark, _INDEX[key])
+
+    return trees.read_index(spark, built_once(spark, "path-index", [f"{sf_dir}/lineitem.parquet"], build))
 
 
 PATTERNS = ["(A", "(N(N", "(A[R", "(N(N(N", "(R{A(N", "(Z"]
@@ -542,6 +538,47 @@ def edge_messages(spark, sf_dir):
     return messages.messages(nodes, edges, 2, nodes.select("g", "id", F.ascii("sym").cast("long").alias("m")))
 
 
+@query("WITH " + sql.NATION + sql.CORE + " SELECT g, id, CAST(dist AS INTEGER) AS m FROM cd")
+def stable_core_distance(spark, sf_dir):
+    """Distances to the core as messages that go on until no state changes."""
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    core = edges.where("chg <> 0").select("g", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("m", F.lit(0))
+    return messages.until_stable(nodes, edges, core, lambda m, _: m + 1, "min", lambda m, met: F.least(m, met))[0]
+
+
+@query("WITH " + sql.ORDER + """, x AS (SELECT n.*, sum(CASE WHEN e.chg = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY n.g ORDER BY n.id) AS run FROM n LEFT JOIN e ON e.g = n.g AND e.dst = n.id)
+SELECT g, id, list_sort(list_distinct(list(sym) OVER (PARTITION BY g, run))) AS m FROM x""")
+def reachable_symbols(spark, sf_dir):
+    """The symbols that a node reaches over unchanged edges, by a caller's aggregate of sets, until none grows."""
+    nodes, edges = adapters.order_graph(spark, sf_dir)
+    start = nodes.select("g", "id", F.array("sym").alias("m"))
+    union = lambda m: F.array_sort(F.array_distinct(F.flatten(F.collect_list(m))))
+    kept = edges.where("chg = 0")
+    return messages.until_stable(nodes, kept, start, lambda m, _: m, union, lambda m, met: F.array_sort(F.array_union(m, F.coalesce(met, m))))[0]
+
+
+@query("WITH RECURSIVE " + sql.ORDER + """, pr AS (
+  SELECT g, id AS k, list_sort([x.id FOR x IN atoms IF x.sym = n.sym AND x.id % 2 = n.id % 2]) AS lhs, list_sort([x.id FOR x IN atoms IF x.st = n.st]) AS rhs
+  FROM n JOIN (SELECT g, list({'id': id, 'sym': sym, 'st': st}) AS atoms FROM n GROUP BY g) USING (g)),
+s AS (SELECT g, -1 AS k, []::BIGINT[] AS l, []::BIGINT[] AS r FROM (SELECT DISTINCT g FROM n)
+  UNION ALL
+  SELECT g, k, list_concat(l, a[:least(len(a), len(b))]), list_concat(r, b[:least(len(a), len(b))]) FROM (
+    SELECT s.g, pr.k, l, r, list_filter(lhs, lambda x: NOT list_contains(l, x)) AS a, list_filter(rhs, lambda x: NOT list_contains(r, x)) AS b FROM s JOIN pr ON pr.g = s.g AND pr.k = s.k + 1)),
+f AS (SELECT g, l, r FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1)
+SELECT g AS reaction, CAST(unnest(l) AS INTEGER) AS lhs_atom, CAST(unnest(r) AS INTEGER) AS rhs_atom FROM f""")
+def pair_assignment(spark, sf_dir):
+    """Each line pairs the lines of its return flag and parity with those of its line status."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *adapters.LINE_ORDER)
+    own = Window.partitionBy("l_orderkey").orderBy(*adapters.LINE_ORDER)
+    rows = lines.select(F.col("l_orderkey").alias("reaction"), (F.row_number().over(own) - 1).alias("id"), F.col("l_returnflag").alias("sym"), F.col("l_linestatus").alias("st"))
+    atoms = rows.groupBy("reaction").agg(F.array_sort(F.collect_list(F.struct("id", "sym", "st"))).alias("atoms"))
+    chosen = lambda test: F.transform(F.filter("atoms", test), lambda x: x["id"])
+    pairs = rows.join(atoms, "reaction").select(
+        "reaction", F.col("id").alias("ord"), chosen(lambda x: (x["sym"] == F.col("sym")) & (x["id"] % 2 == F.col("id") % 2)).alias("lhs"), chosen(lambda x: x["st"] == F.col("st")).alias("rhs")
+    )
+    return mapping.assign_pairs(pairs)
+
+
 # --- labels and text
 
 
@@ -660,13 +697,13 @@ SELECT g AS reaction, CAST(2 * (n - 1 - ceil(v / 10000.0)) AS INTEGER) AS bonds,
 
 
 @query(_all_optima())
-def optimal_mappings(spark, sf_dir):
+def least_cost_mappings(spark, sf_dir):
     found = mapping.optimal_mappings(_line_reactions(spark, sf_dir))
     return found.groupBy("reaction").agg(F.max("bonds").alias("bonds"), F.max("difference").alias("difference"), F.count("*").alias("optima"))
 
 
 @query()
-def distinct_optimal_mappings(spark, sf_dir):
+def distinct_least_cost_mappings(spark, sf_dir):
     """How many optimal mappings of a reaction give different reaction graphs."""
     sides = _line_reactions(spark, sf_dir)
     return canonical.distinct_mappings(mapping.optimal_mappings(sides), sides).groupBy("reaction").agg(F.count("*").alias("classes"))

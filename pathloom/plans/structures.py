@@ -8,7 +8,7 @@ from pathloom.functions import columns, matrices
 from pathloom.operators import adapters, graphs, mapping, paths, reactions, subgraphs, textindex, walks
 from pathloom.plans import sql
 from pathloom.plans.registry import query, rounded
-from pathloom.scratch import scratch_path
+from pathloom.scratch import built_once, scratch_path
 from pathloom.sinks import text as sink
 from pathloom.sources import trees
 
@@ -234,18 +234,19 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOC = "WITH l AS (SELECT doc_id, text, unnest(list_filter(range(0, length(text)), lambda i: text[i + 1 : i + {n}] = '{p}')) AS pos FROM documents WHERE contains(text, '{p}'))"
-_INDEX: dict[tuple[str, str], str] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of all documents, merged from those of even and odd ids; built by the first query of a session."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDEX:
-        docs, folder = _docs(spark, sf_dir), scratch_path(spark, "text-index")
-        halves = [textindex.build_index(docs.where(c), scratch_path(spark, "half-index")) for c in ("doc_id % 2 = 0", "doc_id % 2 <> 0 OR doc_id IS NULL")]
-        textindex.merge_indexes(*halves, folder)
-        _INDEX[key] = folder
-    return textindex.read_index(spark, _INDEX[key])
+    """The index of all documents, grown by five portions of ids, four of them merged; built by the first query over these files."""
+
+    def build(folder: str) -> None:
+        docs, index = _docs(spark, sf_dir), textindex.GrowingIndex(spark, folder)
+        for k in range(5):
+            index.add(docs.where(F.coalesce(F.pmod("doc_id", F.lit(5)), F.lit(0)) == k), f"portion {k}")
+        while index.compact():
+            pass
+
+    return textindex.GrowingIndex(spark, built_once(spark, "text-index", [f"{sf_dir}/documents.parquet"], build)).read()
 
 
 @query(_LOC.format(n=6, p="hahaha") + " SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM l")
@@ -270,11 +271,6 @@ def common_prefixes(spark, sf_dir):
     return textindex.common_prefixes(_names(spark, sf_dir))
 
 
-@query(_SUFFIXES + ", z AS (SELECT doc_id, max(pos) AS top FROM s GROUP BY doc_id) SELECT a.doc_id, CAST(a.place AS INTEGER) AS place, CAST(b.place AS INTEGER) AS back FROM o a JOIN z ON z.doc_id = a.doc_id JOIN o b ON b.doc_id = a.doc_id AND b.pos = CASE WHEN a.pos = 0 THEN top ELSE a.pos - 1 END")
-def transform_steps(spark, sf_dir):
-    return textindex.steps_back(_names(spark, sf_dir))
-
-
 @query("WITH t AS (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 100.0) AS BIGINT), 1))) AS part FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(part AS INTEGER) AS part, text[part * 100 + 1 : part * 100 + 100] AS text FROM t")
 def text_parts(spark, sf_dir):
     return textindex.split_parts(_docs(spark, sf_dir), 100)

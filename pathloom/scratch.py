@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
@@ -77,6 +77,32 @@ def materialise(df: DataFrame, tag: str, keep: list[str] | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def fingerprint(spark: SparkSession, paths: Iterable[str]) -> tuple:
+    """What tells whether files have been written anew: each file's path, length and time of change."""
+    found = []
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = store.listFiles(where, True)
+        while files.hasNext():
+            one = files.next()
+            found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def built_once(spark: SparkSession, tag: str, sources: list[str], build: Callable[[str], None]) -> str:
+    """The scratch folder that ``build(folder)`` has filled from the files of ``sources``; built again when they change."""
+    key = spark.sparkContext.applicationId, tag, fingerprint(spark, sources)
+    if key not in _BUILT:
+        folder = scratch_path(spark, tag)
+        build(folder)
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
 def discard(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete scratch tables that no later step reads."""
     jvm = spark.sparkContext._jvm
