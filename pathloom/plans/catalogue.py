@@ -139,6 +139,17 @@ def path_kernels_64(spark, sf_dir):
     return _rounded(kernels.path_kernels(_nation_paths(spark, sf_dir)), "k")
 
 
+@query("SELECT concat_ws('_', paths, l, '90', dp, type, power) AS name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, k FROM (" + _kernel_sql() + ")")
+def kernel_file_cells(spark, sf_dir):
+    """The 64 kernels as files of lines of commas, and what is read from them: file, line, place in the line, value."""
+    table = sink.kernel_name(_rounded(kernels.path_kernels(_nation_paths(spark, sf_dir)), "k"))
+    folder = scratch_path(spark, "kernel-lines")
+    sink.write_files(sink.kernel_text(table), folder)
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "value")
+    lines = files.select("name", F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    return lines.select("name", "i", F.posexplode(F.split("line", ",")).alias("j", "cell")).select("name", "i", "j", F.col("cell").cast("double").alias("k"))
+
+
 _NP = "WITH RECURSIVE " + sql.paths(sql.NATION, 4)
 
 

@@ -259,11 +259,10 @@ def mapping_completeness(spark, sf_dir):
 
 @query("WITH t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_no, p_size FROM part), u AS (SELECT *, sum(CASE WHEN p_size % 4 > 0 THEN 1 ELSE 0 END) OVER (ORDER BY row_no) AS n FROM t) SELECT CAST(row_no AS INTEGER) AS row_no, (p_size % 4) || ' ' || p_partkey || ' -1' AS codes, p_size % 4 > 0 AS used, CASE WHEN p_size % 4 > 0 THEN n % 2 = 1 END AS forward FROM u")
 def code_rows(spark, sf_dir):
-    """One file, in the order of part keys: rows alternate between forward and backward by their place in it."""
-    c = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws(" ", (F.col("p_size") % 4).cast("string"), F.col("p_partkey").cast("string"), F.lit("-1")).alias("line"))
-    whole = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """Files of lines in the order of part keys: rows alternate between forward and backward by their place."""
+    c = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws(" ", (F.col("p_size") % 4).cast("string"), F.col("p_partkey").cast("string"), F.lit("-1")).alias("value"))
     folder = scratch_path(spark, "codes")
-    sink.write_files(whole.select(F.lit("codes").alias("name"), "text"), folder)
+    c.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select("value").write.text(folder)
     return flatfile.read_code_table(spark, folder).select("row_no", F.array_join(F.transform("codes", lambda x: x.cast("string")), " ").alias("codes"), "used", "forward")
 
 
@@ -375,10 +374,8 @@ def kernel_lines(spark, sf_dir):
 def kernel_files(spark, sf_dir):
     """The 64 kernels as files of their names; here the names that were written."""
     table = sink.kernel_name(kernels.path_kernels(_nation_paths(spark, sf_dir)))
-    lines = table.groupBy("name", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "k"))), lambda x: x["k"].cast("string")), ",").alias("line"))
-    whole = lines.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
     folder = scratch_path(spark, "kernels")
-    sink.write_files(whole, folder)
+    sink.write_files(sink.kernel_text(table), folder)
     found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
     return found.agg(F.lit("paths").alias("kind"), F.count("*").alias("files"), F.min("name").alias("least"), F.max("name").alias("greatest"))
 

@@ -147,6 +147,13 @@ def kernel_name(kernels: DataFrame) -> DataFrame:
     return kernels.withColumn("name", F.concat_ws("_", "paths", "l", F.lit("90"), "dp", "type", "power"))
 
 
+def kernel_text(kernels: DataFrame) -> DataFrame:
+    """(name, text): a file for each ``name`` of (name, i, j, k), a line for each i, its values in the order of j and apart by commas."""
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    lines = kernels.withColumn("s", F.col("k").cast("string")).groupBy("name", "i").agg(F.array_join(in_order("j", "s"), ",").alias("line"))
+    return lines.groupBy("name").agg(F.array_join(in_order("i", "line"), "\n").alias("text"))
+
+
 def new_lines(lines: DataFrame, present: DataFrame) -> DataFrame:
     """Lines that are not there yet, each once: append these."""
     return lines.distinct().join(present.select("value"), "value", "left_anti")

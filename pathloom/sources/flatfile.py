@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pathloom.operators.labels import codes
 from pathloom.operators.reactions import expand_equation, valid
+from pathloom.scratch import numbered, running
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -103,14 +104,23 @@ def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     return whole.where(F.trim("line") != "").select(w[0].alias("tag"), "ord", F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))).alias("fields"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no, line): the lines of a file, or of a folder's files in the order of their names, numbered from 0.
+
+    Lines are read in splits; a split knows its file and where it begins, and the lines in it stand in order, so they are
+    numbered by ranges (``scratch.numbered``) and no task holds more than a split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    return numbered(lines, "row_no", "file", "start", "at", start=0).select("row_no", F.col("value").alias("line"))
+
+
 def read_code_table(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, codes, used, forward): rows of integers in the file's order; used rows have a first number above 0 and
     alternate between forward and backward."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("row_no", "line"))
-    rows = whole.select("row_no", F.transform(F.regexp_extract_all("line", F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("codes")).where(F.size("codes") > 0)
-    rows = rows.withColumn("used", F.coalesce(F.get("codes", F.lit(0)) > 0, F.lit(False)))
-    n = F.sum(F.col("used").cast("int")).over(Window.partitionBy(F.lit(0)).orderBy("row_no"))
-    return rows.withColumn("forward", F.when(F.col("used"), n % 2 == 1))
+    rows = numbered_lines(spark, path).select(F.col("row_no").cast("int").alias("row_no"), F.transform(F.regexp_extract_all("line", F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("codes"))
+    rows = rows.where(F.size("codes") > 0).withColumn("used", F.coalesce(F.get("codes", F.lit(0)) > 0, F.lit(False)))
+    counted = running(rows.withColumn("one", F.col("used").cast("int")), "before", "one", "row_no").drop("one")
+    return counted.withColumn("forward", F.when(F.col("used"), F.col("before") % 2 == 0)).drop("before")
 
 
 def read_triples(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
