@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pathloom.operators.kernels import feature_kernel
-from pathloom.operators.paths import as_graphs
+from pathloom.operators.paths import adjacency, as_graphs, bracket
 from pathloom.schema import BRACKETS
+from pathloom.scratch import discard, materialise, numbered
 
 
 def neighbours_of(ids, src, dst) -> dict[int, list[int]]:
@@ -115,9 +116,43 @@ def shortest_path_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_graph(nodes, edges, _FEATURES_DDL, _FEATURES, one)
 
 
-def shortest_path_kernel(nodes: DataFrame, edges: DataFrame, lam: float = 1.0) -> DataFrame:
-    """(i, j, k): sum over common features of lam^size f f'."""
-    f = shortest_path_features(nodes, edges)
+def spread_shortest_path_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``shortest_path_features`` for graphs that no task may hold, with numbers in place of labels.
+
+    All pairs of all graphs advance by one node a round, in equi-joins. A label is the number of the label before its
+    last step, and the step; each round numbers the distinct pairs of these in their order (``scratch.numbered``), so the
+    least label is the least number, equal labels have equal numbers in all graphs, and no path is ever written out.
+    Labels are compared step by step, which for symbols of one character is the order of their text.
+    """
+    held: list[str] = []
+    to = nodes.select("g", F.col("id").alias("dst"), F.col("sym").alias("to"))
+    steps = adjacency(edges).join(to, ["g", "dst"]).select("g", F.col("src").alias("id"), "dst", F.concat(bracket(F.col("chg")), "to").alias("step"))
+    steps = materialise(steps, "steps", held)
+    first = numbered(nodes.select("sym").distinct(), "r", "sym").select(F.col("sym").alias("s"), "r")
+    front = nodes.join(first, F.col("sym") == F.col("s")).select("g", F.col("id").alias("source"), "id", "r")
+    front = materialise(front, "front", held)
+    last, out, size = front.limit(0), None, 1
+    while not front.isEmpty():
+        size += 1
+        met = front.join(steps, ["g", "id"]).groupBy("g", "source", F.col("dst").alias("id")).agg(F.min(F.struct("r", "step")).alias("label"))
+        known = front.select("g", "source", "id").union(last.select("g", "source", "id"))
+        new = materialise(met.join(known, ["g", "source", "id"], "left_anti").select("g", "source", "id", "label.r", "label.step"), "reached", held)
+        names = numbered(new.select("r", "step").distinct(), "next", "r", "step").select(F.col("r").alias("before"), F.col("step").alias("by"), "next")
+        named = new.join(names, (F.col("r") == F.col("before")) & (F.col("step") == F.col("by"))).select("g", "source", "id", F.col("next").alias("r"))
+        last, front = front, materialise(named, "front", held)
+        found = front.groupBy("g", F.concat_ws(":", F.lit(size), "r").alias("feature"), F.lit(size).alias("size")).agg(F.count("*").alias("n"))
+        found = materialise(found, "path-features", held)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return nodes.sparkSession.createDataFrame([], "g long, feature string, size int, n long")
+    out = materialise(out, "shortest-paths")
+    discard(edges.sparkSession, held)
+    return out
+
+
+def shortest_path_kernel(nodes: DataFrame, edges: DataFrame, lam: float = 1.0, strategy: str = "graphs") -> DataFrame:
+    """(i, j, k): sum over common features of lam^size f f'; ``joins`` spreads a graph that is too large for a task."""
+    f = spread_shortest_path_features(nodes, edges) if strategy == "joins" else shortest_path_features(nodes, edges)
     a = f.select(F.col("g").alias("i"), "feature", "size", F.col("n").alias("a"))
     b = f.select(F.col("g").alias("j"), F.col("feature").alias("fb"), F.col("n").alias("b"))
     sums = a.join(b, F.col("feature") == F.col("fb")).where("j <= i").groupBy("i", "j", "size").agg(F.sum(F.col("a") * F.col("b")).alias("p"))

@@ -351,6 +351,11 @@ def shortest_path_kernel(spark, sf_dir):
     return _rounded(subgraphs.shortest_path_kernel(*adapters.nation_graph(spark, sf_dir), lam=0.9), "k", digits=4)
 
 
+@query("WITH RECURSIVE " + sql.paths(sql.SUPPLIER, 1000) + " SELECT a.g AS i, b.g AS j, round(CAST(sum(pow(0.9, a.len) * a.freq * b.freq) AS DOUBLE), 4) AS k FROM p a JOIN p b ON a.path = b.path AND b.g <= a.g WHERE a.len >= 2 GROUP BY a.g, b.g")
+def spread_shortest_path_kernel(spark, sf_dir):
+    return _rounded(subgraphs.shortest_path_kernel(*adapters.supplier_graph(spark, sf_dir), lam=0.9, strategy="joins"), "k", digits=4)
+
+
 _SUB = "WITH " + sql.NATION + """, iv AS (SELECT a.g, a.id, m, string_agg(b.sym, '' ORDER BY b.sym) AS s FROM n a, range(1, 6) r(m) JOIN n b ON b.g = a.g AND b.id >= a.id AND b.id < a.id + m GROUP BY a.g, a.id, m HAVING count(*) = m),
 f AS (SELECT g, s || ':' || (m - 1) AS feature, m AS size, count(*) AS n FROM iv GROUP BY ALL)"""
 _SUB = _SUB.replace("FROM n a, range(1, 6) r(m) JOIN n b", "FROM n a CROSS JOIN range(1, 6) r(m) JOIN n b")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import pairs, walks
+from pathloom.operators import pairs, subgraphs, walks
 from tests.test_searches import random_graphs, tables
 
 
@@ -59,3 +59,11 @@ def test_odd_graphs(spark):
     assert {k: v for k, v in got.items() if k[2] == 1} == {(1, 1, 1): 1, (2, 1, 1): 1, (2, 2, 1): 2, (3, 3, 1): 1}
     assert all(v == 2 for k, v in got.items() if k[:2] == (2, 2)) and len(got) == 12
     assert walks.walk_counts(n.limit(0), e.limit(0), 9).collect() == []
+
+
+def test_spread_shortest_paths_agree(spark):
+    n, e = tables(spark, *random_graphs(23, 6))
+    assert cells(subgraphs.shortest_path_kernel(n, e, 0.9, "joins")) == pytest.approx(cells(subgraphs.shortest_path_kernel(n, e, 0.9)))
+    sizes = lambda f: {(r.g, r.size): r.n for r in f.groupBy("g", "size").agg(F.sum("n").alias("n")).collect()}
+    assert sizes(subgraphs.spread_shortest_path_features(n, e)) == sizes(subgraphs.shortest_path_features(n, e))
+    assert subgraphs.spread_shortest_path_features(n.limit(0), e.limit(0)).collect() == []
