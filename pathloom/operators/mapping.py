@@ -34,6 +34,13 @@ def cost(lhs: Side, rhs: Side, image: dict[int, int]) -> int:
     return len(moved ^ {(a, b) for a, b in right if a in back and b in back})
 
 
+def bond_bound(lhs: Side, rhs: Side) -> int:
+    """Edges by end symbols that one side has more of than the other: none of these can be kept."""
+    kinds = lambda s: Counter(tuple(sorted((s[0][a], s[0][b]))) for a, b in _edges(s))
+    a, b = kinds(lhs), kinds(rhs)
+    return sum(((a - b) + (b - a)).values())
+
+
 def twins(side: Side) -> list[int]:
     """For each node a bin: nodes of one neighbour only share a bin with their like at the same neighbour."""
     near: list[list[int]] = [[] for _ in side[0]]
@@ -227,6 +234,8 @@ def astar(lhs: Side, rhs: Side, max_states: int | None = None) -> tuple[dict[int
 
     best = greedy(lhs, rhs)
     limit = cost(lhs, rhs, best)
+    if whole and len(best) == len(order) and limit == bond_bound(lhs, rhs):  # no mapping can cost less
+        return best, limit, "optimal"
     open_ = [(bound(0, frozenset()), 0, next(tick), 0, ())]
     cheapest: dict[tuple, int] = {}
     states = 0
