@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.operators import pairs
@@ -189,6 +190,69 @@ def walk_kernel(nodes: DataFrame, edges: DataFrame, weights: DataFrame, lam: flo
     return _summed(own, steps, now, length, lambda own, moved: moved.join(own, KEY).select(*KEY, (F.lit(lam) * F.col("w") * F.col("f")).alias("f")))
 
 
+def path_levels(
+    nodes: DataFrame, edges: DataFrame, length: int, corrected: bool = False, weights: DataFrame | None = None, lam: float = 1.0, epsilon: float | None = None
+) -> DataFrame:
+    """(i, j, len, k): walks of product graphs that never return at once to the point before; with ``corrected`` to the node
+    before of neither graph. A walk weighs ``lam`` times the weights of both its nodes a step (``weights`` (g, id, w); without
+    them all are one, and k is a count, exact up to 2**53).
+
+    Where product graphs have no cycle these are its simple paths, and with ``corrected`` pairs of simple paths of two
+    graphs without cycles that read alike; a ring can be gone round. ``epsilon`` ends a pair as in ``walk_kernel``.
+    """
+    own = nodes.select("g", "id", "sym", F.lit(1.0).alias("w")) if weights is None else nodes.join(weights, ["g", "id"])
+    own = own.select("g", "id", "sym", (F.col("w") * math.sqrt(lam)).alias("a"), F.lit(1.0).alias("s"), F.lit(1.0).alias("q"))
+    return pairs.levels(own, _plain_arcs(edges), length, epsilon, how=lambda product: product.path_levels(corrected))
+
+
+def path_counts(nodes: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+    """(i, j, len, n, corrected): ``path_levels`` as whole numbers, by the point before and by the nodes before."""
+    count = lambda corrected, name: path_levels(nodes, edges, length, corrected).select("i", "j", "len", F.col("k").cast("long").alias(name))
+    return count(False, "n").join(count(True, "corrected"), ["i", "j", "len"], "left").na.fill(0, ["corrected"])
+
+
+def distance_sums(nodes: DataFrame, edges: DataFrame, distance: DataFrame, length: int) -> DataFrame:
+    """(g, id, len, total, n): how many walks of ``len`` nodes that start at a node have that sum of distances.
+
+    ``distance`` is (g, id, dist), whole numbers; nodes without one, or with null, lie on no walk. A round moves the neighbours'
+    histograms by a node's own distance and adds them up; each is written, so no round is computed twice.
+    """
+    own = distance.where("dist is not null").select("g", "id", F.col("dist").cast("long").alias("dist"))
+    steps = adjacency(edges).select("g", F.col("src").alias("id"), "dst").join(own, ["g", "id"])
+    now = materialise(nodes.select("g", "id").join(own, ["g", "id"]).select("g", "id", F.col("dist").alias("total"), F.lit(1).cast("long").alias("n")), "distance-sums")
+    out = []
+    for k in range(1, length + 1):
+        out.append(now.select("g", "id", F.lit(k).alias("len"), "total", "n"))
+        if k < length:
+            near = now.withColumnRenamed("id", "dst")
+            moved = steps.join(near, ["g", "dst"]).groupBy("g", "id", (F.col("total") + F.col("dist")).alias("total")).agg(F.sum("n").alias("n"))
+            now = materialise(moved, "distance-sums")
+    return _all(out)
+
+
+def distance_kernel(nodes: DataFrame, edges: DataFrame, distance: DataFrame, beta: float, lam: float, length: int) -> DataFrame:
+    """(i, j, k): common walks weighed by the logistic of their mean distance, each length divided by what both graphs'
+    own walks of that length weigh: the sum of lam^len z(i, j, len) / (z(i, len) z(j, len)).
+
+    A weight by the mean is no product over nodes, so what is passed on is the histogram of sums (``distance_sums``). z(g, len)
+    is the weight of all walks of a graph, and z(i, j, len) is summed over the points of the product graph, the weight
+    of the walks from there by the distances of the one graph times that by the other's; both are halved beyond a
+    single node, since a walk is met from both ends. Nodes without a distance lie on no walk; pairs without a common symbol have no row.
+    """
+    own = distance_sums(nodes, edges, distance, length).groupBy("g", "len", "total").agg(F.sum("n").alias("n"))
+    twice = F.when(F.col("len") > 1, 2.0).otherwise(1.0)
+    alone = own.groupBy("g", "len").agg(F.sum(logistic(F.col("total") / F.col("len"), beta) * F.col("n")).alias("z"))
+    alone = materialise(alone.select("g", "len", (F.col("z") / twice).alias("z")), "distance-weights")
+    points = nodes.join(distance.where("dist is not null"), ["g", "id"]).select("g", "id", "sym", F.col("dist").alias("a"), F.lit(1.0).alias("s"), F.lit(1.0).alias("q"))
+    near = points.select("g", "id")
+    arcs = _plain_arcs(edges).join(near.withColumnRenamed("id", "src"), ["g", "src"], "semi").join(near.withColumnRenamed("id", "dst"), ["g", "dst"], "semi")
+    parts = pairs.levels(points, arcs, length, how=lambda product: product.distance_levels(lambda mean: 1.0 / (1.0 + np.exp(beta * (mean - 0.5)))))
+    side = lambda g, z: alone.select(F.col("g").alias(g), "len", F.col("z").alias(z))
+    met = parts.join(side("i", "z1"), ["i", "len"]).join(side("j", "z2"), ["j", "len"])
+    met = met.where("z1 * z2 > 0")
+    return met.groupBy("i", "j").agg(F.sum(F.pow(F.lit(lam), F.col("len")) * F.col("k") / twice / (F.col("z1") * F.col("z2"))).alias("k"))
+
+
 def _summed(own: DataFrame, steps: DataFrame, now: DataFrame, length: int, scale) -> DataFrame:
     levels = [now.select("i", "j", "f")]
     for _ in range(length - 1):

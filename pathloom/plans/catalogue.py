@@ -340,6 +340,63 @@ def walk_kernel_converged(spark, sf_dir):
     return _rounded(walks.walk_kernel(nodes, edges, w, 0.2, 500, epsilon=1e-13), "k", digits=4)
 
 
+def _straight_levels(length):
+    """CTEs r2..r<length>: walks of the product graph by their first step, none back to the point before."""
+    out = ", r2 AS (SELECT *, 1 AS n FROM pe)"
+    for k in range(3, length + 1):
+        out += f""", r{k} AS (SELECT pe.i, pe.j, pe.a1, pe.a2, pe.b1, pe.b2, sum(r.n) AS n FROM pe JOIN r{k - 1} r ON r.i = pe.i AND r.j = pe.j AND r.a1 = pe.b1 AND r.a2 = pe.b2
+          WHERE NOT (r.b1 = pe.a1 AND r.b2 = pe.a2) GROUP BY ALL)"""
+    return out + ", rs AS (SELECT i, j, 1 AS len, count(*) AS n FROM pn GROUP BY i, j" + "".join(f" UNION ALL SELECT i, j, {k}, sum(n) FROM r{k} GROUP BY i, j" for k in range(2, length + 1)) + ")"
+
+
+# On chains a walk that turns back in neither graph is a pair of simple paths, so the corrected counts are those of equal paths.
+@query("WITH RECURSIVE " + sql.paths(sql.NATION, 4) + sql.PRODUCT + _straight_levels(4) + """,
+like_paths AS (SELECT a.g AS i, b.g AS j, a.len, sum(a.freq * b.freq) AS n FROM p a JOIN p b ON a.path = b.path AND b.g <= a.g GROUP BY a.g, b.g, a.len)
+SELECT rs.i, rs.j, CAST(rs.len AS INTEGER) AS len, CAST(rs.n AS BIGINT) AS n, CAST(coalesce(q.n, 0) AS BIGINT) AS corrected FROM rs LEFT JOIN like_paths q ON q.i = rs.i AND q.j = rs.j AND q.len = rs.len""")
+def product_path_counts(spark, sf_dir):
+    return walks.path_counts(*adapters.nation_graph(spark, sf_dir), 4)
+
+
+def _sums(length):
+    """CTEs h1..h<length>: walks from a node by the sum of their distances."""
+    out = ", h1 AS (SELECT g, id, dist AS total, 1 AS n FROM cd WHERE dist IS NOT NULL)"
+    for k in range(2, length + 1):
+        out += f", h{k} AS (SELECT a.g, a.src AS id, h.total + d.dist AS total, sum(h.n) AS n FROM adj a JOIN h{k - 1} h ON h.g = a.g AND h.id = a.dst JOIN cd d ON d.g = a.g AND d.id = a.src GROUP BY ALL)"
+    return out
+
+
+@query("WITH " + sql.ORDER + sql.CORE + _sums(4) + " " + " UNION ALL ".join(f"SELECT g, id, {k} AS len, CAST(total AS BIGINT) AS total, CAST(n AS BIGINT) AS n FROM h{k}" for k in range(1, 5)))
+def distance_sums(spark, sf_dir):
+    nodes, edges = adapters.order_graph(spark, sf_dir)
+    return walks.distance_sums(nodes, edges, graphs.core_distance(nodes, edges), 4)
+
+
+def _product_sums(name, side, length):
+    """CTEs <name>1..<length>: walks from a point of the product graph by the sum of one graph's distances."""
+    g, a = ("i", "a1") if side == 1 else ("j", "a2")
+    out = f", {name}1 AS (SELECT pn.*, {'x' if side == 1 else 'y'}.dist AS total, 1 AS n FROM pn JOIN cd x ON x.g = i AND x.id = a1 JOIN cd y ON y.g = j AND y.id = a2 WHERE x.dist + y.dist IS NOT NULL)"
+    for k in range(2, length + 1):
+        out += f""", {name}{k} AS (SELECT pe.i, pe.j, pe.a1, pe.a2, h.total + d.dist AS total, sum(h.n) AS n FROM pe JOIN {name}{k - 1} h ON h.i = pe.i AND h.j = pe.j AND h.a1 = pe.b1 AND h.a2 = pe.b2
+          JOIN cd d ON d.g = pe.{g} AND d.id = pe.{a} GROUP BY ALL)"""
+    return out
+
+
+def _mean_weights(length):
+    weight = "sum(n / (1 + exp(total / {k}::DOUBLE - 0.5)))"
+    half = lambda k: 1 if k == 1 else 2
+    own = " UNION ALL ".join(f"SELECT g, {k} AS len, {weight.format(k=k)} / {half(k)} AS z FROM h{k} GROUP BY g" for k in range(1, length + 1))
+    of = lambda t, k: f"(SELECT i, j, a1, a2, {weight.format(k=k)} AS w FROM {t}{k} GROUP BY i, j, a1, a2)"
+    met = " UNION ALL ".join(f"SELECT i, j, {k} AS len, sum(l.w * r.w) / {half(k)} AS z FROM {of('u', k)} l JOIN {of('v', k)} r USING (i, j, a1, a2) GROUP BY i, j" for k in range(1, length + 1))
+    return f", z AS ({own}), zz AS ({met})"
+
+
+@query("WITH " + sql.NATION + sql.PRODUCT + sql.CORE + _sums(4) + _product_sums("u", 1, 4) + _product_sums("v", 2, 4) + _mean_weights(4) + """
+SELECT zz.i, zz.j, round(sum(pow(0.8, zz.len) * zz.z / (a.z * b.z)), 6) AS k FROM zz JOIN z a ON a.g = zz.i AND a.len = zz.len JOIN z b ON b.g = zz.j AND b.len = zz.len GROUP BY zz.i, zz.j""")
+def distance_kernel(spark, sf_dir):
+    nodes, edges = adapters.nation_graph(spark, sf_dir)
+    return _rounded(walks.distance_kernel(nodes, edges, graphs.core_distance(nodes, edges), 1.0, 0.8, 4), "k")
+
+
 # --- shortest paths and subgraphs (graphs are nations)
 
 

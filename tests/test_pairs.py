@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,82 @@ def test_spread_shortest_paths_agree(spark):
     sizes = lambda f: {(r.g, r.size): r.n for r in f.groupBy("g", "size").agg(F.sum("n").alias("n")).collect()}
     assert sizes(subgraphs.spread_shortest_path_features(n, e)) == sizes(subgraphs.shortest_path_features(n, e))
     assert subgraphs.spread_shortest_path_features(n.limit(0), e.limit(0)).collect() == []
+
+
+def written(n, e):
+    """Symbols by (graph, node) and neighbours with their change by (graph, node)."""
+    sym = {(r.g, r.id): r.sym for r in n.collect()}
+    near: dict = {}
+    for r in e.collect():
+        near.setdefault((r.g, r.src), []).append((r.dst, r.chg))
+        near.setdefault((r.g, r.dst), []).append((r.src, r.chg))
+    return sym, near
+
+
+def product_walks(sym, near, length):
+    """All walks of product graphs: lists of points (i, j, a1, a2), j <= i."""
+    now = [[(g, h, a, b)] for g, a in sym for h, b in sym if h <= g and sym[g, a] == sym[h, b]]
+    yield from now
+    for _ in range(length - 1):
+        now = [
+            [*w, (i, j, x, y)] for w in now for i, j, a, b in [w[-1]]
+            for x, c in near.get((i, a), ()) for y, d in near.get((j, b), ()) if c == d and sym[i, x] == sym[j, y]
+        ]
+        yield from now
+
+
+def test_path_levels_equal_walks_written_out(spark):
+    n, e = tables(spark, *random_graphs(29, 6))
+    sym, near = written(n, e)
+    w = {(g, a): 0.5 + 0.1 * a for g, a in sym}
+    point = lambda p: 0.7 * w[p[0], p[2]] * w[p[1], p[3]]
+    want, heavy = {}, {}
+    for walk in product_walks(sym, near, 5):
+        key = (*walk[0][:2], len(walk))
+        turns = list(zip(walk, walk[2:]))
+        if all(x != y for x, y in turns):
+            n_, c = want.get(key, (0, 0))
+            kept = all(x[2] != y[2] and x[3] != y[3] for x, y in turns)
+            want[key] = (n_ + 1, c + kept)
+            if kept:
+                heavy[key] = heavy.get(key, 0) + math.prod(point(p) for p in walk)
+    assert {(r.i, r.j, r.len): (r.n, r.corrected) for r in walks.path_counts(n, e, 5).collect()} == want
+    assert any(a != b for a, b in want.values())
+    weights = n.select("g", "id", (0.5 + 0.1 * n["id"]).alias("w"))
+    got = {(r.i, r.j, r.len): r.k for r in walks.path_levels(n, e, 5, True, weights, 0.7).collect()}
+    assert got == pytest.approx(heavy)
+
+
+def test_distance_kernel_equals_walks_written_out(spark):
+    n, e = tables(spark, *random_graphs(31, 5))
+    sym, near = written(n, e)
+    far = {(g, a): (7 * a + g) % 4 for g, a in sym if (a + g) % 5}
+    distance = spark.createDataFrame([(g, a, far.get((g, a))) for g, a in sym], "g long, id int, dist int")
+    logistic = lambda mean: 1 / (1 + math.exp(1.5 * (mean - 0.5)))
+    sums, alone, ends = {}, {}, {}
+    now = [(g, [a]) for g, a in far]
+    for k in range(1, 5):
+        for g, walk in now:
+            total = sum(far[g, a] for a in walk)
+            sums[g, walk[0], k, total] = sums.get((g, walk[0], k, total), 0) + 1
+            alone[g, k] = alone.get((g, k), 0) + logistic(total / k) / (2 if k > 1 else 1)
+        now = [(g, [*walk, b]) for g, walk in now for b, _ in near.get((g, walk[-1]), ()) if (g, b) in far]
+    for walk in product_walks(sym, near, 4):
+        if all((i, a) in far and (j, b) in far for i, j, a, b in walk):
+            one, two = ends.setdefault((len(walk), walk[0]), [0, 0])
+            ends[len(walk), walk[0]] = [one + logistic(sum(far[p[0], p[2]] for p in walk) / len(walk)), two + logistic(sum(far[p[1], p[3]] for p in walk) / len(walk))]
+    want = {}
+    for (k, p), (one, two) in ends.items():
+        want[p[:2]] = want.get(p[:2], 0) + 0.8**k * one * two / (2 if k > 1 else 1) / (alone[p[0], k] * alone[p[1], k])
+    assert {(r.g, r.id, r.len, r.total): r.n for r in walks.distance_sums(n, e, distance, 4).collect()} == sums
+    assert cells(walks.distance_kernel(n, e, distance, 1.5, 0.8, 4)) == pytest.approx(want)
+
+
+def test_odd_path_levels(spark):
+    n = spark.createDataFrame([(1, 0, "x"), (2, 5, "x"), (2, 7, "y"), (3, 1, "z")], "g long, id int, sym string")
+    e = spark.createDataFrame([(2, 5, 7, 1)], "g long, src int, dst int, chg int")
+    got = {(r.i, r.j, r.len): (r.n, r.corrected) for r in walks.path_counts(n, e, 9).collect()}
+    assert got == {(1, 1, 1): (1, 1), (2, 1, 1): (1, 1), (2, 2, 1): (2, 2), (3, 3, 1): (1, 1), (2, 2, 2): (2, 2)}
+    none = n.select("g", "id", F.lit(None).cast("int").alias("dist"))
+    assert walks.distance_sums(n, e, none, 3).collect() == [] == walks.distance_kernel(n, e, none, 1.0, 0.8, 3).collect()
+    assert walks.path_counts(n.limit(0), e.limit(0), 3).collect() == [] == walks.distance_kernel(n.limit(0), e.limit(0), none.limit(0), 1.0, 0.8, 3).collect()
