@@ -12,13 +12,15 @@ uniform part keeps every probability above zero.
 Counts are exchanged in compact form, so no row per token ever exists:
 
 1. A map task gathers the documents of each role (counting, tuning, held out) in
-   *chunks* of about ``CHUNK`` tokens and emits, for each of the ``buckets``
-   ranges of hash values, one blob with the chunk's distinct n-grams in the range
-   and their counts, already summed over the chunk.
-2. A range is added up in one task over all chunks' blobs and answered with one
-   blob of totals per chunk. Ranges are as many as the texts' bytes ask for, so that
-   each holds the n-grams of about ``RANGE_BYTES`` of text, however the input is cut
-   into files; a hot n-gram is one entry per chunk, wherever it occurs how often.
+   *chunks* of about ``CHUNK`` tokens and cuts a chunk's distinct n-grams and their
+   counts, already summed over the chunk, by ranges of hash values: a blob for each.
+2. A range is added up in one task and answered with one blob of totals for each blob
+   that asked. Ranges are as many as the texts' bytes ask for, so that each holds the
+   n-grams of about ``RANGE_BYTES`` of text, however the input is cut into files; a hot
+   n-gram is one entry per chunk, wherever it occurs how often. No chunk is cut into
+   more than ``FAN`` ranges: with more ranges than that, groups of chunks first add up
+   wider ranges (``Exchange``), cut these again, and hand the answers back, so blobs are
+   at most ``FAN`` for each chunk and level, and levels grow with the logarithm of the input.
    Totals are 64-bit counts, sent as 32-bit ones where they fit.
 3. The documents are read again into the same chunks, by name; a chunk's answers
    and its token stream meet, and its documents are scored. A chunk whose content
@@ -50,6 +52,9 @@ from pathloom.llm.common import materialise, mix, rows, word_hashes, words
 
 CHUNK = 1_000_000
 RANGE_BYTES = 16_000_000
+#: Into how many ranges a chunk or a node of the exchange is cut at most, and how many tasks a level has at most.
+FAN = 4096
+TASKS = 32_768
 FOLDS = 5
 HELD_OUT = 1
 #: Of the training folds, the one that is predicted when weights are learned.
@@ -148,12 +153,102 @@ class Chunk:
         return cls(np.frombuffer(zlib.decompress(ids), np.int64), np.frombuffer(zlib.decompress(lengths), np.uint32).astype(np.int64), np.frombuffer(vocabulary, np.uint64), places.view(np.uint32).reshape(-1))
 
 
-def _cuts(keys: np.ndarray, buckets: int, bits: int) -> list[int]:
-    """Where each range of hash values begins and the last one ends in the sorted ``keys``."""
-    edges = [(k << bits) // buckets for k in range(1, buckets)]
+@dataclass
+class Counts:
+    """Distinct bigrams and words of some documents (sorted hashes), with their counts in the counting and in the tuning
+    part (a row each), and how many documents of either part there are. Held-out documents only name theirs."""
+
+    pairs: np.ndarray
+    pair_n: np.ndarray
+    words: np.ndarray
+    word_n: np.ndarray
+    starts: tuple[int, int]
+
+    @classmethod
+    def of(cls, chunk: Chunk, role: str) -> "Counts":
+        pairs, which, _ = chunk.bigrams()
+        pair_n, word_n = np.zeros((2, len(pairs)), np.uint64), np.zeros((2, len(chunk.vocabulary)), np.uint64)
+        own = (role == "counting", role == "tuning")
+        for row in np.flatnonzero(own):
+            pair_n[row], word_n[row] = np.bincount(which, minlength=len(pairs)), np.bincount(chunk.places, minlength=len(chunk.vocabulary))
+        return cls(pairs, pair_n, chunk.vocabulary, word_n, tuple(len(chunk.ids) * x for x in own))
+
+    @classmethod
+    def merged(cls, parts: list["Counts"]) -> tuple["Counts", list[tuple[np.ndarray, np.ndarray]]]:
+        """The sum of the parts, and where each part's bigrams and words are in it."""
+        pairs, pair_n, pair_at = _sums([p.pairs for p in parts], [p.pair_n for p in parts])
+        words_, word_n, word_at = _sums([p.words for p in parts], [p.word_n for p in parts])
+        return cls(pairs, pair_n, words_, word_n, tuple(map(sum, zip(*(p.starts for p in parts))))), list(zip(pair_at, word_at))
+
+    def cut(self, first: int, parts: int, ranges: int) -> Iterator["Counts"]:
+        """``parts`` ranges from number ``first`` on, of ``ranges`` that all hash values have; documents go with the first."""
+        by_pair, by_word = (_cuts(keys, first, parts, ranges, bits) for keys, bits in ((self.pairs, 48), (self.words, 64)))
+        for k in range(parts):
+            p, w = slice(*by_pair[k : k + 2]), slice(*by_word[k : k + 2])
+            yield Counts(self.pairs[p], self.pair_n[:, p], self.words[w], self.word_n[:, w], (0, 0) if k else self.starts)
+
+    def dump(self) -> bytes:
+        rows_ = [_pack_counts(row) if row.any() else b"" for n in (self.pair_n, self.word_n) for row in n]
+        return _join([_steps(self.pairs), self.words.tobytes(), *rows_, " ".join(map(str, self.starts)).encode()])
+
+    @classmethod
+    def load(cls, data: bytes) -> "Counts":
+        pairs, words_, *rows_, starts = _split(data)
+        pairs, words_ = _unsteps(pairs), np.frombuffer(words_, np.uint64)
+        loaded = [_unpack_counts(row) if row else np.zeros(len(keys), np.uint64) for row, keys in zip(rows_, (pairs, pairs, words_, words_))]
+        return cls(pairs, np.stack(loaded[:2]), words_, np.stack(loaded[2:]), tuple(map(int, starts.split())))
+
+
+def _cuts(keys: np.ndarray, first: int, parts: int, ranges: int, bits: int) -> list[int]:
+    """Where each of the ranges begins, and the last one ends, in the sorted ``keys``, which all lie in them."""
+    edges = [(k << bits) // ranges for k in range(first + 1, first + parts)]
     return [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
 
 
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All keys, their total counts, and the places of each part's keys in them."""
+    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+    places = np.split(which, np.cumsum([len(k) for k in keys])[:-1])
+    totals = np.zeros((2, len(every)), np.uint64)
+    for at, c in zip(places, counts):
+        totals[:, at] += c  # a part names each key once
+    return every, totals, places
+
+
+@dataclass
+class Exchange:
+    """How counts travel to the ranges of hash values: ``levels`` steps, each to one of ``fan`` parts of a range.
+
+    A node of level k adds up one of ``fan ** k`` ranges for one of ``fan ** (levels - k)`` groups of chunks; it is cut
+    into ``fan`` ranges again, for the ``fan`` times wider group. The last level has one group, of all chunks.
+    """
+
+    fan: int
+    levels: int
+
+    @classmethod
+    def of(cls, ranges: int) -> "Exchange":
+        levels = 1
+        while FAN**levels < ranges:
+            levels += 1
+        fan = max(1, int(ranges ** (1 / levels)) - 1)
+        while fan**levels < ranges:
+            fan += 1
+        return cls(fan, levels)
+
+    def node(self, level: int, group: int, at: int) -> int:
+        return group * self.fan**level + at
+
+    def requests(self, counts: Counts, level: int, group: int, at: int) -> Iterator[tuple[int, int, bytes]]:
+        """(node of ``level``, slot, blob) for each part of range ``at`` of the level before."""
+        first = at * self.fan
+        for slot, part in enumerate(counts.cut(first, self.fan, self.fan**level)):
+            yield self.node(level, group, first + slot), slot, part.dump()
+
+    def by_node(self, df: DataFrame):
+        return df.repartitionById(min(self.fan**self.levels, TASKS), "node").groupBy("node")
+
+
 def role_of(doc_id: int | None) -> str:
     own = fold(doc_id)
     return "held" if own == HELD_OUT else "tuning" if own == TUNING else "counting"
@@ -188,74 +283,80 @@ def _one_row(values: tuple, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
 
-def _requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, role, blob): bigrams and words of a chunk in a range of hash values, and their counts."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("role", pa.string()), ("blob", pa.binary())])
+def _requests(docs: DataFrame, exchange: Exchange) -> DataFrame:
+    """(node, slot, asker, role, blob): what each chunk asks of the nodes of the first level."""
+    schema = pa.schema([("node", pa.int32()), ("slot", pa.int32()), ("asker", pa.string()), ("role", pa.string()), ("blob", pa.binary())])
+    groups = exchange.fan ** (exchange.levels - 1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, role, chunk in _chunks(batches):
-            pairs, which, _ = chunk.bigrams()
-            pair_n, word_n = np.bincount(which, minlength=len(pairs)), np.bincount(chunk.places, minlength=len(chunk.vocabulary))
-            by_pair, by_word = _cuts(pairs, buckets, 48), _cuts(chunk.vocabulary, buckets, 64)
-            for b in range(buckets):
-                p, w = slice(*by_pair[b : b + 2]), slice(*by_word[b : b + 2])
-                starts = len(chunk.ids) if b == 0 else 0
-                parts = [_steps(pairs[p]), _pack(pair_n[p].astype("<u4")), chunk.vocabulary[w].tobytes(), _pack(word_n[w].astype("<u4")), str(starts).encode()]
-                yield _one_row((b, name, role, _join(parts)), schema)
+            for node, slot, blob in exchange.requests(Counts.of(chunk, role), 1, int(name, 16) % groups, 0):
+                yield _one_row((node, slot, name, role, blob), schema)
 
-    return docs.mapInArrow(make, "bucket int, chunk string, role string, blob binary")
+    return docs.mapInArrow(make, _ASKED)
 
 
-def _sums(keys: list[np.ndarray], counts: list[np.ndarray], roles: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Totals over the counting part and over all training documents, and each blob's places in them."""
-    every, which = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.zeros((2, len(every)), np.uint64)
-    places, at = [], 0
-    for k, c, role in zip(keys, counts, roles):
-        own = which[at : at + len(k)]
-        at += len(k)
-        places.append(own)
-        if role != "held":
-            totals[1, own] += c
-            if role == "counting":
-                totals[0, own] += c
-    return totals, places
+_ASKED = "node int, slot int, asker string, role string, blob binary"
+
+
+def _ask_on(exchange: Exchange, level: int):
+    """The sum of a node of ``level``, cut for the nodes of the next one."""
+
+    def ask(part: pd.DataFrame) -> pd.DataFrame:
+        node = int(part["node"].iloc[0])
+        group, at = divmod(node, exchange.fan**level)
+        counts, _ = Counts.merged([Counts.load(b) for b in part["blob"]])
+        asked = exchange.requests(counts, level + 1, group // exchange.fan, at)
+        return pd.DataFrame([(to, slot, str(node), "", blob) for to, slot, blob in asked], columns=["node", "slot", "asker", "role", "blob"])
+
+    return ask
+
+
+def _answers(part: pd.DataFrame, places: list[tuple[np.ndarray, np.ndarray]], pairs: np.ndarray, singles: np.ndarray) -> pd.DataFrame:
+    """One answer for each request: its share of the totals over the counting part and over all training documents."""
+    blobs = [_join([_pack_counts(t[row, at]) for t, at in ((pairs, p), (singles, w)) for row in (0, 1)]) for p, w in places]
+    return part[["asker", "slot", "role"]].assign(blob=blobs)
 
 
 def _add_up(part: pd.DataFrame) -> pd.DataFrame:
-    """Totals of one range of hash values, one answer per chunk, and the range's part of N, V and the starts."""
-    blobs = [_split(b) for b in part["blob"]]
-    roles = part["role"].tolist()
-    counts = lambda k: [np.frombuffer(zlib.decompress(b[k]), "<u4") for b in blobs]
-    pairs, pair_at = _sums([_unsteps(b[0]) for b in blobs], counts(1), roles)
-    singles, word_at = _sums([np.frombuffer(b[2], np.uint64) for b in blobs], counts(3), roles)
-    answers = [_join([_pack_counts(t[row, at]) for t, at in ((pairs, p), (singles, w)) for row in (0, 1)]) for p, w in zip(pair_at, word_at)]
-    out = part[["bucket", "chunk", "role"]].assign(blob=answers, n=0, v=0, n_counting=0, starts=0, starts_counting=0)
-    starts = [int(b[4]) for b in blobs]
-    own = int(singles[1].sum(dtype=np.int64)), int((singles[1] > 0).sum()), int(singles[0].sum(dtype=np.int64)), sum(s for s, r in zip(starts, roles) if r != "held"), sum(s for s, r in zip(starts, roles) if r == "counting")
+    """Totals of one range of hash values, one answer per request, and the range's part of N, V and the starts."""
+    total, places = Counts.merged([Counts.load(b) for b in part["blob"]])
+    pairs, singles = (np.stack([n[0], n[0] + n[1]]) for n in (total.pair_n, total.word_n))
+    out = _answers(part, places, pairs, singles).assign(n=0, v=0, n_counting=0, starts=0, starts_counting=0)
+    own = int(singles[1].sum(dtype=np.int64)), int((singles[1] > 0).sum()), int(singles[0].sum(dtype=np.int64)), sum(total.starts), total.starts[0]
     out.iloc[0, out.columns.get_indexer(["n", "v", "n_counting", "starts", "starts_counting"])] = own
     return out
 
 
+def _hand_down(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The answers to a node, whose requests were ``part``, as answers to those that asked it."""
+    total, places = Counts.merged([Counts.load(b) for b in part["blob"]])
+    parts = [_split(b) for b in answers.sort_values("slot")["blob"]]
+    pairs, singles = (np.stack([np.concatenate([_unpack_counts(a[k + row]) for a in parts]) for row in (0, 1)]) for k in (0, 2))
+    if pairs.shape[1] != len(total.pairs) or singles.shape[1] != len(total.words):
+        raise RuntimeError("the answers to a node are not complete")
+    return _answers(part, places, pairs, singles)
+
+
 def _streams(docs: DataFrame, role: str | None = None) -> DataFrame:
-    """(bucket -1, chunk, blob) of the token streams, of one role or of all."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("blob", pa.binary())])
+    """(asker, slot -1, blob) of the token streams, of one role or of all."""
+    schema = pa.schema([("asker", pa.string()), ("slot", pa.int32()), ("blob", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, own, chunk in _chunks(batches):
             if role in (None, own):
-                yield _one_row((-1, name, chunk.dump()), schema)
+                yield _one_row((name, -1, chunk.dump()), schema)
 
-    return docs.mapInArrow(make, "bucket int, chunk string, blob binary")
+    return docs.mapInArrow(make, "asker string, slot int, blob binary")
 
 
 def _answered(part: pd.DataFrame, row: int, starts: int) -> tuple[int, Chunk, np.ndarray, np.ndarray, np.ndarray]:
     """How often a chunk occurs (once, but for copies of whole chunks), the chunk, and for each token the counts of
     its bigram, its context and itself, from the totals' ``row``."""
-    times = part["bucket"].value_counts()
-    part = part.drop_duplicates("bucket").sort_values("bucket")
+    times = part["slot"].value_counts()
+    part = part.drop_duplicates("slot").sort_values("slot")
     blobs = part["blob"].tolist()
-    if part["bucket"].iloc[0] != -1 or times.nunique() != 1:
+    if part["slot"].iloc[0] != -1 or times.nunique() != 1:
         raise RuntimeError("a chunk was not read the same way twice")
     chunk = Chunk.load(blobs[0])
     answers = [_split(b) for b in blobs[1:]]
@@ -356,14 +457,21 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", bucket
     if buckets is None:
         size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-size // RANGE_BYTES))
-    answers = _requests(chosen, buckets).repartitionById(buckets, "bucket").groupBy("bucket").applyInPandas(
-        _add_up, "bucket int, chunk string, role string, blob binary, n long, v long, n_counting long, starts long, starts_counting long"
-    )
+    exchange = Exchange.of(buckets)
+    asked = [_requests(chosen, exchange)]
+    for level in range(1, exchange.levels):
+        asked[-1] = materialise(asked[-1], "asked")
+        asked.append(exchange.by_node(asked[-1]).applyInPandas(_ask_on(exchange, level), _ASKED))
+    answer = "asker string, slot int, role string, blob binary"
+    answers = exchange.by_node(asked.pop()).applyInPandas(_add_up, answer + ", n long, v long, n_counting long, starts long, starts_counting long")
     answers = materialise(answers, "answers")
     n, v, n_counting, starts, starts_counting = (x or 0 for x in answers.agg(*map(F.sum, ("n", "v", "n_counting", "starts", "starts_counting"))).first())
-    blobs = answers.select("bucket", "chunk", "blob")
-    tuning = blobs.where(answers["role"] == "tuning").union(_streams(chosen, "tuning")).groupBy("chunk")
+    for requests in reversed(asked):
+        told = answers.select(F.col("asker").cast("int").alias("node"), "slot", "blob")
+        answers = materialise(exchange.by_node(requests).cogroup(exchange.by_node(told)).applyInPandas(_hand_down, answer), "answers")
+    blobs = answers.select("asker", "slot", "blob")
+    tuning = blobs.where(answers["role"] == "tuning").union(_streams(chosen, "tuning")).groupBy("asker")
     table = tuning.applyInPandas(_tuning_table(n_counting, v, starts_counting), "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k"))
     weights = learn_weights(table.orderBy("cell").toPandas())
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blobs.union(_streams(chosen)).groupBy("chunk").applyInPandas(_scores(n, v, starts, weights), ddl)
+    return blobs.union(_streams(chosen)).groupBy("asker").applyInPandas(_scores(n, v, starts, weights), ddl)

@@ -64,9 +64,11 @@ def corpus(seed=1):
     return docs + [(None, "w1 w2"), (None, None), (7000, None), (7001, ""), (7001, "w3"), (3, docs[1][1])]
 
 
-@pytest.mark.parametrize("chunk, buckets", [(2_000_000, None), (400, 5), (60, 1)])
-def test_against_dictionaries(spark, monkeypatch, chunk, buckets):
+@pytest.mark.parametrize("chunk, buckets, fan", [(2_000_000, None, 4096), (400, 5, 4096), (60, 1, 4096), (400, 9, 3), (100, 8, 2), (100, 7, 3)])
+def test_against_dictionaries(spark, monkeypatch, chunk, buckets, fan):
+    """With a fan of 3 or 2 counts and answers pass two or three levels."""
     monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "FAN", fan)
     docs = corpus()
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("chunk", F.lit(1))
     got = lm.score(table, buckets=buckets).collect()
@@ -101,13 +103,36 @@ def test_very_long_text(spark):
 def test_totals_over_32_bits():
     """Counts of a word and a bigram in two chunks that add up to more than 2^32, through the exchange."""
     chunk = lm.Chunk.of([1], [np.array([5, 9, lm.END], np.uint64)])
-    pairs, _, _ = chunk.bigrams()
-    big = np.array([4_000_000_000, 1, 2], "<u4")
-    request = lm._join([lm._steps(pairs), lm._pack(big), chunk.vocabulary.tobytes(), lm._pack(big), b"3000000000"])
-    part = pd.DataFrame({"bucket": 0, "chunk": ["a", "b", "c"], "role": ["counting", "tuning", "held"], "blob": [request] * 3})
+    big = lm.Counts.of(chunk, "counting")
+    big.pair_n[0] = big.word_n[0] = [4_000_000_000, 1, 2]
+    none = np.zeros((2, 3), np.uint64)
+    tuning, held = ((n[::-1], w[::-1]) if k else (n, w) for k, n, w in ((1, big.pair_n, big.word_n), (0, none, none)))
+    parts = [lm.Counts(big.pairs, n, big.words, w, s) for (n, w), s in (((big.pair_n, big.word_n), (3_000_000_000, 0)), (tuning, (0, 3_000_000_000)), (held, (0, 0)))]
+    part = pd.DataFrame({"node": 0, "slot": 0, "asker": ["a", "b", "c"], "role": ["counting", "tuning", "held"], "blob": [p.dump() for p in parts]})
     answers = lm._add_up(part)
     assert answers.iloc[0][["n", "v", "n_counting", "starts", "starts_counting"]].tolist() == [2 * 4_000_000_003, 3, 4_000_000_003, 6_000_000_000, 3_000_000_000]
-    both = pd.DataFrame({"bucket": [-1, 0], "chunk": "a", "blob": [chunk.dump(), answers["blob"].iloc[0]]})
+    both = pd.DataFrame({"slot": [-1, 0], "asker": "a", "blob": [chunk.dump(), answers["blob"].iloc[0]]})
     _, _, c12, c1, c2 = lm._answered(both, 1, 6_000_000_000)
     assert sorted(c12.tolist()) == sorted(c2.tolist()) == [2.0, 4.0, 8_000_000_000.0] and c1[0] == 6_000_000_000
     assert lm._answered(both, 0, 3_000_000_000)[4].max() == 4_000_000_000
+
+
+def test_what_is_sent_grows_with_the_chunks():
+    """Ranges grow with the input as chunks do; what a chunk sends does not."""
+    for terabytes in (0.001, 0.1, 1, 100):
+        ranges = int(terabytes * 1e12) // lm.RANGE_BYTES
+        exchange = lm.Exchange.of(ranges)
+        assert exchange.fan <= lm.FAN and ranges <= exchange.fan**exchange.levels < 1.1 * ranges + 100
+        assert exchange.levels == (1 if ranges <= lm.FAN else 2)
+
+
+def test_ranges_are_cut_within_ranges():
+    rng = np.random.default_rng(5)
+    keys = lambda bits: np.unique(rng.integers(0, 1 << bits, 500, np.uint64, endpoint=False))
+    pairs, words_ = keys(48), keys(63) * np.uint64(2)
+    whole = lm.Counts(pairs, np.ones((2, len(pairs)), np.uint64), words_, np.ones((2, len(words_)), np.uint64), (7, 3))
+    twice = [b for k, a in enumerate(whole.cut(0, 3, 3)) for b in a.cut(3 * k, 3, 9)]
+    once = list(whole.cut(0, 9, 9))
+    assert [(x.pairs.tolist(), x.words.tolist()) for x in twice] == [(x.pairs.tolist(), x.words.tolist()) for x in once]
+    back, _ = lm.Counts.merged([lm.Counts.load(x.dump()) for x in once])
+    assert back.pairs.tolist() == pairs.tolist() and back.words.tolist() == words_.tolist() and back.starts == (7, 3)
