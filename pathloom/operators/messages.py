@@ -150,3 +150,121 @@ def features(distribution: DataFrame, low: int = 0, high: int = 1000) -> DataFra
     """Feature facts of contexts low..high, as ``g:id:ATOM_DISTRIBUTION:k=value`` lines."""
     kept = distribution.where(F.col("k").between(low, high))
     return kept.select(F.concat_ws(":", "g", "id", F.lit("ATOM_DISTRIBUTION"), F.concat("k", F.lit("="), "value")).alias("value"))
+
+
+def directions(nodes: DataFrame, edges: DataFrame, high: int = 1000, whole: bool = False) -> DataFrame:
+    """(g, id, toward, member, first, last): what a node learns from each neighbour, and of all of them (``toward`` null).
+
+    ``first`` is the context in which ``member`` comes in: from a neighbour, the length of the shortest walk that starts
+    with the edge to it and never turns straight back, so on a ring a node hears of itself from both sides; of all, the
+    distance. ``last`` is the last context of the graph: the first one in which nothing new comes in anywhere, unless
+    ``whole`` asks for all up to ``high``. Edges that join the same nodes count as one.
+    """
+
+    def one(ids, near, _):
+        heard: dict[tuple[int, int], dict[int, int]] = {}
+        for v in ids:
+            for u in sorted(set(near[v]) - {v}):
+                seen, front, first, k = {(v, u)}, [(v, u)], {}, 1
+                while front and k <= high:
+                    for _, b in front:
+                        first.setdefault(b, k)
+                    front = list(dict.fromkeys((b, c) for a, b in front for c in near[b] if c not in (a, b) and (b, c) not in seen))
+                    seen.update(front)
+                    k += 1
+                heard[v, u] = first
+        last = high if whole else min(high, 1 + max((k for first in heard.values() for k in first.values()), default=0))
+        for v in ids:
+            own = {v: 0}
+            for u in dict.fromkeys(near[v]):
+                for b, k in heard.get((v, u), {}).items():
+                    own[b] = min(k, own.get(b, k))
+                    yield v, u, b, k, last
+            yield from ((v, None, b, k, last) for b, k in own.items())
+
+    return by_graph(nodes, edges, ("id", "toward", "member", "first", "last"), one)
+
+
+def directed_distribution(nodes: DataFrame, edges: DataFrame, low: int = 0, high: int = 1000, whole: bool = False, with_centre: bool = True) -> DataFrame:
+    """(g, id, k, value, branches): the sorted symbols within k hops, and those heard of from each neighbour within k
+    steps: (neighbour, symbols) by neighbour. Without the centre, a node counts among its own only where a ring brings
+    it back."""
+    met = directions(nodes, edges, high, whole)
+    every = met.where("toward is null and member = id").select("g", "id", F.explode(F.sequence(F.lit(low), F.greatest("last", F.lit(low)))).alias("k"), "last").where("k <= last")
+    if not with_centre:
+        back = met.where("toward is not null").groupBy("g", "id", "member").agg(F.min("first").alias("first"), F.first("last").alias("last"))
+        met = met.where("toward is not null").unionByName(back.withColumn("toward", F.lit(None).cast("int")))
+    spelled = met.join(nodes.select("g", F.col("id").alias("member"), "sym"), ["g", "member"])
+    from_ = F.greatest("first", F.lit(low))
+    spread = spelled.where(from_ <= F.col("last")).select("g", "id", "toward", "sym", F.explode(F.sequence(from_, "last")).alias("k"))
+    text = F.array_join(F.array_sort(F.collect_list("sym")), "")
+    joined = spread.groupBy("g", "id", "k", "toward").agg(text.alias("value"))
+    branch = F.when(F.col("toward").isNotNull(), F.struct(F.col("toward").alias("neighbour"), "value"))
+    found = joined.groupBy("g", "id", "k").agg(F.max(F.when(F.col("toward").isNull(), F.col("value"))).alias("value"), F.array_sort(F.collect_list(branch)).alias("branches"))
+    full = every.join(found, ["g", "id", "k"], "left")
+    return full.select("g", "id", "k", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("branches", F.array().cast(found.schema["branches"].dataType)).alias("branches"))
+
+
+def ring_sizes(nodes: DataFrame, edges: DataFrame, high: int) -> DataFrame:
+    """(g, id, size): the sizes, 3 to ``high``, of the simple rings on which a node lies; each once."""
+
+    def one(ids, near, _):
+        found: set[tuple[int, int]] = set()
+        for root in ids:
+            stack = [[root]]
+            while stack:
+                path = stack.pop()
+                if len(path) > 2 and root in near[path[-1]]:
+                    found.update((i, len(path)) for i in path)
+                if len(path) < high:
+                    stack.extend([*path, c] for c in set(near[path[-1]]) if c > root and c not in path)
+        return sorted(found)
+
+    return by_graph(nodes, edges, ("id", "size"), one)
+
+
+# Names of features.
+FEATURES = ("ATOM_DISTRIBUTION", "ATOM_DISTRIBUTION_EXCLUDE", "BOND_DISTRIBUTION", "WIENER", "MORGAN", "RING")
+
+
+def feature_facts(nodes: DataFrame, edges: DataFrame, low: int = 0, high: int = 1000, kinds: tuple[str, ...] = FEATURES[:1], whole: bool = False) -> DataFrame:
+    """(g, id, feature, context, value): the features ``kinds`` of every node in contexts ``low`` to ``high``.
+
+    Atom distributions are written ``(symbols,neighbour=symbols,...)`` and end with the graph's last context
+    (``directions``) unless ``whole``; bond distributions are sorted bonds without separators, from context 1; Wiener
+    and Morgan indices are numbers, from contexts 1 and 0; a ring of exactly as many nodes as the context says is
+    ``True`` or ``False``. An unknown kind is an error; no kinds or no nodes give no rows.
+    """
+    if unknown := set(kinds) - set(FEATURES):
+        raise ValueError(f"no such features: {sorted(unknown)}")
+
+    def atoms(with_centre: bool) -> DataFrame:
+        branches = F.transform("branches", lambda b: F.concat(F.lit(","), b["neighbour"].cast("string"), F.lit("="), b["value"]))
+        text = F.concat(F.lit("("), F.col("value"), F.array_join(branches, ""), F.lit(")"))
+        return directed_distribution(nodes, edges, low, high, whole, with_centre).withColumn("value", text)
+
+    def rings() -> DataFrame:
+        every = nodes.select("g", "id", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("k"))
+        met = ring_sizes(nodes, edges, high).select("g", "id", F.col("size").alias("k"), F.lit("True").alias("value"))
+        return every.join(met, ["g", "id", "k"], "left").withColumn("value", F.coalesce("value", F.lit("False")))
+
+    made = {
+        "ATOM_DISTRIBUTION": lambda: atoms(True),
+        "ATOM_DISTRIBUTION_EXCLUDE": lambda: atoms(False),
+        "BOND_DISTRIBUTION": lambda: bond_distribution(nodes, edges, high).withColumn("value", F.regexp_replace("value", ",", "")),
+        "WIENER": lambda: wiener_index(nodes, edges, high),
+        "MORGAN": lambda: morgan_index(nodes, edges, high),
+        "RING": rings,
+    }
+    out = None
+    for kind in FEATURES:
+        if kind in kinds:
+            own = made[kind]().where(F.col("k").between(low, high)).select("g", F.col("id").cast("int").alias("id"), F.lit(kind).alias("feature"), F.col("k").cast("int").alias("context"), F.col("value").cast("string").alias("value"))
+            out = own if out is None else out.unionByName(own)
+    empty = "g long, id int, feature string, context int, value string"
+    return nodes.sparkSession.createDataFrame([], empty) if out is None else out
+
+
+def fact_lines(facts: DataFrame) -> DataFrame:
+    """Facts as ``g:id:FEATURE:context=value`` lines, which ``flatfile.read_features`` reads."""
+    return facts.select(F.concat_ws(":", "g", "id", "feature", F.concat("context", F.lit("="), "value")).alias("value"))

@@ -203,6 +203,49 @@ def feature_lines(spark, sf_dir):
     return found.groupBy("mol", "atom", "feature", "context", "value").agg(F.count("*").alias("times"))
 
 
+def _feature_facts_sql() -> str:
+    """Orders are chains, so neighbours are the lines before and after, and a chain of m lines has contexts 0 to m."""
+    turn = "SELECT n.g, n.id, coalesce(sum(m.v), 0) AS v FROM n LEFT JOIN adj ON adj.g = n.g AND adj.src = n.id LEFT JOIN m{} m ON m.g = adj.g AND m.id = adj.dst GROUP BY n.g, n.id"
+    morgan = "".join(f", m{k} AS ({turn.format(k - 1)})" for k in (1, 2, 3))
+    levels = " UNION ALL ".join(f"SELECT g, id, 'MORGAN' AS feature, {k} AS context, CAST(CAST(v AS BIGINT) AS VARCHAR) AS value FROM m{k}" for k in range(4))
+    spell = lambda where: f"string_agg(b.sym, '' ORDER BY b.sym) FILTER (WHERE {where})"
+    return "WITH " + sql.ORDER + f""", sz AS (SELECT g, count(*) AS m FROM n GROUP BY g), m0 AS (SELECT g, id, 1 AS v FROM n){morgan},
+ad AS (SELECT a.g, a.id, k, {spell("true")} AS own, coalesce({spell("b.id <> a.id")}, '') AS others, {spell("b.id < a.id")} AS l, {spell("b.id > a.id")} AS r
+       FROM n a JOIN sz ON sz.g = a.g JOIN range(0, 4) t(k) ON k <= m JOIN n b ON b.g = a.g AND abs(b.id - a.id) <= k GROUP BY a.g, a.id, k),
+br AS (SELECT *, coalesce(',' || (id - 1) || '=' || l, '') || coalesce(',' || (id + 1) || '=' || r, '') || ')' AS sides FROM ad),
+b AS (SELECT e.g, src, dst, least(x.sym, y.sym) || chg || greatest(x.sym, y.sym) AS bond FROM e JOIN n x ON x.g = e.g AND x.id = src JOIN n y ON y.g = e.g AND y.id = dst),
+bd AS (SELECT a.g, a.id, k, string_agg(bond, '' ORDER BY bond) AS v FROM n a CROSS JOIN range(1, 4) t(k) JOIN b ON b.g = a.g AND least(abs(src - a.id), abs(dst - a.id)) < k GROUP BY ALL),
+ws AS (SELECT a.g, a.id, k, sum(y.id - x.id) AS v FROM n a CROSS JOIN range(1, 4) t(k) JOIN n x ON x.g = a.g AND abs(x.id - a.id) <= k JOIN n y ON y.g = a.g AND abs(y.id - a.id) <= k AND x.id < y.id GROUP BY ALL),
+wi AS (SELECT n.g, n.id, t.k, CAST(CAST(coalesce(v, 0) AS BIGINT) AS VARCHAR) AS v FROM n CROSS JOIN range(1, 4) t(k) LEFT JOIN ws ON ws.g = n.g AND ws.id = n.id AND ws.k = t.k),
+f AS (SELECT g, id, 'ATOM_DISTRIBUTION' AS feature, k AS context, '(' || own || sides AS value FROM br UNION ALL SELECT g, id, 'ATOM_DISTRIBUTION_EXCLUDE', k, '(' || others || sides FROM br
+      UNION ALL SELECT g, id, 'BOND_DISTRIBUTION', k, v FROM bd UNION ALL SELECT g, id, 'WIENER', k, v FROM wi UNION ALL {levels})
+SELECT g, CAST(id AS INTEGER) AS id, feature, CAST(context AS INTEGER) AS context, value FROM f"""
+
+
+@query(_feature_facts_sql())
+def feature_facts(spark, sf_dir):
+    """Every feature but rings, which chains have not, in contexts 0 to 3."""
+    nodes, edges = adapters.order_graph(spark, sf_dir)
+    return messages.feature_facts(nodes, edges, 0, 3, messages.FEATURES[:-1])
+
+
+@query("WITH " + sql.RING + """, sz AS (SELECT g, count(*) AS m FROM n GROUP BY g),
+p AS (SELECT a.g, a.id, m, k, b.sym, (b.id - a.id - 1 + m) % m + 1 AS ahead, (a.id - b.id - 1 + m) % m + 1 AS behind FROM n a JOIN sz ON sz.g = a.g JOIN range(0, 6) t(k) ON k <= m + 1 JOIN n b ON b.g = a.g),
+d AS (SELECT g, id, k, (id + 1) % m AS nx, (id - 1 + m) % m AS pv, string_agg(sym, '' ORDER BY sym) FILTER (WHERE ahead = m OR least(ahead, behind) <= k) AS own,
+             string_agg(sym, '' ORDER BY sym) FILTER (WHERE ahead <= k) AS f, string_agg(sym, '' ORDER BY sym) FILTER (WHERE behind <= k) AS b FROM p GROUP BY g, id, m, k)
+SELECT CAST(g AS VARCHAR) AS mol, CAST(id AS INTEGER) AS atom, 'ATOM_DISTRIBUTION' AS feature, CAST(k AS INTEGER) AS context, own AS value,
+       CASE WHEN f IS NULL THEN '' WHEN nx < pv THEN nx || '=' || f || ' ' || pv || '=' || b ELSE pv || '=' || b || ' ' || nx || '=' || f END AS sides FROM d
+UNION ALL SELECT CAST(n.g AS VARCHAR), CAST(id AS INTEGER), 'RING', CAST(k AS INTEGER), CASE WHEN k = m THEN 'True' ELSE 'False' END, '' FROM n JOIN sz ON sz.g = n.g CROSS JOIN range(0, 6) t(k)""")
+def ring_feature_file(spark, sf_dir):
+    """Facts of closed orders, with what each neighbour tells, written as lines and read back."""
+    facts = messages.feature_facts(*adapters.order_ring(spark, sf_dir), 0, 5, ("ATOM_DISTRIBUTION", "RING"))
+    folder = scratch_path(spark, "facts")
+    messages.fact_lines(facts).write.text(folder)
+    found = flatfile.read_features(spark, folder, skip=())
+    sides = F.transform(F.array_sort(F.map_entries("dirs")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
+    return found.select("mol", "atom", "feature", "context", "value", F.array_join(sides, " ").alias("sides"))
+
+
 _TURNED = f"""l AS (SELECT l_orderkey AS reaction, row_number() OVER (PARTITION BY l_orderkey ORDER BY {sql._LINES}) - 1 AS id, l_returnflag AS sym, l_partkey FROM lineitem),
 im AS (SELECT reaction, id AS lhs_atom, row_number() OVER (PARTITION BY reaction ORDER BY l_partkey, id) - 1 AS rhs_atom, sym FROM l)"""
 

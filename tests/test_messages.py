@@ -98,3 +98,61 @@ def test_built_again_when_files_change(spark, tmp_path):
     assert build() == build() and len(made) == 1
     spark.range(7).write.mode("overwrite").parquet(source)
     assert spark.read.parquet(build()).count() == 7 and len(made) == 2
+
+
+def behind(near, v, u, k):
+    """What ``v`` hears from ``u`` after ``k`` rounds, as messages pass it on."""
+    return {u}.union(*(behind(near, u, x, k - 1) for x in near[u] if x != v)) if k > 1 else {u}
+
+
+@pytest.mark.parametrize("centre, whole", [(True, False), (False, False), (True, True)])
+def test_directed_distributions_against_messages_written_out(spark, centre, whole):
+    nodes, edges = random_graphs(11, 6)
+    nodes, edges = nodes + [(90, 0, "x"), (91, 0, "x"), (91, 1, "y")], edges + [(91, 0, 1, 0)]
+    n, e = tables(spark, nodes, edges)
+    got = {(r.g, r.id, r.k): (r.value, [tuple(b) for b in r.branches]) for r in messages.directed_distribution(n, e, 0, 6, whole, centre).collect()}
+    want = {}
+    for g in {g for g, _, _ in nodes}:
+        sym = {i: s for h, i, s in nodes if h == g}
+        near = {i: {b if a == i else a for h, a, b, _ in edges if h == g and i in (a, b)} for i in sym}
+        before = None
+        for k in range(7):
+            now = {}
+            for v in sym:
+                heard = {u: behind(near, v, u, k) for u in near[v]} if k else {}
+                own = ({v} if centre else set()).union(*heard.values())
+                spell = lambda s: "".join(sorted(sym[i] for i in s))
+                now[v] = spell(own), [(u, spell(heard[u])) for u in sorted(heard)]
+            want |= {(g, v, k): x for v, x in now.items()}
+            if now == before and not whole:
+                break
+            before = now
+    assert got == want
+    late = messages.directed_distribution(n, e, 2, 6, whole, centre).collect()
+    assert {(r.g, r.id, r.k): (r.value, [tuple(b) for b in r.branches]) for r in late} == {key: x for key, x in want.items() if key[2] >= 2}
+
+
+def test_ring_sizes_against_all_orders_of_nodes(spark):
+    from itertools import permutations
+
+    nodes, edges = random_graphs(12, 5)
+    n, e = tables(spark, nodes, edges)
+    arcs = {(g, a, b) for g, x, y, _ in edges for a, b in ((x, y), (y, x))}
+    want = set()
+    for g in {g for g, _, _ in nodes}:
+        ids = [i for h, i, _ in nodes if h == g]
+        for size in range(3, 6):
+            for ring in permutations(ids, size):
+                if all((g, a, b) in arcs for a, b in zip(ring, ring[1:] + ring[:1])):
+                    want |= {(g, i, size) for i in ring}
+    assert {tuple(r) for r in messages.ring_sizes(n, e, 5).collect()} == want and want
+
+
+def test_feature_facts_of_nothing_and_of_unknown_kinds(spark):
+    n, e = tables(spark, [(1, 0, "x")], [(1, 0, 0, 0)])
+    assert messages.feature_facts(n.limit(0), e.limit(0), kinds=messages.FEATURES[:3]).collect() == []
+    assert messages.feature_facts(n, e, kinds=()).columns == ["g", "id", "feature", "context", "value"]
+    with pytest.raises(ValueError, match="WEINER"):
+        messages.feature_facts(n, e, kinds=("WEINER",))
+    alone = messages.feature_facts(n, e.limit(0), 0, 1000, messages.FEATURES[:2]).orderBy("feature", "context").collect()
+    assert [(r.feature, r.context, r.value) for r in alone] == [(f, k, v) for f, v in (("ATOM_DISTRIBUTION", "(x)"), ("ATOM_DISTRIBUTION_EXCLUDE", "()")) for k in (0, 1)]
