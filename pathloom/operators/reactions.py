@@ -97,6 +97,13 @@ def balanced_atoms(atoms: DataFrame) -> DataFrame:
 EDGE_TYPES = {"main": 1, "leave": 2, "cofac": 3, "trans": 4, "ligase": 5}
 
 
+def _edge_type() -> Column:
+    code = F.lit(0)
+    for name, n in EDGE_TYPES.items():
+        code = F.when(F.col("type") == name, n).otherwise(code)
+    return code
+
+
 def ligand_graph(sides: DataFrame, rpairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (g, id, sym) and edges (g, src, dst, chg) of reactions as graphs of ligands.
 
@@ -110,10 +117,7 @@ def ligand_graph(sides: DataFrame, rpairs: DataFrame) -> tuple[DataFrame, DataFr
     nodes = own.select(F.col("reaction").alias("g"), "id", F.col("ligand").alias("sym"))
     a = own.where("side = 's'").select("reaction", F.col("ligand").alias("x"), F.col("id").alias("src"))
     b = own.where("side = 'p'").select("reaction", F.col("ligand").alias("y"), F.col("id").alias("dst"))
-    code = F.lit(0)
-    for name, n in EDGE_TYPES.items():
-        code = F.when(F.col("type") == name, n).otherwise(code)
-    pairs = rpairs.select("reaction", F.col("sub").alias("x"), F.col("prod").alias("y"), code.alias("chg"))
+    pairs = rpairs.select("reaction", F.col("sub").alias("x"), F.col("prod").alias("y"), _edge_type().alias("chg"))
     turned = pairs.select("reaction", F.col("y").alias("x"), F.col("x").alias("y"), "chg")
     joined = pairs.union(turned).join(a, ["reaction", "x"]).join(b, ["reaction", "y"]).groupBy("reaction", "src", "dst").agg(F.max("chg").alias("chg"))
     left = own.select("reaction", "side", F.col("id").alias("src"))
@@ -121,3 +125,26 @@ def ligand_graph(sides: DataFrame, rpairs: DataFrame) -> tuple[DataFrame, DataFr
     group = left.join(right, (F.col("reaction") == F.col("r")) & (F.col("side") == F.col("t")) & (F.col("src") < F.col("dst"))).select("reaction", "src", "dst")
     group = group.join(joined, ["reaction", "src", "dst"], "left_anti").withColumn("chg", F.lit(0))
     return nodes, joined.unionByName(group).select(F.col("reaction").alias("g"), "src", "dst", "chg")
+
+
+def molecule_graph(sides: DataFrame, rpairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (g, id, sym) and edges (g, src, dst, chg) of reactions as graphs of molecules, one for each time it is named.
+
+    ``sides`` (reaction, side, at, ligand) numbers the substrates, then the products. A pair of ``rpairs`` (reaction, sub,
+    prod, type, place) joins all its molecules in either order, of whatever sides; the pair of the least ``place`` gives
+    the type. Molecules of one side that no pair joins are joined among themselves by an edge of type 0. No molecule
+    is joined with itself, though it may be with another of its name; a null name is joined by no pair.
+    """
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("reaction").orderBy(F.desc("side"), "at")) - 1
+    own = sides.select("reaction", "side", "ligand", number.alias("id"))
+    both = F.explode(F.array(F.struct(F.col("sub").alias("x"), F.col("prod").alias("y")), F.struct(F.col("prod").alias("x"), F.col("sub").alias("y")))).alias("p")
+    pairs = rpairs.select("reaction", both, "place", _edge_type().alias("chg")).groupBy("reaction", "p.x", "p.y").agg(F.min_by("chg", "place").alias("chg"))
+    a = own.select("reaction", F.col("ligand").alias("x"), F.col("id").alias("src"))
+    b = own.select("reaction", F.col("ligand").alias("y"), F.col("id").alias("dst"))
+    joined = pairs.join(a, ["reaction", "x"]).join(b, ["reaction", "y"]).where("src < dst").select("reaction", "src", "dst", "chg")
+    left, right = (own.select("reaction", "side", F.col("id").alias(end)) for end in ("src", "dst"))
+    group = left.join(right, ["reaction", "side"]).where("src < dst").join(joined, ["reaction", "src", "dst"], "left_anti")
+    every = joined.unionByName(group.select("reaction", "src", "dst", F.lit(0).alias("chg")))
+    return own.select(F.col("reaction").alias("g"), "id", F.col("ligand").alias("sym")), every.select(F.col("reaction").alias("g"), "src", "dst", "chg")

@@ -203,6 +203,43 @@ def feature_lines(spark, sf_dir):
     return found.groupBy("mol", "atom", "feature", "context", "value").agg(F.count("*").alias("times"))
 
 
+_MOLECULES = """
+l AS (SELECT s_suppkey AS k, 'R' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS r FROM supplier),
+m(s, a, d) AS (VALUES ('s', 0, 1), ('s', 1, 5), ('p', 0, 3), ('p', 1, 7), ('p', 2, 2)),
+n AS (SELECT k, r, s, CASE s WHEN 's' THEN a ELSE a + 2 END AS id, ['A', 'B', 'F', 'H', 'M'][(k // d) % 5 + 1] AS lig FROM l, m),
+rp AS (SELECT x.k, x.r, x.lig AS u, y.lig AS v, q.place, CASE q.place WHEN 2 THEN 1 ELSE (x.k + q.place) % 6 END AS chg
+       FROM (VALUES (0, 0, 2), (1, 3, 1), (2, 0, 2), (3, 2, 4)) q(place, i, j) JOIN n x ON x.id = q.i JOIN n y ON y.k = x.k AND y.id = q.j),
+t AS (SELECT k, u, v, place, chg FROM rp UNION ALL SELECT k, v, u, place, chg FROM rp),
+tp AS (SELECT k, u, v, arg_min(chg, place) AS chg FROM t GROUP BY ALL)"""
+
+
+def _molecule_files(spark, sf_dir):
+    """Suppliers as reactions of two substrates and three products, whose names follow from the supplier's key: a file
+    for each, and one table of pair definitions."""
+    k = F.col("s_suppkey").cast("int")
+    letter = lambda d: F.element_at(F.array(*map(F.lit, "ABFHM")), (F.floor(k / d) % 5 + 1).cast("int"))
+    m = [letter(d) for d in (1, 5, 3, 7, 2)]
+    name = F.concat(F.lit("R"), F.lpad(k.cast("string"), 5, "0"))
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    files, pairs = scratch_path(spark, "reaction-files"), scratch_path(spark, "pair-definitions")
+    text = F.concat_ws("\n", F.concat(name, F.lit("  1.1.1.1")), F.concat_ws(" ", *m[:2], F.lit("=>"), *m[2:]), F.lit("atoms follow"))
+    supplier.select(text.alias("value"), name.alias("file")).write.partitionBy("file").text(files)
+    kinds = F.array(*map(F.lit, ["other", *reactions.EDGE_TYPES]))
+    kind = lambda place: F.element_at(kinds, (k + place) % 6 + 1) if place != 2 else F.lit("main")
+    lines = [F.concat_ws(" ", name, m[i], m[j], kind(place)) for place, (i, j) in enumerate([(0, 2), (3, 1), (0, 2), (2, 4)])]
+    supplier.select(F.concat_ws("\n", *lines).alias("value")).write.text(pairs)
+    return reactions.molecule_graph(flatfile.read_reaction_sides(spark, files), flatfile.read_rpair_definitions(spark, pairs, placed=True))
+
+
+@query("WITH " + _MOLECULES + """ SELECT x.r AS g, CAST(x.id AS INTEGER) AS src, CAST(y.id AS INTEGER) AS dst, CAST(coalesce(tp.chg, 0) AS INTEGER) AS chg, x.lig AS a, y.lig AS b
+FROM n x JOIN n y ON y.k = x.k AND y.id > x.id LEFT JOIN tp ON tp.k = x.k AND tp.u = x.lig AND tp.v = y.lig WHERE tp.chg IS NOT NULL OR x.s = y.s""")
+def reaction_of_molecules(spark, sf_dir):
+    """Reactions read from a file each, as graphs of the molecules that they name."""
+    nodes, edges = _molecule_files(spark, sf_dir)
+    a, b = (nodes.select("g", F.col("id").alias(end), F.col("sym").alias(n)) for end, n in (("src", "a"), ("dst", "b")))
+    return edges.join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "src", "dst", "chg", "a", "b")
+
+
 def _feature_facts_sql() -> str:
     """Orders are chains, so neighbours are the lines before and after, and a chain of m lines has contexts 0 to m."""
     turn = "SELECT n.g, n.id, coalesce(sum(m.v), 0) AS v FROM n LEFT JOIN adj ON adj.g = n.g AND adj.src = n.id LEFT JOIN m{} m ON m.g = adj.g AND m.id = adj.dst GROUP BY n.g, n.id"

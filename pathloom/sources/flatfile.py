@@ -66,10 +66,24 @@ def read_features(spark: SparkSession, path: str, skip: tuple[str, ...] = ("RING
     return rows.select("mol", "atom", "feature", "context", F.try_element_at(own, F.lit(1)).alias("value"), F.map_from_entries(entries).alias("dirs"))
 
 
-def read_rpair_definitions(spark: SparkSession, path: str) -> DataFrame:
-    """(reaction, sub, prod, type) from lines of four words."""
+def read_reaction_sides(spark: SparkSession, path: str) -> DataFrame:
+    """(reaction, side, at, ligand) from files of one reaction each: its name is in the first six characters, and the second
+    line says ``A B => C``. ``at`` counts the ligands of a side from 0, repeated ones too. Lines after the second are
+    left to other readers; without an arrow all ligands are substrates, and without a second line there are none."""
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
+    words = F.filter(F.split(F.trim(F.coalesce(F.try_element_at("l", F.lit(2)), F.lit(""))), r"\s+"), lambda w: w != "")
+    found = lines.select(F.trim(F.substring(F.col("l")[0], 1, 6)).alias("reaction"), words.alias("w"))
+    cut = F.array_position(F.transform("w", lambda w: w.contains("=>")), F.lit(True)).cast("int")
+    found = found.withColumn("cut", F.when(cut > 0, cut - 1).otherwise(F.size("w"))).select("reaction", "cut", F.posexplode("w").alias("k", "ligand")).where("k <> cut")
+    return found.select("reaction", F.when(F.col("k") < F.col("cut"), "s").otherwise("p").alias("side"), F.when(F.col("k") < F.col("cut"), F.col("k")).otherwise(F.col("k") - F.col("cut") - 1).alias("at"), "ligand")
+
+
+def read_rpair_definitions(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """(reaction, sub, prod, type) from lines of four words; ``placed`` adds ``place``, which rises along each file."""
     w = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.size(w) >= 4).select(w[0].alias("reaction"), w[1].alias("sub"), w[2].alias("prod"), w[3].alias("type"))
+    place = [F.monotonically_increasing_id().alias("place")] if placed else []
+    lines = spark.read.text(path).select("value", *place)
+    return lines.where(F.size(w) >= 4).select(w[0].alias("reaction"), w[1].alias("sub"), w[2].alias("prod"), w[3].alias("type"), *(["place"] if placed else []))
 
 
 def rpairs(entries: DataFrame) -> DataFrame:

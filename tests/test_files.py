@@ -198,3 +198,21 @@ def test_column_functions(spark):
     ).first()
     assert got.lo == [1, 5, 3] and got["sum"] == [3, None, None] and got.total == 4 and got.h == pytest.approx(0.30103) and got.common == 2
     assert got.merged == {"x": 3, "y": 3} and got.log == 4 and got.pdf == pytest.approx(0.398942) and got.half == 0.5
+
+
+def test_reactions_of_molecules_from_files(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    for name, text in {"1": "R00001  1.2.3.4\nA A B => C A\nrest of it\n", "2": "R00002\nA  B\r\n", "3": "R00003\n\n", "4": "R00004", "5": "R00005\n=> C\n"}.items():
+        (tmp_path / "r" / name).write_text(text)
+    sides = flatfile.read_reaction_sides(spark, f"{tmp_path}/r")
+    assert sorted(map(tuple, sides.collect())) == [
+        ("R00001", "p", 0, "C"), ("R00001", "p", 1, "A"), ("R00001", "s", 0, "A"), ("R00001", "s", 1, "A"), ("R00001", "s", 2, "B"),
+        ("R00002", "s", 0, "A"), ("R00002", "s", 1, "B"), ("R00005", "p", 0, "C"),
+    ]
+    (tmp_path / "pairs").write_text("R00001 C A trans\nR00001 A C main\nR00001 A A odd\nR00009 A B main\nR00002 A\n")
+    nodes, edges = reactions.molecule_graph(sides, flatfile.read_rpair_definitions(spark, f"{tmp_path}/pairs", placed=True))
+    assert sorted(map(tuple, nodes.where("g = 'R00001'").collect())) == [("R00001", k, s) for k, s in enumerate("AABCA")]
+    # The first pair gives the type; an odd type is 0; the products C and A are joined by the pair, not as a group.
+    assert sorted(tuple(r)[1:] for r in edges.where("g = 'R00001'").collect()) == [(0, 1, 0), (0, 2, 0), (0, 3, 4), (0, 4, 0), (1, 2, 0), (1, 3, 4), (1, 4, 0), (3, 4, 4)]
+    assert [tuple(r) for r in edges.where("g <> 'R00001'").collect()] == [("R00002", 0, 1, 0)]
+    assert all(t.collect() == [] for t in reactions.molecule_graph(sides.limit(0), flatfile.read_rpair_definitions(spark, f"{tmp_path}/pairs", placed=True)))
