@@ -213,7 +213,7 @@ t AS (SELECT k, u, v, place, chg FROM rp UNION ALL SELECT k, v, u, place, chg FR
 tp AS (SELECT k, u, v, arg_min(chg, place) AS chg FROM t GROUP BY ALL)"""
 
 
-def _molecule_files(spark, sf_dir):
+def _supplier_reactions(spark, sf_dir):
     """Suppliers as reactions of two substrates and three products, whose names follow from the supplier's key: a file
     for each, and one table of pair definitions."""
     k = F.col("s_suppkey").cast("int")
@@ -235,7 +235,7 @@ def _molecule_files(spark, sf_dir):
 FROM n x JOIN n y ON y.k = x.k AND y.id > x.id LEFT JOIN tp ON tp.k = x.k AND tp.u = x.lig AND tp.v = y.lig WHERE tp.chg IS NOT NULL OR x.s = y.s""")
 def reaction_of_molecules(spark, sf_dir):
     """Reactions read from a file each, as graphs of the molecules that they name."""
-    nodes, edges = _molecule_files(spark, sf_dir)
+    nodes, edges = _supplier_reactions(spark, sf_dir)
     a, b = (nodes.select("g", F.col("id").alias(end), F.col("sym").alias(n)) for end, n in (("src", "a"), ("dst", "b")))
     return edges.join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "src", "dst", "chg", "a", "b")
 

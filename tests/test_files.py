@@ -216,3 +216,16 @@ def test_reactions_of_molecules_from_files(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in edges.where("g = 'R00001'").collect()) == [(0, 1, 0), (0, 2, 0), (0, 3, 4), (0, 4, 0), (1, 2, 0), (1, 3, 4), (1, 4, 0), (3, 4, 4)]
     assert [tuple(r) for r in edges.where("g <> 'R00001'").collect()] == [("R00002", 0, 1, 0)]
     assert all(t.collect() == [] for t in reactions.molecule_graph(sides.limit(0), flatfile.read_rpair_definitions(spark, f"{tmp_path}/pairs", placed=True)))
+
+
+def test_no_name_of_the_registered_queries_is_bound_twice():
+    """A second helper of a name takes the place of the first in all queries that call it."""
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    from pathloom import plans
+
+    for module in Path(plans.__file__).parent.glob("*.py"):
+        names = Counter(x.name for x in ast.parse(module.read_text()).body if isinstance(x, ast.FunctionDef))
+        assert [n for n, times in names.items() if times > 1] == [], module.name
