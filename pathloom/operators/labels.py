@@ -26,7 +26,9 @@ def label_values(labels: DataFrame) -> DataFrame:
 
 
 def graph_files(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """Files (name) of entries (id): names that begin with the id. Ids of one length meet in an equi-join on the prefix."""
+    """Files (name) of entries (id): names that begin with the id, a file once for an id that several entries have. Ids of one
+    length meet in an equi-join on the prefix."""
+    entries = entries.select("id").distinct()
     lengths = [r[0] for r in entries.select(F.length("id")).distinct().collect()]
     keyed = files.select("name", F.explode(F.array(*[F.substring("name", 1, n) for n in lengths])).alias("id")) if lengths else files.select("name", F.lit(None).cast("string").alias("id"))
     return keyed.join(entries, "id")

@@ -10,28 +10,29 @@ from pathloom.scratch import numbered, running
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, keyword, ord, data): one row per line of an entry; continued lines have the keyword before them.
+    """(record, entry, keyword, ord, data): one row per line of an entry; continued lines have the keyword before them.
 
-    Records are split by Spark at their end mark, so files of any size are read in parallel.
+    Records are split by Spark at their end mark, so files of any size are read in parallel. ``record`` tells entries of
+    one name apart.
     """
     records = spark.read.option("lineSep", "\n///").text(path)
     clean = records.select(F.ltrim(F.regexp_replace("value", "\r", ""), F.lit("\n")).alias("r")).where(F.trim("r") != "")
     entry = F.regexp_extract("r", r"(?m)^ENTRY\s+(?:EC )?(\S+)", 1)
-    lines = clean.select(entry.alias("entry"), F.posexplode(F.split("r", "\n")).alias("ord", "line"))
+    lines = clean.select(F.monotonically_increasing_id().alias("record"), "r").select("record", entry.alias("entry"), F.posexplode(F.split("r", "\n")).alias("ord", "line"))
     keyword = F.trim(F.substring("line", 1, 12))
-    w = Window.partitionBy("entry").orderBy("ord")
+    w = Window.partitionBy("record").orderBy("ord")
     filled = F.last(F.when(keyword != "", keyword), ignorenulls=True).over(w)
-    return lines.where(F.trim("line") != "").select("entry", filled.alias("keyword"), "ord", F.trim(F.expr("substring(line, 13)")).alias("data"))
+    return lines.where(F.trim("line") != "").select("record", "entry", filled.alias("keyword"), "ord", F.trim(F.expr("substring(line, 13)")).alias("data"))
 
 
 def blocks(entries: DataFrame) -> DataFrame:
-    """(entry, keyword, data): the lines of a keyword joined by a blank."""
-    return entries.groupBy("entry", "keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "data"))), lambda x: x["data"]), " ").alias("data"))
+    """(record, entry, keyword, data): the lines of a keyword joined by a blank."""
+    return entries.groupBy("record", "entry", "keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "data"))), lambda x: x["data"]), " ").alias("data"))
 
 
 def reactions(entries: DataFrame) -> DataFrame:
     """(id, equation, subs, prods, rpairs, ec): reactions with their sides in order; every field is its own entry's."""
-    wide = blocks(entries).groupBy("entry").pivot("keyword", ["EQUATION", "RPAIR", "ENZYME"]).agg(F.first("data"))
+    wide = blocks(entries).groupBy("record", "entry").pivot("keyword", ["EQUATION", "RPAIR", "ENZYME"]).agg(F.first("data"))
     halves = F.split("EQUATION", "<=>")
     ids = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
     return wide.select(
@@ -88,7 +89,7 @@ def read_rpair_definitions(spark: SparkSession, path: str, placed: bool = False)
 
 def rpairs(entries: DataFrame) -> DataFrame:
     """(id, name, reactions, align): pair entries; align is the list of (left atom, right atom) numbers."""
-    wide = blocks(entries).groupBy("entry").pivot("keyword", ["NAME", "REACTION", "ALIGN"]).agg(F.first("data"))
+    wide = blocks(entries).groupBy("record", "entry").pivot("keyword", ["NAME", "REACTION", "ALIGN"]).agg(F.first("data"))
     pairs = F.transform(F.regexp_extract_all("ALIGN", F.lit(r"(\d+:\S+\s+\d+:\S+)"), F.lit(1)), lambda p: F.struct(F.regexp_extract(p, r"^(\d+):", 1).cast("int").alias("a"), F.regexp_extract(p, r"\s(\d+):", 1).cast("int").alias("b")))
     return wide.select(F.col("entry").alias("id"), F.col("NAME").alias("name"), F.regexp_extract_all("REACTION", F.lit(r"(R\d{5})"), F.lit(1)).alias("reactions"), pairs.alias("align"))
 

@@ -229,3 +229,16 @@ def test_no_name_of_the_registered_queries_is_bound_twice():
     for module in Path(plans.__file__).parent.glob("*.py"):
         names = Counter(x.name for x in ast.parse(module.read_text()).body if isinstance(x, ast.FunctionDef))
         assert [n for n, times in names.items() if times > 1] == [], module.name
+
+
+def test_entries_of_one_name_stay_apart(spark, tmp_path):
+    one = "ENTRY       R00001   Reaction\nEQUATION    2 C00001 <=> C00002\nENZYME      1.1.1.1\n///\n"
+    two = "ENTRY       R00001   Reaction\nEQUATION    C00003 <=> C00004\n            + C00005\n///\n"
+    found = flatfile.reactions(flatfile.read_entries(spark, write(tmp_path / "twice", one + two)))
+    assert sorted((r.id, r.equation, r.ec) for r in found.collect()) == [("R00001", "2 C00001 <=> C00002", ["1.1.1.1"]), ("R00001", "C00003 <=> C00004 + C00005", [])]
+    pair = "ENTRY       RP1\nNAME        {}\nREACTION    R00001\nALIGN       1\n            1   1:C1a 2:C1b\n///\n"
+    pairs = flatfile.rpairs(flatfile.read_entries(spark, write(tmp_path / "pairs", pair.format("A_B") + pair.format("A_C"))))
+    assert sorted((r.name, r.reactions) for r in pairs.collect()) == [("A_B", ["R00001"]), ("A_C", ["R00001"])]
+    files = spark.createDataFrame([("R00001_1.mol",), ("R00001_2.mol",)], "name string")
+    ids = spark.createDataFrame([("R00001",), ("R00001",)], "id string")
+    assert sorted(r.name for r in labels.graph_files(ids, files).collect()) == ["R00001_1.mol", "R00001_2.mol"]
