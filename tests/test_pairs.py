@@ -148,3 +148,38 @@ def test_odd_path_levels(spark):
     none = n.select("g", "id", F.lit(None).cast("int").alias("dist"))
     assert walks.distance_sums(n, e, none, 3).collect() == [] == walks.distance_kernel(n, e, none, 1.0, 0.8, 3).collect()
     assert walks.path_counts(n.limit(0), e.limit(0), 3).collect() == [] == walks.distance_kernel(n.limit(0), e.limit(0), none.limit(0), 1.0, 0.8, 3).collect()
+
+
+@pytest.mark.parametrize("straight", [False, True])
+def test_pieces_of_a_large_graph_give_its_levels(monkeypatch, straight):
+    """A chain with side branches, cut to pieces of five starts: what a task holds is a piece, and the sums are the same."""
+    monkeypatch.setattr(pairs, "PIECE_NODES", 5)
+    monkeypatch.setattr(pairs, "PIECES_OVER", 4.0)
+
+    def packed(g, size):
+        links = [(k, k + 1) for k in range(size - 1)] + [(k, size + k) for k in range(0, size, 4)]
+        arcs = sorted(links + [(b, a) for a, b in links])
+        ids = list(range(size + size))
+        own = {c: [1.0 + (k * m) % 7 / 7 for k in ids] for c, m in (("a", 2), ("s", 3), ("q", 5))}
+        ways = {c: [1.0 + (a + m * b) % 3 / 3 for a, b in arcs] for c, m in (("p", 1), ("first", 2), ("out", 3), ("into", 4), ("e", 5))}
+        return {"g": g, "ids": ids, "syms": ["AAB"[k % 3] for k in ids], **own, "src": [a for a, _ in arcs], "dst": [b for _, b in arcs], "chg": [0] * len(arcs), **ways}
+
+    def levels(x, y):
+        codes = {}
+        x, y = pairs.Graph(x, codes), pairs.Graph(y, codes)
+        product = pairs.Product(x, y, len(codes), 0.5)
+        return [k for k, _ in zip(product.straight_levels() if straight else product.walk_levels(), range(5))]
+
+    one, two = packed(1, 17), packed(2, 23)
+    parts = [pairs._pieces(row, 4, "a" if straight else "q") for row in (one, two)]
+    assert all(len(p) > 3 and max(len(x["ids"]) for x in p) < len(row["ids"]) for p, row in zip(parts, (one, two)))
+    sums = [sum(at) for at in zip(*(k + [0.0] * (5 - len(k)) for x in parts[0] for y in parts[1] for k in [levels(x, y)]))]
+    assert sums == pytest.approx(levels(one, two))
+
+
+def test_a_factor_is_no_product_of_roots(spark):
+    """Half of a tenth of what is counted: a root's square is not quite 0.2, and the sum is no more what it is rounded from."""
+    n = spark.createDataFrame([(1, 0, "x")], "g long, id int, sym string")
+    e = spark.createDataFrame([], "g long, src int, dst int, chg int")
+    for options in ({}, {"epsilon": 1e-13}):
+        assert walks.walk_kernel(n, e, walks.constant_weights(n), 0.2, 4, **options).first().k == 0.2
