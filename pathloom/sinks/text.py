@@ -19,13 +19,16 @@ def sequences(nodes: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFr
     schema = pa.schema([("g", pa.int64()), ("start", pa.int32()), ("line", pa.string())])
     closing = {"(": ")", "{": "}", "[": "]"}
 
-    def trie(ids, syms, src, dst, chg, start):
-        label = dict(zip(ids, syms))
+    def known(ids, syms, src, dst, chg):
+        """Labels and neighbours, made once for all tries of a graph."""
         near = {i: [] for i in ids}
         for a, b, c in zip(src or (), dst or (), chg or ()):
             sign = BRACKETS[(c > 0) - (c < 0)]
             near[a].append((b, sign))
             near[b].append((a, sign))
+        return dict(zip(ids, syms)), near
+
+    def trie(label, near, start):
         out, seen, open_ = ["(" + label[start]], {start}, [(start, "(", iter(near[start]))]
         while open_:
             node, mark, rest = open_[-1]
@@ -45,9 +48,13 @@ def sequences(nodes: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFr
         for batch in batches:
             out = [[], [], []]
             for g, *graph in zip(*(c.to_pylist() for c in batch.columns)):
+                label, near = known(*graph)
                 for start in graph[0]:
-                    for values, v in zip(out, (g, start, trie(*graph, start))):
+                    for values, v in zip(out, (g, start, trie(label, near, start))):
                         values.append(v)
+                    if len(out[0]) == 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+                        out = [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
     return as_graphs(nodes, edges).mapInArrow(walk, "g long, start int, line string")

@@ -242,3 +242,30 @@ def test_entries_of_one_name_stay_apart(spark, tmp_path):
     files = spark.createDataFrame([("R00001_1.mol",), ("R00001_2.mol",)], "name string")
     ids = spark.createDataFrame([("R00001",), ("R00001",)], "id string")
     assert sorted(r.name for r in labels.graph_files(ids, files).collect()) == ["R00001_1.mol", "R00001_2.mol"]
+
+
+def test_reports_of_one_file_are_read_apart(spark, tmp_path):
+    """A file of many reports is cut at their marks: with small splits several tasks read it, each its own reports."""
+    report = "REACTION R{0}\nEQUATION A <=> B\nCOST 1\nATOMS\n1 C {0} C\n2 O 1 O\nBONDS\n1 2 0\n"
+    path = write(tmp_path / "reports", "".join(report.format(k) for k in range(300)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = flatfile.read_mapping_report(spark, path)
+        texts = " ".join(found._jdf.queryExecution().optimizedPlan().toString().split())
+        got = sorted((int(r.reaction[1:]), r.lhs_atom, r.rhs_atom) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == [row for k in range(300) for row in ((k, 1, k), (k, 2, 1))] and "file_path" not in texts
+
+
+def test_tries_of_a_graph_take_their_neighbours_from_one_table(spark):
+    """A chain of 20,000 nodes: with a table of neighbours for each start this takes minutes."""
+    import time
+
+    size = 20_000
+    nodes = spark.range(size).select(F.lit(0).cast("long").alias("g"), F.col("id").cast("int").alias("id"), F.lit("A").alias("sym"))
+    edges = spark.range(size - 1).select(F.lit(0).cast("long").alias("g"), F.col("id").cast("int").alias("src"), (F.col("id") + 1).cast("int").alias("dst"), F.lit(0).alias("chg"))
+    began = time.monotonic()
+    assert {(r.line, r.n) for r in sink.sequences(nodes, edges, 2).groupBy("line").agg(F.count("*").alias("n")).collect()} == {("(A(A))", 2), ("(A(A)(A))", size - 2)}
+    assert time.monotonic() - began < 60
