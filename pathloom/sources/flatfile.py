@@ -95,12 +95,18 @@ def rpairs(entries: DataFrame) -> DataFrame:
 
 
 def read_mapping_report(spark: SparkSession, path: str) -> DataFrame:
-    """(reaction, lhs_atom, rhs_atom) from mapping reports: the atom rows of each report, under the last REACTION line."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
-    w = Window.partitionBy("file").orderBy("ord")
-    mark = F.when(F.col("line").startswith("REACTION"), F.regexp_extract("line", r"^REACTION\s+(\S+)", 1))
+    """(reaction, lhs_atom, rhs_atom) from mapping reports: the atom rows of each report, under the last REACTION line.
+
+    Reports are split by Spark at that line, so files of any size are read in parallel and a task holds a report at a time.
+    """
+    texts = spark.read.option("lineSep", "\nREACTION").text(path).select(F.monotonically_increasing_id().alias("report"), "value")
+    # What follows the mark begins with a blank; only the first report of a file still has it.
+    texts = texts.select("report", F.when(F.col("value").rlike(r"^[ \t]"), F.concat(F.lit("REACTION"), "value")).otherwise(F.col("value")).alias("value"))
+    name = F.nullif(F.regexp_extract("value", r"^REACTION\s+(\S+)", 1), F.lit(""))
+    lines = texts.select("report", name.alias("reaction"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
+    w = Window.partitionBy("report").orderBy("ord")
     head = F.when(F.col("line").rlike("^[A-Z]{3,}"), F.regexp_extract("line", "^([A-Z]+)", 1))
-    filled = lines.withColumn("reaction", F.last(mark, ignorenulls=True).over(w)).withColumn("section", F.last(head, ignorenulls=True).over(w))
+    filled = lines.withColumn("section", F.last(head, ignorenulls=True).over(w))
     filled = filled.where("section <> 'BONDS'")
     row = r"^\s*(\d+)\s+\S+\s+(\d+)\s+\S+\s*$"
     return filled.where(F.col("line").rlike(row)).select("reaction", F.regexp_extract("line", row, 1).cast("int").alias("lhs_atom"), F.regexp_extract("line", row, 2).cast("int").alias("rhs_atom"))
