@@ -223,7 +223,8 @@ def _supplier_reactions(spark, sf_dir):
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
     files, pairs = scratch_path(spark, "reaction-files"), scratch_path(spark, "pair-definitions")
     text = F.concat_ws("\n", F.concat(name, F.lit("  1.1.1.1")), F.concat_ws(" ", *m[:2], F.lit("=>"), *m[2:]), F.lit("atoms follow"))
-    supplier.select(text.alias("value"), name.alias("file")).write.partitionBy("file").text(files)
+    tasks = max(spark.sparkContext.defaultParallelism, supplier.count() // 1000)  # a file takes its time and a key few bytes
+    sink.write_files(supplier.repartition(tasks).select(F.concat(F.lit("R"), k.cast("string")).alias("name"), text.alias("text")), files)
     kinds = F.array(*map(F.lit, ["other", *reactions.EDGE_TYPES]))
     kind = lambda place: F.element_at(kinds, (k + place) % 6 + 1) if place != 2 else F.lit("main")
     lines = [F.concat_ws(" ", name, m[i], m[j], kind(place)) for place, (i, j) in enumerate([(0, 2), (3, 1), (0, 2), (2, 4)])]
