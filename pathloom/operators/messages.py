@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathloom.operators.graphs import all_pairs, by_graph
+from pathloom.operators.graphs import _bfs, all_pairs, by_form, by_graph, neighbours_in
 from pathloom.operators.paths import adjacency
 from pathloom.scratch import discard, materialise
 
@@ -66,40 +69,80 @@ def messages(nodes: DataFrame, edges: DataFrame, rounds: int, start: DataFrame,
     return out
 
 
+#: Columns of values by node and context.
+_TEXTS = [("id", pa.int32(), "int"), ("k", pa.int32(), "int"), ("value", pa.string(), "string")]
+_NUMBERS = [*_TEXTS[:2], ("value", pa.int64(), "long")]
+
+
+def _spelled(found: list[tuple[int, str | None]], low: int, high: int, sep: str = "") -> Iterator[tuple[int, str]]:
+    """(k, text) for k up to ``high``: the sorted texts of ``found`` (k from which it counts, text), where it has any."""
+    if found:
+        first = max(low, min(k for k, _ in found))
+        kept = sorted((t, k) for k, t in found if t is not None)
+        for k in range(first, high + 1):
+            yield k, sep.join(t for t, since in kept if since <= k)
+
+
 def atom_distribution(nodes: DataFrame, edges: DataFrame, context: int, with_centre: bool = True) -> DataFrame:
     """(g, id, k, value): the sorted symbols within k hops, for k = 0..context."""
-    near = all_pairs(nodes, edges).where(F.col("dist") <= context)
-    if not with_centre:
-        near = near.where("dist > 0")
-    labelled = near.join(nodes.select("g", F.col("id").alias("b"), "sym"), ["g", "b"])
-    spread = labelled.select("g", F.col("a").alias("id"), "sym", F.explode(F.sequence("dist", F.lit(context))).alias("k"))
-    return spread.groupBy("g", "id", "k").agg(F.array_join(F.array_sort(F.collect_list("sym")), "").alias("value"))
+
+    def one(ids, syms, src, dst, chg):
+        near, label = neighbours_in(ids, src, dst), dict(zip(ids, syms))
+        for i in ids:
+            found = [(k, label[b]) for b, k in _bfs([i], near, context).items() if with_centre or k]
+            yield from ((i, k, text) for k, text in _spelled(found, 0, context))
+
+    return by_form(nodes, edges, _TEXTS, one)
+
+
+def _bond_rows(context: int):
+    def one(ids, syms, src, dst, chg):
+        near, label = neighbours_in(ids, src, dst), dict(zip(ids, syms))
+        bonds: dict[tuple, None] = {}
+        for a, b, c in zip(src or (), dst or (), chg or ()):
+            ends = sorted(x for x in (label[a], label[b]) if x is not None)
+            bonds[a, b, f"{ends[0]}{c}{ends[-1]}" if ends and c is not None else None] = None
+        at = defaultdict(list)
+        for bond in bonds:
+            for end in dict.fromkeys(bond[:2]):
+                at[end].append(bond)
+        for i in ids:
+            first: dict[tuple, int] = {}
+            for b, k in _bfs([i], near, context - 1).items():  # nearer ones come first
+                for bond in at[b]:
+                    first.setdefault(bond, k + 1)
+            yield from ((i, k, text) for k, text in _spelled([(k, bond[2]) for bond, k in first.items()], 1, context, ","))
+
+    return one
 
 
 def bond_distribution(nodes: DataFrame, edges: DataFrame, context: int) -> DataFrame:
     """(g, id, k, value): the sorted bonds (symbols in order, change between) with an end within k - 1 hops, k = 1..context."""
-    a = nodes.select("g", F.col("id").alias("src"), F.col("sym").alias("x"))
-    b = nodes.select("g", F.col("id").alias("dst"), F.col("sym").alias("y"))
-    bonds = edges.join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "src", "dst", F.concat(F.least("x", "y"), F.col("chg").cast("string"), F.greatest("x", "y")).alias("bond"))
-    near = all_pairs(nodes, edges).where(F.col("dist") < context).select("g", F.col("a").alias("id"), "b", "dist")
-    ends = bonds.select("g", "src", "dst", "bond", F.explode(F.array("src", "dst")).alias("b"))
-    met = ends.join(near, ["g", "b"]).groupBy("g", "id", "src", "dst", "bond").agg(F.min("dist").alias("dist"))
-    spread = met.select("g", "id", "bond", F.explode(F.sequence(F.col("dist") + 1, F.lit(context))).alias("k"))
-    return spread.groupBy("g", "id", "k").agg(F.array_join(F.array_sort(F.collect_list("bond")), ",").alias("value"))
+    return by_form(nodes, edges, _TEXTS, _bond_rows(context))
+
+
+def _wiener_rows(context: int):
+    def one(ids, syms, src, dst, chg):
+        near = neighbours_in(ids, src, dst)
+        within = lru_cache(4096)(lambda i: _bfs([i], near, 2 * context))  # two nodes near a third are no farther apart
+        for i in ids:
+            own = sorted((x, k) for x, k in within(i).items() if k <= context)
+            added = [0] * (context + 1)
+            for n, (x, kx) in enumerate(own):
+                far = within(x)
+                for y, ky in own[n + 1 :]:
+                    added[max(kx, ky, 1)] += far[y]
+            total = 0
+            for k in range(1, context + 1):
+                total += added[k]
+                yield i, k, total
+
+    return one
 
 
 def wiener_index(nodes: DataFrame, edges: DataFrame, context: int) -> DataFrame:
     """(g, id, k, value): the sum of distances between all pairs of nodes within k hops of a node, k = 1..context."""
-    pairs = all_pairs(nodes, edges)
-    near = pairs.where(F.col("dist") <= context)
-    x = near.select("g", F.col("a").alias("id"), F.col("b").alias("x"), F.col("dist").alias("dx"))
-    y = near.select("g", F.col("a").alias("id"), F.col("b").alias("y"), F.col("dist").alias("dy"))
-    inner = x.join(y, ["g", "id"]).where("x < y").withColumn("reach", F.greatest("dx", "dy"))
-    dist = pairs.select("g", F.col("a").alias("x"), F.col("b").alias("y"), "dist")
-    summed = inner.join(dist, ["g", "x", "y"]).select("g", "id", "dist", F.explode(F.sequence(F.greatest("reach", F.lit(1)), F.lit(context))).alias("k"))
-    found = summed.groupBy("g", "id", "k").agg(F.sum("dist").alias("value"))
-    every = nodes.select("g", "id", F.explode(F.sequence(F.lit(1), F.lit(context))).alias("k"))
-    return every.join(found, ["g", "id", "k"], "left").select("g", "id", "k", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    return by_form(nodes, edges, _NUMBERS, _wiener_rows(context))
 
 
 def morgan_index(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
@@ -117,6 +160,17 @@ def morgan_index(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     return out.select("g", "id", "k", "value")
 
 
+def _morgan_rows(rounds: int):
+    def one(ids, syms, src, dst, chg):
+        near = neighbours_in(ids, src, dst)
+        now = dict.fromkeys(ids, 1)
+        for k in range(rounds + 1):
+            yield from ((i, k, v) for i, v in now.items())
+            now = {i: sum(now[b] for b in near[i]) for i in ids}
+
+    return one
+
+
 def distance_extremes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, id, nearest, farthest): the least distance to another node and the greatest."""
     far = all_pairs(nodes, edges).where("dist > 0").groupBy("g", F.col("a").alias("id")).agg(F.min("dist").alias("nearest"), F.max("dist").alias("farthest"))
@@ -161,66 +215,78 @@ def directions(nodes: DataFrame, edges: DataFrame, high: int = 1000, whole: bool
     ``whole`` asks for all up to ``high``. Edges that join the same nodes count as one.
     """
 
-    def one(ids, near, _):
-        heard: dict[tuple[int, int], dict[int, int]] = {}
-        for v in ids:
-            for u in sorted(set(near[v]) - {v}):
-                seen, front, first, k = {(v, u)}, [(v, u)], {}, 1
-                while front and k <= high:
-                    for _, b in front:
-                        first.setdefault(b, k)
-                    front = list(dict.fromkeys((b, c) for a, b in front for c in near[b] if c not in (a, b) and (b, c) not in seen))
-                    seen.update(front)
-                    k += 1
-                heard[v, u] = first
-        last = high if whole else min(high, 1 + max((k for first in heard.values() for k in first.values()), default=0))
-        for v in ids:
-            own = {v: 0}
-            for u in dict.fromkeys(near[v]):
-                for b, k in heard.get((v, u), {}).items():
-                    own[b] = min(k, own.get(b, k))
-                    yield v, u, b, k, last
-            yield from ((v, None, b, k, last) for b, k in own.items())
-
-    return by_graph(nodes, edges, ("id", "toward", "member", "first", "last"), one)
+    return by_graph(nodes, edges, ("id", "toward", "member", "first", "last"), lambda ids, near, _: _heard(ids, near, high, whole))
+
+
+def _heard(ids: list[int], near: dict[int, list[int]], high: int, whole: bool) -> Iterator[tuple]:
+    heard: dict[tuple[int, int], dict[int, int]] = {}
+    for v in ids:
+        for u in sorted(set(near[v]) - {v}):
+            seen, front, first, k = {(v, u)}, [(v, u)], {}, 1
+            while front and k <= high:
+                for _, b in front:
+                    first.setdefault(b, k)
+                front = list(dict.fromkeys((b, c) for a, b in front for c in near[b] if c not in (a, b) and (b, c) not in seen))
+                seen.update(front)
+                k += 1
+            heard[v, u] = first
+    last = high if whole else min(high, 1 + max((k for first in heard.values() for k in first.values()), default=0))
+    for v in ids:
+        own = {v: 0}
+        for u in dict.fromkeys(near[v]):
+            for b, k in heard.get((v, u), {}).items():
+                own[b] = min(k, own.get(b, k))
+                yield v, u, b, k, last
+        yield from ((v, None, b, k, last) for b, k in own.items())
+
+
+def _directed_rows(low: int, high: int, whole: bool, with_centre: bool):
+    def one(ids, syms, src, dst, chg):
+        label = dict(zip(ids, syms))
+        told: dict[int, dict] = {i: {None: []} for i in ids}  # by node: (first, symbol) by the neighbour that tells it, or of all
+        back: dict[int, dict] = {i: {} for i in ids}
+        last = high
+        for v, toward, member, first, last in _heard(ids, neighbours_in(ids, src, dst), high, whole):
+            if toward is not None:
+                told[v].setdefault(toward, []).append((first, label[member]))
+                back[v][member] = min(first, back[v].get(member, first))
+            elif with_centre:
+                told[v][None].append((first, label[member]))
+        for v, heard in told.items():
+            if not with_centre:
+                heard[None] = [(first, label[m]) for m, first in back[v].items()]
+            texts = {u: dict(_spelled(found, low, last)) for u, found in heard.items()}
+            own, by_neighbour = texts.pop(None), sorted(texts.items())
+            for k in range(low, last + 1):
+                yield v, k, own.get(k, ""), [(u, text[k]) for u, text in by_neighbour if k in text]
+
+    return one
 
 
 def directed_distribution(nodes: DataFrame, edges: DataFrame, low: int = 0, high: int = 1000, whole: bool = False, with_centre: bool = True) -> DataFrame:
     """(g, id, k, value, branches): the sorted symbols within k hops, and those heard of from each neighbour within k
     steps: (neighbour, symbols) by neighbour. Without the centre, a node counts among its own only where a ring brings
     it back."""
-    met = directions(nodes, edges, high, whole)
-    every = met.where("toward is null and member = id").select("g", "id", F.explode(F.sequence(F.lit(low), F.greatest("last", F.lit(low)))).alias("k"), "last").where("k <= last")
-    if not with_centre:
-        back = met.where("toward is not null").groupBy("g", "id", "member").agg(F.min("first").alias("first"), F.first("last").alias("last"))
-        met = met.where("toward is not null").unionByName(back.withColumn("toward", F.lit(None).cast("int")))
-    spelled = met.join(nodes.select("g", F.col("id").alias("member"), "sym"), ["g", "member"])
-    from_ = F.greatest("first", F.lit(low))
-    spread = spelled.where(from_ <= F.col("last")).select("g", "id", "toward", "sym", F.explode(F.sequence(from_, "last")).alias("k"))
-    text = F.array_join(F.array_sort(F.collect_list("sym")), "")
-    joined = spread.groupBy("g", "id", "k", "toward").agg(text.alias("value"))
-    branch = F.when(F.col("toward").isNotNull(), F.struct(F.col("toward").alias("neighbour"), "value"))
-    found = joined.groupBy("g", "id", "k").agg(F.max(F.when(F.col("toward").isNull(), F.col("value"))).alias("value"), F.array_sort(F.collect_list(branch)).alias("branches"))
-    full = every.join(found, ["g", "id", "k"], "left")
-    return full.select("g", "id", "k", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("branches", F.array().cast(found.schema["branches"].dataType)).alias("branches"))
+    told = pa.list_(pa.struct([("neighbour", pa.int32()), ("value", pa.string())]))
+    return by_form(nodes, edges, [*_TEXTS, ("branches", told, "array<struct<neighbour: int, value: string>>")], _directed_rows(low, high, whole, with_centre))
 
 
 def ring_sizes(nodes: DataFrame, edges: DataFrame, high: int) -> DataFrame:
     """(g, id, size): the sizes, 3 to ``high``, of the simple rings on which a node lies; each once."""
+    return by_graph(nodes, edges, ("id", "size"), lambda ids, near, _: _rings(ids, near, high))
 
-    def one(ids, near, _):
-        found: set[tuple[int, int]] = set()
-        for root in ids:
-            stack = [[root]]
-            while stack:
-                path = stack.pop()
-                if len(path) > 2 and root in near[path[-1]]:
-                    found.update((i, len(path)) for i in path)
-                if len(path) < high:
-                    stack.extend([*path, c] for c in set(near[path[-1]]) if c > root and c not in path)
-        return sorted(found)
 
-    return by_graph(nodes, edges, ("id", "size"), one)
+def _rings(ids: list[int], near: dict[int, list[int]], high: int) -> list[tuple[int, int]]:
+    found: set[tuple[int, int]] = set()
+    for root in ids:
+        stack = [[root]]
+        while stack:
+            path = stack.pop()
+            if len(path) > 2 and root in near[path[-1]]:
+                found.update((i, len(path)) for i in path)
+            if len(path) < high:
+                stack.extend([*path, c] for c in set(near[path[-1]]) if c > root and c not in path)
+    return sorted(found)
 
 
 # Names of features.
@@ -238,31 +304,31 @@ def feature_facts(nodes: DataFrame, edges: DataFrame, low: int = 0, high: int =
     if unknown := set(kinds) - set(FEATURES):
         raise ValueError(f"no such features: {sorted(unknown)}")
 
-    def atoms(with_centre: bool) -> DataFrame:
-        branches = F.transform("branches", lambda b: F.concat(F.lit(","), b["neighbour"].cast("string"), F.lit("="), b["value"]))
-        text = F.concat(F.lit("("), F.col("value"), F.array_join(branches, ""), F.lit(")"))
-        return directed_distribution(nodes, edges, low, high, whole, with_centre).withColumn("value", text)
+    def atoms(with_centre: bool):
+        rows = _directed_rows(low, high, whole, with_centre)
+        spell = lambda value, branches: f"({value}{''.join(f',{u}={text}' for u, text in branches)})"
+        return lambda *graph: ((i, k, spell(*told)) for i, k, *told in rows(*graph))
 
-    def rings() -> DataFrame:
-        every = nodes.select("g", "id", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("k"))
-        met = ring_sizes(nodes, edges, high).select("g", "id", F.col("size").alias("k"), F.lit("True").alias("value"))
-        return every.join(met, ["g", "id", "k"], "left").withColumn("value", F.coalesce("value", F.lit("False")))
+    def rings(ids, syms, src, dst, chg):
+        met = set(_rings(ids, neighbours_in(ids, src, dst), high))
+        return ((i, k, str((i, k) in met)) for i in ids for k in range(low, high + 1))
 
     made = {
         "ATOM_DISTRIBUTION": lambda: atoms(True),
         "ATOM_DISTRIBUTION_EXCLUDE": lambda: atoms(False),
-        "BOND_DISTRIBUTION": lambda: bond_distribution(nodes, edges, high).withColumn("value", F.regexp_replace("value", ",", "")),
-        "WIENER": lambda: wiener_index(nodes, edges, high),
-        "MORGAN": lambda: morgan_index(nodes, edges, high),
-        "RING": rings,
+        "BOND_DISTRIBUTION": lambda: lambda *graph: ((i, k, v.replace(",", "")) for i, k, v in _bond_rows(high)(*graph)),
+        "WIENER": lambda: _wiener_rows(high),
+        "MORGAN": lambda: _morgan_rows(high),
+        "RING": lambda: rings,
     }
-    out = None
-    for kind in FEATURES:
-        if kind in kinds:
-            own = made[kind]().where(F.col("k").between(low, high)).select("g", F.col("id").cast("int").alias("id"), F.lit(kind).alias("feature"), F.col("k").cast("int").alias("context"), F.col("value").cast("string").alias("value"))
-            out = own if out is None else out.unionByName(own)
-    empty = "g long, id int, feature string, context int, value string"
-    return nodes.sparkSession.createDataFrame([], empty) if out is None else out
+    asked = [(kind, made[kind]()) for kind in FEATURES if kind in kinds]
+    if not asked:
+        return nodes.sparkSession.createDataFrame([], "g long, id int, feature string, context int, value string")
+
+    def one(*graph):
+        return ((i, kind, k, str(v)) for kind, rows in asked for i, k, v in rows(*graph) if low <= k <= high)
+
+    return by_form(nodes, edges, [_TEXTS[0], ("feature", pa.string(), "string"), ("context", pa.int32(), "int"), _TEXTS[2]], one)
 
 
 def fact_lines(facts: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom import scratch
-from pathloom.operators import mapping, messages, textindex
+from pathloom.operators import graphs, mapping, messages, paths, textindex
 from tests.test_searches import random_graphs, tables
 
 
@@ -156,3 +157,28 @@ def test_feature_facts_of_nothing_and_of_unknown_kinds(spark):
         messages.feature_facts(n, e, kinds=("WEINER",))
     alone = messages.feature_facts(n, e.limit(0), 0, 1000, messages.FEATURES[:2]).orderBy("feature", "context").collect()
     assert [(r.feature, r.context, r.value) for r in alone] == [(f, k, v) for f, v in (("ATOM_DISTRIBUTION", "(x)"), ("ATOM_DISTRIBUTION_EXCLUDE", "()")) for k in (0, 1)]
+
+
+def test_features_shuffle_graphs_and_not_their_rows(spark):
+    nodes, edges = random_graphs(13, 6)
+    n, e = tables(spark, nodes, edges)
+    plain = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    dealt = plain(paths.as_graphs(n, e)).count("Exchange")
+    found = [messages.feature_facts(n, e, 0, 3, messages.FEATURES), messages.atom_distribution(n, e, 3), messages.wiener_index(n, e, 3), messages.bond_distribution(n, e, 3)]
+    assert [plain(df).count("Exchange") for df in found] == [dealt] * len(found)
+
+
+def test_rows_of_equal_graphs_are_made_once(spark, tmp_path):
+    n, e = tables(spark, [(g, i, "x") for g in range(50) for i in range(3 if g else 70)], [(g, i, i + 1, 0) for g in range(50) for i in range(2 if g else 69)])
+    seen = str(tmp_path / "seen")
+
+    def one(ids, syms, src, dst, chg):
+        with open(seen, "a") as log:
+            log.write("x")
+        return ((i, "s" * i) for i in ids)
+
+    fields = [("id", pa.int32(), "int"), ("text", pa.string(), "string")]
+    got = {(r.g, r.id): r.text for r in graphs.by_form(n.coalesce(1), e.coalesce(1), fields, one).coalesce(1).collect()}
+    assert got == {(g, i): "s" * i for g in range(50) for i in range(3 if g else 70)}
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert len(open(seen).read()) <= 1 + int(tasks)
