@@ -197,8 +197,8 @@ def feature_lines(spark, sf_dir):
     """Facts of context 1 are written, all of contexts 1 and 2 are offered, and only the new ones are added."""
     facts = messages.features(messages.atom_distribution(*adapters.order_graph(spark, sf_dir), context=2), 1, 2)
     folder = scratch_path(spark, "feat")
-    facts.where(F.col("value").contains(":1=")).write.text(folder)
-    sink.new_lines(facts, spark.read.text(folder)).write.mode("append").text(folder)
+    facts.where(F.col("value").contains(":1=")).write.text(folder, compression="gzip")
+    sink.new_lines(facts, spark.read.text(folder)).write.mode("append").text(folder, compression="gzip")
     found = flatfile.read_features(spark, folder)
     return found.groupBy("mol", "atom", "feature", "context", "value").agg(F.count("*").alias("times"))
 
@@ -278,7 +278,7 @@ def ring_feature_file(spark, sf_dir):
     """Facts of closed orders, with what each neighbour tells, written as lines and read back."""
     facts = messages.feature_facts(*adapters.order_ring(spark, sf_dir), 0, 5, ("ATOM_DISTRIBUTION", "RING"))
     folder = scratch_path(spark, "facts")
-    messages.fact_lines(facts).write.text(folder)
+    messages.fact_lines(facts).write.text(folder, compression="gzip")
     found = flatfile.read_features(spark, folder, skip=())
     sides = F.transform(F.array_sort(F.map_entries("dirs")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
     return found.select("mol", "atom", "feature", "context", "value", F.array_join(sides, " ").alias("sides"))

@@ -58,8 +58,9 @@ def read_reaction_list(spark: SparkSession, path: str) -> DataFrame:
 def read_features(spark: SparkSession, path: str, skip: tuple[str, ...] = ("RING",)) -> DataFrame:
     """(mol, atom, feature, context, value, dirs) from lines ``mol:atom:FEATURE:context=(value,neighbour=value..)``; values
     of branches are sorted, a comma at the end is harmless."""
-    m = lambda k: F.regexp_extract("value", r"^([^:]+):(\d+):([A-Z_]+):(\d+)=\(?([^)]*)\)?\s*$", k)
-    rows = spark.read.text(path).where(F.col("value").rlike(r"^[^:]+:\d+:[A-Z_]+:\d+=")).select(m(1).alias("mol"), m(2).cast("int").alias("atom"), m(3).alias("feature"), m(4).cast("int").alias("context"), F.split(F.rtrim(m(5), F.lit(",")), ",").alias("parts"))
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^[^:]+:\d+:[A-Z_]+:\d+=")).select(F.split("value", ":", 4).alias("w"))
+    told = F.regexp_extract(F.col("w")[3], r"^\d+=\(?([^)]*)\)?\s*$", 1)
+    rows = lines.select(F.col("w")[0].alias("mol"), F.col("w")[1].cast("int").alias("atom"), F.col("w")[2].alias("feature"), F.split_part(F.col("w")[3], F.lit("="), F.lit(1)).cast("int").alias("context"), F.split(F.rtrim(told, F.lit(",")), ",").alias("parts"))
     rows = rows.where(~F.col("feature").isin(*skip)) if skip else rows
     branches = F.filter("parts", lambda p: p.contains("="))
     entries = F.array_sort(F.transform(branches, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).cast("int").alias("key"), F.split_part(p, F.lit("="), F.lit(2)).alias("value"))))
