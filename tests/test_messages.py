@@ -182,3 +182,24 @@ def test_rows_of_equal_graphs_are_made_once(spark, tmp_path):
     assert got == {(g, i): "s" * i for g in range(50) for i in range(3 if g else 70)}
     tasks = spark.conf.get("spark.sql.shuffle.partitions")
     assert len(open(seen).read()) <= 1 + int(tasks)
+
+
+def test_texts_ranked_together_are_ranked_as_alone(spark):
+    rng = random.Random(14)
+    docs = [(i, None if i % 9 == 8 else "".join(rng.choice("ab\0é😀") for _ in range(rng.randrange(9)))) for i in range(80)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    runs, steps, shared = {}, set(), set()
+    for i, text in docs:
+        if text is None:
+            continue
+        order = sorted(range(len(text) + 1), key=lambda k: [ord(c) + 1 for c in text[k:]] + [0])
+        before = [text[k - 1] if k else None for k in order]
+        runs[i] = len(order), 1 + sum(a != b for a, b in zip(before, before[1:]))
+        steps |= {(i, p, order.index(k - 1 if k else len(text))) for p, k in enumerate(order)}
+        common = lambda a, b: next((n for n, (x, y) in enumerate(zip(text[a:], text[b:])) if x != y), min(len(text) - a, len(text) - b))
+        shared |= {(i, k, common(order[p - 1], k) if p else 0) for p, k in enumerate(order)}
+
+    assert len(textindex.suffix_ranks(["ab", "", "ba"])[0]) == 3
+    assert {r.doc_id: (r.length, r.runs) for r in textindex.transform_runs(table).collect()} == runs
+    assert {tuple(r) for r in textindex.steps_back(table).collect()} == steps
+    assert {tuple(r) for r in textindex.common_prefixes(table).collect()} == shared
