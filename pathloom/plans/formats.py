@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pathloom.operators import adapters, graphs, kernels, labels, mapping, messages, paths, reactions
 from pathloom.plans import sql
 from pathloom.plans.registry import query
-from pathloom.scratch import scratch_path
+from pathloom.scratch import materialise, scratch_path
 from pathloom.sinks import text as sink
 from pathloom.sources import flatfile, molfile, trees
 
@@ -195,7 +195,7 @@ def entry_files(spark, sf_dir):
 SELECT CAST(g AS VARCHAR) AS mol, CAST(id AS INTEGER) AS atom, 'ATOM_DISTRIBUTION' AS feature, CAST(k AS INTEGER) AS context, value, count(*) AS times FROM d GROUP BY ALL""")
 def feature_lines(spark, sf_dir):
     """Facts of context 1 are written, all of contexts 1 and 2 are offered, and only the new ones are added."""
-    facts = messages.features(messages.atom_distribution(*adapters.order_graph(spark, sf_dir), context=2), 1, 2)
+    facts = materialise(messages.features(messages.atom_distribution(*adapters.order_graph(spark, sf_dir), context=2), 1, 2), "facts")
     folder = scratch_path(spark, "feat")
     facts.where(F.col("value").contains(":1=")).write.text(folder, compression="gzip")
     sink.new_lines(facts, spark.read.text(folder)).write.mode("append").text(folder, compression="gzip")
