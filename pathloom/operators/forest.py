@@ -56,9 +56,15 @@ def tree_text(nodes: DataFrame) -> DataFrame:
 TREE = ["entry", "tree"]
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """A side that has a row for each node: shuffled in every round of a doubling, never collected to be broadcast, however
+    small its compressed file looks."""
+    return side.hint("merge")
+
+
 def _jump(now: DataFrame, held: DataFrame, *columns: str) -> DataFrame:
     """``now`` with what ``held`` (entry, tree, node, ...) has for each row's ``up``, under names with ``up_``; null without one."""
-    other = held.select(*(F.col(c).alias(f"u_{c}") for c in TREE), F.col("node").alias("u_node"), *(F.col(c).alias(f"up_{c}") for c in columns))
+    other = _dealt(held.select(*(F.col(c).alias(f"u_{c}") for c in TREE), F.col("node").alias("u_node"), *(F.col(c).alias(f"up_{c}") for c in columns)))
     same = (F.col("up") == F.col("u_node")) & (F.col("entry") == F.col("u_entry")) & (F.col("tree") == F.col("u_tree"))
     return now.join(other, same, "left").drop("u_entry", "u_tree", "u_node")
 
@@ -96,26 +102,26 @@ def intervals(nodes: DataFrame, order: str = "node") -> DataFrame:
     """
     held: list[str] = []
     parents = nodes.where("parent is not null").select(*TREE, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    start = nodes.select(*TREE, "node", "parent", F.col(order).alias("at")).join(parents, [*TREE, "node"], "left")
+    start = nodes.select(*TREE, "node", "parent", F.col(order).alias("at")).join(_dealt(parents), [*TREE, "node"], "left")
     start = start.select(*TREE, "node", "parent", "at", F.lit(1).cast("long").alias("size"), F.when(F.col("inner"), 0).otherwise(1).cast("long").alias("leaves"))
     start = materialise(start, "intervals", held)
     now = start.select(*TREE, "node", F.col("parent").alias("up"), "size", "leaves")
     while not now.where("up is not null").isEmpty():
         below = now.where("up is not null").groupBy(*TREE, F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.sum("leaves").alias("more_leaves"))
-        sums = _jump(now, now, "up").join(below, [*TREE, "node"], "left")
+        sums = _jump(now, now, "up").join(_dealt(below), [*TREE, "node"], "left")
         sums = sums.select(*TREE, "node", F.col("up_up").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("leaves") + F.coalesce("more_leaves", F.lit(0))).alias("leaves"))
         now = materialise(sums, "subtree-sums", held)
-    sized = materialise(start.drop("size", "leaves").join(now.drop("up"), [*TREE, "node"]), "subtree-sizes", held)
+    sized = materialise(start.drop("size", "leaves").join(_dealt(now.drop("up")), [*TREE, "node"]), "subtree-sizes", held)
 
     siblings = running(sized, "before", "size", *TREE, "parent", "at", "node")
     first = siblings.groupBy(*TREE, "parent").agg(F.min("before").alias("first")).select(*(F.col(c).alias(f"f_{c}") for c in (*TREE, "parent")), "first")
     mine = (F.col("entry") == F.col("f_entry")) & (F.col("tree") == F.col("f_tree")) & F.col("parent").eqNullSafe(F.col("f_parent"))
     offset = F.col("before") - F.col("first") + F.when(F.col("parent").isNull(), 0).otherwise(1)
-    now = materialise(siblings.join(first, mine).select(*TREE, "node", F.col("parent").alias("up"), offset.alias("pre")), "offsets", held)
+    now = materialise(siblings.join(_dealt(first), mine).select(*TREE, "node", F.col("parent").alias("up"), offset.alias("pre")), "offsets", held)
     while not now.where("up is not null").isEmpty():
         sums = _jump(now, now, "up", "pre").select(*TREE, "node", F.col("up_up").alias("up"), (F.col("pre") + F.coalesce("up_pre", F.lit(0))).alias("pre"))
         now = materialise(sums, "places", held)
-    out = materialise(now.drop("up").join(sized.select(*TREE, "node", "size", "leaves"), [*TREE, "node"]), "intervals")
+    out = materialise(now.drop("up").join(_dealt(sized.select(*TREE, "node", "size", "leaves")), [*TREE, "node"]), "intervals")
     discard(nodes.sparkSession, held)
     return out
 

@@ -98,3 +98,12 @@ def test_running_sums(spark):
         want[a, b] = total
         total += v
     assert got == want
+
+
+def test_rounds_collect_no_nodes_for_broadcasts(spark, tmp_path):
+    rows = spark.range(500).selectExpr("0L as entry", "0L as tree", "id as node", "nullif(id - 1, -1) as up", "id as size")
+    rows.write.parquet(str(tmp_path / "nodes"))
+    now = spark.read.parquet(str(tmp_path / "nodes"))
+    met = forest._jump(now, now, "up", "size")
+    assert met.where("up_size is not null").count() == 499
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
