@@ -83,7 +83,7 @@ def _spelled(found: list[tuple[int, str | None]], low: int, high: int, sep: str
             yield k, sep.join(t for t, since in kept if since <= k)
 
 
-def atom_distribution(nodes: DataFrame, edges: DataFrame, context: int, with_centre: bool = True) -> DataFrame:
+def atom_distribution(nodes: DataFrame, edges: DataFrame | None, context: int, with_centre: bool = True) -> DataFrame:
     """(g, id, k, value): the sorted symbols within k hops, for k = 0..context."""
 
     def one(ids, syms, src, dst, chg):
@@ -116,7 +116,7 @@ def _bond_rows(context: int):
     return one
 
 
-def bond_distribution(nodes: DataFrame, edges: DataFrame, context: int) -> DataFrame:
+def bond_distribution(nodes: DataFrame, edges: DataFrame | None, context: int) -> DataFrame:
     """(g, id, k, value): the sorted bonds (symbols in order, change between) with an end within k - 1 hops, k = 1..context."""
     return by_form(nodes, edges, _TEXTS, _bond_rows(context))
 
@@ -140,7 +140,7 @@ def _wiener_rows(context: int):
     return one
 
 
-def wiener_index(nodes: DataFrame, edges: DataFrame, context: int) -> DataFrame:
+def wiener_index(nodes: DataFrame, edges: DataFrame | None, context: int) -> DataFrame:
     """(g, id, k, value): the sum of distances between all pairs of nodes within k hops of a node, k = 1..context."""
     return by_form(nodes, edges, _NUMBERS, _wiener_rows(context))
 

@@ -195,7 +195,7 @@ def entry_files(spark, sf_dir):
 SELECT CAST(g AS VARCHAR) AS mol, CAST(id AS INTEGER) AS atom, 'ATOM_DISTRIBUTION' AS feature, CAST(k AS INTEGER) AS context, value, count(*) AS times FROM d GROUP BY ALL""")
 def feature_lines(spark, sf_dir):
     """Facts of context 1 are written, all of contexts 1 and 2 are offered, and only the new ones are added."""
-    facts = materialise(messages.features(messages.atom_distribution(*adapters.order_graph(spark, sf_dir), context=2), 1, 2), "facts")
+    facts = materialise(messages.features(messages.atom_distribution(*adapters.order_graphs(spark, sf_dir), context=2), 1, 2), "facts")
     folder = scratch_path(spark, "feat")
     facts.where(F.col("value").contains(":1=")).write.text(folder, compression="gzip")
     sink.new_lines(facts, spark.read.text(folder)).write.mode("append").text(folder, compression="gzip")
@@ -263,7 +263,7 @@ SELECT g, CAST(id AS INTEGER) AS id, feature, CAST(context AS INTEGER) AS contex
 @query(_feature_facts_sql())
 def feature_facts(spark, sf_dir):
     """Every feature but rings, which chains have not, in contexts 0 to 3."""
-    nodes, edges = adapters.order_graph(spark, sf_dir)
+    nodes, edges = adapters.order_graphs(spark, sf_dir)
     return messages.feature_facts(nodes, edges, 0, 3, messages.FEATURES[:-1])
 
 
