@@ -105,8 +105,8 @@ def sequence_files(lines: DataFrame, graphs: DataFrame) -> DataFrame:
 
 
 def save_index(paths: DataFrame, folder: str) -> None:
-    """The path table, sorted by path in each length's partition, and its version."""
-    paths.repartitionByRange("len", "path").sortWithinPartitions("len", "path", "g").write.partitionBy("len").parquet(f"{folder}/paths")
+    """The path table, sorted by path in each length's partition, and its version. Ranges are cut by graph, too: a path may be in most graphs."""
+    paths.repartitionByRange("len", "path", "g").sortWithinPartitions("len", "path", "g").write.partitionBy("len").parquet(f"{folder}/paths")
     paths.sparkSession.createDataFrame([(INDEX_VERSION,)], "value string").coalesce(1).write.text(f"{folder}/version")
 
 
