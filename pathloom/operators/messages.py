@@ -51,6 +51,55 @@ def until_stable(
     return out, rounds
 
 
+#: So many rounds of a graph are made before states are written.
+ROUNDS = 32
+
+
+def settled(
+    graphs: DataFrame, start: Callable[[Column], Column], message: Callable[[Column, Column], Column], combine: Callable[[Column], Column],
+    update: Callable[[Column, Column], Column], within: int | None = None,
+) -> tuple[DataFrame, int]:
+    """As ``until_stable``, for rows of graphs (``paths.as_graphs``) that are each handled on the map side: nothing is shuffled.
+
+    ``start`` gives a node's state from its symbol, and ``combine`` is a function from the array of what reaches a node to a
+    column; null messages are not sent. A graph goes on until a round changes none of its states; states are written after up to ``ROUNDS``
+    rounds, and only graphs that are not settled then go on. Time is quadratic in the nodes of a graph; large graphs take ``until_stable``.
+    """
+    ends = lambda a, b: F.filter(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), F.col("chg").alias("chg")), lambda e: e["a"].isNotNull())
+    packed = graphs.select("g", "ids", "syms", F.coalesce(F.concat(ends("src", "dst"), ends("dst", "src")), F.array()).alias("steps"))
+    place = lambda i: F.array_position("ids", i).cast("int")
+    near = F.transform("ids", lambda i: F.transform(F.filter("steps", lambda e: e["b"] == i), lambda e: F.struct(place(e["a"]).alias("at"), e["chg"].alias("chg"))))
+    now = packed.select("g", "ids", near.alias("near"), F.transform("syms", start).alias("ms"))
+    done, rounds, made = [], 0, 0
+    while within is None or made < within:
+        block = ROUNDS if within is None else min(ROUNDS, within - made)
+
+        def after(ms: Column) -> Column:
+            def state(steps: Column, i: Column) -> Column:
+                sent_ = F.filter(F.transform(steps, lambda e: F.when(F.get(ms, e["at"] - 1).isNotNull(), message(F.get(ms, e["at"] - 1), e["chg"]))), lambda m: m.isNotNull())
+                return update(F.get(ms, i), F.when(F.size(sent_) > 0, combine(sent_)))
+
+            return F.transform("near", state)
+
+        first = F.struct(F.col("ms").alias("ms"), F.lit(None).cast(now.schema["ms"].dataType).alias("before"), F.lit(0).alias("n"))
+        step = lambda s, _: F.when(s["before"].eqNullSafe(s["ms"]), s).otherwise(F.struct(after(s["ms"]).alias("ms"), s["ms"].alias("before"), (s["n"] + 1).alias("n")))
+        end = now.select("g", "ids", "near", F.aggregate(F.sequence(F.lit(1), F.lit(block)), first, step).alias("end"))
+        stable = F.col("end.before").eqNullSafe(F.col("end.ms"))
+        written = materialise(end.select("g", "ids", F.when(~stable, F.col("near")).alias("near"), F.col("end.ms").alias("ms"), stable.alias("stable"), (F.col("end.n") - stable.cast("int")).alias("n")), "settled")
+        last, moving = written.agg(F.max("n"), F.count_if(~F.col("stable"))).first()
+        rounds, made = max(rounds, made + (last or 0)), made + block
+        if not moving or made == within:
+            done.append(written)
+            break
+        done.append(written.where("stable"))
+        now = written.where("not stable").select("g", "ids", "near", "ms")
+    parts = [d.select("g", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("ms").alias("m"))).alias("x")) for d in done] or [now.select("g", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("ms").alias("m"))).alias("x"))]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out.select("g", "x.id", "x.m"), rounds
+
+
 def messages(nodes: DataFrame, edges: DataFrame, rounds: int, start: DataFrame, how: str | Callable[[Column], Column] = "sum") -> DataFrame:
     """(g, src, dst, round, m): messages on directed edges; those of round 1 are the source's ``start`` (g, id, m), later
     ones combine what reached the source in the round before over all edges but the one back (``how``: a name of

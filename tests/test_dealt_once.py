@@ -52,3 +52,28 @@ def test_a_path_of_most_graphs_is_in_many_ranges(spark, tmp_path):
     for index in (trees.read_index(spark, f"{tmp_path}/saved"), paths.read_index(spark, f"{tmp_path}/plain")):
         files = Counter(r.f for r in index.select(F.input_file_name().alias("f")).collect())
         assert sum(files.values()) == 4000 and max(files.values()) < 2000
+
+
+def test_settled_is_until_stable_without_a_shuffle(spark):
+    chain = [(9, i, i + 1, i % 7 and 0) for i in range(49)]
+    nodes = [(9, i, "abc"[i % 3] if i else "~") for i in range(50)] + [(1, 0, "x"), (2, 0, "c"), (2, 1, "b"), (2, 5, "a"), (3, 1, None), (3, 2, "q")]
+    edges = chain + [(2, 0, 1, 0), (2, 1, 5, 1), (2, 5, 0, 0), (3, 1, 2, 0)]
+    n = spark.createDataFrame(nodes, "g long, id int, sym string")
+    e = spark.createDataFrame(edges, "g long, src int, dst int, chg int")
+    start = n.select("g", "id", F.ascii("sym").alias("m"))
+    most = lambda m, met: F.greatest(m, met)
+    graphs = paths.as_graphs(n, e)
+    for within in (5, None):
+        want, rounds = messages.until_stable(n, e, start, lambda m, chg: m - F.abs(chg), "max", most, within)
+        got, made = messages.settled(graphs, F.ascii, lambda m, chg: m - F.abs(chg), F.array_max, most, within)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and made == rounds
+    assert rounds == 49
+
+
+def test_reachable_symbols_write_no_rounds_and_shuffle_lines_only(spark):
+    from pathloom.plans import catalogue
+    from pathloom.scratch import scratch_made
+
+    with scratch_made() as made:
+        found = catalogue.QUERIES["reachable_symbols"](spark, SF_SMALL)
+    assert len(made) == 1 and found.columns == ["g", "id", "m"]
