@@ -141,7 +141,7 @@ def atom_distribution(nodes: DataFrame, edges: DataFrame | None, context: int, w
             found = [(k, label[b]) for b, k in _bfs([i], near, context).items() if with_centre or k]
             yield from ((i, k, text) for k, text in _spelled(found, 0, context))
 
-    return by_form(nodes, edges, _TEXTS, one)
+    return by_form(nodes, edges, _TEXTS, one, changes=False)
 
 
 def _bond_rows(context: int):
@@ -191,7 +191,7 @@ def _wiener_rows(context: int):
 
 def wiener_index(nodes: DataFrame, edges: DataFrame | None, context: int) -> DataFrame:
     """(g, id, k, value): the sum of distances between all pairs of nodes within k hops of a node, k = 1..context."""
-    return by_form(nodes, edges, _NUMBERS, _wiener_rows(context))
+    return by_form(nodes, edges, _NUMBERS, _wiener_rows(context), changes=False)
 
 
 def morgan_index(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
@@ -317,7 +317,7 @@ def directed_distribution(nodes: DataFrame, edges: DataFrame, low: int = 0, high
     steps: (neighbour, symbols) by neighbour. Without the centre, a node counts among its own only where a ring brings
     it back."""
     told = pa.list_(pa.struct([("neighbour", pa.int32()), ("value", pa.string())]))
-    return by_form(nodes, edges, [*_TEXTS, ("branches", told, "array<struct<neighbour: int, value: string>>")], _directed_rows(low, high, whole, with_centre))
+    return by_form(nodes, edges, [*_TEXTS, ("branches", told, "array<struct<neighbour: int, value: string>>")], _directed_rows(low, high, whole, with_centre), changes=False)
 
 
 def ring_sizes(nodes: DataFrame, edges: DataFrame, high: int) -> DataFrame:
@@ -377,7 +377,7 @@ def feature_facts(nodes: DataFrame, edges: DataFrame, low: int = 0, high: int =
     def one(*graph):
         return ((i, kind, k, str(v)) for kind, rows in asked for i, k, v in rows(*graph) if low <= k <= high)
 
-    return by_form(nodes, edges, [_TEXTS[0], ("feature", pa.string(), "string"), ("context", pa.int32(), "int"), _TEXTS[2]], one)
+    return by_form(nodes, edges, [_TEXTS[0], ("feature", pa.string(), "string"), ("context", pa.int32(), "int"), _TEXTS[2]], one, changes="BOND_DISTRIBUTION" in kinds)
 
 
 def fact_lines(facts: DataFrame) -> DataFrame:

@@ -276,12 +276,12 @@ SELECT CAST(g AS VARCHAR) AS mol, CAST(id AS INTEGER) AS atom, 'ATOM_DISTRIBUTIO
 UNION ALL SELECT CAST(n.g AS VARCHAR), CAST(id AS INTEGER), 'RING', CAST(k AS INTEGER), CASE WHEN k = m THEN 'True' ELSE 'False' END, '' FROM n JOIN sz ON sz.g = n.g CROSS JOIN range(0, 6) t(k)""")
 def ring_feature_file(spark, sf_dir):
     """Facts of closed orders, with what each neighbour tells, written as lines and read back."""
-    facts = messages.feature_facts(*adapters.order_ring(spark, sf_dir), 0, 5, ("ATOM_DISTRIBUTION", "RING"))
+    facts = messages.feature_facts(*adapters.order_graphs(spark, sf_dir, closed=True), 0, 5, ("ATOM_DISTRIBUTION", "RING"))
     folder = scratch_path(spark, "facts")
-    messages.fact_lines(facts).write.text(folder, compression="gzip")
+    messages.fact_lines(facts).write.text(folder, compression="snappy")
     found = flatfile.read_features(spark, folder, skip=())
-    sides = F.transform(F.array_sort(F.map_entries("dirs")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
-    return found.select("mol", "atom", "feature", "context", "value", F.array_join(sides, " ").alias("sides"))
+    sides = F.transform(F.sort_array(F.map_entries("dirs")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
+    return found.select("mol", "atom", "feature", "context", "value", F.when(F.size("dirs") > 0, F.array_join(sides, " ")).otherwise("").alias("sides"))
 
 
 _TURNED = f"""l AS (SELECT l_orderkey AS reaction, row_number() OVER (PARTITION BY l_orderkey ORDER BY {sql._LINES}) - 1 AS id, l_returnflag AS sym, l_partkey FROM lineitem),

@@ -59,13 +59,17 @@ def read_features(spark: SparkSession, path: str, skip: tuple[str, ...] = ("RING
     """(mol, atom, feature, context, value, dirs) from lines ``mol:atom:FEATURE:context=(value,neighbour=value..)``; values
     of branches are sorted, a comma at the end is harmless."""
     lines = spark.read.text(path).where(F.col("value").rlike(r"^[^:]+:\d+:[A-Z_]+:\d+=")).select(F.split("value", ":", 4).alias("w"))
-    told = F.regexp_extract(F.col("w")[3], r"^\d+=\(?([^)]*)\)?\s*$", 1)
-    rows = lines.select(F.col("w")[0].alias("mol"), F.col("w")[1].cast("int").alias("atom"), F.col("w")[2].alias("feature"), F.split_part(F.col("w")[3], F.lit("="), F.lit(1)).cast("int").alias("context"), F.split(F.rtrim(told, F.lit(",")), ",").alias("parts"))
+    told = F.rtrim(F.regexp_extract(F.col("w")[3], r"^\d+=\(?([^)]*)\)?\s*$", 1), F.lit(","))
+    rows = lines.select(F.col("w")[0].alias("mol"), F.col("w")[1].cast("int").alias("atom"), F.col("w")[2].alias("feature"), F.split_part(F.col("w")[3], F.lit("="), F.lit(1)).cast("int").alias("context"), told.alias("told"))
     rows = rows.where(~F.col("feature").isin(*skip)) if skip else rows
+    rows = rows.withColumn("parts", F.split("told", ","))
+    first, any_ = F.get("parts", F.lit(0)), F.col("told").contains("=")  # most lines have no branch, and a value in front; these take no search
     branches = F.filter("parts", lambda p: p.contains("="))
-    entries = F.array_sort(F.transform(branches, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).cast("int").alias("key"), F.split_part(p, F.lit("="), F.lit(2)).alias("value"))))
+    entries = F.sort_array(F.transform(branches, lambda p: F.struct(F.substring_index(p, "=", 1).cast("int").alias("key"), F.substring_index(F.substring_index(p, "=", 2), "=", -1).alias("value"))))
     own = F.filter("parts", lambda p: ~p.contains("="))
-    return rows.select("mol", "atom", "feature", "context", F.try_element_at(own, F.lit(1)).alias("value"), F.map_from_entries(entries).alias("dirs"))
+    value = F.when(any_ & first.contains("="), F.try_element_at(own, F.lit(1))).otherwise(first)
+    dirs = F.map_from_entries(F.when(any_, entries).otherwise(F.array().cast("array<struct<key:int,value:string>>")))
+    return rows.select("mol", "atom", "feature", "context", value.alias("value"), dirs.alias("dirs"))
 
 
 def read_reaction_sides(spark: SparkSession, path: str) -> DataFrame:
