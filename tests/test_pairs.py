@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,31 @@ def test_nodes_of_one_symbol_meet_in_many_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(sizes) > 1 and max(sizes) < 240_000 * 0.6
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_walks_counted_by_their_middle(monkeypatch, spark, whole):
+    """Odd and even lengths, uncut and in pieces, with loops, double edges and lone arcs, against the product graphs as tables."""
+    monkeypatch.setattr(pairs, "COUNTED_NODES", 100 if whole else 6)
+    rnd = random.Random(4)
+    nodes = [(g, i, rnd.choice("ab")) for g, size in ((1, 40), (2, 25), (3, 2), (4, 1)) for i in range(size)]
+    edges = [(g, i, i + 1, rnd.choice((0, 0, 1))) for g, size in ((1, 40), (2, 25), (3, 2)) for i in range(size - 1)] + [(1, 3, 3, 0), (2, 4, 5, 0)]
+    n, e = spark.createDataFrame(nodes, "g long, id int, sym string"), spark.createDataFrame(edges, "g long, src int, dst int, chg int")
+    for length in (7, 8):
+        got, want = ({(r.i, r.j, r.len): r.n for r in walks.walk_counts(n, e, length, s).collect()} for s in (None, "joins"))
+        assert got == want
+
+
+def test_a_round_gives_two_levels_of_counts(monkeypatch):
+    row = dict(g=1, ids=list(range(50)), syms=["a"] * 50, a=[1.0] * 50, s=[1.0] * 50, q=[1.0] * 50, src=[*range(49), *range(1, 50)], dst=[*range(1, 50), *range(49)], chg=[0] * 98, p=[1.0] * 98)
+    graph = pairs.Graph(row, codes := {})
+    want = [k for k, _ in zip(pairs.Product(graph, graph, len(codes)).walk_levels(), range(20))]
+    sums, real = [], pairs.np.bincount
+
+    def counted(*args, **kw):
+        sums.append(len(args))
+        return real(*args, **kw)
+
+    monkeypatch.setattr(pairs.np, "bincount", counted)
+    assert [k for k, _ in zip(pairs.Product(graph, graph, len(codes)).count_levels(), range(20))] == want
+    assert sum(n == 3 for n in sums) <= 11 + 2
