@@ -2,30 +2,91 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.scratch import discard, materialise, numbered, running, sent
 
 
+_TOKEN = re.compile(r"[\[({][^\[\](){}]*|[\])}]")
+_PARSED = [
+    ("node", pa.int64(), "long"), ("parent", pa.int64(), "long"), ("bracket", pa.string(), "string"), ("sym", pa.string(), "string"),
+    ("depth", pa.int32(), "int"), ("is_leaf", pa.bool_(), "boolean"), ("is_last", pa.bool_(), "boolean"),
+]
+#: Equal lines are parsed once by a task: so many at a time, of up to so many characters.
+LINES, LINE_LENGTH = 20_000, 1_000
+_BATCH_ROWS = 50_000
+
+
+def _parsed(line: str) -> list[list]:
+    """Columns ``_PARSED`` of the nodes of a line, in their order."""
+    nodes: list[int] = []
+    parents: list[int | None] = []
+    brackets, syms, depths, open_ = [], [], [], []
+    latest: dict[int | None, int] = {}  # by parent the child that came last
+    level = 0
+    for token in _TOKEN.findall(line):
+        if token[0] in "({[":
+            level += 1
+            del open_[max(level - 1, 0) :]
+            parent, node = open_[-1] if open_ and len(open_) == level - 1 else None, len(nodes)
+            open_.append(node)
+            nodes.append(node)
+            parents.append(parent)
+            brackets.append(token[0])
+            syms.append(token[1:])
+            depths.append(level)
+            latest[parent] = node
+        else:
+            level -= 1
+    return [nodes, parents, brackets, syms, depths, [n not in latest for n in nodes], [latest[p] == n for n, p in zip(nodes, parents)]]
+
+
 def parse_trees(lines: DataFrame) -> DataFrame:
-    """Trees from rows (entry, tree, line), a line being one balanced bracket string like ``(C(C[O]))``.
+    """Trees from rows (entry, tree, line), a line being one balanced bracket string like ``(C(C[O]))``; (entry, tree) tells rows apart.
 
     (entry, tree, node, parent, bracket, sym, depth, is_leaf, is_last): an opening bracket begins a node at the depth
-    that the brackets so far leave; its parent is the last node before it one level up. All by windows over tokens.
+    that the brackets so far leave; its parent is the last node before it one level up. A line is a tree, so each is parsed where it
+    lies and nothing is shuffled; null lines have no nodes.
     """
-    token = F.posexplode(F.expr(r"regexp_extract_all(line, '[\\[({][^\\[\\](){}]*|[\\])}]', 0)")).alias("pos", "token")
-    tokens = lines.select("entry", "tree", token)
-    tree = Window.partitionBy("entry", "tree").orderBy("pos")
-    opens = F.substring("token", 1, 1).isin("(", "{", "[")
-    tokens = tokens.withColumn("open", opens)
-    level = F.sum(F.when(F.col("open"), 1).otherwise(-1)).over(tree)
-    nodes = tokens.withColumn("depth", level.cast("int")).withColumn("node", (F.sum(F.col("open").cast("int")).over(tree) - 1).cast("long")).where("open")
-    # The parent: per tree, the latest node of depth - 1, carried forward along the tree in one pass over depths.
-    both = nodes.select("*", F.col("depth").alias("key"), F.lit(True).alias("own")).union(nodes.select("*", (F.col("depth") - 1).alias("key"), F.lit(False).alias("own")))
-    offered = F.max(F.when(F.col("own"), F.struct("pos", "node"))).over(Window.partitionBy("entry", "tree", "key").orderBy("pos"))
-    placed = both.withColumn("parent", offered["node"]).where("not own")
-    out = placed.select("entry", "tree", "node", "parent", F.substring("token", 1, 1).alias("bracket"), F.expr("substring(token, 2)").alias("sym"), "depth")
-    return with_flags(out)
+    chosen = lines.select("entry", "tree", "line")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[str, list[pa.Array]] = {}
+        for batch in batches:
+            owners: list[int] = []
+            parts: list[list[pa.Array]] = []
+            rows = 0
+
+            def joined() -> pa.RecordBatch:
+                at = pa.array(np.repeat(np.array(owners, np.int64), [len(p[0]) for p in parts]))
+                columns = [pa.concat_arrays(c) for c in zip(*parts)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], ["entry", "tree", *(n for n, _, _ in _PARSED)])
+
+            for row, line in enumerate(batch.column(2).to_pylist()):
+                if line is None:
+                    continue
+                if (own := made.get(line)) is None:
+                    own = [pa.array(c, t) for c, (_, t, _) in zip(_parsed(line), _PARSED)]
+                    if len(line) <= LINE_LENGTH:
+                        if len(made) == LINES:
+                            made.clear()
+                        made[line] = own
+                owners.append(row)
+                parts.append(own)
+                rows += len(own[0])
+                if rows >= _BATCH_ROWS:
+                    yield joined()
+                    owners, parts, rows = [], [], 0
+            if parts:
+                yield joined()
+
+    kinds = dict(chosen.dtypes)
+    return chosen.mapInArrow(parse, f"entry {kinds['entry']}, tree {kinds['tree']}, " + ", ".join(f"{n} {d}" for n, _, d in _PARSED))
 
 
 def with_flags(nodes: DataFrame, order: str = "node") -> DataFrame:

@@ -11,7 +11,11 @@ from pathloom.scratch import numbered as by_ranges
 from pathloom.sources.trees import INDEX_VERSION
 
 
-def sequences(nodes: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
+#: Tries of equal graphs are made once by a task: of graphs up to so many nodes, and for so many at a time.
+FORM_NODES, FORMS = 16, 20_000
+
+
+def sequences(nodes: DataFrame, edges: DataFrame | None, max_depth: int = 50) -> DataFrame:
     """(g, start, line): the trie of simple paths from each node as one bracket string."""
     from pathloom.operators.paths import as_graphs
     import pyarrow as pa
@@ -44,13 +48,24 @@ def sequences(nodes: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFr
                 out.append(closing[mark])
         return "".join(out)
 
+    def tries(graph):
+        label, near = known(*graph)
+        return ((start, trie(label, near, start)) for start in graph[0])
+
     def walk(batches):
+        made = {}  # small graphs that are equal have equal tries
         for batch in batches:
             out = [[], [], []]
             for g, *graph in zip(*(c.to_pylist() for c in batch.columns)):
-                label, near = known(*graph)
-                for start in graph[0]:
-                    for values, v in zip(out, (g, start, trie(label, near, start))):
+                found = None
+                if len(graph[0]) <= FORM_NODES:
+                    form = tuple(tuple(c or ()) for c in graph)
+                    if (found := made.get(form)) is None:
+                        if len(made) == FORMS:
+                            made.clear()
+                        found = made[form] = list(tries(graph))
+                for start, line in tries(graph) if found is None else found:
+                    for values, v in zip(out, (g, start, line)):
                         values.append(v)
                     if len(out[0]) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
